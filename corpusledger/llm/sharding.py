@@ -12,8 +12,8 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The production table: 32 shards over a prime number of slots, 125 a shard.
-SHARDS, SLOTS = 32, 4001
+#: The production table: 16 shards over a prime number of slots, 125 a shard.
+SHARDS, SLOTS = 16, 2003
 #: The largest table; at 4 bytes and a key a row it stays far below what may be broadcast.
 MOST_SLOTS = 1_000_003
 
