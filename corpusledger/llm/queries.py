@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sharding
+from . import bpe, exact_dedup, license_scan, secret_scan, sharding
 from .common import table
 
 
@@ -44,7 +44,29 @@ keyed AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR
 SELECT doc_id, CAST(slot AS INTEGER) AS slot, CAST(shard AS INTEGER) AS shard FROM keyed JOIN filled USING (slot)
 """
 
+def vocabulary() -> tuple[str, str]:
+    """Path of the rank file and the pattern that splits texts."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), *vocabulary())
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_byte_bpe": op3_byte_bpe,
+    "op4_secret_scan": op4_secret_scan,
+    "op10_license_scan": op10_license_scan,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sharding": op8_sharding,
 }
