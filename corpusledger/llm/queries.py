@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, license_scan, mixing, secret_scan, sharding
+from . import bpe, exact_dedup, langid, license_scan, mixing, secret_scan, sharding
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_secret_scan": op4_secret_scan,
     "op5_mixing": op5_mixing,
+    "op6_language_id": op6_language_id,
     "op10_license_scan": op10_license_scan,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sharding": op8_sharding,
