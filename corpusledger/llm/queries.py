@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, license_scan, mixing, secret_scan, sharding
+from . import ann, bpe, exact_dedup, langid, license_scan, mixing, secret_scan, sharding
 from .common import table
 
 
@@ -67,6 +67,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(table(spark, sf_dir, "documents"))
 
@@ -76,6 +81,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_mixing": op5_mixing,
     "op6_language_id": op6_language_id,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_license_scan": op10_license_scan,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sharding": op8_sharding,
