@@ -4,10 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_dedup, langid, license_scan, mixing, secret_scan, sharding
+from . import ann, bpe, exact_dedup, langid, license_scan, mixing, secret_scan, sharding, warc
 from .common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+m AS (SELECT page_id, octet_length(encode(body)) AS n, sha1(body) AS d, max(page_id) OVER (PARTITION BY body) AS holder FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> holder THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> holder THEN holder END AS refers_to
+FROM m
+"""
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.label_copies(table(spark, sf_dir, "documents"))
 
@@ -77,6 +91,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_secret_scan": op4_secret_scan,
     "op5_mixing": op5_mixing,
@@ -86,4 +101,4 @@ QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sharding": op8_sharding,
 }
-ORACLE_SQL = {"op7_exact_dedup": OP7_SQL, "op8_sharding": OP8_SQL}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op8_sharding": OP8_SQL}
