@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_dedup, langid, license_scan, mixing, secret_scan, sharding, warc
+from . import ann, bpe, exact_dedup, langid, license_scan, mixing, ngram_join, secret_scan, sharding, warc
 from .common import table
 
 
@@ -58,6 +58,10 @@ keyed AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR
 SELECT doc_id, CAST(slot AS INTEGER) AS slot, CAST(shard AS INTEGER) AS shard FROM keyed JOIN filled USING (slot)
 """
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def vocabulary() -> tuple[str, str]:
     """Path of the rank file and the pattern that splits texts."""
     import public_tokenizers
@@ -92,6 +96,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_secret_scan": op4_secret_scan,
     "op5_mixing": op5_mixing,
