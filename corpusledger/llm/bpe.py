@@ -17,6 +17,8 @@ import functools
 import hashlib
 from array import array
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
@@ -295,6 +297,12 @@ class Codec:
         return self.decoder.decode(array("I", packed))
 
 
+def listed(packed: list[bytes]) -> pa.Array:
+    """Packed ids of many texts as an Arrow list array."""
+    offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
 @functools.lru_cache(2)
 def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
@@ -311,8 +319,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def make():
         def work(columns):
             own = codec(path, pattern)
-            ids = [array("I", own.encode(t)).tolist() for t in columns[text_col]]
-            return [columns[id_col], [len(x) for x in ids], ids]
+            packed = [own.encode(t) for t in columns[text_col]]
+            return [columns[id_col], [len(p) // 4 for p in packed], listed(packed)]
 
         return work
 
@@ -333,21 +341,25 @@ def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id", i
     return map_rows(tokens.select(id_col, ids_col), make, f"{id_col} {kind}, text string")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode every whole text: id, n_tokens, ids_sha256, decoded_sha256. Same cases as ``encode``."""
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode and decode every whole text: id, n_tokens, ids_sha256, decoded_sha256, and token_ids if asked for.
+
+    Same cases as ``encode``.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
         def work(columns):
             own = codec(path, pattern)
             packed = [own.encode(t) for t in columns[text_col]]
-            return [
+            out = [
                 columns[id_col],
                 [len(p) // 4 for p in packed],
                 [hashlib.sha256(p).hexdigest() for p in packed],
                 [hashlib.sha256(own.decode(p).encode("utf-8", "surrogatepass")).hexdigest() for p in packed],
             ]
+            return [*out, listed(packed)] if with_ids else out
 
         return work
 
-    return map_rows(docs.select(id_col, text_col), make, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_rows(docs.select(id_col, text_col), make, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids)

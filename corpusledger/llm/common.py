@@ -47,7 +47,7 @@ def document_batches(spark: SparkSession) -> None:
 
 
 def map_rows(df: DataFrame, make, schema: str) -> DataFrame:
-    """Apply ``make() -> function(dict of column lists) -> list of columns`` to Arrow batches; make runs once a task."""
+    """Apply ``make() -> function(dict of column lists) -> list of columns`` (lists or Arrow arrays) to Arrow batches; make runs once a task."""
     document_batches(df.sparkSession)
     fields = df.sparkSession.createDataFrame([], schema).schema
     names = fields.names
@@ -58,7 +58,7 @@ def map_rows(df: DataFrame, make, schema: str) -> DataFrame:
         out_schema, work = to_arrow_schema(fields), make()
         for batch in batches:
             columns = work({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
-            yield pa.RecordBatch.from_arrays([pa.array(c, out_schema.field(n).type) for n, c in zip(names, columns, strict=True)], schema=out_schema)
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, out_schema.field(n).type) for n, c in zip(names, columns, strict=True)], schema=out_schema)
 
     return df.mapInArrow(run, fields)
 

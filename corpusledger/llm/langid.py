@@ -13,10 +13,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import document_batches, map_rows
 
 #: The classifier's bounded sample: rows in all, rows of a label at least, labels at most, characters of a sampled text.
 TRAIN_ROWS, LEAST_ROWS, MOST_LABELS, TRAIN_CHARS = 1200, 40, 200, 20_000
@@ -249,6 +250,20 @@ def label(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     return map_rows(rows, make, f"{id_col} {kind}, held_out boolean, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, field: Field, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows whose language is known, with their own columns: not ``und``, and a score of ``least`` at least."""
+    document_batches(docs.sparkSession)
+    shared, column = docs.sparkSession.sparkContext.broadcast(field), docs.columns.index(text_col)
+
+    def work(batches):
+        own = shared.value
+        for batch in batches:
+            names, scores = own.predict(batch.column(column).to_pylist())
+            yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Train on the sample of labelled rows, then label every row."""
     return label(docs, train(sample(docs, id_col, text_col, lang_col)), id_col, text_col)
