@@ -1,8 +1,57 @@
-"""The corpus pipeline."""
+"""From raw documents to token ids: language ID, exact and near deduplication, mixing, encoding.
 
-STAGES: list = []
+Every stage takes what the one before it kept, written as Parquet and read again, and its decisions take effect.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from corpusledger.llm import bpe, exact_dedup, langid, mixing, ngram_join
+from corpusledger.llm.common import new_folder, table
+from corpusledger.llm.queries import vocabulary
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known; trained on the labelled rows that are not held out."""
+    return langid.keep_known(docs, langid.train(langid.sample(docs)))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the smallest id."""
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that link at 0.8 over five-word shingles, directly or by others, the one with the smallest id."""
+    return ngram_join.keep_one(docs, k=5, num=80, den=100)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed corpus: each document as often as the mix takes it."""
+    return mixing.repeat_taken(docs)
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row, and digests of the ids and of what they decode to."""
+    return bpe.round_trip(docs, *vocabulary(), with_ids=True)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", drop_exact_copies),
+    ("ngram_jaccard", drop_near_copies),
+    ("mixing", mix_sources),
+    ("byte_bpe", encode_texts),
+]
+#: A trained classifier decides what is kept, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = new_folder(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
