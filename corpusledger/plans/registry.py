@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = "name_index"
+from . import chunk_queries, evidence_queries, text_queries  # noqa: F401  (they register their queries)
+from .base import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "locate_quotes"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
