@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .udfs import fold, nfc
 
 #: Typography: one character to one character, then those with longer forms. Fixed values.
-ONE_TO_ONE = ("‘’“”«»   ", "''\"\"\"\"  \n")
-PARAGRAPH_SEPARATOR = (" ", "\n\n")
+ONE_TO_ONE = ("\u2018\u2019\u201c\u201d\u00ab\u00bb\u00a0\u202f\u2028", "''\"\"\"\"  \n")
+PARAGRAPH_SEPARATOR = ("\u2029", "\n\n")
 ARTICLE = r"^(?:(?:le|la|les|the) |l')"
 
 
@@ -121,7 +121,7 @@ SECTIONS = ["Subjects", "Setting", "Shots", "Dialogue", "Audio", "Retention"]
 def section_map(c: Column) -> Column:
     """Section name to its body."""
     head = "|".join(SECTIONS)
-    body = lambda s: F.trim(F.regexp_extract(c, rf"(?ms)^{s}:[ \t]*(.*?)(?=^(?:{head}):|\z)", 1))
+    body = lambda s: F.btrim(F.regexp_extract(c, rf"(?ms)^{s}:[ \t]*(.*?)(?=^(?:{head}):|\z)", 1), F.lit(" \n\t"))
     return F.map_filter(F.create_map(*[x for s in SECTIONS for x in (F.lit(s), body(s))]), lambda k, v: F.length(v) > 0)
 
 

@@ -29,7 +29,7 @@ def chapters(spark, sf_dir):
 
 def typographic(c):
     """A text with the typography that normalization undoes, put in by rule."""
-    return F.concat(F.lit("«"), F.replace(F.replace(F.replace(c, F.lit("\n"), F.lit("\r\n")), F.lit("the "), F.lit("the ")), F.lit(". "), F.lit(". ")), F.lit("’»"))
+    return F.concat(F.lit("\u00ab"), F.replace(F.replace(F.replace(c, F.lit("\n"), F.lit("\r\n")), F.lit("the "), F.lit("the\u00a0")), F.lit(". "), F.lit(".\u2029")), F.lit("\u2019\u00bb"))
 
 
 TYPOGRAPHIC_SQL = "'«' || replace(replace(replace(text, chr(10), chr(13) || chr(10)), 'the ', 'the' || chr(160)), '. ', '.' || chr(8233)) || '’»'"

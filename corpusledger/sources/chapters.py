@@ -44,7 +44,7 @@ def read_chapters(files: DataFrame, pdf_text: Callable[[bytes], str] | None = No
     if pdf_text is None:
         from_pdf = F.lit(None).cast("string")
     else:
-        from_pdf = pandas_udf(lambda s: s.map(lambda b: pdf_text(bytes(b))), T.StringType())("content")
+        from_pdf = pandas_udf(lambda s: s.map(lambda b: None if b is None else pdf_text(bytes(b))), T.StringType())(F.when(pdf, F.col("content")))
     raw = files.withColumn("_raw", F.when(pdf, from_pdf).otherwise(decoded("content"))).withColumn("location_basis", F.when(pdf, "normalized_pdf_extracted_text").otherwise("normalized_utf8_text"))
     rows = raw.withColumn("text", X.normalize_text(F.col("_raw")))
     blank = F.col("text").isNull() | (X.squeeze(F.col("text")) == "")

@@ -9,21 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.text import entity_key
+from ..functions.udfs import entity_key_of
 from ..operators.timeline import MOST_FACTS, advance
 
 #: Input of the ledger stream: one row per sequence with its updates.
-LEDGER_IN = "chapter long, sequence int, reset boolean, updates array<struct<key:string,entity:string,aspect:string,fact:string>>"
+LEDGER_IN = "chapter long, sequence int, reset boolean, updates array<struct<entity:string,aspect:string,fact:string>>"
 LEDGER_OUT = "chapter long, sequence int, entity string, aspect string, fact string, from_sequence int"
 #: Cursor, facts kept and sequences held back until the gap before them closes.
 LEDGER_STATE = "next_sequence int, facts string, held string"
 
 
-def with_keys(rows: DataFrame) -> DataFrame:
-    """Updates with the entity key that the ledger retires by: chapter, sequence, reset, updates(entity, aspect, fact)."""
-    return rows.withColumn("updates", F.transform("updates", lambda u: F.struct(entity_key(u["entity"]).alias("key"), u["entity"].alias("entity"), u["aspect"].alias("aspect"), u["fact"].alias("fact"))))
-
-
 def stream_ledger(rows: DataFrame, most: int = MOST_FACTS) -> DataFrame:
     """Facts after each sequence, emitted once and in order; sequences start at 1 and those ahead of a gap are held.
 
@@ -36,7 +31,7 @@ def stream_ledger(rows: DataFrame, most: int = MOST_FACTS) -> DataFrame:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 if r.sequence >= cursor:
-                    given = [] if r.updates is None else [{k: u[k] for k in ("key", "entity", "aspect", "fact")} for u in r.updates]
+                    given = [] if r.updates is None else [{k: u[k] for k in ("entity", "aspect", "fact")} | {"key": entity_key_of(u["entity"])} for u in r.updates]
                     held.setdefault(str(r.sequence), [bool(r.reset), given])
         out = []
         while str(cursor) in held:
