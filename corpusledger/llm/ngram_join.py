@@ -5,8 +5,9 @@ coordinate minima of their points, and a box of points at most the sum of the mi
 over the points leaves few pairs to verify on the sets themselves.
 
 The tree's top level is made for a cluster: two sets that link share one of their first n - ceil(t n) + 1 n-grams in any
-common order, so each such n-gram is a block and a linked pair meets in one at least. N-grams that are frequent in a
-bounded sample come last in the order; the order decides how large blocks are, never which pairs link. Each block
+common order, so each such n-gram is a block and a linked pair meets in one at least. N-grams of rare words come first,
+as word counts of a bounded sample tell, and n-grams that are frequent there last; the order decides how large blocks
+are, never which pairs link. Each block
 packs a tree and keeps a spanning forest of the pairs that pass the bound. The components of those forests are families;
 every link lies within one. A family is verified in tiles of bounded size, each with the family's hubs; what the
 hubs do not connect is then verified against all tiles. Pairs already connected are not verified again, so a family of
@@ -25,47 +26,78 @@ from pyspark.sql import functions as F
 
 from .common import document_batches, map_rows, settled
 
-#: Groups of a count vector; points of a tree node; documents of a tile; members above which a block is not searched
+#: Groups of a count vector by the size of the set, each a multiple of the one before: two unrelated sets of n n-grams
+#: differ by about 1.1 * sqrt(n * groups) in their counts, linked ones by at most a share of n, so n needs more groups.
+#: Counts of sets up to a bound of 2000 fit two bytes.
+LEVELS = ((300, 64, "<u2"), (2000, 256, "<u2"), (1 << 62, 2048, "<u4"))
+#: Points of a tree node; documents of a tile; members above which a block is not searched
 #: itself but made one family.
-GROUPS, NODE, TILE, HOT = 32, 16, 512, 2048
-#: Documents of the sample that tells frequent n-grams, how often one must occur there, and how many are kept at most.
-SAMPLE, FREQUENT, MOST_FREQUENT = 2000, 3, 65_536
-MOST_WORDS = 500_000
+NODE, TILE, HOT = 16, 512, 2048
+#: Documents of the sample that tells frequent n-grams and words, how often one must occur there, and how many of each are
+#: kept at most; longest word counted.
+SAMPLE, FREQUENT, MOST_FREQUENT, LONGEST_WORD = 2000, 3, 65_536, 64
+#: Words whose hashes are remembered; bits of a word's hash that hold its class, and of an n-gram's its rank.
+MOST_WORDS, CLASS_BITS, RANK_BITS = 500_000, 4, 6
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        out = self[word] = xxhash.xxh64_intdigest(word)
-        return out
+    """Word -> hash, the low bits of which are its class: 0 for a rare word, more for frequent ones."""
 
+    def __init__(self, classes: dict[bytes, int] | None = None):
+        super().__init__()
+        self.classes = classes or {}
 
-HASHES = WordHashes()
+    def __missing__(self, word: bytes) -> int:
+        out = self[word] = xxhash.xxh64_intdigest(word) >> CLASS_BITS << CLASS_BITS | self.classes.get(word, 0)
+        return out
 
 
-def shingles(text: str | None, k: int) -> np.ndarray:
+def shingles(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles; of fewer words, the hash of the whole sequence; of none, nothing.
 
-    Words are runs of bytes other than ASCII white space, A-Z in lower case.
+    Words are runs of bytes other than ASCII white space, A-Z in lower case. The top bits of a hash are its words' mean
+    class, so that sorted hashes begin with the rarest words.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(HASHES) > MOST_WORDS:
-        HASHES.clear()
-    ids = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+    if len(hashes) > MOST_WORDS:
+        hashes.clear()
+    ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     size = min(k, len(words))
     n = len(words) - size + 1
-    out = np.full(n, size, np.uint64)
+    out, total = np.full(n, size, np.uint64), np.zeros(n, np.uint64)
     for j in range(size):
-        out = (out ^ ids[j : j + n]) * MULTIPLY
+        part = ids[j : j + n]
+        out = (out ^ part) * MULTIPLY
         out ^= out >> np.uint64(29)
-    return np.unique(out)
+        total += part & np.uint64((1 << CLASS_BITS) - 1)
+    rank = total * np.uint64((1 << RANK_BITS) - 1) // np.uint64(size * ((1 << CLASS_BITS) - 1))
+    return np.unique(out >> np.uint64(RANK_BITS) | rank << np.uint64(64 - RANK_BITS))
+
+
+def level_of(size: int) -> int:
+    return next(i for i, (most, _, _) in enumerate(LEVELS) if size <= most)
+
 
+def point(s: np.ndarray) -> np.ndarray:
+    """Count vector of a set, of its own level."""
+    groups = LEVELS[level_of(len(s))][1]
+    return np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
 
-def points(sets: list[np.ndarray]) -> np.ndarray:
-    """Count vectors, one row per set."""
-    return np.stack([np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets]).astype(np.int32)
+
+def packed(vector: np.ndarray) -> bytes:
+    return vector.astype(LEVELS[level_of(int(vector.sum()))][2]).tobytes()
+
+
+def unpacked(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(data, LEVELS[level_of(size)][2]).astype(np.int32)
+
+
+def folded(vector: np.ndarray, groups: int) -> np.ndarray:
+    """The vector over fewer groups."""
+    return vector if len(vector) == groups else vector.reshape(-1, groups).sum(0, dtype=np.int32)
 
 
 class CountTree:
@@ -117,18 +149,27 @@ class Sets:
         return i != j
 
 
-def forest(vectors: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+def candidates(vectors: list[np.ndarray], num: int, den: int):
+    """Yield (i, j) of all pairs that pass the bound, by trees of one level and, at its coarser groups, the next."""
+    sizes = [int(v.sum()) for v in vectors]
+    levels = [level_of(n) for n in sizes]
+    for level in sorted(set(levels)):
+        reach = den * LEVELS[level][0] // num
+        at = [i for i, x in enumerate(levels) if x == level or (x > level and sizes[i] <= reach)]
+        if len(at) < 2:
+            continue
+        rows = np.stack([folded(vectors[i], LEVELS[level][1]) for i in at])
+        tree = CountTree(rows, num, den)
+        for place, i in enumerate(at):
+            for other in tree.near(rows[place])[0].tolist():
+                if other < place and level in (levels[i], levels[at[other]]):
+                    yield i, at[other]
+
+
+def forest(vectors: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """Edges that connect the points as all pairs that pass the bound would."""
-    if len(vectors) == 2:
-        a, b = vectors
-        passes = int(np.minimum(a, b).sum()) * (num + den) >= num * int(a.sum() + b.sum())
-        return [(0, 1)] if passes else []
-    tree, joined, out = CountTree(vectors, num, den), Sets(len(vectors)), []
-    for i, vector in enumerate(vectors):
-        for j in tree.near(vector)[0].tolist():
-            if j < i and joined.join(i, j):
-                out.append((i, j))
-    return out
+    joined = Sets(len(vectors))
+    return [(i, j) for i, j in candidates(vectors, num, den) if joined.join(i, j)]
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -138,17 +179,15 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 
 def verified(sets: list[np.ndarray], num: int, den: int, labels: list | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the true links; positions with one label are connected already."""
-    vectors, joined, out = points(sets), Sets(len(sets)), []
+    joined, out = Sets(len(sets)), []
     if labels is not None:
         first: dict = {}
         for i, x in enumerate(labels):
             joined.join(i, first.setdefault(x, i))
-    tree = CountTree(vectors, num, den)
-    for i, vector in enumerate(vectors):
-        for j in tree.near(vector)[0].tolist():
-            if j < i and joined.find(i) != joined.find(j) and linked(sets[i], sets[j], num, den):
-                joined.join(i, j)
-                out.append((i, j))
+    for i, j in candidates([point(s) for s in sets], num, den):
+        if joined.find(i) != joined.find(j) and linked(sets[i], sets[j], num, den):
+            joined.join(i, j)
+            out.append((i, j))
     return out
 
 
@@ -214,33 +253,42 @@ def components(edges: DataFrame) -> DataFrame:
     return leaves.unionByName(now.select(F.col("b").alias("_doc"), F.col("b").alias("_root")).distinct())
 
 
-def frequent(docs: DataFrame, k: int) -> np.ndarray:
-    """Sorted hashes of the n-grams that a bounded sample of documents has often. They only order the blocks."""
+def frequent(docs: DataFrame, k: int) -> tuple[dict[bytes, int], np.ndarray]:
+    """(classes of frequent words, sorted hashes of frequent n-grams) of a bounded sample. They only order the blocks."""
     total = docs.count()
     picked = docs.filter(F.pmod(F.xxhash64("_doc", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(1, total)) * (1 << 30)))
+    picked = settled(picked.select("_text"), "sample")
+    low = F.translate(F.coalesce("_text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = picked.select(F.explode(F.split(low, r"[\x20\x09-\x0D]+")).alias("w")).filter(F.length("w").between(1, LONGEST_WORD))
+    often = words.groupBy("w").count().filter("count > 1").orderBy(F.desc("count"), "w").limit(MOST_FREQUENT)
+    classes = {r[0].encode(): min(r[1].bit_length() - 1, (1 << CLASS_BITS) - 1) for r in often.collect()}
 
     def make():
-        return lambda c: [[shingles(t, k).view(np.int64).tolist() for t in c["_text"]]]
+        hashes = WordHashes(classes)
+        return lambda c: [[shingles(t, k, hashes).view(np.int64).tolist() for t in c["_text"]]]
 
-    rows = map_rows(picked.select("_text"), make, "s array<long>").select(F.explode("s").alias("s"))
+    rows = map_rows(picked, make, "s array<long>").select(F.explode("s").alias("s"))
     often = rows.groupBy("s").count().filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "s").limit(MOST_FREQUENT)
-    return np.sort(np.array([r[0] for r in often.collect()], np.int64).view(np.uint64))
+    return classes, np.sort(np.array([r[0] for r in often.collect()], np.int64).view(np.uint64))
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """_doc, n_shingles, _set (128-bit hash of the set), _counts, _keys (the n-grams whose blocks the set enters)."""
-    common = frequent(docs, k)
+    order = docs.sparkSession.sparkContext.broadcast(frequent(docs, k))  # MOST_FREQUENT words and n-grams at most
 
     def make():
+        classes, common = order.value
+        hashes = WordHashes(classes)
+
         def work(columns):
             out = []
             for doc, text in zip(columns["_doc"], columns["_text"], strict=True):
-                s = shingles(text, k)
+                s = shingles(text, k, hashes)
                 n = len(s)
                 first = n - -(-num * n // den) + 1 if n else 0
                 heavy = np.isin(s, common, assume_unique=True) if len(common) else np.zeros(n, bool)
                 keys = np.concatenate([s[~heavy], s[heavy]])[:first]
-                out.append((doc, n, xxhash.xxh128_digest(s.tobytes()), points([s])[0].tobytes(), keys.view(np.int64).tolist()))
+                out.append((doc, n, xxhash.xxh128_digest(s.tobytes()), packed(point(s)), keys.view(np.int64).tolist()))
             return [list(c) for c in zip(*out, strict=True)] if out else [[]] * 5
 
         return work
@@ -257,7 +305,7 @@ def families(signed: DataFrame, reps: DataFrame, num: int, den: int) -> DataFram
     # blocks with the same members are one
     rows = settled(rows.filter("_n > 1").select(F.xxhash64("_n", "_x", "_m").alias("_block"), "_doc", "_n", "_m").distinct(), "blocks")
     hot = rows.filter((F.col("_n") > HOT) & (F.col("_doc") != F.col("_m"))).select(F.col("_doc").alias("a"), F.col("_m").alias("b"))
-    met = rows.filter(F.col("_n") <= HOT).select("_block", "_doc").join(nodes.select("_doc", "_counts"), "_doc")
+    met = rows.filter(F.col("_n") <= HOT).select("_block", "_doc").join(nodes.select("_doc", "n_shingles", "_counts"), "_doc")
     met = met.repartition("_block").sortWithinPartitions("_block", "_doc")
 
     def work(batches):
@@ -265,7 +313,8 @@ def families(signed: DataFrame, reps: DataFrame, num: int, den: int) -> DataFram
             for g in grouped(batches, ["_block"]):
                 if len(g["_doc"]) > 1:
                     ids = g["_doc"]
-                    yield [(ids[i], ids[j]) for i, j in forest(np.frombuffer(b"".join(g["_counts"]), np.int32).reshape(len(ids), GROUPS), num, den)]
+                    vectors = [unpacked(c, n) for c, n in zip(g["_counts"], g["n_shingles"], strict=True)]
+                    yield [(ids[i], ids[j]) for i, j in forest(vectors, num, den)]
 
         yield from edge_batches(each())
 
@@ -282,7 +331,8 @@ def links(docs: DataFrame, family: DataFrame, k: int, num: int, den: int) -> Dat
     placed = member.select("_doc", "_root", "_n", F.when(hub, F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(own)).alias("_tiles"))
 
     def make():
-        return lambda c: [c["_doc"], c["_root"], c["_n"], c["_tiles"], [shingles(t, k).tobytes() for t in c["_text"]]]
+        hashes = WordHashes()
+        return lambda c: [c["_doc"], c["_root"], c["_n"], c["_tiles"], [shingles(t, k, hashes).tobytes() for t in c["_text"]]]
 
     with_text = docs.join(placed, "_doc")
     sets = map_rows(with_text.select("_doc", "_root", "_n", "_tiles", "_text"), make, "_doc long, _root long, _n long, _tiles array<int>, _shingles binary")
@@ -323,7 +373,8 @@ def links(docs: DataFrame, family: DataFrame, k: int, num: int, den: int) -> Dat
     )
 
     def make_again():
-        return lambda c: [c["_doc"], c["_root"], c["_part"], c["_cells"], [shingles(t, k).tobytes() for t in c["_text"]]]
+        hashes = WordHashes()
+        return lambda c: [c["_doc"], c["_root"], c["_part"], c["_cells"], [shingles(t, k, hashes).tobytes() for t in c["_text"]]]
 
     again = map_rows(docs.join(both, "_doc").select("_doc", "_root", "_part", "_cells", "_text"), make_again, "_doc long, _root long, _part long, _cells array<struct<_tile:int,_sheaf:int>>, _shingles binary")
     cells = again.select("_root", F.explode("_cells").alias("_cell"), "_doc", "_part", "_shingles").select("_root", "_cell._tile", "_cell._sheaf", "_doc", "_part", "_shingles")

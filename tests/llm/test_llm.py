@@ -293,11 +293,16 @@ def test_ngram_join_edges(spark):
 
 def test_count_tree_never_loses_a_pair():
     pick = np.random.default_rng(2)
-    sets = [np.unique(pick.integers(0, 400, pick.integers(5, 200)).astype(np.uint64)) for _ in range(150)]
-    tree = ngram_join.CountTree(ngram_join.points(sets), 50, 100)
-    for i, s in enumerate(sets):
-        near = set(tree.near(ngram_join.points([s])[0])[0].tolist())
-        assert {j for j, t in enumerate(sets) if ngram_join.linked(s, t, 50, 100)} <= near
+    sets = [np.unique(pick.integers(0, 300, pick.integers(5, 400)).astype(np.uint64)) for _ in range(150)]
+    kept = ngram_join.LEVELS
+    try:
+        ngram_join.LEVELS = ((60, 8, "<u2"), (120, 16, "<u2"), (1 << 62, 64, "<u4"))
+        vectors = [ngram_join.unpacked(ngram_join.packed(v), len(s)) for s in sets for v in [ngram_join.point(s)]]
+        near = {tuple(sorted(p)) for p in ngram_join.candidates(vectors, 50, 100)}
+    finally:
+        ngram_join.LEVELS = kept
+    want = {(j, i) for i, s in enumerate(sets) for j, t in enumerate(sets[:i]) if ngram_join.linked(s, t, 50, 100)}
+    assert want <= near and len(near) < 150 * 149 / 2
 
 
 VECTORS = "vec_id long, embedding array<float>, _id int, score int"
