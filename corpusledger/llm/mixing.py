@@ -145,8 +145,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: int = SEED
 
 
 def repeat_taken(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mixed corpus itself: each document as often as the mix takes it, with its own columns."""
+    """The mixed corpus itself: each document as often as the mix takes it, with its own columns.
+
+    Rows that repeat an id are each taken as often as the most taken of them.
+    """
     taken = mix(docs, id_col=id_col, **options).filter("taken > 0")
-    uses = taken.select(F.col(id_col).alias("_mixed"), (F.col("taken") / F.col("size")).cast("int").alias("_uses")).distinct()
-    joined = docs.join(uses, docs[id_col] == uses["_mixed"])
+    uses = taken.groupBy(F.col(id_col).alias("_mixed")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_uses"))
+    joined = docs.join(uses, docs[id_col].eqNullSafe(uses["_mixed"]))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_uses")))).select(*[docs[c] for c in docs.columns])

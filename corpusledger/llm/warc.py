@@ -120,8 +120,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Write every page as a record; returns the sparse directory, one row per block, settled in the shared folder.
 
     Of payloads that are equal and have at least LEAST_REVISIT bytes the one with the largest id is a response, the
-    others are revisits. Null payloads are empty, null URLs have an empty key. Ids must not be null and should be
-    unique: rows that repeat an id are written as often as they occur. An empty table gives an empty directory.
+    others are revisits. Null payloads are empty, null URLs have an empty key. Rows without an id are left out; rows that
+    repeat an id are written as often as they occur. An empty table gives an empty directory; other columns are ignored.
 
     The payloads are shuffled once: the decisions travel as rows of their own and meet their page in the sort.
     """
@@ -136,14 +136,17 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     document_batches(spark)
 
     def work(batches):
-        out, note = None, {}
+        out, notes, of = None, {}, None
         for batch in batches:
             for row in batch.to_pylist():
+                if (row["_key"], row["_id"]) != of:
+                    notes, of = {}, (row["_key"], row["_id"])
                 if row["_part"] == 0:
-                    note = row
+                    notes[row["_digest"]] = row
                     continue
-                out = out or Writer(folder)
-                out.add(row["_key"], row["_id"], record(row["_id"], row["_url"], row["_body"].encode("utf-8", "surrogatepass"), note["_digest"], note["_type"], note["_refers"]), note["_type"])
+                out, body = out or Writer(folder), row["_body"].encode("utf-8", "surrogatepass")
+                note = notes[hashlib.sha1(body).hexdigest()]
+                out.add(row["_key"], row["_id"], record(row["_id"], row["_url"], body, note["_digest"], note["_type"], note["_refers"]), note["_type"])
         done = out.close() if out else []
         names = [x.split()[0] for x in DIRECTORY.split(", ")]
         yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in done], pa.string() if i < 4 else pa.int64()) for i, n in enumerate(names)})
