@@ -283,3 +283,30 @@ def test_sources_and_sinks(spark, tmp_path):
 def test_every_query_has_a_name_and_most_have_sql():
     assert registry.FLAGSHIP in registry.QUERIES and set(registry.ORACLE_SQL) <= set(registry.QUERIES)
     assert len(registry.ORACLE_SQL) > 80
+
+
+def test_reviews(spark):
+    from corpusledger.operators import reviews
+
+    payload = '{"scene": {"mood": "calm", "list": [1, 2]}}'
+    issues = spark.createDataFrame([(1, "/scene/mood", "d", payload), (2, "/scene/mood", "d", payload), (3, "/scene/none", "d", payload), (4, "/other", "d", payload)], "issue_id int, path string, description string, t string").withColumn("v", F.try_parse_json("t"))
+    kept, bad = reviews.review_violations(issues, "v", ["/scene/mood", "/scene/none"])
+    assert values(kept, "issue_id", "cited_value") == [(1, "calm")] and values(bad, "rule", "key") == [("path_not_found", "3"), ("path_not_offered", "4")]
+    plan = spark.createDataFrame([("c", 1, 1), ("c", 3, 2), ("c", 2, 3)], "chapter string, sequence int, ord int")
+    sequences = spark.createDataFrame([("c", 1), ("c", 2), ("c", 3), ("c", 4)], "chapter string, sequence int")
+    placed = spark.createDataFrame([("c", 1, "x", "object", "explicit", 2), ("c", 2, "y", "object", "inferred", 4)], "chapter string, sequence int, entity string, kind string, evidence string, source_sequence int")
+    registry_ = spark.createDataFrame([("x", "object"), ("y", "location")], "entity string, kind string")
+    found = values(reviews.spatial_violations(plan, sequences, placed, registry_), "rule", "key")
+    assert found == [("future_evidence", "c/1"), ("missing", "c/4"), ("order", "c/2"), ("unknown_entity", "c/2")]
+
+
+def test_reconcile(spark):
+    from corpusledger.operators import catalogs
+
+    columns = "kind string, names array<string>, importance string, priority string, speaks boolean"
+    known = spark.createDataFrame([("CHAR_002", 2, "character", ["Mara"], "minor", "optional", False)], f"entity string, number long, {columns}")
+    incoming = spark.createDataFrame([("a", 1, "character", ["mara", "Mara Voss"], "major", "optional", True), ("b", 2, "character", ["Bern"], "minor", "required", False), ("c", 3, "location", ["Hall"], "minor", "optional", False)], f"local_id string, ord int, {columns}")
+    decisions_ = spark.createDataFrame([("a", "CHAR_002"), ("b", "NEW"), ("c", "CHAR_002")], "local_id string, match string")
+    out, members = catalogs.reconcile(known, incoming, decisions_, ["ord"])
+    assert values(out, "entity", "number", F.array_join("names", "|"), "importance", "speaks") == [("CHAR_002", 2, "Mara|Mara Voss", "major", True), ("CHAR_003", 3, "Bern", "minor", False), ("LOCA_001", 1, "Hall", "minor", False)]
+    assert values(members, "local_id", "entity") == [("a", "CHAR_002"), ("b", "CHAR_003"), ("c", "LOCA_001")]
