@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
-from ..functions.udfs import Tokens, fold
+from ..functions.udfs import WORD
 from . import intervals
 
 #: Words that often begin a sentence and are not names. Fixed values.
@@ -19,24 +21,42 @@ SENTENCE_MARKS, STOPS = ".!?\n\"«—–-", ".!?"
 CLASSES, PERSISTENCE = ["explicit", "inferred", "contextual"], ["persistent", "temporary", "uncertain"]
 
 
-def tokens(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """keys, word, start_char, end_char, before of every word."""
-    spark = texts.sparkSession
-    spark.udtf.register("corpus_tokens", Tokens)
-    columns = ", ".join(f"t.`{k}`" for k in keys)
-    return spark.sql(f"SELECT {columns}, w.* FROM {{t}} t, LATERAL corpus_tokens(t.`{text_col}`) w", t=texts.select(*keys, text_col))
+def judged_words(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """Every word with its folded name and how it is used: keys, name, start_char, end_char, candidate, interior, lowercase.
 
-
-def judged(words: DataFrame) -> DataFrame:
-    """Add the folded name and whether its use is a candidate, inside a sentence, or lower case."""
-    name = F.regexp_replace("word", "^[ldLD][’']", "")
-    key = fold(name)
-    first = F.left(name, F.lit(1))
-    upper, lower = first.rlike(r"^\p{Lu}"), first.rlike(r"^\p{Ll}")
-    candidate = upper & ~key.isin(COMMON_STARTS)
-    inside = candidate & (F.length("before") > 0) & (F.locate(" ", "before") == 0) & ~F.col("before").isin(list(SENTENCE_MARKS))
-    plain = lower & (F.length("before") > 0) & ~F.col("before").isin(list(STOPS))
-    return words.withColumn("name", key).withColumn("candidate", candidate).withColumn("interior", inside).withColumn("lowercase", plain)
+    One Arrow pass; a row per word leaves Python with flags only. ``functions.udfs.Tokens`` gives the words themselves in SQL.
+    """
+    rows = texts.select(*keys, text_col)
+    flags = [S.StructField(n, S.BooleanType()) for n in ("candidate", "interior", "lowercase")]
+    places = [S.StructField("start_char", S.IntegerType()), S.StructField("end_char", S.IntegerType())]
+    schema = S.StructType([*[rows.schema[k] for k in keys], S.StructField("name", S.StringType()), *places, *flags])
+    common, marks = frozenset(COMMON_STARTS), frozenset(SENTENCE_MARKS)
+
+    def batch_of(batch, found):
+        columns = list(zip(*found, strict=True)) if found else [()] * 7
+        at = pa.array(columns[0], pa.int64())
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_())
+        arrays = [batch.column(i).take(at) for i in range(len(keys))] + [pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    def work(batches):
+        for batch in batches:
+            found = []
+            for i, text in enumerate(batch.column(len(keys)).to_pylist()):
+                for m in WORD.finditer(text or ""):
+                    start, end = m.span()
+                    word = m.group()
+                    if len(word) > 2 and word[0] in "ldLD" and word[1] in "-\u2019'" and word[1] != "-":
+                        word = word[2:]
+                    name, before = word.casefold(), text[max(0, start - 64) : start].rstrip()[-1:]
+                    candidate = word[0].isupper() and name not in common
+                    found.append((i, name, start, end, candidate, bool(candidate and before and before not in marks), word[0].islower() and before not in ("", ".", "!", "?")))
+                if len(found) > 200_000:
+                    yield batch_of(batch, found)
+                    found = []
+            yield batch_of(batch, found)
+
+    return rows.mapInArrow(work, schema)
 
 
 def index_names(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
@@ -45,7 +65,7 @@ def index_names(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     A name is a capitalized word that is no common starter, unless it is also seen in lower case and never capitalized
     inside a sentence. The flags are combined over the whole corpus before the shuffle, one row a word and task.
     """
-    words = judged(tokens(texts, keys, text_col))
+    words = judged_words(texts, keys, text_col)
     flags = words.groupBy("name").agg(F.bool_or("candidate").alias("_c"), F.bool_or("interior").alias("_i"), F.bool_or("lowercase").alias("_l"))
     names = flags.filter(F.col("_c") & (~F.col("_l") | F.col("_i"))).select("name")
     return words.join(names, "name", "left_semi").select(*keys, "name", "start_char", "end_char")

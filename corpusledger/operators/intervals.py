@@ -13,7 +13,7 @@ def merge(df: DataFrame, keys: list[str], start: str, end: str, touching: bool =
     reach = F.max("_e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     apart = reach.isNull() | ((reach < F.col("_s")) if touching else (reach <= F.col("_s")))
     marked = rows.withColumn("_new", apart.cast("int"))
-    island = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    island = F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))  # equal intervals count together
     return marked.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min("_s").alias(start), F.max("_e").alias(end)).drop("_island")
 
 

@@ -70,7 +70,7 @@ def location_views(spark, sf_dir):
     QUOTES_SQL
     + """, w AS (SELECT chapter_id, greatest(0, start_char - 900) AS s, least(length(text), end_char + 900) AS e FROM spans),
  m AS (SELECT chapter_id, s, e, max(e) OVER (PARTITION BY chapter_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM w),
- g AS (SELECT chapter_id, s, e, sum(CASE WHEN r IS NULL OR r < s THEN 1 ELSE 0 END) OVER (PARTITION BY chapter_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m)
+ g AS (SELECT chapter_id, s, e, sum(CASE WHEN r IS NULL OR r < s THEN 1 ELSE 0 END) OVER (PARTITION BY chapter_id ORDER BY s, e) AS g FROM m)
  SELECT chapter_id, CAST(min(s) AS INTEGER) AS start_char, CAST(max(e) AS INTEGER) AS end_char FROM g GROUP BY chapter_id, g"""
 )
 def evidence_contexts(spark, sf_dir):

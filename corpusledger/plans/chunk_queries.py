@@ -93,7 +93,7 @@ def spans(spark, sf_dir):
 
 
 MERGED_SQL = f"""WITH {SPANS_SQL}, m AS (SELECT user_id, s, e, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM spans WHERE s < e),
-    g AS (SELECT user_id, s, e, sum(CASE WHEN r IS NULL OR r < s THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m),
+    g AS (SELECT user_id, s, e, sum(CASE WHEN r IS NULL OR r < s THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e) AS island FROM m),
     merged AS (SELECT user_id, min(s) AS s, max(e) AS e FROM g GROUP BY user_id, island)"""
 
 
@@ -117,7 +117,7 @@ def span_containment(spark, sf_dir):
 
 @query(
     f"""WITH {SPANS_SQL}, m AS (SELECT user_id, s, e, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM spans WHERE s < e),
-    g AS (SELECT user_id, s, e, sum(CASE WHEN r IS NULL OR r <= s THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS passage_id FROM m),
+    g AS (SELECT user_id, s, e, sum(CASE WHEN r IS NULL OR r <= s THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e) AS passage_id FROM m),
     c AS (SELECT user_id, passage_id, min(s) AS cs, max(e) AS ce FROM g GROUP BY user_id, passage_id)
     SELECT spans.user_id, event_id AS item, CAST(passage_id AS INTEGER) AS passage_id, s - cs AS "offset" FROM spans JOIN c ON c.user_id = spans.user_id AND cs <= s AND e <= ce WHERE s < e"""
 )

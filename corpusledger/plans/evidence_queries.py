@@ -43,7 +43,7 @@ def name_index(spark, sf_dir):
  wide AS (SELECT doc_id, s, e, coalesce(lag(s) OVER w, s) AS f, coalesce(lead(e) OVER w, e) AS t, coalesce(lag(e) OVER w, 0) AS be FROM pn WINDOW w AS (PARTITION BY doc_id ORDER BY i, k)),
  win AS (SELECT o.chapter_id, greatest(f, start_char - 200) AS s, least(t, end_char + 200) AS e FROM occ o JOIN wide ON doc_id = chapter_id AND wide.e >= start_char + 1 AND be < start_char + 1),
  mm AS (SELECT chapter_id, s, e, max(e) OVER (PARTITION BY chapter_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM win WHERE s < e),
- gg AS (SELECT chapter_id, s, e, sum(CASE WHEN r IS NULL OR r < s THEN 1 ELSE 0 END) OVER (PARTITION BY chapter_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM mm)
+ gg AS (SELECT chapter_id, s, e, sum(CASE WHEN r IS NULL OR r < s THEN 1 ELSE 0 END) OVER (PARTITION BY chapter_id ORDER BY s, e) AS g FROM mm)
  SELECT chapter_id, CAST(min(s) AS INTEGER) AS start_char, CAST(max(e) AS INTEGER) AS end_char FROM gg GROUP BY chapter_id, g"""
 )
 def name_windows(spark, sf_dir):
