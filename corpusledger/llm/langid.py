@@ -250,8 +250,11 @@ def label(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     return map_rows(rows, make, f"{id_col} {kind}, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, field: Field, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows whose language is known, with their own columns: not ``und``, and a score of ``least`` at least."""
+def keep_known(docs: DataFrame, field: Field, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows whose language is known, with their own columns: not ``und``, and a score of ``least`` at least.
+
+    The default keeps texts that mix two or three languages; what goes has no letters or no language that leads.
+    """
     document_batches(docs.sparkSession)
     shared, column = docs.sparkSession.sparkContext.broadcast(field), docs.columns.index(text_col)
 
