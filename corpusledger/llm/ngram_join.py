@@ -18,6 +18,8 @@ Sets of equal content are one node, and n-grams are 64-bit hashes.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,10 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import document_batches, map_rows, settled
 
-#: Groups of a count vector by the size of the set, each a multiple of the one before: two unrelated sets of n n-grams
-#: differ by about 1.1 * sqrt(n * groups) in their counts, linked ones by at most a share of n, so n needs more groups.
-#: Counts of sets up to a bound of 2000 fit two bytes.
-LEVELS = ((300, 64, "<u2"), (2000, 256, "<u2"), (1 << 62, 2048, "<u4"))
+#: Groups of a count vector by the size of the set, each a multiple of the one before, for similarities from 0.85 on and
+#: below: two unrelated sets of n n-grams differ by about 1.1 * sqrt(n * groups) in their counts, linked ones by at most a
+#: share of n that grows as the similarity falls, so larger sets and lower similarities need more groups.
+HIGH, LEVELS, LOW_LEVELS = 0.85, ((300, 32), (2000, 64), (1 << 62, 512)), ((300, 64), (2000, 256), (1 << 62, 2048))
 #: Points of a tree node; documents of a tile; members above which a block is not searched
 #: itself but made one family.
 NODE, TILE, HOT = 16, 512, 2048
@@ -77,22 +79,28 @@ def shingles(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(out >> np.uint64(RANK_BITS) | rank << np.uint64(64 - RANK_BITS))
 
 
-def level_of(size: int) -> int:
-    return next(i for i, (most, _, _) in enumerate(LEVELS) if size <= most)
+def levels_of(num: int, den: int) -> tuple[tuple[int, int], ...]:
+    return LEVELS if num >= HIGH * den else LOW_LEVELS
+
 
+def level_of(size: int, levels) -> int:
+    return next(i for i, (most, _) in enumerate(levels) if size <= most)
 
-def point(s: np.ndarray) -> np.ndarray:
+
+def point(s: np.ndarray, levels) -> np.ndarray:
     """Count vector of a set, of its own level."""
-    groups = LEVELS[level_of(len(s))][1]
+    groups = levels[level_of(len(s), levels)][1]
     return np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
 
 
 def packed(vector: np.ndarray) -> bytes:
-    return vector.astype(LEVELS[level_of(int(vector.sum()))][2]).tobytes()
+    """The counts, two bytes each if they fit, compressed: most are small."""
+    return zlib.compress(vector.astype("<u2" if vector.max() < 1 << 16 else "<u4").tobytes(), 1)
 
 
-def unpacked(data: bytes, size: int) -> np.ndarray:
-    return np.frombuffer(data, LEVELS[level_of(size)][2]).astype(np.int32)
+def unpacked(data: bytes, size: int, levels) -> np.ndarray:
+    raw = zlib.decompress(data)
+    return np.frombuffer(raw, f"<u{len(raw) // levels[level_of(size, levels)][1]}").astype(np.int32)
 
 
 def folded(vector: np.ndarray, groups: int) -> np.ndarray:
@@ -151,14 +159,14 @@ class Sets:
 
 def candidates(vectors: list[np.ndarray], num: int, den: int):
     """Yield (i, j) of all pairs that pass the bound, by trees of one level and, at its coarser groups, the next."""
-    sizes = [int(v.sum()) for v in vectors]
-    levels = [level_of(n) for n in sizes]
+    table, sizes = levels_of(num, den), [int(v.sum()) for v in vectors]
+    levels = [level_of(n, table) for n in sizes]
     for level in sorted(set(levels)):
-        reach = den * LEVELS[level][0] // num
+        reach = den * table[level][0] // num
         at = [i for i, x in enumerate(levels) if x == level or (x > level and sizes[i] <= reach)]
         if len(at) < 2:
             continue
-        rows = np.stack([folded(vectors[i], LEVELS[level][1]) for i in at])
+        rows = np.stack([folded(vectors[i], table[level][1]) for i in at])
         tree = CountTree(rows, num, den)
         for place, i in enumerate(at):
             for other in tree.near(rows[place])[0].tolist():
@@ -184,7 +192,7 @@ def verified(sets: list[np.ndarray], num: int, den: int, labels: list | None = N
         first: dict = {}
         for i, x in enumerate(labels):
             joined.join(i, first.setdefault(x, i))
-    for i, j in candidates([point(s) for s in sets], num, den):
+    for i, j in candidates([point(s, levels_of(num, den)) for s in sets], num, den):
         if joined.find(i) != joined.find(j) and linked(sets[i], sets[j], num, den):
             joined.join(i, j)
             out.append((i, j))
@@ -278,7 +286,7 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
     def make():
         classes, common = order.value
-        hashes = WordHashes(classes)
+        hashes, levels = WordHashes(classes), levels_of(num, den)
 
         def work(columns):
             out = []
@@ -288,7 +296,7 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 first = n - -(-num * n // den) + 1 if n else 0
                 heavy = np.isin(s, common, assume_unique=True) if len(common) else np.zeros(n, bool)
                 keys = np.concatenate([s[~heavy], s[heavy]])[:first]
-                out.append((doc, n, xxhash.xxh128_digest(s.tobytes()), packed(point(s)), keys.view(np.int64).tolist()))
+                out.append((doc, n, xxhash.xxh128_digest(s.tobytes()), packed(point(s, levels)), keys.view(np.int64).tolist()))
             return [list(c) for c in zip(*out, strict=True)] if out else [[]] * 5
 
         return work
@@ -313,7 +321,7 @@ def families(signed: DataFrame, reps: DataFrame, num: int, den: int) -> DataFram
             for g in grouped(batches, ["_block"]):
                 if len(g["_doc"]) > 1:
                     ids = g["_doc"]
-                    vectors = [unpacked(c, n) for c, n in zip(g["_counts"], g["n_shingles"], strict=True)]
+                    vectors = [unpacked(c, n, levels_of(num, den)) for c, n in zip(g["_counts"], g["n_shingles"], strict=True)]
                     yield [(ids[i], ids[j]) for i, j in forest(vectors, num, den)]
 
         yield from edge_batches(each())

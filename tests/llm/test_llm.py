@@ -294,13 +294,13 @@ def test_ngram_join_edges(spark):
 def test_count_tree_never_loses_a_pair():
     pick = np.random.default_rng(2)
     sets = [np.unique(pick.integers(0, 300, pick.integers(5, 400)).astype(np.uint64)) for _ in range(150)]
-    kept = ngram_join.LEVELS
+    kept = ngram_join.LOW_LEVELS
     try:
-        ngram_join.LEVELS = ((60, 8, "<u2"), (120, 16, "<u2"), (1 << 62, 64, "<u4"))
-        vectors = [ngram_join.unpacked(ngram_join.packed(v), len(s)) for s in sets for v in [ngram_join.point(s)]]
+        levels = ngram_join.LOW_LEVELS = ((60, 8), (120, 16), (1 << 62, 64))
+        vectors = [ngram_join.unpacked(ngram_join.packed(v), len(s), levels) for s in sets for v in [ngram_join.point(s, levels)]]
         near = {tuple(sorted(p)) for p in ngram_join.candidates(vectors, 50, 100)}
     finally:
-        ngram_join.LEVELS = kept
+        ngram_join.LOW_LEVELS = kept
     want = {(j, i) for i, s in enumerate(sets) for j, t in enumerate(sets[:i]) if ngram_join.linked(s, t, 50, 100)}
     assert want <= near and len(near) < 150 * 149 / 2
 
@@ -367,5 +367,7 @@ def test_warc_round_trip_and_lookup(spark):
     assert [r["page_id"] for r in captures.find("org,b)/")] == [3, 4, 6]
     assert captures.find("zz,absent)/") == []
     assert sorted(r["page_id"] for r in warc.lookup(directory, ["org,b)/", "net,c3)/p3", "none"]).collect()) == [3, 4, 6, 103]
+    twice = spark.createDataFrame([(1, "http://a.org", "x", "k"), (1, "http://a.org", "y" * 2000, "k"), (None, "http://a.org", "z", "k")], PAGES)
+    assert rows(warc.archive_round_trip(spark, twice), "page_id", "payload_bytes", "record_type") == [(1, 1, "response"), (1, 2000, "response")]
     empty = warc.write_archives(spark.createDataFrame([], PAGES), new_folder(spark, "warc"))
     assert warc.read_archives(empty).count() == 0
