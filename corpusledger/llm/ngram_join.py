@@ -342,7 +342,7 @@ def links(docs: DataFrame, family: DataFrame, k: int, num: int, den: int) -> Dat
         hashes = WordHashes()
         return lambda c: [c["_doc"], c["_root"], c["_n"], c["_tiles"], [shingles(t, k, hashes).tobytes() for t in c["_text"]]]
 
-    with_text = docs.join(placed, "_doc")
+    with_text = docs.join(placed.hint("merge"), "_doc")  # one plan at every size
     sets = map_rows(with_text.select("_doc", "_root", "_n", "_tiles", "_text"), make, "_doc long, _root long, _n long, _tiles array<int>, _shingles binary")
 
     def verify(keys, label=None):
