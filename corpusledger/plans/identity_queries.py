@@ -48,6 +48,23 @@ def audit_clusters(spark, sf_dir):
     return identity.clusters(identity.components(merge_edges(spark, sf_dir)), most=3)
 
 
+def similar_edges(spark, sf_dir):
+    return identity.name_links(entities(spark, sf_dir), "entity_id", "brand", "canonical_name")
+
+
+@query()
+def components_all(spark, sf_dir):
+    """Components by similar names of a type (brand), where the SQL of ``components`` can state equal ones only."""
+    nodes = entities(spark, sf_dir).select(F.col("entity_id").alias("id"))
+    return identity.components(similar_edges(spark, sf_dir), nodes)
+
+
+@query()
+def audit_clusters_all(spark, sf_dir):
+    """Slices of those components, of the default size."""
+    return identity.clusters(identity.components(similar_edges(spark, sf_dir)))
+
+
 @query(
     f"""WITH {ENTITIES_SQL}, i AS (SELECT entity_id AS in_id, p_type, canonical_name AS n FROM ents WHERE entity_id % 50 = 0), p AS (SELECT entity_id AS pool_id, p_type, canonical_name AS m FROM ents WHERE entity_id % 50 <> 0),
  s AS (SELECT in_id, pool_id, CASE WHEN n = m THEN 1.0 ELSE {jac('n', 'm')} END AS score FROM i JOIN p USING (p_type)),
