@@ -13,15 +13,20 @@ WINDOW_JOBS, WINDOW_CHARS, WINDOW_CANDIDATES = 8, 12_000, 32
 
 
 def import_designs(designs: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(matched, rejects): designs of canonical_name and kind to entities by name key; a match must be unique on both sides."""
+    """(matched, rejects): designs of canonical_name and kind to entities by name key; a match must be unique on both sides.
+
+    Both sides are counted per key before they meet, so a name that very many share makes no pairs.
+    """
     d = designs.withColumn("_key", T.name_key(F.col("canonical_name")))
     r = registry.select("entity", F.col("kind"), T.name_key(F.col("canonical_name")).alias("_key"))
-    pairs = d.join(r, ["kind", "_key"])
-    one = pairs.groupBy("kind", "_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").drop("_n")
-    matched = pairs.join(one, ["kind", "_key"], "left_semi")
-    many = pairs.select("kind", "_key").distinct().join(one, ["kind", "_key"], "left_anti").withColumn("_many", F.lit(True))
-    rest = d.join(matched.select("kind", "_key").distinct(), ["kind", "_key"], "left_anti").join(many, ["kind", "_key"], "left")
-    return matched.drop("_key"), rest.select("canonical_name", "kind", F.when(F.col("_many"), "ambiguous").otherwise("unknown").alias("reason"))
+    asked = d.groupBy("kind", "_key").agg(F.count(F.lit(1)).alias("_d"))
+    known = r.groupBy("kind", "_key").agg(F.count(F.lit(1)).alias("_r"), F.min("entity").alias("entity"))
+    state = asked.join(known, ["kind", "_key"]).select("kind", "_key", "entity", ((F.col("_d") == 1) & (F.col("_r") == 1)).alias("_one"))
+    rows = d.join(state, ["kind", "_key"], "left")
+    matched = rows.filter("_one").drop("_key", "_one")
+    rest = rows.filter("_one IS NULL OR NOT _one")
+    kept = [c for c in designs.columns if c in ("design_id", "canonical_name", "kind")]
+    return matched, rest.select(*kept, F.when(F.col("_one").isNull(), "unknown").otherwise("ambiguous").alias("reason"))
 
 
 def spatial_violations(plan: DataFrame, sequences: DataFrame, placed: DataFrame, registry: DataFrame) -> DataFrame:

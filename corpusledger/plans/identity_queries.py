@@ -150,6 +150,15 @@ def unique_match(spark, sf_dir):
     return identity.unique_match(left, right, "c_custkey", "s_suppkey", "k")
 
 
+@query()
+def unique_match_all(spark, sf_dir):
+    """All customers and suppliers by the number in their names."""
+    number = lambda c: F.substring_index(c, "#", -1).alias("k")
+    left = table(spark, sf_dir, "customer").select("c_custkey", number("c_name"))
+    right = table(spark, sf_dir, "supplier").select("s_suppkey", number("s_name"))
+    return identity.unique_match(left, right, "c_custkey", "s_suppkey", "k")
+
+
 @query()
 def constrained_merge(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0").select((F.col("l_suppkey") % 10).alias("group"), F.col("l_orderkey").alias("order"), (F.col("l_partkey") % 40).alias("a"), (F.col("l_suppkey") % 40).alias("b"), F.when(F.col("l_returnflag") == "R", "different").otherwise("same").alias("relation"))

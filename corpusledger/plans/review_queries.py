@@ -28,6 +28,15 @@ def import_designs(spark, sf_dir):
     return reviews.import_designs(designs, registry)[0].select("design_id", "entity")
 
 
+@query()
+def import_designs_all(spark, sf_dir):
+    """A design of every entity against the whole registry; a rejected one has its reason."""
+    e = entities(spark, sf_dir)
+    designs = e.select(F.col("entity_id").alias("design_id"), F.upper("canonical_name").alias("canonical_name"), "kind")
+    matched, rejects = reviews.import_designs(designs, e.select(F.col("entity_id").alias("entity"), "canonical_name", "kind"))
+    return matched.select("design_id", "entity").unionByName(rejects.select("design_id", "reason"), allowMissingColumns=True)
+
+
 @query(
     """WITH r AS (SELECT l_orderkey AS scene, l_partkey AS subject, 'v' || l_linenumber AS view FROM lineitem WHERE l_orderkey % 10 = 0)
  SELECT 'not_approved' AS rule, scene || '/' || subject AS key, '' AS detail FROM r WHERE subject % 3 = 0

@@ -3,6 +3,7 @@
 import difflib
 
 
+from corpusledger.operators import reviews
 from corpusledger.plans import registry
 
 
@@ -51,3 +52,28 @@ def test_components_take_similar_names(spark, tmp_path):
         cut += [(c, k, i) for k, ids_ in enumerate(slices) if len(ids_) > 1 for i in ids_]
     assert values(registry.QUERIES["audit_clusters_all"](spark, str(tmp_path)), "component", "slice", "id") == sorted(cut, key=str)
     assert len(set(expected.values())) < len({(r[1], r[2]) for r in rows})
+
+
+def test_designs_meet_the_whole_registry(spark, tmp_path):
+    kind = lambda i: i % 3
+    rows = [(i, f"name {i}" if i < 500 else f"name {i - 294}", "B", "T", 1) for i in (*range(0, 600, 7), 1200, 1203)]
+    put(spark, tmp_path, "part", rows, PART)
+    same = {r[0]: [q[0] for q in rows if kind(q[0]) == kind(r[0]) and q[1] == r[1]] for r in rows}
+    found = values(registry.QUERIES["import_designs_all"](spark, str(tmp_path)), "design_id", "entity", "reason")
+    assert found == sorted([(i, i, None) if len(q) == 1 else (i, None, "ambiguous") for i, q in same.items()], key=str)
+    assert (1200, 1200, None) in found and any(r[2] for r in found)
+
+
+def test_designs_are_counted_on_both_sides(spark):
+    designs = spark.createDataFrame([(1, "A b", "x"), (2, "a B", "x"), (3, "c", "x"), (4, "d", "x"), (5, "e", "x")], "design_id long, canonical_name string, kind string")
+    known = spark.createDataFrame([(7, "a b", "x"), (8, "C", "x"), (9, "d", "x"), (10, "D", "x"), (11, "e", "y")], "entity long, canonical_name string, kind string")
+    matched, rejects = reviews.import_designs(designs, known)
+    assert values(matched, "design_id", "entity") == [(3, 8)]
+    assert values(rejects, "design_id", "reason") == [(1, "ambiguous"), (2, "ambiguous"), (4, "ambiguous"), (5, "unknown")]
+
+
+def test_customers_meet_all_suppliers(spark, tmp_path):
+    put(spark, tmp_path, "customer", [(i, f"Customer#{i % 450:09d}") for i in range(600)], "c_custkey long, c_name string")
+    put(spark, tmp_path, "supplier", [(i, f"Supplier#{i + 100:09d}") for i in range(400)], "s_suppkey long, s_name string")
+    found = values(registry.QUERIES["unique_match_all"](spark, str(tmp_path)), "c_custkey", "s_suppkey")
+    assert found == sorted([(c, c - 100) for c in range(150, 450)], key=str)
