@@ -202,25 +202,38 @@ def alias_edges(names: DataFrame, contexts: DataFrame, keys: list[str]) -> DataF
 def constrained_merge(decisions: DataFrame, keys: list[str]) -> DataFrame:
     """keys, id, component: "same" edges joined in order unless a "different" decision stands between the two parts.
 
-    ``decisions``: keys, order, a, b, relation. The result depends on the order, so one key's decisions are one group.
+    ``decisions``: keys, order, a, b, relation; equal orders are taken by a, b. The result depends on the order within a
+    component of a key's "same" edges, so one such component is one group; ids without such an edge stay alone.
     """
     id_type = decisions.schema["a"].dataType.simpleString()
-    schema = ", ".join(f"{k} {decisions.schema[k].dataType.simpleString()}" for k in keys) + f", id {id_type}, component {id_type}"
+    schema = ", ".join(f"`{k}` {decisions.schema[k].dataType.simpleString()}" for k in keys) + f", id {id_type}, component {id_type}"
+    node = lambda c: F.struct(*keys, F.col(c).alias("id"))
+    rows = checkpointed(decisions.select(*keys, "order", "a", "b", "relation", node("a").alias("_a"), node("b").alias("_b")))
+    parts = checkpointed(components(rows.filter("relation = 'same'").select(F.col("_a").alias("a"), F.col("_b").alias("b")), id_col="_node"))
+    side = lambda c: parts.select(F.col("_node").alias(c), F.col("component").alias(f"_part{c}"))
+    inside = rows.join(side("_a"), "_a").join(side("_b"), "_b").filter("_part_a = _part_b").select(*keys, "order", "a", "b", "relation", F.col("_part_a.id").alias("_root"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("order", kind="stable")
+        pdf = pdf.sort_values(["order", "a", "b"], kind="stable")
         part = {x: {x} for x in [*pdf["a"], *pdf["b"]]}
-        apart = {frozenset(p) for p in pdf.loc[pdf["relation"] == "different", ["a", "b"]].itertuples(index=False)}
-        for r in pdf[pdf["relation"] == "same"].itertuples(index=False):
-            x, y = part[r.a], part[r.b]
-            if x is not y and not any(frozenset((p, q)) in apart for p in x for q in y):
+        apart: dict = {x: set() for x in part}
+        for a, b in pdf.loc[pdf["relation"] == "different", ["a", "b"]].itertuples(index=False):
+            apart[a].add(b)
+            apart[b].add(a)
+        for a, b in pdf.loc[pdf["relation"] == "same", ["a", "b"]].itertuples(index=False):
+            x, y = part[a], part[b]
+            if len(x) < len(y):
+                x, y = y, x
+            if x is not y and all(x.isdisjoint(apart[q]) for q in y):
                 x |= y
                 for member in y:
                     part[member] = x
-        rows = [(i, min(p)) for i, p in part.items()]
-        out = pd.DataFrame(rows, columns=["id", "component"])
+        least = {id(p): min(p) for p in {id(p): p for p in part.values()}.values()}
+        out = pd.DataFrame([(i, least[id(p)]) for i, p in part.items()], columns=["id", "component"])
         for k in keys:
             out[k] = pdf[k].iloc[0]
         return out[[*keys, "id", "component"]]
 
-    return decisions.groupBy(*keys).applyInPandas(fold, schema)
+    merged = inside.groupBy(*keys, "_root").applyInPandas(fold, schema)
+    every = rows.select(F.explode(F.array("_a", "_b")).alias("_node")).distinct()
+    return merged.unionByName(every.join(parts, "_node", "left_anti").select("_node.*", F.col("_node.id").alias("component")))

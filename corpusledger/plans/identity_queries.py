@@ -143,6 +143,14 @@ def seeded_reach(spark, sf_dir):
     return identity.seeded_reach(edges, ids)
 
 
+@query()
+def seeded_reach_all(spark, sf_dir):
+    """All parts and suppliers; a supplier's id is below zero."""
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b")).distinct()
+    ids = edges.select(F.explode(F.array("a", "b")).alias("id")).filter("id % 97 = 0")
+    return identity.seeded_reach(edges, ids)
+
+
 @query("WITH p AS (SELECT DISTINCT c_custkey, s_suppkey FROM customer JOIN supplier ON c_custkey % 140 = s_suppkey % 130 AND c_custkey < 200), a AS (SELECT *, count(*) OVER (PARTITION BY c_custkey) AS x, count(*) OVER (PARTITION BY s_suppkey) AS y FROM p) SELECT c_custkey, s_suppkey FROM a WHERE x = 1 AND y = 1")
 def unique_match(spark, sf_dir):
     left = table(spark, sf_dir, "customer").filter("c_custkey < 200").select("c_custkey", (F.col("c_custkey") % 140).alias("k"))
@@ -161,8 +169,10 @@ def unique_match_all(spark, sf_dir):
 
 @query()
 def constrained_merge(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0").select((F.col("l_suppkey") % 10).alias("group"), F.col("l_orderkey").alias("order"), (F.col("l_partkey") % 40).alias("a"), (F.col("l_suppkey") % 40).alias("b"), F.when(F.col("l_returnflag") == "R", "different").otherwise("same").alias("relation"))
-    return identity.constrained_merge(rows.filter("a <> b"), ["group"])
+    """Decisions of each supplier on all its parts; the supplier's own id is below zero."""
+    order = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("group"), order.alias("order"), F.col("l_partkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b"), F.when(F.col("l_returnflag") == "R", "different").otherwise("same").alias("relation"))
+    return identity.constrained_merge(rows, ["group"])
 
 
 @query(

@@ -1,9 +1,10 @@
 """Queries that do their whole job, against plain Python on small tables."""
 
 import difflib
+import random
 
 
-from corpusledger.operators import reviews
+from corpusledger.operators import identity, reviews
 from corpusledger.plans import registry
 
 
@@ -77,3 +78,45 @@ def test_customers_meet_all_suppliers(spark, tmp_path):
     put(spark, tmp_path, "supplier", [(i, f"Supplier#{i + 100:09d}") for i in range(400)], "s_suppkey long, s_name string")
     found = values(registry.QUERIES["unique_match_all"](spark, str(tmp_path)), "c_custkey", "s_suppkey")
     assert found == sorted([(c, c - 100) for c in range(150, 450)], key=str)
+
+
+LINE = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string"
+
+
+def merged(decisions):
+    """(group, id) -> component of decisions (group, order, a, b, relation), one at a time as the rule has it."""
+    part = {(d[0], x): {x} for d in decisions for x in d[2:4]}
+    apart = {(d[0], frozenset(d[2:4])) for d in decisions if d[4] == "different"}
+    for g, _, a, b, relation in sorted(decisions, key=lambda d: d[1:4]):
+        x, y = part[g, a], part[g, b]
+        if relation == "same" and x is not y and not any((g, frozenset((p, q))) in apart for p in x for q in y):
+            x |= y
+            for m in y:
+                part[g, m] = x
+    return sorted(((g, i, min(p)) for (g, i), p in part.items()), key=str)
+
+
+def test_reach_and_merges_take_every_line(spark, tmp_path):
+    dice = random.Random(3)
+    rows = [(k // 3, dice.randrange(2000), dice.randrange(60), k % 3 + 1, dice.choice("RANN")) for k in range(400)]
+    rows += [(500 + k, 5, 7, 1, flag) for k, flag in enumerate("NRN")]
+    put(spark, tmp_path, "lineitem", rows, LINE)
+    near: dict = {}
+    for _, p, s, _, _ in rows:
+        near.setdefault(p, set()).add(-1 - s)
+        near.setdefault(-1 - s, set()).add(p)
+    steps = {n: 0 for n in near if n % 97 == 0}
+    front = list(steps)
+    while front:
+        front = sorted({m for n in front for m in near[n]} - steps.keys())
+        steps |= dict.fromkeys(front, max(steps.values()) + 1)
+    assert values(registry.QUERIES["seeded_reach_all"](spark, str(tmp_path)), "id", "steps") == sorted(steps.items(), key=str)
+    decisions = [(s, o * 10 + n, p, -1 - s, "different" if f == "R" else "same") for o, p, s, n, f in rows]
+    assert values(registry.QUERIES["constrained_merge"](spark, str(tmp_path)), "group", "id", "component") == merged(decisions)
+
+
+def test_merges_with_separations_in_every_order(spark):
+    dice = random.Random(5)
+    rows = [(f"g{dice.randrange(4)}", k // 2, dice.randrange(25), dice.randrange(25), dice.choice(["same", "same", "different"])) for k in range(160)]
+    df = spark.createDataFrame(rows, "k string, `order` long, a long, b long, relation string").repartition(7)
+    assert values(identity.constrained_merge(df, ["k"]), "k", "id", "component") == merged(rows)
