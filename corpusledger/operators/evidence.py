@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from ..functions.udfs import WORD
 from . import intervals
+from .identity import checkpointed
 
 #: Words that often begin a sentence and are not names. Fixed values.
 COMMON_STARTS = """the a an he she it they we i his her their its this that these those
@@ -143,3 +144,22 @@ def drop_targets(rows: DataFrame, targets: DataFrame, keys: list[str], array_col
     joined = rows.join(marked, keys, "left")
     kept = F.filter(F.transform(F.col(array_col), lambda x, i: F.struct((i + 1).alias("n"), x.alias("x"))), lambda s: ~F.coalesce(F.array_contains(F.col("_t"), s["n"]), F.lit(False)))
     return joined.withColumn(array_col, F.transform(kept, lambda s: s["x"])).drop("_t")
+
+
+def drop_target_rows(traits: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """``drop_targets`` over one row a trait: traits (keys, number, ...) whose number no review of their keys names."""
+    return traits.join(targets.select(*keys, "number").distinct(), [*keys, "number"], "left_anti")
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows with number: their place (from 1) within their keys, by order; keys and order together are unique and not null.
+
+    Rows are dealt by ranges of keys and order and numbered within a range; what earlier ranges hold of the keys is added, so
+    a key with very many rows is not one task's.
+    """
+    # the range is stored with the row: dealt again, rows could fall into other ranges
+    dealt = checkpointed(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    counts = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_n")).drop("_n")
+    place = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    return dealt.withColumn("_k", place).join(before, [*keys, "_range"]).withColumn("number", (F.col("_k") + F.col("_before"))).drop("_k", "_before", "_range")

@@ -137,3 +137,12 @@ def drop_targets(spark, sf_dir):
     rows = numbered.groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "p_name"))), lambda s: s["p_name"]).alias("traits"))
     targets = numbered.filter("k % 3 = 0").select("entity", F.col("k").alias("number"))
     return evidence.drop_targets(rows, targets, ["entity"], "traits").select("entity", F.array_join("traits", "|").alias("traits"))
+
+
+@query()
+def drop_targets_all(spark, sf_dir):
+    """Every third of all traits of a type is a review's target; a row for each trait that stays."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_type").alias("entity"), "p_partkey", "p_name")
+    traits = evidence.numbered(parts, ["entity"], ["p_partkey"])
+    targets = traits.filter("number % 3 = 0").select("entity", "number")
+    return evidence.drop_target_rows(traits, targets, ["entity"]).select("entity", "number", F.col("p_name").alias("trait"))

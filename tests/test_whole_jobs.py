@@ -120,3 +120,14 @@ def test_merges_with_separations_in_every_order(spark):
     rows = [(f"g{dice.randrange(4)}", k // 2, dice.randrange(25), dice.randrange(25), dice.choice(["same", "same", "different"])) for k in range(160)]
     df = spark.createDataFrame(rows, "k string, `order` long, a long, b long, relation string").repartition(7)
     assert values(identity.constrained_merge(df, ["k"]), "k", "id", "component") == merged(rows)
+
+
+def test_targets_are_dropped_beyond_the_fortieth_trait(spark, tmp_path):
+    rows = [(i * 7 % 401, f"name {i}", "B", f"T{min(i % 5, 1)}", 1) for i in range(200)]
+    put(spark, tmp_path, "part", rows, PART)
+    expected = []
+    for kind in ("T0", "T1"):
+        names = [r[1] for r in sorted(rows) if r[3] == kind]
+        expected += [(kind, k, n) for k, n in enumerate(names, 1) if k % 3]
+    assert max(r[1] for r in expected) > 40
+    assert values(registry.QUERIES["drop_targets_all"](spark, str(tmp_path)), "entity", "number", "trait") == sorted(expected, key=str)
