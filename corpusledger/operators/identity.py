@@ -101,7 +101,8 @@ def top_candidates(incoming: DataFrame, pool: DataFrame, type_col: str = "kind",
     """Candidates of each incoming entity in its type, by score and then the pool's order: in_id, pool_id, score, place.
 
     ``incoming``: in_id, type, in_name; ``pool``: pool_id, type, pool_name. A small pool is taken whole; else those with a
-    score of FLOOR or more, or the best FALLBACK if there are none. The pool is compared by its distinct names per block.
+    score of FLOOR or more, or the best FALLBACK if there are none. Distinct names are compared per type, and incoming
+    entities of one name share its candidates.
     """
     left = incoming.withColumn("in_key", T.name_key(F.col("in_name")))
     right = pool.withColumn("pool_key", T.name_key(F.col("pool_name")))
@@ -110,12 +111,12 @@ def top_candidates(incoming: DataFrame, pool: DataFrame, type_col: str = "kind",
     # of a pool name at most `whole` entities can be among the first, so no more are carried
     first = F.row_number().over(Window.partitionBy(type_col, "pool_key").orderBy("pool_id"))
     short = right.withColumn("_k", first).filter(F.col("_k") <= max(most, whole)).drop("_k")
-    rows = left.join(scored, [type_col, "in_key"]).join(short.select(type_col, "pool_key", "pool_id"), [type_col, "pool_key"]).join(F.broadcast(sizes), type_col)
-    rank = F.row_number().over(Window.partitionBy("in_id").orderBy(F.desc("score"), "pool_id"))
-    over = F.count_if(F.col("score") >= FLOOR).over(Window.partitionBy("in_id"))
+    rows = scored.join(short.select(type_col, "pool_key", "pool_id"), [type_col, "pool_key"]).join(F.broadcast(sizes), type_col)
+    rank = F.row_number().over(Window.partitionBy(type_col, "in_key").orderBy(F.desc("score"), "pool_id"))
+    over = F.count_if(F.col("score") >= FLOOR).over(Window.partitionBy(type_col, "in_key"))
     marked = rows.withColumn("place", rank).withColumn("_over", over)
     keep = (F.col("_pool") <= whole) | ((F.col("place") <= most) & (F.col("score") >= FLOOR)) | ((F.col("_over") == 0) & (F.col("place") <= FALLBACK))
-    return marked.filter(keep).select("in_id", "pool_id", "score", "place")
+    return left.join(marked.filter(keep), [type_col, "in_key"]).select("in_id", "pool_id", "score", "place")
 
 
 def apply_merges(entities: DataFrame, groups: DataFrame, id_col: str, type_col: str) -> tuple[DataFrame, DataFrame]:

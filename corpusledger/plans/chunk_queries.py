@@ -108,13 +108,18 @@ def coverage(spark, sf_dir):
 
 
 @query(f"WITH {SPANS_SQL} SELECT a.user_id, a.event_id AS inner_id, b.event_id AS outer_id FROM spans a JOIN spans b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND b.s <= a.s AND a.e <= b.e AND a.event_id % 7 < 2")
-def span_containment(spark, sf_dir):
+def span_containment(spark, sf_dir, inside="event_id % 7 < 2"):
     every = spans(spark, sf_dir)
-    inner = every.filter("event_id % 7 < 2").select("user_id", F.col("event_id").alias("inner_id"), F.col("s").alias("a"), F.col("e").alias("b"))
+    inner = every.filter(inside).select("user_id", F.col("event_id").alias("inner_id"), F.col("s").alias("a"), F.col("e").alias("b"))
     outer = every.withColumnRenamed("event_id", "outer_id")
     return intervals.contained(inner, outer, ["user_id"], ("a", "b"), ("s", "e"), width=20_000).filter("inner_id <> outer_id").select("user_id", "inner_id", "outer_id")
 
 
+@query()
+def span_containment_all(spark, sf_dir):
+    return span_containment(spark, sf_dir, "true")
+
+
 @query(
     f"""WITH {SPANS_SQL}, m AS (SELECT user_id, s, e, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM spans WHERE s < e),
     g AS (SELECT user_id, s, e, sum(CASE WHEN r IS NULL OR r <= s THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e) AS passage_id FROM m),

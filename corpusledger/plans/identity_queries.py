@@ -78,15 +78,29 @@ def topk_candidates(spark, sf_dir):
     return identity.top_candidates(incoming, pool, "p_type")
 
 
+@query()
+def topk_candidates_all(spark, sf_dir):
+    """Every entity is searched among all."""
+    e = entities(spark, sf_dir)
+    incoming = e.select(F.col("entity_id").alias("in_id"), "p_type", F.col("canonical_name").alias("in_name"))
+    pool = e.select(F.col("entity_id").alias("pool_id"), "p_type", F.col("canonical_name").alias("pool_name"))
+    return identity.top_candidates(incoming, pool, "p_type")
+
+
 MERGES_SQL = f"WITH {ENTITIES_SQL}, g AS (SELECT l_orderkey AS group_no, l_partkey AS id FROM lineitem WHERE l_orderkey % 20 = 0), k AS (SELECT DISTINCT group_no, id, kind FROM g JOIN ents ON entity_id = id), f AS (SELECT id, min(group_no) AS group_no FROM k GROUP BY id), m AS (SELECT k.* FROM k JOIN f USING (id, group_no)), s AS (SELECT group_no, count(DISTINCT kind) AS t, count(*) AS n, min(id) AS kept_id FROM m GROUP BY group_no)"
 
 
 @query(MERGES_SQL + " SELECT id, kept_id FROM m JOIN s USING (group_no) WHERE t = 1 AND n > 1")
-def apply_merges(spark, sf_dir):
-    groups = table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("group_no"), F.col("l_partkey").alias("id"))
+def apply_merges(spark, sf_dir, lines="l_orderkey % 20 = 0"):
+    groups = table(spark, sf_dir, "lineitem").filter(lines).select(F.col("l_orderkey").alias("group_no"), F.col("l_partkey").alias("id"))
     return identity.apply_merges(entities(spark, sf_dir).withColumnRenamed("entity_id", "id"), groups, "id", "kind")[0]
 
 
+@query()
+def apply_merges_all(spark, sf_dir):
+    return apply_merges(spark, sf_dir, "true")
+
+
 @query(f"WITH {ENTITIES_SQL} SELECT entity_id, upper(left(kind, 3)) || '_' || lpad(CAST(k AS VARCHAR), CAST(greatest(3, length(CAST(k AS VARCHAR))) AS INTEGER), '0') AS global_id FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY entity_id) + CASE kind WHEN 'character' THEN 40 WHEN 'location' THEN 7 ELSE 0 END AS k FROM ents)")
 def assign_ids(spark, sf_dir):
     """Numbers 1 to 40 of characters and 1 to 7 of locations are taken, as the region and nation keys have it."""
@@ -105,11 +119,16 @@ VALUES_SQL = "WITH v AS (SELECT user_id, event_type AS trait, CAST(CAST(floor(va
 
 
 @query(VALUES_SQL + " SELECT a.user_id, a.trait, a.value AS left_value, a.id AS left_id, b.value AS right_value, b.id AS right_id FROM v a JOIN v b ON a.user_id = b.user_id AND a.trait = b.trait AND a.value < b.value")
-def value_pairs(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").filter("event_id % 3 = 0").select("user_id", F.col("event_type").alias("trait"), F.floor(F.col("value") / 50).cast("string").alias("value"), "event_id")
+def value_pairs(spark, sf_dir, events="event_id % 3 = 0"):
+    rows = table(spark, sf_dir, "events").filter(events).select("user_id", F.col("event_type").alias("trait"), F.floor(F.col("value") / 50).cast("string").alias("value"), "event_id")
     return identity.value_pairs(rows, ["user_id", "trait"], "event_id", "value")
 
 
+@query()
+def value_pairs_all(spark, sf_dir):
+    return value_pairs(spark, sf_dir, "true")
+
+
 def trait_rows(spark, sf_dir):
     pick = lambda n, values: F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % n + 1).cast("int"))
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("evidence_id"), "user_id", F.col("event_type").alias("trait"), F.floor(F.col("value") / 50).cast("string").alias("value"), pick(2, ["explicit", "inferred"]).alias("classification"), pick(3, ["persistent", "temporary", "uncertain"]).alias("persistence"))

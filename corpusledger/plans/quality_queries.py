@@ -24,11 +24,22 @@ def id_coverage(spark, sf_dir):
     return quality.id_coverage(chapters(spark, sf_dir).filter("chapter_id % 2 = 0").select(F.col("chapter_id").alias("id")), returned, "id")
 
 
+def salvaged(spark, sf_dir, events):
+    rows = table(spark, sf_dir, "events").filter(events).select(F.col("user_id").alias("id"), "event_id", "value")
+    known = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"))
+    return quality.salvage(rows, known, "id", F.col("value") > 10)
+
+
 @query("SELECT user_id AS id, min(event_id) AS event_id FROM (SELECT user_id, event_id, value FROM events WHERE event_id % 60 = 0) WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) GROUP BY user_id HAVING count(*) = 1 AND min(value) > 10")
 def salvage_rows(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").filter("event_id % 60 = 0").select(F.col("user_id").alias("id"), "event_id", "value")
-    known = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"))
-    return quality.salvage(rows, known, "id", F.col("value") > 10)[0].select("id", "event_id")
+    return salvaged(spark, sf_dir, "event_id % 60 = 0")[0].select("id", "event_id")
+
+
+@query()
+def salvage_rows_all(spark, sf_dir):
+    """Every event, a refused one with its reason."""
+    kept, refused = salvaged(spark, sf_dir, "true")
+    return kept.select("id", "event_id").unionByName(refused.select("id", "event_id", "reason"), allowMissingColumns=True)
 
 
 @query("SELECT 'sha_mismatch' AS rule, CAST(doc_id AS VARCHAR) AS key, '' AS detail FROM documents WHERE doc_id % 9 = 0")
