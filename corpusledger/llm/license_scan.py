@@ -82,7 +82,7 @@ def find(text: str | None) -> tuple[int, list[tuple[int, str]], list[tuple[int,
             windows.setdefault(k, []).append((begin - notices[k][2], begin + notices[k][1] + notices[k][2]))
     near = []
     for k, spans in windows.items():
-        pattern, _, _, label = notices[k]
+        pattern, length, edits, label = notices[k]
         spans.sort()
         merged = [list(spans[0])]
         for a, b in spans[1:]:
@@ -90,10 +90,14 @@ def find(text: str | None) -> tuple[int, list[tuple[int, str]], list[tuple[int,
                 merged[-1][1] = max(b, merged[-1][1])
             else:
                 merged.append([a, b])
-        for a, b in merged:
-            for m in pattern.finditer(line, max(0, a), min(len(line), b)):
+        todo = [(max(0, a), min(len(line), b)) for a, b in merged]
+        while todo:  # the best match of a stretch need not be its first, so both sides of it are searched
+            a, b = todo.pop()
+            m = pattern.search(line, a, b) if b - a >= length - edits else None
+            if m:
                 start, end = m.start() + (line[m.start()] == " "), m.end()
                 near.append((line.count(" ", 0, start), line.count(" ", 0, end) + 1, label, sum(m.fuzzy_counts)))
+                todo += [(a, m.start()), (m.end(), b)]
     return len(words), sorted(exact), sorted(near)
 
 

@@ -9,6 +9,7 @@ import pytest
 
 from __spark_entry__ import SMALL
 
+from corpusledger.llm import license_scan
 from corpusledger.operators import identity, reviews
 from corpusledger.plans import registry
 
@@ -171,3 +172,10 @@ def test_unfiltered_queries_equal_the_sql_without_its_filter(spark, name):
         found = found.filter("reason IS NULL")
     assert rounded(found.select(*columns).collect()) == rounded(rows)
     assert rounded(registry.QUERIES[name](spark, data).select(*columns).collect()) == rounded(part) != rounded(rows)
+
+
+def test_an_edited_notice_before_an_exact_one_is_found():
+    edited, exact = "licensd undr the apache license version 2 0", "licensed under the apache license version 2 0"
+    for text in (f"x {edited} and {exact} end", f"x {exact} and {edited} end", f"{edited} a {exact} b {edited}"):
+        near = [n for n in license_scan.find(text)[2] if n[2] == "apache"]
+        assert len(near) == text.count("version 2 0") and min(n[3] for n in near) == 0
