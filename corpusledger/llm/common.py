@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch where a row is a whole document.
-BATCH_ROWS = 500
+#: Rows and bytes of texts that a task works on at once; one longer text is worked on alone.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,14 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset (tests)."""
+    """The folder that spark.checkpoint.dir names, or the context's checkpoint folder; where neither is set, a folder in the
+    warehouse, which the driver and all executors share too."""
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
+    named, given = context.getConf().get("spark.checkpoint.dir"), context._jsc.sc().getCheckpointDir()
     if named is None:
-        named = context._jsc.sc().getCheckpointDir()
-        named = named.get() if named.isDefined() else tempfile.mkdtemp(prefix="spark-shared-")
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(named)
+        named = given.get() if given.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return named.rstrip("/")
 
 
@@ -41,14 +40,22 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def document_batches(spark: SparkSession) -> None:
-    """Few rows an Arrow batch, as a row may be a whole book."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def portions(batch: pa.RecordBatch):
+    """The batch in slices of at most BATCH_ROWS rows and, but for a row that is longer alone, BATCH_BYTES bytes of text."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(sizes), 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = int(np.clip(np.searchsorted(ends, before + BATCH_BYTES, "right"), start + 1, start + BATCH_ROWS))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def map_rows(df: DataFrame, make, schema: str) -> DataFrame:
-    """Apply ``make() -> function(dict of column lists) -> list of columns`` (lists or Arrow arrays) to Arrow batches; make runs once a task."""
-    document_batches(df.sparkSession)
+    """Apply ``make() -> function(dict of column lists) -> list of columns`` (lists or Arrow arrays) to portions of rows; make runs once a task."""
     fields = df.sparkSession.createDataFrame([], schema).schema
     names = fields.names
 
@@ -57,8 +64,9 @@ def map_rows(df: DataFrame, make, schema: str) -> DataFrame:
 
         out_schema, work = to_arrow_schema(fields), make()
         for batch in batches:
-            columns = work({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, out_schema.field(n).type) for n, c in zip(names, columns, strict=True)], schema=out_schema)
+            for part in portions(batch):
+                columns = work({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, out_schema.field(n).type) for n, c in zip(names, columns, strict=True)], schema=out_schema)
 
     return df.mapInArrow(run, fields)
 

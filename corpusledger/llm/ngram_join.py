@@ -6,19 +6,30 @@ over the points leaves few pairs to verify on the sets themselves.
 
 The tree's top level is made for a cluster: two sets that link share one of their first n - ceil(t n) + 1 n-grams in any
 common order, so each such n-gram is a block and a linked pair meets in one at least. N-grams of rare words come first,
-as word counts of a bounded sample tell, and n-grams that are frequent there last; the order decides how large blocks
-are, never which pairs link. Each block
-packs a tree and keeps a spanning forest of the pairs that pass the bound. The components of those forests are families;
-every link lies within one. A family is verified in tiles of bounded size, each with the family's hubs; what the
-hubs do not connect is then verified against all tiles. Pairs already connected are not verified again, so a family of
-near copies costs about one verification a document instead of one a pair.
-
-Sets of equal content are one node, and n-grams are 64-bit hashes.
+by word counts of all documents. Blocks that are still large are split without losing a pair, in three steps:
+
+1. Their n-grams are put behind all others in the order, and the documents that held them enter the blocks of their new
+   first n-grams. Documents that merely share a passage part here. Nothing changes for other documents, as none of
+   their first n-grams moved.
+2. What still is large is cut by the size of the sets; linked sizes lie in one range or in neighbours.
+3. A block is split by balls around a hub. Differences of count vectors are a metric, and no linked pair differs by more
+   than some r: who is within 2 r of the hub is its family, who is beyond r goes on to the next hub, and a linked pair
+   is together in one of the two. Blocks that hubs cannot split meet in pairs of tiles.
+
+Each block packs a tree and keeps a spanning forest of the pairs that pass the bound. The components of those forests
+and balls are families; every link lies within one. A family is verified in tiles of bounded size, each with the
+family's hubs; what the hubs do not connect is then verified against all tiles. Pairs already connected are not verified
+again, so a family of near copies costs about one verification a document instead of one a pair.
+
+Sets of equal content are one node, and n-grams are 64-bit hashes. Texts are not shuffled: the sets of family members are
+made where the texts lie, behind a bitmap of fixed size that lets few others through.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -26,42 +37,50 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import document_batches, map_rows, settled
+from .common import map_rows, settled
 
 #: Groups of a count vector by the size of the set, each a multiple of the one before, for similarities from 0.85 on and
 #: below: two unrelated sets of n n-grams differ by about 1.1 * sqrt(n * groups) in their counts, linked ones by at most a
 #: share of n that grows as the similarity falls, so larger sets and lower similarities need more groups.
 HIGH, LEVELS, LOW_LEVELS = 0.85, ((300, 32), (2000, 64), (1 << 62, 512)), ((300, 64), (2000, 256), (1 << 62, 2048))
-#: Points of a tree node; documents of a tile; members above which a block is not searched
-#: itself but made one family.
-NODE, TILE, HOT = 16, 512, 2048
-#: Documents of the sample that tells frequent n-grams and words, how often one must occur there, and how many of each are
-#: kept at most; longest word counted.
-SAMPLE, FREQUENT, MOST_FREQUENT, LONGEST_WORD = 2000, 3, 65_536, 64
+#: Points of a tree node; documents of a tile; members above which a block is split; times that n-grams are put back,
+#: and hubs that one block is split by before its tiles meet in pairs.
+NODE, TILE, HOT, PUT_BACK, HUBS = 16, 512, 2048, 2, 8
+#: A word is frequent if it is one in this many words; so at most this many words are. Bits of the bitmap of a semi-join.
+ONE_IN, BITMAP_BITS = 65_536, 26
 #: Words whose hashes are remembered; bits of a word's hash that hold its class, and of an n-gram's its rank.
 MOST_WORDS, CLASS_BITS, RANK_BITS = 500_000, 4, 6
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """Runs of bytes other than ASCII white space, A-Z in lower case."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word) >> CLASS_BITS
+
+
 class WordHashes(dict):
     """Word -> hash, the low bits of which are its class: 0 for a rare word, more for frequent ones."""
 
-    def __init__(self, classes: dict[bytes, int] | None = None):
+    def __init__(self, classes: dict[int, int] | None = None):
         super().__init__()
         self.classes = classes or {}
 
     def __missing__(self, word: bytes) -> int:
-        out = self[word] = xxhash.xxh64_intdigest(word) >> CLASS_BITS << CLASS_BITS | self.classes.get(word, 0)
+        plain = word_hash(word)
+        out = self[word] = plain << CLASS_BITS | self.classes.get(plain, 0)
         return out
 
 
 def shingles(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles; of fewer words, the hash of the whole sequence; of none, nothing.
 
-    Words are runs of bytes other than ASCII white space, A-Z in lower case. The top bits of a hash are its words' mean
-    class, so that sorted hashes begin with the rarest words.
+    The top bits of a hash are its words' mean class, so that sorted hashes begin with the rarest words.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words = words_of(text)
     if not words:
         return np.zeros(0, np.uint64)
     if len(hashes) > MOST_WORDS:
@@ -108,13 +127,32 @@ def folded(vector: np.ndarray, groups: int) -> np.ndarray:
     return vector if len(vector) == groups else vector.reshape(-1, groups).sum(0, dtype=np.int32)
 
 
+def halved(vectors: np.ndarray) -> np.ndarray:
+    """An order of the points in which runs of NODE lie close together: halves along the widest coordinate, and so on."""
+    out, todo = [], [np.arange(len(vectors))]
+    while todo:
+        at = todo.pop()
+        if len(at) > NODE:
+            part = vectors[at]
+            at = at[np.argsort(part[:, int((part.max(0) - part.min(0)).argmax())], kind="stable")]
+            cut = -(-len(at) // NODE // 2) * NODE
+            todo += [at[cut:], at[:cut]]
+        else:
+            out.append(at)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 class CountTree:
-    """A packed R-tree over count vectors in order of their sums; boxes keep upper corners and the range of sums."""
+    """A packed R-tree over count vectors; boxes keep upper corners and the range of sums.
+
+    Points are halved along the widest of their coordinates and their sum until a node holds them, so that boxes are
+    tight in several dimensions.
+    """
 
     def __init__(self, vectors: np.ndarray, num: int, den: int):
         self.num, self.den = num, den
         sizes = vectors.sum(1)
-        order = np.argsort(sizes, kind="stable")
+        order = halved(np.concatenate([sizes[:, None], vectors], axis=1)) if len(vectors) > NODE else np.argsort(sizes, kind="stable")
         self.levels, upper, low, high = [], vectors[order], sizes[order], sizes[order]
         self.order = order
         self.levels.append((upper, low, high))
@@ -261,60 +299,166 @@ def components(edges: DataFrame) -> DataFrame:
     return leaves.unionByName(now.select(F.col("b").alias("_doc"), F.col("b").alias("_root")).distinct())
 
 
-def frequent(docs: DataFrame, k: int) -> tuple[dict[bytes, int], np.ndarray]:
-    """(classes of frequent words, sorted hashes of frequent n-grams) of a bounded sample. They only order the blocks."""
-    total = docs.count()
-    picked = docs.filter(F.pmod(F.xxhash64("_doc", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(1, total)) * (1 << 30)))
-    picked = settled(picked.select("_text"), "sample")
-    low = F.translate(F.coalesce("_text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = picked.select(F.explode(F.split(low, r"[\x20\x09-\x0D]+")).alias("w")).filter(F.length("w").between(1, LONGEST_WORD))
-    often = words.groupBy("w").count().filter("count > 1").orderBy(F.desc("count"), "w").limit(MOST_FREQUENT)
-    classes = {r[0].encode(): min(r[1].bit_length() - 1, (1 << CLASS_BITS) - 1) for r in often.collect()}
+def word_classes(rows: DataFrame) -> dict[int, int]:
+    """Hash -> class (1 to 15, by the logarithm of its share) of every word that is one in ONE_IN of all words or more."""
 
-    def make():
-        hashes = WordHashes(classes)
-        return lambda c: [[shingles(t, k, hashes).view(np.int64).tolist() for t in c["_text"]]]
+    def work(columns):
+        seen = Counter()
+        for text in columns["_text"]:
+            seen.update(words_of(text))
+        return [[word_hash(w) for w in seen], list(seen.values())]
+
+    counts = map_rows(rows.select("_text"), lambda: work, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    counts = settled(counts, "words")
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    often = counts.filter(F.col("c") * ONE_IN >= total).collect()  # ONE_IN words at most
+    return {w: min((c * ONE_IN // total).bit_length(), (1 << CLASS_BITS) - 1) for w, c in often}
 
-    rows = map_rows(picked, make, "s array<long>").select(F.explode("s").alias("s"))
-    often = rows.groupBy("s").count().filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "s").limit(MOST_FREQUENT)
-    return classes, np.sort(np.array([r[0] for r in often.collect()], np.int64).view(np.uint64))
 
+def first_keys(n: int, num: int, den: int) -> int:
+    """How many of the first n-grams of a set of n hold one of every set that links with it."""
+    return n - -(-num * n // den) + 1 if n else 0
 
-def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+
+def signatures(rows: DataFrame, classes, k: int, num: int, den: int) -> DataFrame:
     """_doc, n_shingles, _set (128-bit hash of the set), _counts, _keys (the n-grams whose blocks the set enters)."""
-    order = docs.sparkSession.sparkContext.broadcast(frequent(docs, k))  # MOST_FREQUENT words and n-grams at most
 
     def make():
-        classes, common = order.value
-        hashes, levels = WordHashes(classes), levels_of(num, den)
+        hashes, levels = WordHashes(classes.value), levels_of(num, den)
 
         def work(columns):
             out = []
             for doc, text in zip(columns["_doc"], columns["_text"], strict=True):
                 s = shingles(text, k, hashes)
-                n = len(s)
-                first = n - -(-num * n // den) + 1 if n else 0
-                heavy = np.isin(s, common, assume_unique=True) if len(common) else np.zeros(n, bool)
-                keys = np.concatenate([s[~heavy], s[heavy]])[:first]
-                out.append((doc, n, xxhash.xxh128_digest(s.tobytes()), packed(point(s, levels)), keys.view(np.int64).tolist()))
+                out.append((doc, len(s), xxhash.xxh128_digest(s.tobytes()), packed(point(s, levels)), s[: first_keys(len(s), num, den)].view(np.int64).tolist()))
             return [list(c) for c in zip(*out, strict=True)] if out else [[]] * 5
 
         return work
 
-    return settled(map_rows(docs, make, "_doc long, n_shingles long, _set binary, _counts binary, _keys array<long>"), "signatures")
+    return settled(map_rows(rows, make, "_doc long, n_shingles long, _set binary, _counts binary, _keys array<long>"), "signatures")
+
+
+def marked(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows of df whose column is in wanted's only column, and few others.
+
+    The values set bits of a bitmap of 2**BITMAP_BITS bits, kept as rows of 64; at most 2**(BITMAP_BITS - 6) rows go to all tasks.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITMAP_BITS))
+    at = wanted.select(spot(wanted.columns[0]).alias("_spot"))
+    bits = at.groupBy(F.shiftright("_spot", 6).alias("_row")).agg(F.expr("bit_or(shiftleft(1L, cast(_spot & 63 as int)))").alias("_bits"))
+    rows = df.withColumn("_spot", spot(column)).withColumn("_row", F.shiftright("_spot", 6))
+    met = rows.join(F.broadcast(bits), "_row").filter(F.expr("(shiftright(_bits, cast(_spot & 63 as int)) & 1) = 1"))
+    return met.select(df.columns)
+
 
+def sets_of(rows: DataFrame, docs: DataFrame, classes, k: int) -> DataFrame:
+    """_doc, _shingles (bytes of the sorted hashes) of the rows whose id is in docs, made where the texts lie."""
 
-def families(signed: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    def make():
+        hashes = WordHashes(classes.value)
+        return lambda c: [c["_doc"], [shingles(t, k, hashes).tobytes() for t in c["_text"]]]
+
+    made = map_rows(marked(rows, "_doc", docs), make, "_doc long, _shingles binary")
+    return made.join(docs, "_doc", "left_semi")
+
+
+def met(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose key occurs more than once, with _n (its rows) and _m (its smallest document)."""
+    block = Window.partitionBy(*key)
+    return rows.withColumn("_n", F.count(F.lit(1)).over(block)).withColumn("_m", F.min("_doc").over(block)).filter("_n > 1")
+
+
+def merged(rows: DataFrame, key: list[str]) -> DataFrame:
+    """_block, _doc, _n, _m: blocks with the same members are one."""
+    block = Window.partitionBy(*key)
+    rows = rows.withColumn("_x", F.bit_xor(F.xxhash64("_doc")).over(block)).withColumn("_y", F.bit_xor(F.xxhash64("_doc", F.lit(1))).over(block))
+    return rows.select(F.xxhash64("_n", "_x", "_y", "_m").alias("_block"), "_doc", "_n", "_m").distinct()
+
+
+def put_back(rows: DataFrame, nodes: DataFrame, texts: DataFrame, classes, k: int, num: int, den: int) -> DataFrame:
+    """_key, _doc, _n, _m with the n-grams of large blocks behind all others in the order."""
+    behind = None
+    for _ in range(PUT_BACK):
+        large = rows.filter(F.col("_n") > HOT)
+        if large.isEmpty():
+            break
+        keys = large.select("_key").distinct()
+        behind = settled(keys if behind is None else behind.unionByName(keys).distinct(), "put-back")
+        moved = settled(large.select("_doc").distinct(), "moved")
+        hot = behind.withColumn("_last", F.lit(1))
+
+        def ordered(batches):
+            for batch in batches:
+                ids, found = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for doc, data in zip(ids, found, strict=True):
+                    s = np.frombuffer(data, np.int64)
+                    fixed = {"_doc": doc, "_which": xxhash.xxh64_intdigest(data) >> 1, "_first": first_keys(len(s), num, den)}
+                    for at in range(0, len(s), 100_000):
+                        part = s[at : at + 100_000]
+                        same = {n: pa.array(np.full(len(part), v, np.int64)) for n, v in fixed.items()}
+                        yield pa.RecordBatch.from_pydict(same | {"_at": pa.array(np.arange(at, at + len(part))), "_key": pa.array(part)})
+
+        grams = sets_of(texts, moved, classes, k).mapInArrow(ordered, "_doc long, _which long, _first long, _at long, _key long").join(hot, "_key", "left")
+        turn = Window.partitionBy("_doc", "_which").orderBy(F.col("_last").asc_nulls_first(), "_at")
+        first = grams.withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") <= F.col("_first"))
+        new = settled(first.select("_key", "_doc"), "keys")
+        others = nodes.select("_doc", F.explode("_keys").alias("_key")).join(moved, "_doc", "left_anti")
+        touched = marked(others, "_key", new.select("_key").distinct()).select("_key", "_doc")
+        kept = rows.join(moved, "_doc", "left_anti").select("_key", "_doc")
+        rows = settled(met(kept.unionByName(touched).unionByName(new).distinct(), ["_key"]), "blocks")
+    return rows
+
+
+def balls(blocks: DataFrame, points: DataFrame, num: int, den: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Split large blocks: (edges from hubs to all within their balls, blocks of bounded size for the rest)."""
+    edges, rest = [], []
+    table = levels_of(num, den)
+    for _ in range(HUBS):
+        if blocks.isEmpty():
+            return edges, rest
+        hubs = blocks.select("_m").distinct().join(points.toDF("_m", "_hub_size", "_hub"), "_m")
+        sized = blocks.join(points, "_doc").withColumn("_low", F.min("n_shingles").over(Window.partitionBy("_block"))).withColumn("_high", F.max("n_shingles").over(Window.partitionBy("_block")))
+
+        def work(columns):
+            out = [[], [], [], [], []]
+            for block, doc, hub, n, counts, hub_n, hub_counts, low, high in zip(*columns.values(), strict=True):
+                groups = table[level_of(low, table)][1]
+                gap = int(np.abs(folded(unpacked(counts, n, table), groups) - folded(unpacked(hub_counts, hub_n, table), groups)).sum())
+                r = (den - num) * high // num
+                for values, value in zip(out, (block, doc, hub, gap <= 2 * r, gap > r), strict=True):
+                    values.append(value)
+            return out
+
+        seen = sized.join(hubs, "_m").select("_block", "_doc", "_m", "n_shingles", "_counts", "_hub_size", "_hub", "_low", "_high")
+        seen = settled(map_rows(seen, lambda: work, "_block long, _doc long, _m long, _in boolean, _out boolean"), "balls")
+        edges.append(seen.filter(F.col("_in") & (F.col("_doc") != F.col("_m"))).select(F.col("_doc").alias("a"), F.col("_m").alias("b")))
+        beyond = settled(merged(met(seen.filter("_out").select("_block", "_doc"), ["_block"]), ["_block"]), "blocks")
+        rest.append(beyond.filter(F.col("_n") <= HOT).select("_block", "_doc"))
+        blocks = beyond.filter(F.col("_n") > HOT)
+    tiles = F.ceil(F.col("_n") * 2 / HOT).cast("int")
+    own = F.pmod(F.xxhash64("_doc", F.lit(7)), tiles).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: F.xxhash64("_block", F.least(own, t), F.greatest(own, t)))
+    return edges, [*rest, blocks.select(F.explode(pairs).alias("_block"), "_doc")]
+
+
+def families(nodes: DataFrame, texts: DataFrame, classes, k: int, num: int, den: int) -> DataFrame:
     """Edges (a, b) whose components hold every link."""
-    nodes = signed.join(reps.select(F.col("_rep").alias("_doc")), "_doc", "left_semi")
-    block = Window.partitionBy("_key")
-    rows = nodes.select("_doc", F.explode("_keys").alias("_key"))
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(block)).withColumn("_x", F.bit_xor(F.xxhash64("_doc")).over(block)).withColumn("_m", F.min("_doc").over(block))
-    # blocks with the same members are one
-    rows = settled(rows.filter("_n > 1").select(F.xxhash64("_n", "_x", "_m").alias("_block"), "_doc", "_n", "_m").distinct(), "blocks")
-    hot = rows.filter((F.col("_n") > HOT) & (F.col("_doc") != F.col("_m"))).select(F.col("_doc").alias("a"), F.col("_m").alias("b"))
-    met = rows.filter(F.col("_n") <= HOT).select("_block", "_doc").join(nodes.select("_doc", "n_shingles", "_counts"), "_doc")
-    met = met.repartition("_block").sortWithinPartitions("_block", "_doc")
+    points = nodes.select("_doc", "n_shingles", "_counts")
+    rows = settled(met(nodes.select("_doc", F.explode("_keys").alias("_key")), ["_key"]), "blocks")
+    rows = put_back(rows, nodes, texts, classes, k, num, den)
+    small = [merged(rows.filter(F.col("_n") <= HOT), ["_key"]).select("_block", "_doc")]
+    large, edges = settled(merged(rows.filter(F.col("_n") > HOT), ["_key"]), "large"), []
+    if not large.isEmpty():
+        # the base is a little above den / num, so that rounding parts no linked pair by more than one range
+        band = F.floor(F.log("n_shingles") / math.log(den / num * (1 + 1e-9))).cast("long")
+        bands = large.join(points.drop("_counts"), "_doc").select("_block", F.explode(F.array(band, band - 1)).alias("_band"), "_doc")
+        large = settled(merged(met(bands, ["_block", "_band"]), ["_block", "_band"]), "bands")
+        small.append(large.filter(F.col("_n") <= HOT).select("_block", "_doc"))
+        edges, rest = balls(large.filter(F.col("_n") > HOT), points, num, den)
+        small += rest
+    blocks = small[0]
+    for more in small[1:]:
+        blocks = blocks.unionByName(more)
 
     def work(batches):
         def each():
@@ -326,24 +470,23 @@ def families(signed: DataFrame, reps: DataFrame, num: int, den: int) -> DataFram
 
         yield from edge_batches(each())
 
-    return hot.unionByName(met.mapInArrow(work, "a long, b long"))
+    dealt = blocks.join(points, "_doc").repartition("_block").sortWithinPartitions("_block", "_doc")
+    out = dealt.mapInArrow(work, "a long, b long")
+    for more in edges:
+        out = out.unionByName(more)
+    return out
 
 
-def links(docs: DataFrame, family: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def links(texts: DataFrame, family: DataFrame, classes, k: int, num: int, den: int) -> DataFrame:
     """Edges (a, b) that connect the members of each family as their links do."""
     size = family.groupBy("_root").agg(F.count(F.lit(1)).alias("_n"), F.max("_doc").alias("_last"))
     member = settled(family.join(size, "_root"), "families")
     tiles = F.ceil(F.col("_n") / TILE).cast("int")
     own = F.pmod(F.xxhash64("_doc", F.lit(9)), tiles).cast("int")
     hub = (F.col("_n") > TILE) & ((F.col("_doc") == F.col("_root")) | (F.col("_doc") == F.col("_last")))
-    placed = member.select("_doc", "_root", "_n", F.when(hub, F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(own)).alias("_tiles"))
-
-    def make():
-        hashes = WordHashes()
-        return lambda c: [c["_doc"], c["_root"], c["_n"], c["_tiles"], [shingles(t, k, hashes).tobytes() for t in c["_text"]]]
-
-    with_text = docs.join(placed.hint("merge"), "_doc")  # one plan at every size
-    sets = map_rows(with_text.select("_doc", "_root", "_n", "_tiles", "_text"), make, "_doc long, _root long, _n long, _tiles array<int>, _shingles binary")
+    placed = member.select("_doc", "_root", F.when(hub, F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(own)).alias("_tiles"))
+    made = settled(sets_of(texts, member.select("_doc"), classes, k), "sets")
+    sets = made.join(placed, "_doc")
 
     def verify(keys, label=None):
         def work(batches):
@@ -380,12 +523,7 @@ def links(docs: DataFrame, family: DataFrame, k: int, num: int, den: int) -> Dat
         )).alias("_cells"),
     )
 
-    def make_again():
-        hashes = WordHashes()
-        return lambda c: [c["_doc"], c["_root"], c["_part"], c["_cells"], [shingles(t, k, hashes).tobytes() for t in c["_text"]]]
-
-    again = map_rows(docs.join(both, "_doc").select("_doc", "_root", "_part", "_cells", "_text"), make_again, "_doc long, _root long, _part long, _cells array<struct<_tile:int,_sheaf:int>>, _shingles binary")
-    cells = again.select("_root", F.explode("_cells").alias("_cell"), "_doc", "_part", "_shingles").select("_root", "_cell._tile", "_cell._sheaf", "_doc", "_part", "_shingles")
+    cells = made.join(both, "_doc").select("_root", F.explode("_cells").alias("_cell"), "_doc", "_part", "_shingles").select("_root", "_cell._tile", "_cell._sheaf", "_doc", "_part", "_shingles")
     cells = cells.repartition("_root", "_tile", "_sheaf").sortWithinPartitions("_root", "_tile", "_sheaf", "_doc")
     return first.unionByName(settled(cells.mapInArrow(verify(["_root", "_tile", "_sheaf"], "_part"), "a long, b long"), "links"))
 
@@ -397,16 +535,18 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
     without words have an empty set and link with nothing. Ids are integers; rows that repeat an id are one node with
     the links of any of them, and a row whose id is null has no component. An empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
-    document_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("_text"))
-    signed = signatures(rows, k, num, den)
+    classes = docs.sparkSession.sparkContext.broadcast(word_classes(rows))  # ONE_IN words at most
+    signed = signatures(rows, classes, k, num, den)
     light = signed.select("_doc", "n_shingles", "_set")
-    known = light.filter(F.col("_doc").isNotNull() & (F.col("n_shingles") > 0))
-    reps = settled(known.groupBy("_set").agg(F.min("_doc").alias("_rep")), "copies")
+    known = signed.filter(F.col("_doc").isNotNull() & (F.col("n_shingles") > 0))
+    first = F.min_by(F.struct("n_shingles", "_counts", "_keys"), "_doc").alias("_node")
+    nodes = settled(known.groupBy("_set").agg(F.min("_doc").alias("_doc"), first).select("_set", "_doc", "_node.*"), "nodes")
+    reps = nodes.select("_set", F.col("_doc").alias("_rep"))
+    known = known.select("_doc", "_set")
     texts = rows.filter(F.col("_doc").isNotNull())
-    family = components(families(signed, reps, num, den))
-    found = links(texts, family, k, num, den)
+    family = components(families(nodes, texts, classes, k, num, den))
+    found = links(texts, family, classes, k, num, den)
     stars = components(found)
     mapped = known.join(reps, "_set").join(stars.withColumnRenamed("_doc", "_rep"), "_rep", "left")
     roots = mapped.groupBy("_doc").agg(F.min(F.coalesce("_root", "_rep")).alias("_root"))

@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import document_batches, new_folder, settled
+from .common import new_folder, settled
 
 #: Payloads from this size on are kept once; index lines of a block; effort of the compression.
 LEAST_REVISIT, BLOCK_LINES, LEVEL = 1000, 500, 2
@@ -133,7 +133,6 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     notes = decided.select("_key", F.col("_id").cast("long").alias("_id"), F.lit(0).alias("_part"), none.alias("_url"), none.alias("_body"), "_digest", "_type", F.col("_refers").cast("long").alias("_refers"))
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = page_rows.unionByName(notes).repartitionByRange(count, "_key", "_id").sortWithinPartitions("_key", "_id", "_part")
-    document_batches(spark)
 
     def work(batches):
         out, notes, of = None, {}, None
