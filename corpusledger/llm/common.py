@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of the bitmap by which many rows are told apart from few.
+BITMAP_BITS = 26
 #: Rows and bytes of texts that a task works on at once; one longer text is worked on alone.
 BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
@@ -71,6 +73,19 @@ def map_rows(df: DataFrame, make, schema: str) -> DataFrame:
     return df.mapInArrow(run, fields)
 
 
+def flagged(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """df with _may: true where the column's value is in wanted's only column, and on few other rows.
+
+    The values set bits of a bitmap of 2**BITMAP_BITS bits, kept as rows of 64; at most 2**(BITMAP_BITS - 6) rows go to all tasks.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITMAP_BITS))
+    at = wanted.select(spot(wanted.columns[0]).alias("_spot"))
+    bits = at.groupBy(F.shiftright("_spot", 6).alias("_row")).agg(F.expr("bit_or(shiftleft(1L, cast(_spot & 63 as int)))").alias("_bits"))
+    rows = df.withColumn("_spot", spot(column)).withColumn("_row", F.shiftright("_spot", 6))
+    met = rows.join(F.broadcast(bits), "_row", "left")
+    return met.select(*df.columns, F.expr("(shiftright(coalesce(_bits, 0L), cast(_spot & 63 as int)) & 1) = 1").alias("_may"))
+
+
 def words_expr(column):
     """Number of words ``[^\\x20\\x09-\\x0D]+``; null counts as no text."""
     return F.regexp_count(F.coalesce(column, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
