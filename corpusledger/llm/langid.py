@@ -17,15 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, portions
 
-#: The classifier's bounded sample: rows in all, rows of a label at least, labels at most, characters of a sampled text.
-TRAIN_ROWS, LEAST_ROWS, MOST_LABELS, TRAIN_CHARS = 1200, 40, 200, 20_000
+#: The classifier's bounded sample: rows in all, rows of a label at least, labels that a field can hold (more are an error),
+#: and of a sampled text that is longer than PARTS * PART_CHARS characters, so many parts of so many, spread over all of it.
+TRAIN_ROWS, LEAST_ROWS, MOST_LABELS, PARTS, PART_CHARS = 1200, 40, 200, 16, 1250
 BUCKETS = 1 << 16
 LEXICON, LEXICON_COUNT = 20_000, 3
 LENGTH, BATCH, EPOCHS, RATE, DECAY = 48, 64, 3, 0.4, 1e-5
-#: Words of a chunk in which texts are run side by side, and words whose scores are remembered.
-CHUNK, MOST_WORDS = 64, 400_000
+#: Words of a chunk in which texts are run side by side; numbers that one run or the remembered scores of words may hold.
+CHUNK, MOST_CELLS = 64, 16_000_000
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -65,7 +66,7 @@ class Field:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """exp of the label scores of each word, the largest 1."""
-        if len(self.known) > MOST_WORDS:
+        if len(self.known) * len(self.labels) > MOST_CELLS:
             self.known, self.scores = {}, self.scores[:0]
         known = self.known
         new = [w for w in dict.fromkeys(words) if w not in known]
@@ -77,8 +78,47 @@ class Field:
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
         return self.scores[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
 
+    def most_words(self) -> int:
+        """Words of one run, by what it holds for each of their chunks: a matrix over the labels and the scores."""
+        labels = len(self.labels)
+        return max(1, MOST_CELLS // (labels * labels + CHUNK * labels)) * CHUNK
+
     def means(self, texts: list[list[str]]) -> np.ndarray:
-        """Mean posterior of every label over the words of each text; no text may be without words."""
+        """Mean posterior of every label over the words of each text; no text may be without words.
+
+        Texts are run together up to a bounded number of words; a longer one is run in segments that hand on their messages.
+        """
+        out, most, held, size = np.zeros((len(texts), len(self.labels))), self.most_words(), [], 0
+        for i, text in enumerate(texts):
+            if len(text) > most:
+                out[i] = self.long_total(text, most) / len(text)
+                continue
+            if size + len(text) > most:
+                out[held] = self.totals([texts[j] for j in held])[0] / np.array([[len(texts[j])] for j in held])
+                held, size = [], 0
+            held.append(i)
+            size += len(text)
+        if held:
+            out[held] = self.totals([texts[j] for j in held])[0] / np.array([[len(texts[j])] for j in held])
+        return out
+
+    def long_total(self, words: list[str], most: int) -> np.ndarray:
+        """Summed posteriors of one text: messages from its end first, segment by segment, then the runs from its start."""
+        starts = range(0, len(words), most)
+        behind = [np.ones((1, len(self.labels)), np.float32)]
+        for at in reversed(starts[1:]):
+            behind.append(self.totals([words[at : at + most]], np.ones_like(behind[0]), behind[-1], back_only=True)[2])
+        total, ahead = 0, None
+        for at in starts:
+            sums, ahead, _ = self.totals([words[at : at + most]], ahead, behind.pop())
+            total = total + sums[0]
+        return total
+
+    def totals(self, texts: list[list[str]], into=None, beyond=None, back_only: bool = False) -> tuple:
+        """(summed posteriors, message that leaves at the end, message that leaves at the start) of each text.
+
+        ``into`` and ``beyond`` are the messages that reach the first word and the last from outside; without ``into`` texts begin.
+        """
         counts = np.array([len(t) for t in texts])
         scores = self.word_scores([w for t in texts for w in t])
         chunks = -(-counts // CHUNK)
@@ -90,7 +130,8 @@ class Field:
         x[col, row], on[col, row] = scores, True
         moves = np.exp(self.moves - self.moves.max()).astype(np.float32)
         opens = np.zeros((k, 1), bool)
-        opens[first] = True
+        if into is None:
+            opens[first] = True
         # what a chunk does to any message, then the messages that reach each chunk from both sides
         through = np.broadcast_to(np.eye(labels, dtype=np.float32), (k, labels, labels)).copy()
         for t in range(CHUNK):
@@ -99,6 +140,10 @@ class Field:
             through = np.where(on[t][:, :, None], moved, through)
             through /= through.max((1, 2), keepdims=True)
         ahead, behind = np.full((k, labels), 1 / labels, np.float32), np.ones((k, labels), np.float32)
+        if into is not None:
+            ahead[first] = into
+        if beyond is not None:
+            behind[first + chunks - 1] = beyond
         for j in range(1, int(chunks.max())):
             at = first[chunks > j] + j
             message = np.einsum("kl,klm->km", ahead[at - 1], through[at - 1])
@@ -106,12 +151,17 @@ class Field:
             at = first[chunks > j] + chunks[chunks > j] - 1 - j
             message = np.einsum("klm,km->kl", through[at + 1], behind[at + 1])
             behind[at] = message / message.sum(1, keepdims=True)
+        left = np.einsum("klm,km->kl", through[first], behind[first])
+        left /= left.sum(1, keepdims=True)
+        if back_only:
+            return None, None, left
         forward = np.empty_like(x)
         message = ahead
         for t in range(CHUNK):
             moved = (message @ moves if t else np.where(opens, message, message @ moves)) * x[t]
             message = np.where(on[t], moved / moved.sum(1, keepdims=True), message)
             forward[t] = message
+        right = message[first + chunks - 1]
         total = np.zeros((k, labels))
         message = behind
         for t in range(CHUNK - 1, -1, -1):
@@ -122,7 +172,7 @@ class Field:
                 message = np.where(on[t], moved / moved.sum(1, keepdims=True), message)
         out = np.zeros((len(texts), labels))
         np.add.at(out, doc, total)
-        return out / counts[:, None]
+        return out, right, left
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         words = [words_of(t) for t in texts]
@@ -175,10 +225,10 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Field:
                 truth = np.array([y for _, y in batch])
                 emit, pairs = gradients(scores, moves, truth)
                 emit = emit.reshape(-1, size)
-                slope = np.zeros_like(weights)
-                np.add.at(slope, flat, np.repeat(emit, lengths, axis=0))
-                touched = np.unique(flat)
-                g = slope[touched] / len(batch) + DECAY * weights[touched]
+                touched, place = np.unique(flat, return_inverse=True)
+                spread = np.repeat(emit, lengths, axis=0)
+                slope = np.stack([np.bincount(place, spread[:, j], len(touched)) for j in range(size)], axis=1)
+                g = slope / len(batch) + DECAY * weights[touched]
                 squares[touched] += g * g
                 weights[touched] -= RATE * g / np.sqrt(squares[touched])
                 g = pairs / len(batch)
@@ -209,21 +259,32 @@ def gradients(scores: np.ndarray, moves: np.ndarray, truth: np.ndarray) -> tuple
     return emit, pairs
 
 
+def excerpt(text):
+    """A text itself, or PARTS parts of one that is longer than those parts together, spread evenly from its start to its end."""
+    n, most = F.length(text), PARTS * PART_CHARS
+    step = lambda i: F.floor((n - PART_CHARS) * i / (PARTS - 1)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.substring(text, step(i) + 1, F.lit(PART_CHARS)))
+    return F.when(n <= most, text).otherwise(F.array_join(parts, " "))
+
+
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
     """At most TRAIN_ROWS labelled rows (or LEAST_ROWS a label) that are not held out, as even over the labels as can be.
 
-    Rows are drawn by a hash of their id among texts of up to TRAIN_CHARS characters; a label's rows are thinned by
-    that hash before they are ranked, so a label that most rows have is not gathered.
+    Every labelled row with a text takes part in the draw, by a hash of its id and text; a label's rows are thinned by that
+    hash before they are ranked, so a label that most rows have is not gathered, and the first of each label is drawn
+    whatever the thinning does. Of long texts the ``excerpt`` is taken. More than MOST_LABELS labels are an error.
     """
-    rows = docs.filter(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
-    counts = {r[0]: r[1] for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MOST_LABELS).collect()}
-    if not counts:
+    rows = docs.filter(F.col(lang_col).isNotNull() & (F.length(text_col) > 0) & ~held_out(F.col(id_col)))
+    lot = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(11)), F.lit(1 << 30))
+    rows = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"), lot.alias("_lot"))
+    counted = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"), F.min("_lot").alias("_least")).limit(MOST_LABELS + 1).collect()
+    if len(counted) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} languages are labelled: raise MOST_LABELS or merge some")
+    if not counted:
         return []
-    quota = max(LEAST_ROWS, TRAIN_ROWS // len(counts))
-    shares = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 4 * quota / n))])
-    lot = F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1 << 30))
-    drawn = rows.withColumn("_lot", lot).filter(F.col("_lot") < F.coalesce(F.try_element_at(shares, F.col("_lang")), F.lit(0.0)) * (1 << 30))
-    drawn = drawn.filter(F.length("_text").between(1, TRAIN_CHARS))
+    quota = max(LEAST_ROWS, TRAIN_ROWS // len(counted))
+    limits = F.create_map(*[F.lit(v) for r in counted for v in (r["_lang"], max(r["_least"], int(min(1.0, 4 * quota / r["_n"]) * (1 << 30))))])
+    drawn = rows.filter(F.col("_lot") <= F.try_element_at(limits, F.col("_lang"))).withColumn("_text", excerpt(F.col("_text")))
     ranked = drawn.withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy("_lot", "_id", "_text")))
     return [(r[0], r[1]) for r in ranked.filter(F.col("_rank") <= quota).select("_text", "_lang").orderBy("_lang", "_rank").collect()]
 
@@ -259,9 +320,10 @@ def keep_known(docs: DataFrame, field: Field, least: float = 0.3, text_col: str
 
     def work(batches):
         own = shared.value
-        for batch in batches:
-            names, scores = own.predict(batch.column(column).to_pylist())
-            yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+        for whole in batches:
+            for batch in portions(whole):
+                names, scores = own.predict(batch.column(column).to_pylist())
+                yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
 
