@@ -151,5 +151,6 @@ def repeat_taken(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFram
     """
     taken = mix(docs, id_col=id_col, **options).filter("taken > 0")
     uses = taken.groupBy(F.col(id_col).alias("_mixed")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_uses"))
-    joined = docs.join(uses, docs[id_col].eqNullSafe(uses["_mixed"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_uses")))).select(*[docs[c] for c in docs.columns])
+    rows = docs.select(F.col(id_col).alias("_id"), F.struct(*docs.columns).alias("_given"))
+    joined = rows.join(uses, rows["_id"].eqNullSafe(uses["_mixed"]))
+    return joined.select("_given", F.explode(F.sequence(F.lit(1), F.col("_uses")))).select("_given.*")

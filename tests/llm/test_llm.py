@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusledger.llm import ann, bpe, exact_dedup, langid, license_scan, mixing, ngram_join, secret_scan, sharding, warc
 from corpusledger.llm.common import new_folder
@@ -35,7 +37,40 @@ def test_exact_dedup(spark):
     kept = exact_dedup.drop_copies(docs(spark, given))
     assert kept.columns == docs(spark, given).columns
     assert rows(kept, "doc_id") == [(2,), (3,), (6,), (9,), (9,)]
-    assert exact_dedup.label_copies(docs(spark, [])).count() == 0
+    assert exact_dedup.label_copies(docs(spark, [])).count() == 0 == exact_dedup.drop_copies(docs(spark, [])).count()
+
+
+@pytest.mark.parametrize(
+    "given,kept",
+    [
+        ([(5, "A"), (3, "B"), (5, "B")], [(3, "B"), (5, "A")]),
+        ([(3, "B"), (None, "B"), (None, "C")], [(3, "B"), (None, "C")]),
+        ([(None, "B"), (None, "B"), (1, "C"), (1, "C "), (2, None), (3, "")], [(1, "C"), (1, "C "), (2, None), (None, "B"), (None, "B")]),
+        ([(1, LONG), (1, "x"), (0, LONG + " ")], [(1, "x"), (0, LONG + " ")]),
+    ],
+)
+def test_copies_go_by_id_and_text(spark, given, kept):
+    order = lambda rows: sorted(rows, key=str)
+    clashing = docs(spark, given).withColumnsRenamed({"slot": "_hash", "size": "_row"})
+    out = exact_dedup.drop_copies(clashing)
+    assert out.columns == clashing.columns and order((r["doc_id"], r["text"]) for r in out.collect()) == order(kept)
+    labels = exact_dedup.label_copies(clashing).filter("kept")
+    assert order(r["doc_id"] for r in labels.collect()) == order(i for i, _ in kept)
+
+
+def test_large_groups_are_labelled_like_others(spark):
+    given = [(i, "same" if i % 3 else f"t {i // 6}") for i in range(60)]
+    want = rows(exact_dedup.label_copies(docs(spark, given)), "doc_id", "keep_id", "group_size", "kept")
+    first = {}
+    for i, t in given:
+        first.setdefault(t, i)
+    assert want == sorted((i, first[t], sum(t == u for _, u in given), first[t] == i) for i, t in given)
+    held = exact_dedup.LARGE
+    try:
+        exact_dedup.LARGE = 1
+        assert rows(exact_dedup.label_copies(docs(spark, given)), "doc_id", "keep_id", "group_size", "kept") == want
+    finally:
+        exact_dedup.LARGE = held
 
 
 def test_sharding(spark):
@@ -56,6 +91,12 @@ def test_sharding(spark):
         sharding.fill(shards, 1000)
 
 
+def test_shards_are_written_whole(spark, tmp_path):
+    sharding.write_shards(docs(spark, [(i, f"t{i}") for i in range(50)]), f"{tmp_path}/out", shards=["a", "b", "c"], slots=1009)
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert rows(out, "doc_id") == [(i,) for i in range(50)] and out.select("shard").distinct().count() == 3
+
+
 def odd_texts():
     pick = random.Random(3)
     kinds = [lambda: pick.randrange(32, 127), lambda: pick.randrange(0xA0, 0x3000), lambda: pick.randrange(0x1F300, 0x1F700), lambda: pick.choice([9, 10, 13, 0x1C, 0x85, 0x2028, 32, 32])]
@@ -81,6 +122,8 @@ def test_bpe_equals_the_library(spark):
     tokens = bpe.encode(docs(spark, given), path, pattern)
     assert rows(bpe.decode(tokens, path, pattern), "doc_id", "text") == [(1, ""), (2, ""), (3, LONG), (4, "ab 🎉"), (4, "ab 🎉")]
     assert bpe.round_trip(docs(spark, []), path, pattern).count() == 0
+    nothing = spark.createDataFrame([(1, None), (2, [])], "doc_id long, token_ids array<int>")
+    assert rows(bpe.decode(nothing, path, pattern), "doc_id", "text") == [(1, ""), (2, "")]
 
 
 def test_bpe_lookahead_is_bounded_and_memory_resets():
@@ -125,6 +168,49 @@ def test_secret_scan(spark):
     assert secret_scan.scan(docs(spark, [(1, "token=abcdef")])).first()["secrets"][0]["end"] == 12
 
 
+def small_texts():
+    """All texts of the small table."""
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"])
+    return list(zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True))
+
+
+def test_base_secrets_of_the_whole_table(spark):
+    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+    given, want = small_texts(), []
+    for doc, text in given:
+        found = [(m.start(), 0, m.end(), "assign") for m in assign.finditer(text or "") if len(m[2]) >= 6]
+        found += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text or "") if len(m[0]) >= 20]
+        found += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text or "") if len(m[0]) >= 24]
+        line = ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found))
+        want.append((doc, *[sum(x[3] == k for x in found) for k in ("assign", "access", "hex")], hashlib.sha256(line.encode()).hexdigest()))
+    out = secret_scan.digest(spark.createDataFrame(given, "doc_id long, text string"))
+    assert rows(out, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == sorted(want)
+    assert sum(w[1] for w in want) and sum(w[2] + w[3] for w in want)
+
+
+def test_base_licenses_of_the_whole_table(spark):
+    phrases = {("gnu", "general", "public", "license"): "gpl", ("apache", "license"): "apache", ("cc", "by"): "cc-by", ("mit", "license"): "mit"}
+    given, want = small_texts(), []
+    for doc, text in given:
+        words = re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+        found = [(i, label) for i in range(len(words)) for p, label in phrases.items() if tuple(words[i : i + len(p)]) == p]
+        starts = [i for i, _ in found]
+        want.append((doc, len(words), len(found), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in found}))))
+    out = license_scan.digest(spark.createDataFrame(given, "doc_id long, text string"))
+    assert sorted(map(tuple, out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()), key=lambda r: r[0]) == sorted(want)
+    assert any(w[2] for w in want)
+    assert all(set(b.split(",")) <= set(a.split(",")) for a, b in rows(out.filter("base_labels <> ''"), "labels", "base_labels"))
+
+
+def test_an_edited_notice_before_an_exact_one_is_found():
+    edited, exact = "licensd undr the apache license version 2 0", "licensed under the apache license version 2 0"
+    for text in (f"x {edited} and {exact} end", f"x {exact} and {edited} end", f"{edited} a {exact} b {edited}"):
+        near = [n for n in license_scan.find(text)[2] if n[2] == "apache"]
+        assert len(near) == text.count("version 2 0") and min(n[3] for n in near) == 0
+
+
 def test_license_scan(spark):
     n, exact, near = license_scan.find("x. Released under the MIT-License, cc by CC BY")
     assert n == 10 and exact == [(4, "mit"), (6, "cc-by"), (8, "cc-by")]
@@ -197,8 +283,11 @@ def test_mixing(spark):
         assert sum(r["taken"] for r in got if r["doc_id"] % 2) == pytest.approx(next(r["target"] for r in got if r["doc_id"] % 2), abs=3)
     finally:
         mixing.RANKED = kept
-    assert mixing.mix(docs(spark, [])).count() == 0
-    assert mixing.repeat_taken(docs(spark, given)).columns == docs(spark, given).columns
+    assert mixing.mix(docs(spark, [])).count() == 0 == mixing.repeat_taken(docs(spark, [])).count()
+    mixed = mixing.repeat_taken(docs(spark, given))
+    assert mixed.columns == docs(spark, given).columns
+    copies = Counter(r["doc_id"] for r in mixed.select("doc_id").collect())
+    assert copies == {r["doc_id"]: r["taken"] // r["size"] for r in out if r["taken"]}
 
 
 def synthetic_languages(n):
@@ -220,6 +309,37 @@ def test_language_id(spark):
     assert langid.identify(docs(spark, [])).count() == 0
 
 
+def test_no_label_is_lost(spark):
+    given = [(i, "kalo mi " * 9000, "xx") for i in range(40)] + [(100 + i, "zuße xo zu", "yy") for i in range(40)] + [(200, "pe pi po", "zz")] * 3
+    given = [g for g in given if zlib.crc32(str(g[0]).encode()) % 4 != 2]
+    drawn = langid.sample(docs(spark, given))
+    assert {k for _, k in drawn} == {"xx", "yy", "zz"}
+    assert max(len(t) for t, _ in drawn) <= langid.PARTS * (langid.PART_CHARS + 1)
+    out = langid.identify(docs(spark, [*given, (7, "kalo mi kalo", None), (8, "zuße xo", None)]))
+    found = {r[0]: r["lang_pred"] for r in out.collect()}
+    assert found[7] == "xx" and found[8] == "yy"
+    kept = langid.MOST_LABELS
+    try:
+        langid.MOST_LABELS = 2
+        with pytest.raises(ValueError):
+            langid.sample(docs(spark, given))
+    finally:
+        langid.MOST_LABELS = kept
+
+
+def test_an_excerpt_reaches_from_start_to_end(spark):
+    text = " ".join(f"w{i}" for i in range(20_000))
+    part = docs(spark, [(1, text)]).select(langid.excerpt(F.col("text"))).first()[0]
+    assert part.startswith("w0 w1 ") and part.endswith(" w19999") and " w10" in part
+
+
+def test_held_out_accuracy_on_the_small_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = langid.identify(table).filter("held_out").join(table.filter("lang IS NOT NULL").select("doc_id", "lang"), "doc_id")
+    right = [r["lang"] == r["lang_pred"] for r in out.collect() if r["lang_pred"] != "und"]
+    assert len(right) > 100 and np.mean(right) >= 0.97
+
+
 def test_marginals_are_exact_and_follow_switches():
     field = langid.train([(t, k) for _, t, k in synthetic_languages(200)])
     a, b = ("kalomi lomika mikalo " * 40).split(), ("zußexo xozuße ßexozu " * 40).split()
@@ -235,6 +355,13 @@ def test_marginals_are_exact_and_follow_switches():
     p /= p.sum(1, keepdims=True)
     assert np.allclose(field.means([a, mixed, b])[1], p.mean(0), atol=1e-5)
     assert abs(p.mean(0)[0] - 0.5) < 0.05
+    kept = langid.MOST_CELLS
+    try:
+        langid.MOST_CELLS = 400  # runs of three chunks: the mixed text is four segments
+        assert field.most_words() == 192
+        assert np.allclose(field.means([a, mixed, b, a[:5]])[1], p.mean(0), atol=1e-5)
+    finally:
+        langid.MOST_CELLS = kept
 
 
 def brute_components(given, k, num, den):
@@ -283,6 +410,24 @@ def test_ngram_join_finds_every_link(spark, k, num, tile, hot):
     assert out == brute_components(given, k, num, 100)
 
 
+def test_ngram_join_with_shared_passages(spark):
+    """Texts of one passage and little else: its n-grams are in many blocks, and only some of the texts link."""
+    pick = random.Random(12)
+    passages = [[f"p{j}w{i}" for i in range(80)] for j in range(2)]
+    given = []
+    for i in range(90):
+        own = [f"o{pick.randrange(40)}" for _ in range(pick.choice([2, 5, 30]))]
+        given.append((i, " ".join(passages[i % 2] + (own if i % 5 else []))))
+    kept = ngram_join.HOT, ngram_join.TILE, ngram_join.HUBS
+    try:
+        ngram_join.HOT, ngram_join.TILE, ngram_join.HUBS = 8, 16, 2
+        for num in (90, 70):
+            out = rows(ngram_join.join(docs(spark, given), 3, num, 100), "doc_id", "n_shingles", "component_id")
+            assert out == brute_components(given, 3, num, 100)
+    finally:
+        ngram_join.HOT, ngram_join.TILE, ngram_join.HUBS = kept
+
+
 def test_ngram_join_edges(spark):
     assert ngram_join.join(docs(spark, [])).count() == 0
     given = [(2, "a b c"), (2, "a b c"), (1, "A B C"), (None, "a b c")]
@@ -338,23 +483,48 @@ def test_nearest_neighbours(spark):
     assert ann.search(vectors(spark, []), vectors(spark, [])).count() == 0
 
 
+def test_recall_with_few_vectors_verified_over_many_blocks(spark):
+    pick = np.random.default_rng(9)
+    n, k = 8000, 10
+    points = pick.standard_normal((n, 48))
+    points[: n // 2] = points[pick.integers(n // 2, n, n // 2)] + 0.3 * pick.standard_normal((n // 2, 48))
+    df = vectors(spark, [(i, p.tolist()) for i, p in enumerate(points.astype(np.float32))])
+    kept = ann.BLOCK, ann.QUERY_BLOCK
+    try:
+        ann.BLOCK, ann.QUERY_BLOCK = 2000, 100
+        out = ann.search(df, df.filter("vec_id % 50 = 0"), k).collect()
+    finally:
+        ann.BLOCK, ann.QUERY_BLOCK = kept
+    exact, hits = points.astype(np.float32).astype(float), 0
+    found = defaultdict(set)
+    for r in out:
+        found[r["query_id"]].add(r["vec_id"])
+    for q in range(0, n, 50):
+        gaps = ((exact - exact[q]) ** 2).sum(1)
+        gaps[q] = np.inf
+        hits += len(set(np.argsort(gaps)[:k]) & found[q])
+    assert hits >= 0.9 * k * len(found) and len(found) == n // 50
+    assert np.mean([r["n_verified"] for r in out]) <= n / 10
+
+
 PAGES = "page_id long, url string, html string, _key string"
 
 
 def test_warc_round_trip_and_lookup(spark):
     big = "é" * 600
     given = [(1, "http://www.a.example.com/x?q=1#f", big), (2, "https://a.example.com/x?q=1", big), (3, "http://b.org", "s" * 999), (4, "http://b.org/", "s" * 999), (5, None, None), (6, "http://b.org/", ""), (7, "nonsense", "a\r\n\r\nWARC/1.1\r\n")]
-    given += [(100 + i, f"http://c{i % 7}.net/p{i}", f"page {i} " * 200) for i in range(60)]
+    given += [(100 + i, f"http://c{i % 7}.net/p{i}", f"page {i} " * 200) for i in range(60)] + [(200 + i, "http://hot.org/", f"hot {i}") for i in range(40)] + [(300, "http://z.org", LONG)]
     pages = spark.createDataFrame([(*r, "k") for r in given], PAGES)
-    kept = warc.BLOCK_LINES
+    kept = warc.BLOCK_LINES, warc.BLOCK_BYTES, warc.ARCHIVE_BYTES, warc.LARGE
     try:
-        warc.BLOCK_LINES = 8
+        warc.BLOCK_LINES, warc.BLOCK_BYTES, warc.ARCHIVE_BYTES, warc.LARGE = 8, 5000, 2000, 1000
         directory = warc.write_archives(pages, new_folder(spark, "warc"), partitions=3)
         out = warc.read_archives(directory).collect()
         held = [r.asDict() for r in directory.collect()]
     finally:
-        warc.BLOCK_LINES = kept
+        warc.BLOCK_LINES, warc.BLOCK_BYTES, warc.ARCHIVE_BYTES, warc.LARGE = kept
     assert sorted(r["page_id"] for r in out) == sorted(r[0] for r in given)
+    assert max(r["n_lines"] for r in held) == 8 and len({r["archive"] for r in held}) > 3
     by = {r["page_id"]: r for r in out}
     for i, _, html in given:
         body = (html or "").encode()
@@ -366,8 +536,40 @@ def test_warc_round_trip_and_lookup(spark):
     assert [r["page_id"] for r in captures.find("com,example,a)/x?q=1")] == [1, 2]
     assert [r["page_id"] for r in captures.find("org,b)/")] == [3, 4, 6]
     assert captures.find("zz,absent)/") == []
-    assert sorted(r["page_id"] for r in warc.lookup(directory, ["org,b)/", "net,c3)/p3", "none"]).collect()) == [3, 4, 6, 103]
-    twice = spark.createDataFrame([(1, "http://a.org", "x", "k"), (1, "http://a.org", "y" * 2000, "k"), (None, "http://a.org", "z", "k")], PAGES)
-    assert rows(warc.archive_round_trip(spark, twice), "page_id", "payload_bytes", "record_type") == [(1, 1, "response"), (1, 2000, "response")]
+    asked = ["org,b)/", "net,c3)/p3", "none", "org,b)/", "org,hot)/"]
+    assert sorted(r["page_id"] for r in warc.lookup(directory, asked).collect()) == [3, 4, 6, 103, *range(200, 240)]
+    every = spark.createDataFrame([(k,) for k in {key for r in held for key in (r["first_key"], r["last_key"])}] + [(None,)], "k string")
+    found = warc.lookup(directory, every).collect()
+    assert all(by[r["page_id"]]["payload"] == r["payload"] for r in found) and {r["url_key"] for r in found} == {r[0] for r in every.collect() if r[0] is not None}
+    assert warc.lookup(directory, []).count() == 0
+
+
+def test_warc_defines_null_and_repeated_ids(spark):
+    big = "y" * 2000
+    given = [(1, "http://a.org", "x", "k"), (1, "http://a.org", big, "k"), (None, "http://a.org", "z", "k"), (None, "http://b.org", big, "k"), (None, None, "w" * 1000, "k"), (None, None, "w" * 1000, "k")]
+    pages = spark.createDataFrame(given, PAGES)
+    out = warc.archive_round_trip(spark, pages)
+    want = [(1, 1, "response", None), (1, 2000, "response", None), (None, 1, "response", None), (None, 2000, "revisit", 1), (None, 1000, "response", None), (None, 1000, "response", None)]
+    found = [tuple(r) for r in out.select("page_id", "payload_bytes", "record_type", "refers_to").collect()]
+    assert sorted(found, key=str) == sorted(want, key=str)
     empty = warc.write_archives(spark.createDataFrame([], PAGES), new_folder(spark, "warc"))
     assert warc.read_archives(empty).count() == 0
+    assert warc.archive_round_trip(spark, spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_portions_are_bounded():
+    import pyarrow as pa
+
+    from corpusledger.llm import common
+
+    texts = ["a" * 10] * 7 + ["b" * 1000] + [None, ""] * 5 + ["c" * 60] * 3
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "t": texts})
+    kept = common.BATCH_ROWS, common.BATCH_BYTES
+    try:
+        common.BATCH_ROWS, common.BATCH_BYTES = 6, 100
+        parts = list(common.portions(batch))
+    finally:
+        common.BATCH_ROWS, common.BATCH_BYTES = kept
+    assert [x for p in parts for x in p.column(1).to_pylist()] == texts
+    assert all(p.num_rows <= 6 and (p.num_rows == 1 or sum(len(x or "") for x in p.column(1).to_pylist()) <= 100) for p in parts)
+    assert list(common.portions(batch.slice(0, 0))) == []

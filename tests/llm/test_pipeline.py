@@ -31,3 +31,43 @@ def test_pipeline_stages(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in mixed.collect()}
+
+
+def odd_documents(spark, rows):
+    """Documents with further columns whose names clash with inner ones."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _id string, _doc int, _copy int, _kept string, _row int"
+    return spark.createDataFrame([(*r, "i", 1, 2, "k", 3) for r in rows], schema)
+
+
+def test_stages_take_odd_documents(spark):
+    import corpus_pipeline
+
+    text = {i: t for i, t, _ in synthetic_languages(60)}
+    given = [(i, t, k, None if i % 7 == 0 else "s", None) for i, t, k in synthetic_languages(60)]
+    given += [given[3], given[3], (None, text[4], "aa", "s", 1), (None, None, None, None, None), (70, "", "aa", "s", 0), (3, text[5], "bb", "s", 1)]
+    given += [(80, (text[6] + " ") * 3000, "aa", "s", 1), (81, (text[6] + " ") * 3000 + "kami", "aa", "s", 1)]
+    docs = odd_documents(spark, given)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, "")
+        assert kept.columns == docs.columns, name
+        found = kept.collect()
+        assert {tuple(r) for r in found} <= {tuple(r) for r in docs.collect()}, name
+        if name == "language_id":
+            assert {r["doc_id"] for r in found} >= {80, 81, None} and all(r["text"] for r in found)
+        if name == "exact_dedup":
+            assert sum(r["doc_id"] == 3 for r in found) == 4 and not any(r["doc_id"] is None for r in found)
+        if name == "ngram_jaccard":
+            assert 81 not in {r["doc_id"] for r in found}
+        docs = spark.createDataFrame(found, docs.schema)
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert last.count() == docs.count()
+
+
+def test_stages_take_an_empty_table(spark):
+    import corpus_pipeline
+
+    docs = odd_documents(spark, [])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.count() == 0 and "_copy" in docs.columns
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 0
