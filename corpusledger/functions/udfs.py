@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import json
 import re
 import unicodedata
 
@@ -24,6 +25,25 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
+#: Typography: one character to one character. Fixed values.
+ONE_TO_ONE = ("\u2018\u2019\u201c\u201d\u00ab\u00bb\u00a0\u202f\u2028", "''\"\"\"\"  \n")
+NESTED = str.maketrans(*ONE_TO_ONE) | {0x2029: "\n\n"}
+
+
+def normalized_value(value):
+    """A JSON value with every string normalized, keys apart."""
+    if isinstance(value, str):
+        return unicodedata.normalize("NFC", value.replace("\r\n", "\n").replace("\r", "\n").translate(NESTED))
+    if isinstance(value, list):
+        return [normalized_value(v) for v in value]
+    return {k: normalized_value(v) for k, v in value.items()} if isinstance(value, dict) else value
+
+
+@pandas_udf(TEXT)
+def normalized_json(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else json.dumps(normalized_value(json.loads(t)), ensure_ascii=False))
+
+
 @pandas_udf(TEXT)
 def fold(text: pd.Series) -> pd.Series:
     """Full case folding, which turns a sharp s into ss."""
@@ -75,67 +95,101 @@ def spans(text: pd.Series, quote: pd.Series) -> pd.Series:
     return pd.Series([[{"start_char": s, "end_char": e} for s, e in find_spans(t, q)] for t, q in zip(text, quote, strict=True)])
 
 
-SENTENCE_END = re.compile(r"[.!?…][\"»”']?(?:\s+|$)")
-BLANK_LINE = re.compile(r"\n\s*\n")
+#: What ends a sentence, and what may close a speech after it. Fixed values.
+SENTENCE_ENDS, CLOSING = ".!?…", "\"»”'"
 WHITE = re.compile(r"\s+")
 
 
-def cut_losslessly(text: str, most: int) -> list[str]:
-    """Pieces of at most ``most`` characters that together are the text, cut where reading pauses latest."""
-    out = []
-    while len(text) > most:
-        head, cut = text[:most], 0
-        for pattern in (BLANK_LINE, SENTENCE_END, WHITE):
-            ends = [m.end() for m in pattern.finditer(head)]
-            if ends:
-                cut = ends[-1]
-                break
-        cut = cut or most
-        out.append(text[:cut])
-        text = text[cut:]
-    return [*out, text] if text else out
+def ends_sentence(text: str, start: int, at: int) -> bool:
+    """Whether a sentence that lies behind start ends right before this place, with or without a closing mark."""
+    if at - 1 > start and text[at - 1] in CLOSING:
+        at -= 1
+    return at > start and text[at - 1] in SENTENCE_ENDS
+
+
+def last_pause(text: str, start: int, limit: int) -> int:
+    """Where the last blank line before the limit ends; without one the last sentence, then the last white space, then the limit."""
+    blank = sentence = space = start
+    for run in WHITE.finditer(text, start, limit):
+        first, space = run.span()
+        if text.count("\n", first, space) > 1:
+            blank = text.rindex("\n", first, space) + 1
+        if ends_sentence(text, start, first):
+            sentence = space
+    if ends_sentence(text, start, limit):
+        sentence = limit
+    return next((x for x in (blank, sentence, space) if x > start), limit)
 
 
 @udtf(returnType=fields(piece_no=WHOLE, start_char=WHOLE, piece=TEXT))
 class LosslessChunks:
+    """Pieces of at most ``most`` characters that together are the text; only the rest after the last cut may be shorter at will."""
+
     def eval(self, text: str, most: int):
-        at = 0
-        for i, piece in enumerate(cut_losslessly(text or "", most)):
-            yield i, at, piece
-            at += len(piece)
+        text, start, number = text or "", 0, 0
+        while start < len(text):
+            stop = last_pause(text, start, start + most) if len(text) - start > most else len(text)
+            yield number, start, text[start:stop]
+            start, number = stop, number + 1
+
 
+#: A word after the white space before it, which starts where that does; an elided article is not part of the word.
+WORD = re.compile(r"(?<!\s)(?P<gap>\s*)(?P<elided>[ldLD][’'](?=[^\W\d_]))?(?P<word>[^\W\d_]+(?:[-’'][^\W\d_]+)*)")
+#: White space over which a word is still seen as following the character before it.
+REACH = 63
 
-WORD = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*")
 
+def words_in(text: str | None):
+    """(start, end, word, character before) of every word; start counts an elided article, the character may be ''."""
+    for found in WORD.finditer(text or ""):
+        after, start = found.end("gap"), found.start()
+        before = text[start - 1] if start and after - start <= REACH else ""
+        yield after, found.end(), found["word"], before
 
-@udtf(returnType=fields(word=TEXT, start_char=WHOLE, end_char=WHOLE, before=TEXT))
-class Tokens:
-    """Words with their offsets and the last character that is not white space in the 64 before them."""
 
-    def eval(self, text: str):
-        text = text or ""
-        for m in WORD.finditer(text):
-            yield m.group(), m.start(), m.end(), text[max(0, m.start() - 64) : m.start()].rstrip()[-1:]
+# What may stand between a name and another that it is also called by, within a sentence and across two.
+ALIAS_PHRASES = (
+    r"(?:aussi |également )?(?:appelée?|surnommée?|nommée?)",
+    r"(?:était|est) (?:aussi |également )?(?:appelée?|surnommée?|nommée?)",
+    r"alias",
+    r"(?:also )?known as",
+    r"(?:was |is )(?:also )?(?:called|known as)",
+)
+NAMING_SENTENCES = (r"ceux qui (?:le|la) connaissaient l[’']appelaient", r"those who knew (?:him|her) called (?:him|her)")
+#: Proper names that may follow a name before such a phrase; what opens one. Fixed values.
+MOST_FOLLOWING, PROPER = 4, r"[A-ZÀ-ÖØ-Þ][\w’'-]*"
 
 
-ALIAS_PHRASES = ("also known as", "called", "alias", "dit", "dite", "surnommé", "surnommée", "appelé", "appelée")
+def is_proper(name: str) -> bool:
+    """One word of letters, its first alone in upper case."""
+    return name.isalpha() and name.istitle()
+
+
+def whole(words: str) -> str:
+    return rf"(?<!\w){re.escape(words)}(?!\w)"
 
 
 def names_link(a: str, b: str, context: str) -> bool:
-    """Whether a context supports that two names are one: one extends the other's words, they stand side by side, or a phrase joins them."""
-    x, y = a.casefold().split(), b.casefold().split()
-    if not x or not y:
+    """Whether a context supports that two names are one person's.
+
+    It does if both are single proper names that stand side by side as one full name; if one name is part of the other and
+    the longer stands there; or if a phrase or sentence of naming leads from one, with up to four more proper names, to the other.
+    """
+    a, b, flat = " ".join(a.split()), " ".join(b.split()), " ".join(context.split())
+    if not a or not b:
         return False
-    text = " ".join(context.casefold().split())
-    short, long = sorted((x, y), key=len)
-    inside = any(long[i : i + len(short)] == short for i in range(len(long) - len(short) + 1))
-    word = lambda w: rf"(?<!\w){re.escape(' '.join(w))}(?!\w)"
-    if inside and re.search(word(long), text):
+    ways = ((a, b), (b, a))
+    if a != b and is_proper(a) and is_proper(b) and any(re.search(rf"(?<![\w’'-]){x}[ \t\u00a0]+{y}(?![\w’'-])", context) for x, y in ways):
         return True
-    if re.search(word(x + y), text) or re.search(word(y + x), text):
+    if a != b and any(re.search(whole(x), y) and re.search(whole(y), flat) for x, y in ways):
         return True
-    joint = "|".join(map(re.escape, ALIAS_PHRASES))
-    return any(re.search(rf"{word(p)}[ ,(]+(?:{joint})[ ,]+{word(q)}", text) for p, q in ((x, y), (y, x)))
+    phrases = rf"\s*,?\s*(?:{'|'.join(ALIAS_PHRASES)})\s+[\"«]?\s*"
+    sentences = rf"\s*\.?\s*(?:Mais |But )?(?:{'|'.join(NAMING_SENTENCES)})\s+"
+    for x, y in ways:
+        start = whole(x) + (rf"(?:[ \t]+{PROPER}){{0,{MOST_FOLLOWING}}}\.?" if is_proper(x) else "")
+        if re.search(rf"{start}(?:{phrases}|{sentences}){re.escape(y)}(?!\w)", flat):
+            return True
+    return False
 
 
 @pandas_udf(T.BooleanType())

@@ -61,3 +61,20 @@ def numbered(df: DataFrame, scene: list[str], order: list[str], label: str) -> D
     """Rows with labels such as <Picture 1> in order."""
     k = F.row_number().over(Window.partitionBy(*scene).orderBy(*order))
     return df.withColumn("label", F.format_string(f"<{label} %d>", k))
+
+
+def picture_specs(variants: DataFrame, views: DataFrame) -> DataFrame:
+    """One row for each picture to make: asset_id, entity, variant, view, n_scenes.
+
+    ``variants``: entity, variant, n_scenes, empty (no trait at all) and entity_type; ``views``: entity, views (array). Variants that no
+    scene shows are left out, as are empty ones of all but characters.
+    """
+    shown = variants.filter((F.col("n_scenes") > 0) & (~F.col("empty") | (F.col("entity_type") == "character")))
+    rows = shown.join(views.select("entity", F.explode("views").alias("view")), "entity")
+    asset = F.concat_ws("_", F.lit("PIC"), F.col("entity").cast("string"), F.upper("variant"), F.upper("view"))
+    return rows.select(asset.alias("asset_id"), "entity", "variant", "view", "n_scenes")
+
+
+def ordered_views(requested: Column, allowed: list[str]) -> Column:
+    """The requested views that are allowed, each once, in the allowed order."""
+    return F.array_intersect(F.array(*map(F.lit, allowed)), requested)

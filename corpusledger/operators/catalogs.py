@@ -200,10 +200,149 @@ def fragment_violations(fragments: DataFrame, events: DataFrame, keys: list[str]
     return foreign.unionByName(falling).unionByName(met.withColumn("rule", rule).filter("rule IS NOT NULL").select(*keys, "event_index", "rule"))
 
 
-def evidence_bundles(sequences: DataFrame, catalog: DataFrame, contexts: DataFrame) -> DataFrame:
-    """One row per sequence with what it may be judged by: its text, its entities and its context ids in order."""
+def phase_rows(sequences: DataFrame, chapter: str) -> DataFrame:
+    """One row for each phase of a sequence's adaptation (a struct of texts): chapter, sequence, phase, text, content_id; blank ones have none.
+
+    Phases of equal text keep ids of their own.
+    """
+    names = sequences.schema["adaptation"].dataType.names
+    phases = F.array(*[F.struct(F.lit(n).alias("phase"), F.col(f"adaptation.{n}").alias("text")) for n in names])
+    rows = sequences.select(chapter, "sequence", F.inline(phases)).filter(F.length(F.trim("text")) > 0)
+    return rows.withColumn("content_id", T.digest_id("", 24, F.col(chapter), F.col("sequence"), F.col("phase"), F.col("text")))
+
+
+def evidence_bundles(sequences: DataFrame, catalog: DataFrame, contexts: DataFrame, spatial: DataFrame | None = None) -> DataFrame:
+    """One row per sequence with what it may be judged by: its text, entities, context ids, phases and spatial plan.
+
+    ``sequences``: chapter_id, sequence and, if it has phases, adaptation (a struct of texts); ``catalog``: entity at an address;
+    ``contexts``: context_id at an address; ``spatial``: one struct ``spatial_plan`` at an address. What is missing is empty or null.
+    """
     keys = ["chapter_id", "sequence"]
     entities = catalog.groupBy(*keys).agg(F.array_sort(F.collect_set("entity")).alias("entities"))
     ids = contexts.groupBy(*keys).agg(F.array_sort(F.collect_set("context_id")).alias("context_ids"))
     none = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
-    return sequences.join(entities, keys, "left").join(ids, keys, "left").withColumn("entities", none("entities")).withColumn("context_ids", none("context_ids"))
+    out = sequences.join(entities, keys, "left").join(ids, keys, "left").withColumn("entities", F.coalesce("entities", F.array().cast(entities.schema["entities"].dataType))).withColumn("context_ids", none("context_ids"))
+    if "adaptation" in sequences.columns:
+        phases = phase_rows(sequences, "chapter_id").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("phase", "content_id"))).alias("phases"))
+        out = out.join(phases, keys, "left")
+    return out if spatial is None else out.join(spatial.select(*keys, "spatial_plan"), keys, "left")
+
+
+def bundle_violations(sequences: DataFrame, spatial: DataFrame, digest: str) -> DataFrame:
+    """Why a chapter's spatial plan cannot be bundled: chapter_id, sequence, rule. The plan covers every sequence once, from the same source.
+
+    ``spatial``: chapter_id, sequence, source_digest; ``digest``: the digest that the sequences were made from.
+    """
+    keys = ["chapter_id", "sequence"]
+    planned = spatial.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.bool_and(F.col("source_digest").eqNullSafe(F.lit(digest))).alias("_same"))
+    met = sequences.select(*keys).distinct().withColumn("_known", F.lit(True)).join(planned, keys, "full")
+    rule = F.when(F.col("_n").isNull(), "not_planned").when(F.col("_known").isNull(), "foreign_plan").when(F.col("_n") > 1, "planned_twice").when(~F.col("_same"), "stale_plan")
+    return met.select(*keys, rule.alias("rule")).filter("rule IS NOT NULL")
+
+
+def visible_locations(catalog: DataFrame) -> DataFrame:
+    """Entities of a catalog that are locations and visible."""
+    return catalog.filter((F.col("entity_type") == "location") & (F.col("presence") == "visible"))
+
+
+def spatial_inputs(sequences: DataFrame, states: DataFrame, catalog: DataFrame, seen: DataFrame, chapter: str = "chapter_id") -> DataFrame:
+    """What a chapter's spatial plan starts from, per sequence: chapter, sequence, previous_state, approved, choices.
+
+    ``states``: the final state planned for a sequence, the nearest earlier one is carried; ``approved``: locations visible there,
+    ``choices``: those, or all locations seen in the chapter if there is none. ``seen``: chapter, entity.
+    """
+    keys = [chapter, "sequence"]
+    approved = visible_locations(catalog).groupBy(*keys).agg(F.array_sort(F.collect_set("entity")).alias("approved"))
+    known = seen.groupBy(chapter).agg(F.array_sort(F.collect_set("entity")).alias("_seen"))
+    before = Window.partitionBy(chapter).orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
+    rows = sequences.select(*keys).join(states.select(*keys, F.col("final_state").alias("_state")), keys, "left").withColumn("previous_state", F.last("_state", ignorenulls=True).over(before))
+    rows = rows.join(approved, keys, "left").join(known, chapter, "left")
+    some = F.size(F.coalesce("approved", F.array())) > 0
+    return rows.select(*keys, "previous_state", F.coalesce("approved", F.array().cast(approved.schema["approved"].dataType)).alias("approved"), F.when(some, F.col("approved")).otherwise(F.col("_seen")).alias("choices"))
+
+
+def location_coverage(plans: DataFrame, catalog: DataFrame, views: DataFrame, bound: DataFrame, keys: list[str]) -> DataFrame:
+    """Locations that a scene's plan or images leave open: keys, entity, reason, detail.
+
+    A planned place that is not approved as visible there; a visible place without an image bound to the scene; a visible
+    place with images that were not all assigned (listed). ``plans``: keys, entity; ``views`` and ``bound``: keys, entity, asset_id.
+    """
+    here = [*keys, "entity"]
+    visible = visible_locations(catalog).select(*here).distinct()
+    astray = plans.filter("entity IS NOT NULL").select(*here).distinct().join(visible, here, "left_anti").select(*here, F.lit("spatial_location_not_approved").alias("reason"), F.lit("").alias("detail"))
+    bare = visible.join(views, here, "left_anti").select(*here, F.lit("missing_scene_binding").alias("reason"), F.lit("").alias("detail"))
+    left = views.join(visible, here, "left_semi").join(bound.select(*here, "asset_id"), [*here, "asset_id"], "left_anti")
+    lost = left.groupBy(*here).agg(F.array_join(F.array_sort(F.collect_set(F.col("asset_id").cast("string"))), ",").alias("detail"))
+    return astray.unionByName(bare).unionByName(lost.select(*here, F.lit("unassigned_location_image").alias("reason"), "detail"))
+
+
+def kind_summary(rows: DataFrame, group: list[str], kind: str, names: dict[str, str]) -> DataFrame:
+    """How many rows of each kind a group has, a column a kind."""
+    return rows.groupBy(*group).agg(*[F.count_if(F.col(kind) == k).alias(n) for k, n in names.items()])
+
+
+def ordered_union(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """Distinct values of a key in order of their first use: keys, values. Values are reduced before they are gathered."""
+    first = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min(order).alias("_first"))
+    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", value))), lambda x: x[value]).alias("values"))
+
+
+def selected(rows: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys are among the chosen ones, each once however often it is chosen."""
+    return rows.join(chosen.select(*keys), keys, "left_semi")
+
+
+def set_sides(left: DataFrame, right: DataFrame, id_col: str = "id") -> DataFrame:
+    """Distinct ids and which side has them: kind ('left', 'right' or 'both'), id."""
+    ids = left.select(id_col, F.lit(1).alias("_side")).unionByName(right.select(id_col, F.lit(2).alias("_side")))
+    sides = ids.groupBy(id_col).agg(F.bit_or("_side").alias("_s"))
+    return sides.select(F.when(F.col("_s") == 1, "left").when(F.col("_s") == 2, "right").otherwise("both").alias("kind"), id_col)
+
+
+def mentions(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, name_id: str, name_col: str) -> DataFrame:
+    """Texts that hold a name as whole words, whatever their case: id, name id.
+
+    Words are runs of letters. A text's phrases of as many words as some name has are compared with the names; the lengths of
+    names (few) are read first. Names without a word are in no text.
+    """
+    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda w: F.length(w) > 0)
+    asked = names.select(name_id, words(name_col).alias("_w")).filter(F.size("_w") > 0).select(name_id, F.size("_w").alias("_n"), F.array_join("_w", " ").alias("_phrase"))
+    lengths = sorted(r[0] for r in asked.select("_n").distinct().collect())
+    rows = texts.select(id_col, words(text_col).alias("_w"))
+    def phrases_of(n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))
+        return F.when(F.size("_w") >= n, each).otherwise(F.array().cast("array<string>"))
+
+    phrases = [phrases_of(n) for n in lengths]
+    every = F.array_distinct(F.flatten(F.array(*phrases))) if phrases else F.array().cast("array<string>")
+    return rows.select(id_col, F.explode(every).alias("_phrase")).join(asked, "_phrase").select(id_col, name_id)
+
+
+def scene_skeletons(sequences: DataFrame, catalog: DataFrame, period: str = "") -> DataFrame:
+    """A scene from each sequence before anything is decided about it: its text and event, and its visible locations.
+
+    ``sequences``: chapter_id, sequence, source, adaptation (a struct of texts with ``event``). A scene's location is the visible one if
+    there is exactly one. The period, trimmed, is added to the notes.
+    """
+    keys = ["chapter_id", "sequence"]
+    places = visible_locations(catalog).groupBy(*keys).agg(F.array_sort(F.collect_set("entity")).alias("visible_entities"))
+    met = sequences.join(places, keys, "left").withColumn("visible_entities", F.coalesce("visible_entities", F.array().cast(places.schema["visible_entities"].dataType)))
+    notes = F.concat(F.to_json("adaptation"), F.lit("\n" + period.strip() if period.strip() else ""))
+    title = F.concat(F.lit("Sequence "), F.lpad(F.col("sequence").cast("string"), F.greatest(F.lit(3), F.length(F.col("sequence").cast("string"))), F.lit("0")))
+    return met.select(*keys, title.alias("title"), F.col("source").alias("source_excerpt"), F.col("adaptation.event").alias("visual_event"), F.when(F.size("visible_entities") == 1, F.col("visible_entities")[0]).alias("location"), "visible_entities", notes.alias("adaptation_notes"))
+
+
+def with_metadata(scenes: DataFrame, repaired: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """Scenes whose metadata fields a repair replaces; the others keep theirs."""
+    new = repaired.select(*keys, F.struct(*fields).alias("_new"))
+    met = scenes.join(new, keys, "left")
+    return met.select(*[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in scenes.columns])
+
+
+def design_defaults(design: DataFrame, allowed: DataFrame, blocked: DataFrame, occupied: DataFrame, key: str = "entity") -> DataFrame:
+    """Design details that may stand: of a field that the entity's type allows, that is not blank, blocked or already described.
+
+    ``design``: key, entity_type, field, value; ``allowed``: entity_type, field; ``blocked`` and ``occupied``: key, field.
+    """
+    kept = design.filter(F.length(F.trim(F.coalesce("value", F.lit("")))) > 0).join(allowed, ["entity_type", "field"], "left_semi")
+    return kept.join(blocked.select(key, "field"), [key, "field"], "left_anti").join(occupied.select(key, "field"), [key, "field"], "left_anti").select(key, "field", "value")

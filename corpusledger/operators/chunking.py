@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import intervals
+from .lineage import numbered
 
 
 def paragraph_chunks(df: DataFrame, text_col: str, most: int, separator: str = r"\n\s*\n", joint: str = "\n\n", overlap: int = 0) -> DataFrame:
@@ -56,7 +57,12 @@ def spans_of_segments(ends: DataFrame, parts: DataFrame, keys: list[str], comple
     wrong = (F.col("end") <= F.col("_from")) | (F.col("end") > F.col("_n")) | ((F.col("_last") & (F.col("end") != F.col("_n"))) if complete else F.lit(False))
     bad = rows.filter(wrong).select(*keys, F.lit("span_order").alias("rule"), F.col("span_no").alias("detail"))
     good = rows.join(bad.select(*keys).distinct(), keys, "left_anti")
-    joined = good.join(parts, keys).filter((F.col("segment_no") > F.col("_from")) & (F.col("segment_no") <= F.col("end")))
+    # a segment belongs to the first span that ends at it or after it
+    steps = parts.join(bad.select(*keys).distinct(), keys, "left_anti").select(*keys, F.col("segment_no").alias("_at"), F.lit(0).alias("_stop"), "segment")
+    stops = good.select(*keys, F.col("end").alias("_at"), F.lit(1).alias("_stop"), "span_no")
+    ahead = Window.partitionBy(*keys).orderBy("_at", "_stop").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    placed = steps.unionByName(stops, allowMissingColumns=True).withColumn("span_no", F.first("span_no", ignorenulls=True).over(ahead))
+    joined = placed.filter("_stop = 0 AND span_no IS NOT NULL").withColumnRenamed("_at", "segment_no")
     texts = joined.groupBy(*keys, "span_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment_no", "segment"))), lambda s: s["segment"]), "").alias("span"))
     return texts, bad
 
@@ -130,17 +136,20 @@ def shared_contexts(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFram
 
     ``df``: keys, item, start_char, end_char. Spans that only touch stay apart.
     """
-    merged = intervals.merge(df, keys, "start_char", "end_char", touching=False).withColumnsRenamed({"start_char": "context_start", "end_char": "context_end"})
-    contexts = merged.withColumn("passage_id", F.row_number().over(Window.partitionBy(*keys).orderBy("context_start")))
-    refs = df.join(contexts, keys).filter((F.col("context_start") <= F.col("start_char")) & (F.col("end_char") <= F.col("context_end")))
-    return contexts, refs.select(*keys, "item", "passage_id", (F.col("start_char") - F.col("context_start")).alias("offset"))
+    rows = intervals.islands(df, keys, "start_char", "end_char", touching=False).withColumnRenamed("_island", "passage_id")
+    contexts = rows.groupBy(*keys, "passage_id").agg(F.min("start_char").alias("context_start"), F.max("end_char").alias("context_end"))
+    whole = Window.partitionBy(*keys, "passage_id")
+    return contexts, rows.select(*keys, "item", "passage_id", (F.col("start_char") - F.min("start_char").over(whole)).alias("offset"))
 
 
 def intern(df: DataFrame, value: str, order: list[str], least: int = 256) -> DataFrame:
-    """Dictionary of values that repeat and are long: value_id by first use, value, uses."""
+    """Dictionary of values that repeat and are long: value_id by first use, value, uses. The order is unique; values are numbered by it alone."""
     long = df.filter(F.length(value) >= least)
     kept = long.groupBy(value).agg(F.count(F.lit(1)).alias("uses"), F.min(F.struct(*order)).alias("_first")).filter("uses > 1")
-    return kept.select(F.row_number().over(Window.orderBy("_first")).alias("value_id"), value, "uses")
+    first = [f"_first.{c}" for c in order]
+    places = numbered(kept.select(*[F.col(f).alias(f"_o{i}") for i, f in enumerate(first)]), [], [f"_o{i}" for i in range(len(order))])
+    met = places.join(kept, [F.col(f) == F.col(f"_o{i}") for i, f in enumerate(first)])
+    return met.select(F.col("number").alias("value_id"), value, "uses")
 
 
 def top_costs(df: DataFrame, group: list[str], name: str, value: str, k: int = 5) -> DataFrame:
@@ -161,3 +170,16 @@ def halve(df: DataFrame, text_col: str, least: int = 500) -> DataFrame:
         )
     )
     return df.select(*[c for c in df.columns if c != text_col], F.inline(parts))
+
+
+def shrink_windows(df: DataFrame, size_col: str, least: int = 1000) -> DataFrame:
+    """Window sizes for what was left unread: half as large, ``least`` at least; what had the least size already is an error row (status)."""
+    size = F.col(size_col)
+    return df.withColumn("status", F.when(size <= least, "too_small").otherwise("retry")).withColumn(size_col, F.greatest(F.lit(least), F.floor(size / 2).cast("int")))
+
+
+def halve_groups(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Groups that overflowed in two halves, by order: part 0 has the smaller half of an odd number; a group of one stays whole (status)."""
+    w = Window.partitionBy(*group)
+    n, k = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(*order))
+    return df.withColumn("part", F.when(k <= F.floor(n / 2), 0).otherwise(1)).withColumn("status", F.when(n == 1, "too_small").otherwise("split"))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import checkpointed
+
 from ..functions.text import digest_id
 
 
@@ -49,14 +51,13 @@ def decide(requests: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame]
 
 def decide_with_retries(requests: DataFrame, key: str, function, schema: str, valid: Column, attempts: int, default: Column, partitions: int) -> DataFrame:
     """key, result, attempt, status: rows without exactly one valid answer are asked again, up to ``attempts`` times; then the default."""
-    spark, left, done = requests.sparkSession, requests, None
-    keep = (lambda d: d.checkpoint()) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else (lambda d: d.cache())
+    left, done = requests, None
     for attempt in range(1, attempts + 1):
-        answers = keep(decide(left.withColumn("attempt", F.lit(attempt)), function, schema, partitions))
+        answers = checkpointed(decide(left.withColumn("attempt", F.lit(attempt)), function, schema, partitions))
         once = answers.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first("result").alias("result")).filter("_n = 1").drop("_n").filter(valid)
-        good = keep(once.join(left.select(key), key, "left_semi").select(key, "result", F.lit(attempt).alias("attempt"), F.lit("decided").alias("status")))
+        good = checkpointed(once.join(left.select(key), key, "left_semi").select(key, "result", F.lit(attempt).alias("attempt"), F.lit("decided").alias("status")))
         done = good if done is None else done.unionByName(good)
-        left = keep(left.join(good, key, "left_anti"))
+        left = checkpointed(left.join(good, key, "left_anti"))
         if left.isEmpty():
             return done
     return done.unionByName(left.select(key, default.alias("result"), F.lit(attempts).alias("attempt"), F.lit("default").alias("status")))

@@ -7,9 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from ..functions.udfs import WORD
+from ..functions.udfs import words_in
 from . import intervals
-from .identity import checkpointed
 
 #: Words that often begin a sentence and are not names. Fixed values.
 COMMON_STARTS = """the a an he she it they we i his her their its this that these those
@@ -19,39 +18,61 @@ ce cet cette ces c'est l'homme l'autre l'une l'un puis mais et ou dans sur sous
 au aux en par pour sans avec quand lorsque chapter chapitre""".split()
 #: What may stand before a word that begins a sentence or a speech. Fixed values.
 SENTENCE_MARKS, STOPS = ".!?\n\"«—–-", ".!?"
+COMMON = frozenset(COMMON_STARTS)
 CLASSES, PERSISTENCE = ["explicit", "inferred", "contextual"], ["persistent", "temporary", "uncertain"]
 
 
-def judged_words(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """Every word with its folded name and how it is used: keys, name, start_char, end_char, candidate, interior, lowercase.
+#: Names that go to every task; more are joined.
+MOST_NAMES = 200_000
 
-    One Arrow pass; a row per word leaves Python with flags only. ``functions.udfs.Tokens`` gives the words themselves in SQL.
-    """
+
+def uses(word: str, before: str) -> tuple[str, bool, bool, bool]:
+    """The folded name of a word and whether it is a candidate, one inside a sentence, and seen in lower case."""
+    name = word.casefold()
+    candidate = word[0].isupper() and name not in COMMON
+    return name, candidate, candidate and before != "" and before not in SENTENCE_MARKS, word[0].islower() and before != "" and before not in STOPS
+
+
+def word_flags(texts: DataFrame, text_col: str) -> DataFrame:
+    """name, candidate, interior, lowercase: a row for each different name of a batch, with what any use of it was."""
+    names = ["name", "candidate", "interior", "lowercase"]
+    schema = S.StructType([S.StructField("name", S.StringType()), *[S.StructField(n, S.BooleanType()) for n in names[1:]]])
+
+    def work(batches):
+        for batch in batches:
+            seen: dict[str, list[bool]] = {}
+            for text in batch.column(0).to_pylist():
+                for _, _, word, before in words_in(text):
+                    name, *flags = uses(word, before)
+                    held = seen.setdefault(name, flags)
+                    if held is not flags:
+                        held[:] = [x or y for x, y in zip(held, flags, strict=True)]
+            columns = [list(seen), *([f[i] for f in seen.values()] for i in range(3))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), *[pa.bool_()] * 3], strict=True)], names=names)
+
+    return texts.select(text_col).mapInArrow(work, schema)
+
+
+def word_places(texts: DataFrame, keys: list[str], text_col: str, wanted=None) -> DataFrame:
+    """keys, name, start_char, end_char of every word whose name is in ``wanted`` (a broadcast set), or that may be a name at all."""
     rows = texts.select(*keys, text_col)
-    flags = [S.StructField(n, S.BooleanType()) for n in ("candidate", "interior", "lowercase")]
-    places = [S.StructField("start_char", S.IntegerType()), S.StructField("end_char", S.IntegerType())]
-    schema = S.StructType([*[rows.schema[k] for k in keys], S.StructField("name", S.StringType()), *places, *flags])
-    common, marks = frozenset(COMMON_STARTS), frozenset(SENTENCE_MARKS)
+    schema = S.StructType([*[rows.schema[k] for k in keys], S.StructField("name", S.StringType()), S.StructField("start_char", S.IntegerType()), S.StructField("end_char", S.IntegerType())])
 
     def batch_of(batch, found):
-        columns = list(zip(*found, strict=True)) if found else [()] * 7
+        columns = list(zip(*found, strict=True)) if found else [()] * 4
         at = pa.array(columns[0], pa.int64())
-        kinds = (pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_())
-        arrays = [batch.column(i).take(at) for i in range(len(keys))] + [pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True)]
+        arrays = [batch.column(i).take(at) for i in range(len(keys))] + [pa.array(c, t) for c, t in zip(columns[1:], (pa.string(), pa.int32(), pa.int32()), strict=True)]
         return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     def work(batches):
+        names = None if wanted is None else wanted.value
         for batch in batches:
             found = []
             for i, text in enumerate(batch.column(len(keys)).to_pylist()):
-                for m in WORD.finditer(text or ""):
-                    start, end = m.span()
-                    word = m.group()
-                    if len(word) > 2 and word[0] in "ldLD" and word[1] in "-\u2019'" and word[1] != "-":
-                        word = word[2:]
-                    name, before = word.casefold(), text[max(0, start - 64) : start].rstrip()[-1:]
-                    candidate = word[0].isupper() and name not in common
-                    found.append((i, name, start, end, candidate, bool(candidate and before and before not in marks), word[0].islower() and before not in ("", ".", "!", "?")))
+                for start, end, word, _ in words_in(text):
+                    name = word.casefold()
+                    if name in names if names is not None else name not in COMMON:
+                        found.append((i, name, start, end))
                 if len(found) > 200_000:
                     yield batch_of(batch, found)
                     found = []
@@ -64,12 +85,15 @@ def index_names(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """Occurrences of the corpus's names: keys, name, start_char, end_char.
 
     A name is a capitalized word that is no common starter, unless it is also seen in lower case and never capitalized
-    inside a sentence. The flags are combined over the whole corpus before the shuffle, one row a word and task.
+    inside a sentence. The first pass sends one row for each different word of a batch to the shuffle. Up to MOST_NAMES
+    names then go to all tasks and only their places leave Python; more are joined to the places of all words but starters.
     """
-    words = judged_words(texts, keys, text_col)
-    flags = words.groupBy("name").agg(F.bool_or("candidate").alias("_c"), F.bool_or("interior").alias("_i"), F.bool_or("lowercase").alias("_l"))
+    flags = word_flags(texts, text_col).groupBy("name").agg(F.bool_or("candidate").alias("_c"), F.bool_or("interior").alias("_i"), F.bool_or("lowercase").alias("_l"))
     names = flags.filter(F.col("_c") & (~F.col("_l") | F.col("_i"))).select("name")
-    return words.join(names, "name", "left_semi").select(*keys, "name", "start_char", "end_char")
+    held = names.limit(MOST_NAMES + 1).collect()
+    if len(held) <= MOST_NAMES:
+        return word_places(texts, keys, text_col, texts.sparkSession.sparkContext.broadcast({r[0] for r in held}))
+    return word_places(texts, keys, text_col).join(names, "name", "left_semi").select(*keys, "name", "start_char", "end_char")
 
 
 def warnings(rows: DataFrame) -> DataFrame:
@@ -87,6 +111,12 @@ def warnings(rows: DataFrame) -> DataFrame:
     return rows.withColumn("warnings", F.array_compact(F.array(*[F.when(test, F.lit(text)) for test, text in rules])))
 
 
+def review_report(rows: DataFrame, group: list[str], sound) -> DataFrame:
+    """Per group how many observations there are, how many a review must see, and how many are sound (a condition) without a warning."""
+    warned = F.size("warnings") > 0
+    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("total"), F.count_if(warned).alias("to_review"), F.count_if(sound & ~warned).alias("corrected"))
+
+
 def locate_observations(observations: DataFrame, spans: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(located, dropped): each place of an observation once, whatever passage found it first.
 
@@ -126,18 +156,6 @@ def buckets(classification: Column, persistence: Column) -> Column:
     return F.when(classification == "inferred", "inferred").when(persistence == "temporary", "temporary").when(persistence == "persistent", "stable").otherwise("other")
 
 
-#: Body cue -> traits that it may support. Fixed values.
-BODY_CUES = {"eye": ["eye_color", "eye_shape"], "eyes": ["eye_color", "eye_shape"], "yeux": ["eye_color", "eye_shape"], "hair": ["hair_color", "hair_style"], "cheveux": ["hair_color", "hair_style"], "skin": ["skin_tone"], "peau": ["skin_tone"], "beard": ["facial_hair"], "barbe": ["facial_hair"]}
-
-
-def trait_violations(rows: DataFrame) -> DataFrame:
-    """Observations whose quotation names a body part that their trait is not about: evidence_id, rule, detail."""
-    cues = rows.sparkSession.createDataFrame([(k, v) for k, v in BODY_CUES.items()], "cue string, traits array<string>")
-    words = rows.select("evidence_id", "trait", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("quotation"), F.lit(r"[\p{L}]+"), F.lit(0)))).alias("cue"))
-    met = words.join(F.broadcast(cues), "cue").groupBy("evidence_id", "trait").agg(F.array_distinct(F.flatten(F.collect_list("traits"))).alias("_t"), F.array_sort(F.collect_set("cue")).alias("_c"))
-    return met.filter(~F.array_contains("_t", F.col("trait"))).select("evidence_id", F.lit("trait_subject").alias("rule"), F.array_join("_c", ",").alias("detail"))
-
-
 def drop_targets(rows: DataFrame, targets: DataFrame, keys: list[str], array_col: str) -> DataFrame:
     """Rows whose array lost the elements (1-based numbers) that a review names; an array may become empty."""
     marked = targets.groupBy(*keys).agg(F.collect_set("number").alias("_t"))
@@ -151,15 +169,3 @@ def drop_target_rows(traits: DataFrame, targets: DataFrame, keys: list[str]) ->
     return traits.join(targets.select(*keys, "number").distinct(), [*keys, "number"], "left_anti")
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Rows with number: their place (from 1) within their keys, by order; keys and order together are unique and not null.
-
-    Rows are dealt by ranges of keys and order and numbered within a range; what earlier ranges hold of the keys is added, so
-    a key with very many rows is not one task's.
-    """
-    # the range is stored with the row: dealt again, rows could fall into other ranges
-    dealt = checkpointed(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
-    counts = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_n")).drop("_n")
-    place = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
-    return dealt.withColumn("_k", place).join(before, [*keys, "_range"]).withColumn("number", (F.col("_k") + F.col("_before"))).drop("_k", "_before", "_range")

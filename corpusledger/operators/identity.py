@@ -8,17 +8,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.udfs import alias_link, seq_ratio
+from .lineage import checkpointed, numbered
 
-#: Names that share a block at most; a larger block is reported, not dropped: its names meet by their other blocks or in salted parts.
+#: Candidates of an entity at most; a pool that is taken whole; the least score; how many are taken without one.
 MOST_CANDIDATES, WHOLE_POOL, FLOOR, FALLBACK = 12, 35, 0.15, 3
+#: Names of a block that meet in one task; a larger block is dealt into parts that meet each other.
+BLOCK_NAMES = 2000
 THRESHOLD, MOST_CLUSTER = 0.68, 24
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the cluster names for checkpoints; without one the plan is kept."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.cache()
-
-
 def jaccard(a: Column, b: Column) -> Column:
     """Token overlap of two name keys; empty ones have none."""
     x, y = (F.array_distinct(F.filter(F.split(c, " "), lambda t: F.length(t) > 0)) for c in (a, b))
@@ -46,8 +44,12 @@ def similar_pairs(entities: DataFrame, id_col: str, type_col: str, name_col: str
     """
     kept = names_of(entities, id_col, name_col, aliases_col).join(entities.select(id_col, F.col(type_col).alias("_type")), id_col)
     distinct = blocks(kept.select("_type", "name").distinct())
-    left, right = distinct.withColumnRenamed("name", "x"), distinct.withColumnRenamed("name", "y")
-    pairs = left.join(right, ["_type", "block"]).filter("x < y").select("_type", "x", "y").distinct()
+    sizes = distinct.groupBy("_type", "block").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    parts = F.ceil(F.col("_n") / BLOCK_NAMES)
+    dealt = distinct.join(sizes, ["_type", "block"])
+    left = dealt.select("_type", "block", F.col("name").alias("x"), F.pmod(F.xxhash64("name"), parts).alias("_part"))
+    right = dealt.select("_type", "block", F.col("name").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_part"))
+    pairs = left.join(right, ["_type", "block", "_part"]).filter("x < y").select("_type", "x", "y").distinct()
     score = F.greatest(jaccard(F.col("x"), F.col("y")), seq_ratio("x", "y")) if ratio else jaccard(F.col("x"), F.col("y"))
     return pairs.withColumn("score", score).filter(F.col("score") >= threshold)
 
@@ -101,21 +103,32 @@ def top_candidates(incoming: DataFrame, pool: DataFrame, type_col: str = "kind",
     """Candidates of each incoming entity in its type, by score and then the pool's order: in_id, pool_id, score, place.
 
     ``incoming``: in_id, type, in_name; ``pool``: pool_id, type, pool_name. A small pool is taken whole; else those with a
-    score of FLOOR or more, or the best FALLBACK if there are none. Distinct names are compared per type, and incoming
-    entities of one name share its candidates.
+    score of FLOOR or more, or the best FALLBACK if there are none. Distinct names meet by the words that they share, so names of
+    a type that share none are not compared; incoming entities of one name share its candidates. Two empty names are equal.
     """
     left = incoming.withColumn("in_key", T.name_key(F.col("in_name")))
     right = pool.withColumn("pool_key", T.name_key(F.col("pool_name")))
-    sizes = right.groupBy(type_col).agg(F.count(F.lit(1)).alias("_pool"))
-    scored = left.select(type_col, "in_key").distinct().join(right.select(type_col, "pool_key").distinct(), type_col).withColumn("score", F.when(F.col("in_key") == F.col("pool_key"), 1.0).otherwise(jaccard(F.col("in_key"), F.col("pool_key"))))
-    # of a pool name at most `whole` entities can be among the first, so no more are carried
+    small = right.groupBy(type_col).agg(F.count(F.lit(1)).alias("_pool")).filter(F.col("_pool") <= whole).select(type_col)
+
+    def tokens(rows: DataFrame, key: str, count: str) -> DataFrame:
+        words = F.array_distinct(F.split(key, " "))
+        return rows.select(type_col, key).distinct().select(type_col, key, F.size(words).alias(count), F.explode(words).alias("_word"))
+
+    shared = tokens(left, "in_key", "_x").join(tokens(right, "pool_key", "_y"), [type_col, "_word"]).groupBy(type_col, "in_key", "pool_key", "_x", "_y").agg(F.count(F.lit(1)).alias("_s"))
+    scored = shared.select(type_col, "in_key", "pool_key", (F.col("_s") / (F.col("_x") + F.col("_y") - F.col("_s"))).alias("score"))
+    # of a pool name at most so many entities can be among the first, so no more are carried
     first = F.row_number().over(Window.partitionBy(type_col, "pool_key").orderBy("pool_id"))
-    short = right.withColumn("_k", first).filter(F.col("_k") <= max(most, whole)).drop("_k")
-    rows = scored.join(short.select(type_col, "pool_key", "pool_id"), [type_col, "pool_key"]).join(F.broadcast(sizes), type_col)
+    short = right.withColumn("_k", first).filter(F.col("_k") <= max(most, whole)).select(type_col, "pool_key", "pool_id")
+    found = scored.join(short, [type_col, "pool_key"]).select(type_col, "in_key", "pool_id", "score")
+    # every name is also given the whole of a small pool, or the first of a large one, without a score
+    names, ids = left.select(type_col, "in_key").distinct(), F.row_number().over(Window.partitionBy(type_col).orderBy("pool_id"))
+    start = right.withColumn("_k", ids).filter(F.col("_k") <= max(whole, FALLBACK)).join(small.withColumn("_small", F.lit(True)), type_col, "left")
+    start = start.filter(F.col("_small") | (F.col("_k") <= FALLBACK)).select(type_col, "pool_id", F.lit(0.0).alias("score"))
+    rows = found.unionByName(names.join(start, type_col)).groupBy(type_col, "in_key", "pool_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy(type_col, "in_key").orderBy(F.desc("score"), "pool_id"))
     over = F.count_if(F.col("score") >= FLOOR).over(Window.partitionBy(type_col, "in_key"))
-    marked = rows.withColumn("place", rank).withColumn("_over", over)
-    keep = (F.col("_pool") <= whole) | ((F.col("place") <= most) & (F.col("score") >= FLOOR)) | ((F.col("_over") == 0) & (F.col("place") <= FALLBACK))
+    marked = rows.withColumn("place", rank).withColumn("_over", over).join(small.withColumn("_small", F.lit(True)), type_col, "left")
+    keep = F.col("_small") | ((F.col("place") <= most) & (F.col("score") >= FLOOR)) | ((F.col("_over") == 0) & (F.col("place") <= FALLBACK))
     return left.join(marked.filter(keep), [type_col, "in_key"]).select("in_id", "pool_id", "score", "place")
 
 
@@ -134,11 +147,10 @@ def apply_merges(entities: DataFrame, groups: DataFrame, id_col: str, type_col:
 
 
 def assign_ids(rows: DataFrame, taken: DataFrame, type_col: str, order: list[str], prefix: Column) -> DataFrame:
-    """Rows with global_id ``PREFIX_001`` numbered per type after the largest number taken; ``taken``: type, number."""
+    """Rows with global_id ``PREFIX_001`` numbered per type after the largest number taken; ``taken``: type, number. The order is unique within a type."""
     start = taken.groupBy(type_col).agg(F.max("number").alias("_max"))
-    number = F.row_number().over(Window.partitionBy(type_col).orderBy(*order))
-    joined = rows.withColumn("_k", number).join(start, type_col, "left").withColumn("_k", (F.col("_k") + F.coalesce("_max", F.lit(0))).cast("string"))
-    return joined.withColumn("global_id", F.concat(prefix, F.lit("_"), F.lpad("_k", F.greatest(F.lit(3), F.length("_k")), F.lit("0")))).drop("_k", "_max")
+    joined = numbered(rows, [type_col], order).join(start, type_col, "left").withColumn("_k", (F.col("number") + F.coalesce("_max", F.lit(0))).cast("string"))
+    return joined.withColumn("global_id", F.concat(prefix, F.lit("_"), F.lpad("_k", F.greatest(F.lit(3), F.length("_k")), F.lit("0")))).drop("number", "_k", "_max")
 
 
 def unambiguous(aliases: DataFrame, id_col: str, alias_col: str, keys: list[str]) -> DataFrame:
@@ -200,6 +212,68 @@ def alias_edges(names: DataFrame, contexts: DataFrame, keys: list[str]) -> DataF
     return pairs.filter(alias_link("x", "y", "context")).select(*keys, "x", "y").distinct()
 
 
+def dossier_pairs(labels: DataFrame, quotes: DataFrame, compared: DataFrame, blocked: DataFrame, bridges: DataFrame, group: str = "group") -> DataFrame:
+    """Pairs of dossiers worth comparing: a, b (a < b).
+
+    Two dossiers are, if they share a label or a quotation of one names a label of the other, and some label of one is connected
+    with a label of the other by necessary alias links; pairs compared before or kept apart are left out. ``labels``: group, label;
+    ``quotes``: group, quotation; ``compared`` and ``blocked``: a, b in any order; ``bridges``: label, component (``components`` of
+    ``alias_edges``; a label without an edge is a component of its own).
+    """
+    from .catalogs import mentions
+
+    own = labels.select(group, "label").filter("label IS NOT NULL").distinct()
+    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
+    a, b = own.withColumnRenamed(group, "a"), own.withColumnRenamed(group, "b")
+    same = a.join(b, "label").filter("a < b").select("a", "b")
+    names = own.select("label").distinct().withColumn("_name", F.col("label"))
+    named = mentions(quotes, names, group, "quotation", "label", "_name").withColumnRenamed(group, "a").join(b, "label").select("a", "b")
+    met = ordered(same.unionByName(named)).join(ordered(compared.unionByName(blocked)), ["a", "b"], "left_anti")
+    parts = own.join(bridges.select("label", F.col("component").cast("string").alias("_c")), "label", "left").select(group, F.coalesce("_c", F.concat(F.lit("label:"), "label")).alias("_c")).distinct()
+    joined = met.join(parts.toDF("a", "_c"), "a").join(parts.toDF("b", "_d"), "b").filter("_c = _d")
+    return joined.select("a", "b").distinct()
+
+
+def partition_violations(partition: DataFrame, supports: DataFrame, records: DataFrame, links: DataFrame) -> DataFrame:
+    """Broken rules of a partition of evidence into profiles: profile (null for an id in none), evidence_id, rule.
+
+    Every id is in one profile; a profile's name is a label of its evidence; an ambiguous one has one id; its support is explicit
+    evidence of its own, and connects all its labels. ``partition``: profile, evidence_id, canonical_name, identity_status;
+    ``supports``: profile, evidence_id; ``records``: evidence_id, character, classification; ``links``: profile, x, y (the labels that
+    contexts of its support show to be one, from ``alias_edges``).
+    """
+    row = lambda df, rule: df.select("profile", "evidence_id", F.lit(rule).alias("rule"))
+    nobody, nothing = F.lit(None).cast(partition.schema["profile"].dataType), F.lit(None).cast(partition.schema["evidence_id"].dataType)
+    uses = partition.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("evidence_id")))
+    known = uses.join(records, "evidence_id", "left")
+    missing = records.join(partition, "evidence_id", "left_anti").select(nobody.alias("profile"), "evidence_id")
+    whole = known.groupBy("profile").agg(F.count(F.lit(1)).alias("_n"), F.bool_or(F.col("identity_status") == "ambiguous").alias("_a"), F.bool_or(F.col("character").eqNullSafe(F.col("canonical_name"))).alias("_named"))
+    whole = whole.withColumn("evidence_id", nothing)
+    support = supports.join(partition.select("profile", "evidence_id", F.lit(True).alias("_own")), ["profile", "evidence_id"], "left").join(records, "evidence_id", "left")
+    labels = known.filter("character IS NOT NULL").select("profile", F.col("character").alias("label")).distinct()
+    node = lambda c: F.struct("profile", F.col(c).alias("label"))
+    parts = components(links.select(node("x").alias("a"), node("y").alias("b")), labels.select(node("label").alias("id")))
+    apart = parts.groupBy(F.col("id.profile").alias("profile")).agg(F.count_distinct("component").alias("_parts")).filter("_parts > 1").withColumn("evidence_id", nothing)
+    return (
+        row(missing, "missing_id")
+        .unionByName(row(known.filter("_n > 1"), "repeated_id"))
+        .unionByName(row(known.filter("character IS NULL"), "foreign_id"))
+        .unionByName(row(whole.filter("NOT _named"), "name_not_supplied"))
+        .unionByName(row(whole.filter("_a AND _n > 1"), "ambiguous_merge"))
+        .unionByName(row(support.filter("_own IS NULL"), "foreign_support"))
+        .unionByName(row(support.filter("_own AND NOT classification <=> 'explicit'"), "weak_support"))
+        .unionByName(row(apart, "labels_not_connected"))
+    )
+
+
+def profiles_of(partition: DataFrame, records: DataFrame, violations: DataFrame) -> DataFrame:
+    """The profiles that break no rule: profile, local_id, canonical_name, aliases, evidence_ids; the id follows from the evidence alone."""
+    sound = partition.join(violations.filter("profile IS NOT NULL").select("profile").distinct(), "profile", "left_anti").join(records.select("evidence_id", "character"), "evidence_id")
+    rows = sound.groupBy("profile").agg(F.min("canonical_name").alias("canonical_name"), F.array_sort(F.collect_set("character")).alias("_l"), F.array_sort(F.collect_set("evidence_id")).alias("evidence_ids"))
+    ids = T.digest_id("char_", 24, F.array_join(F.transform("evidence_ids", lambda x: x.cast("string")), "\u001e"))
+    return rows.select("profile", ids.alias("local_id"), "canonical_name", F.array_remove("_l", F.col("canonical_name")).alias("aliases"), "evidence_ids")
+
+
 def constrained_merge(decisions: DataFrame, keys: list[str]) -> DataFrame:
     """keys, id, component: "same" edges joined in order unless a "different" decision stands between the two parts.
 

@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def islands(df: DataFrame, keys: list[str], start: str, end: str, touching: bool = True) -> DataFrame:
+    """The rows that are not empty, with _island: the number (from 1, in order) of the union that holds them, per key."""
+    order = Window.partitionBy(*keys).orderBy(start, end)
+    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = reach.isNull() | ((reach < F.col(start)) if touching else (reach <= F.col(start)))
+    marked = df.filter(F.col(start) < F.col(end)).withColumn("_new", apart.cast("int"))
+    # equal intervals count together
+    return marked.withColumn("_island", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
+
+
 def merge(df: DataFrame, keys: list[str], start: str, end: str, touching: bool = True) -> DataFrame:
     """Unions of overlapping intervals per key; with ``touching`` also of those that share an end. Empty ones vanish; null bounds too."""
-    rows = df.filter(F.col(start) < F.col(end)).select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"))
-    order = Window.partitionBy(*keys).orderBy("_s", "_e")
-    reach = F.max("_e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    apart = reach.isNull() | ((reach < F.col("_s")) if touching else (reach <= F.col("_s")))
-    marked = rows.withColumn("_new", apart.cast("int"))
-    island = F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))  # equal intervals count together
-    return marked.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min("_s").alias(start), F.max("_e").alias(end)).drop("_island")
+    marked = islands(df.select(*keys, start, end), keys, start, end, touching)
+    return marked.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
 def coverage(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:

@@ -75,6 +75,13 @@ def spread_doubts(reviews: DataFrame, targets: DataFrame, key: str) -> DataFrame
 
 #: Lint limits. Fixed values.
 MOST_WORDS, SHOT_SECONDS = 540, 2.5
+def order_violations(rows: DataFrame, keys: list[str], order: str, first: int = 1) -> DataFrame:
+    """Rows that break a numbering which must rise by one from ``first``: keys, order, rule ('not_increasing' or 'gap')."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    seen = rows.select(*keys, order, (F.row_number().over(w) - 1 + first).alias("_k"), F.lag(order).over(w).alias("_p"))
+    return seen.filter(F.col(order) != F.col("_k")).select(*keys, order, F.when(F.col(order) <= F.col("_p"), "not_increasing").otherwise("gap").alias("rule"))
+
+
 LABELS = ("Subject", "Picture", "Audio", "Video")
 
 

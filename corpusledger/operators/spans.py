@@ -7,48 +7,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.udfs import find_spans
-from ..functions import text as T
 
-#: Quotes that one job takes; they travel to every task.
+#: Quotes that one pass over the texts takes; they travel to every task of it.
 MOST_QUOTES = 20_000
+PLACES = "{0} long, {1} long, start_char int, end_char int, start_line int, end_line int, wording string, leads boolean, closing_start int, n_chars int"
 
 
-def locate(texts: DataFrame, quotes: DataFrame, id_col: str, text_col: str, quote_id: str, quote_col: str) -> DataFrame:
-    """Every place of every quote: id, quote id, start_char, end_char (0-based, end exclusive), overlapping ones included.
+def details(text: str, start: int, end: int) -> tuple:
+    """Lines (1-based, of the last character), own wording, whether only white space stands before, the start moved left over
+    white space if only white space follows, and the length of the text."""
+    lines = text.count("\n", 0, start) + 1
+    closing = len(text[:start].rstrip()) if not text[end:].strip() else None
+    return start, end, lines, lines + text.count("\n", start, end - 1), text[start:end], not text[:start].strip(), closing, len(text)
 
-    The longest word of each quote goes into one automaton; a text is read once, and only quotes whose word it holds
-    are searched. Null and blank quotes or texts have no place. More than MOST_QUOTES quotes raise an error.
-    """
+
+def places(texts: DataFrame, quotes: list, id_col: str, text_col: str, quote_id: str) -> DataFrame:
+    """One pass: every place of the given (id, quote) pairs with its details."""
     import ahocorasick
 
-    given = [(r[0], r[1]) for r in quotes.select(quote_id, quote_col).limit(MOST_QUOTES + 1).collect()]
-    if len(given) > MOST_QUOTES:
-        raise ValueError(f"more than {MOST_QUOTES} quotes; split the table")
     keyed: dict[str, list[int]] = {}
-    for k, (_, quote) in enumerate(given):
+    for k, (_, quote) in enumerate(quotes):
         if (quote or "").split():
             keyed.setdefault(max(quote.split(), key=len), []).append(k)
+    schema = PLACES.format(id_col, quote_id)
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    names, types = zip(*[x.split() for x in schema.split(", ")], strict=True)
 
     def work(batches):
         automaton = ahocorasick.Automaton()
-        for word, places in keyed.items():
-            automaton.add_word(word, places)
+        for word, at in keyed.items():
+            automaton.add_word(word, at)
         automaton.make_automaton()
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hits = {k for _, places in automaton.iter(text) for k in places} if text and keyed else ()
-                out += [(doc, given[k][0], s, e) for k in sorted(hits) for s, e in find_spans(text, given[k][1])]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=[id_col, quote_id, "start_char", "end_char"])
+                hits = {k for _, at in automaton.iter(text) for k in at} if text and keyed else ()
+                out += [(doc, quotes[k][0], *details(text, s, e)) for k in sorted(hits) for s, e in find_spans(text, quotes[k][1])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[t]) for i, t in enumerate(types)], names=list(names))
+
+    return texts.select(F.col(id_col).cast("long"), text_col).mapInArrow(work, schema)
+
+
+def locate(texts: DataFrame, quotes: DataFrame, id_col: str, text_col: str, quote_id: str, quote_col: str) -> DataFrame:
+    """Every place of every quote, overlapping ones included, with what the text tells about it (PLACES): offsets from 0, end exclusive.
 
-    rows = texts.select(F.col(id_col).cast("long"), text_col)
-    return rows.mapInArrow(work, f"{id_col} long, {quote_id} long, start_char int, end_char int")
+    The longest word of each quote goes into one automaton; a text is read once, and only quotes whose word it holds
+    are searched. Null and blank quotes or texts have no place. More than MOST_QUOTES quotes are dealt into parts, and the texts
+    are read once for each.
+    """
+    given = quotes.select(F.col(quote_id).cast("long"), quote_col)
+    parts = max(1, -(-given.count() // MOST_QUOTES))
+    out = None
+    for part in range(parts):
+        some = [tuple(r) for r in given.filter(F.pmod(F.xxhash64(quote_id, quote_col), F.lit(parts)) == part).collect()]
+        found = places(texts, some, id_col, text_col, quote_id)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
-def with_lines(spans: DataFrame, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Add start_line and end_line (1-based, of the last character)."""
-    joined = spans.join(texts.select(id_col, text_col), id_col)
-    return joined.select(*spans.columns, T.line_of(F.col(text_col), F.col("start_char")).alias("start_line"), T.line_of(F.col(text_col), F.col("end_char") - 1).alias("end_line"))
+def with_lines(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Places with their lines."""
+    return spans.select(*keys, "start_char", "end_char", "start_line", "end_line")
 
 
 def unique(spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,23 +76,28 @@ def unique(spans: DataFrame, keys: list[str]) -> DataFrame:
     return once.filter("_n = 1").drop("_n")
 
 
-def restored(spans: DataFrame, texts: DataFrame, id_col: str, text_col: str, keys: list[str]) -> DataFrame:
+def restored(spans: DataFrame, keys: list[str]) -> DataFrame:
     """The text's own wording of a quote, if all its places agree."""
-    cut = spans.join(texts.select(id_col, text_col), id_col).withColumn("_w", F.substring(F.col(text_col), F.col("start_char") + 1, F.col("end_char") - F.col("start_char")))
-    return cut.groupBy(*keys).agg(F.min("_w").alias("wording"), F.max("_w").alias("_x")).filter("wording = _x").drop("_x")
+    return spans.groupBy(*keys).agg(F.min("wording").alias("wording"), F.max("wording").alias("_x")).filter("wording = _x").drop("_x")
+
+
+def anchored(spans: DataFrame, quotes: DataFrame, keys: list[str], quote_id: str, quote_col: str) -> DataFrame:
+    """The quote to keep for each text: itself if it stands there word for word, else the one wording that stands for it: keys, quote.
+
+    A quote that agrees with the text only after normalization is repaired only if all its places read the same.
+    """
+    met = spans.join(quotes.select(F.col(quote_id).cast("long").alias(quote_id), F.col(quote_col).alias("_q")), quote_id)
+    one = met.groupBy(*keys).agg(F.max(F.when(F.col("wording") == F.col("_q"), F.col("_q"))).alias("_same"), F.min("wording").alias("_lo"), F.max("wording").alias("_hi"))
+    return one.select(*keys, F.coalesce("_same", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo"))).alias("quote")).filter("quote IS NOT NULL")
 
 
-def prefix_span(spans: DataFrame, texts: DataFrame, id_col: str, text_col: str, keys: list[str]) -> DataFrame:
+def prefix_span(spans: DataFrame, keys: list[str]) -> DataFrame:
     """First places that nothing but white space precedes."""
-    first = spans.groupBy(*keys).agg(F.min(F.struct("start_char", "end_char")).alias("_s")).select(*keys, "_s.*")
-    joined = first.join(texts.select(id_col, text_col), id_col)
-    return joined.filter(F.trim(F.regexp_replace(F.left(text_col, F.col("start_char")), r"(?U)\s+", " ")) == "").select(*keys, F.lit(0).alias("start_char"), "end_char")
+    first = spans.groupBy(*keys).agg(F.min(F.struct("start_char", "end_char", "leads")).alias("_s")).select(*keys, "_s.*")
+    return first.filter("leads").select(*keys, F.lit(0).alias("start_char"), "end_char")
 
 
-def suffix_span(spans: DataFrame, texts: DataFrame, id_col: str, text_col: str, keys: list[str]) -> DataFrame:
+def suffix_span(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Last places that reach the end, white space aside; the start is moved left over white space."""
-    last = spans.groupBy(*keys).agg(F.max(F.struct("start_char", "end_char")).alias("_s")).select(*keys, "_s.*")
-    joined = last.join(texts.select(id_col, text_col), id_col)
-    rest = F.regexp_replace(F.substring(F.col(text_col), F.col("end_char") + 1, F.length(text_col)), r"(?U)\s+", "")
-    before = F.regexp_replace(F.left(text_col, F.col("start_char")), r"(?U)\s+$", "")
-    return joined.filter(rest == "").select(*keys, F.length(before).alias("start_char"), F.length(text_col).alias("end_char"))
+    last = spans.groupBy(*keys).agg(F.max(F.struct("start_char", "end_char", "closing_start", "n_chars")).alias("_s")).select(*keys, "_s.*")
+    return last.filter("closing_start IS NOT NULL").select(*keys, F.col("closing_start").alias("start_char"), F.col("n_chars").alias("end_char"))

@@ -176,12 +176,62 @@ def unbounded_facts(updates: DataFrame, resets: DataFrame, chapter: str = "chapt
     steps = keyed.select(chapter, "_key", "sequence").distinct()
     by_entity = Window.partitionBy(chapter, "_key").orderBy("sequence")
     steps = steps.withColumn("_next", F.lead("sequence").over(by_entity))
-    cuts = resets.filter("reset").select(chapter, F.col("sequence").alias("_cut"))
-    ends = steps.join(cuts, chapter, "left").groupBy(chapter, "_key", "sequence").agg(F.min("_next").alias("_next"), F.min(F.when(F.col("_cut") > F.col("sequence"), F.col("_cut"))).alias("_cut"))
+    # the next reset, over the chapter's resets and steps together
+    marks = steps.select(chapter, "sequence").distinct().unionByName(resets.filter("reset").select(chapter, "sequence", F.col("sequence").alias("_reset")), allowMissingColumns=True)
+    later = Window.partitionBy(chapter).orderBy("sequence").rangeBetween(1, Window.unboundedFollowing)
+    cuts = marks.withColumn("_cut", F.min("_reset").over(later)).groupBy(chapter, "sequence").agg(F.min("_cut").alias("_cut"))
+    ends = steps.join(cuts, [chapter, "sequence"])
     ends = ends.withColumn("until_sequence", F.least("_next", "_cut"))
     return keyed.join(ends.select(chapter, "_key", "sequence", "until_sequence"), [chapter, "_key", "sequence"]).drop("_key")
 
 
+def previous(rows: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
+    """Rows with previous_<column> of the row before them, per key and in order."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    return rows.withColumns({f"previous_{c}": F.lag(c).over(w) for c in columns})
+
+
+def around(rows: DataFrame, keys: list[str], order: str, value: Column) -> DataFrame:
+    """Rows with history and future: the values of all rows before and after, in order. The output grows with the square of a key's
+    rows by its definition."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    past, later = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    return rows.withColumns({"history": F.collect_list(value).over(past), "future": F.collect_list(value).over(later)})
+
+
+def resume(committed: DataFrame, texts: DataFrame, saved: DataFrame, chapter: str = "chapter_id") -> DataFrame:
+    """What of a saved run may stand: chapter, cursor, n_sequences, rule (null if all of it may).
+
+    Committed sequences must be numbered from 1 without a gap, together be the beginning of the chapter's text of today, and
+    replay to the saved ledger; else the rule says which it is and the cursor is 0, so the chapter starts again. A chapter
+    without committed sequences starts at 0. ``committed``: chapter, sequence, source; ``texts``: chapter, text; ``saved``: chapter,
+    saved_digest of the saved ledger and replayed_digest of the one that ``fact_ledger`` gives for the committed sequences.
+    """
+    parts = committed.groupBy(chapter).agg(
+        F.count(F.lit(1)).alias("n_sequences"),
+        (F.count_distinct("sequence") == F.count(F.lit(1))).alias("_once"),
+        F.min("sequence").alias("_lo"), F.max("sequence").alias("_hi"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sequence", "source"))), lambda s: s["source"]), "").alias("_source"),
+    )
+    met = texts.select(chapter, "text").join(parts, chapter, "left").join(saved, chapter, "left")
+    dense = F.col("_once") & (F.col("_lo") == 1) & (F.col("_hi") == F.col("n_sequences"))
+    rule = (
+        F.when(F.col("n_sequences").isNull(), None)
+        .when(~F.coalesce(dense, F.lit(False)), "numbering")
+        .when(~F.coalesce(F.startswith("text", F.col("_source")), F.lit(False)), "source_changed")
+        .when(~F.col("saved_digest").eqNullSafe(F.col("replayed_digest")), "ledger_differs")
+    )
+    stands = rule.isNull() & F.col("n_sequences").isNotNull()
+    return met.select(chapter, F.when(stands, F.length("_source")).otherwise(0).alias("cursor"), F.when(stands, F.col("n_sequences")).otherwise(0).alias("n_sequences"), rule.alias("rule"))
+
+
+def ledger_digest(ledger: DataFrame, chapter: str = "chapter") -> DataFrame:
+    """chapter, digest of the facts after its last sequence."""
+    last = ledger.groupBy(chapter).agg(F.max("sequence").alias("sequence"))
+    line = F.concat_ws("|", "entity", "aspect", "fact", "from_sequence")
+    return ledger.join(last, [chapter, "sequence"]).groupBy(chapter).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ";"), 256).alias("digest"))
+
+
 def duration_issues(beats: DataFrame, scenes: DataFrame, keys: list[str], most: float) -> DataFrame:
     """Violations of timing: keys, rule, total. ``beats``: keys, seconds; ``scenes``: keys, pause, stated."""
     sums = beats.groupBy(*keys).agg(F.sum("seconds").alias("_s"), F.count(F.lit(1)).alias("_n"))

@@ -55,22 +55,17 @@ def presence_override(spark, sf_dir):
 
 
 @query(
-    """WITH s AS (SELECT DISTINCT l_partkey AS location, l_orderkey AS scene FROM lineitem WHERE l_partkey % 3 = 1), p AS (SELECT DISTINCT l_partkey AS location, l_orderkey AS scene, 'v' || (l_orderkey % 2) AS view FROM lineitem WHERE l_partkey % 3 = 1 AND NOT (l_partkey % 4 = 0 AND l_orderkey % 10 = 0) AND l_partkey % 5 <> 0),
+    """WITH s AS (SELECT DISTINCT l_partkey AS location, l_orderkey AS scene FROM lineitem), p AS (SELECT DISTINCT l_partkey AS location, l_orderkey AS scene, 'v' || (l_orderkey % 2) AS view FROM lineitem WHERE NOT (l_partkey % 4 = 0 AND l_orderkey % 10 = 0) AND l_partkey % 5 <> 0),
  bad AS (SELECT DISTINCT s.location FROM s JOIN (SELECT DISTINCT location FROM p) q USING (location) WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.location = s.location AND p.scene = s.scene))
  SELECT location, view, scene FROM p WHERE location NOT IN (SELECT location FROM bad)
  UNION ALL SELECT location, 'wide', scene FROM s WHERE location IN (SELECT location FROM bad) OR location NOT IN (SELECT location FROM p)"""
 )
-def location_views(spark, sf_dir, lines="l_partkey % 3 = 1"):
-    li = table(spark, sf_dir, "lineitem").filter(lines).select(F.col("l_partkey").alias("location"), F.col("l_orderkey").alias("scene")).distinct()
+def location_views(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("location"), F.col("l_orderkey").alias("scene")).distinct()
     plan = li.filter("NOT (location % 4 = 0 AND scene % 10 = 0) AND location % 5 <> 0").withColumn("view", F.concat(F.lit("v"), (F.col("scene") % 2).cast("string")))
     return catalogs.location_views(plan, li)[0]
 
 
-@query()
-def location_views_all(spark, sf_dir):
-    return location_views(spark, sf_dir, "true")
-
-
 @query(
     QUOTES_SQL
     + """, w AS (SELECT chapter_id, greatest(0, start_char - 900) AS s, least(length(text), end_char + 900) AS e FROM spans),

@@ -48,6 +48,23 @@ def lossless_chunks(spark, sf_dir):
     return sums.select("chapter_id", ((F.col("n") == F.col("m")) & F.col("fits")).alias("lossless"), (F.col("most") <= 800).alias("bounded"))
 
 
+@query(
+    r"""WITH RECURSIVE c AS (SELECT doc_id, 0 AS piece_no, 0 AS start_char, text AS rest FROM documents WHERE length(text) > 0),
+ p AS (SELECT doc_id, piece_no, start_char, rest, CASE WHEN length(rest) <= 800 THEN length(rest) ELSE coalesce(nullif(length(regexp_extract(left(rest, 800), '(?s)^.*\n\s*\n')), 0),
+   nullif(length(regexp_extract(left(rest, 800), '(?s)^.*[.!?…]["»”'']?(?:\s+|$)')), 0), nullif(length(regexp_extract(left(rest, 800), '(?s)^.*\s')), 0), 800) END AS n FROM c
+  UNION ALL SELECT doc_id, piece_no + 1, start_char + n, t, CASE WHEN length(t) <= 800 THEN length(t) ELSE coalesce(nullif(length(regexp_extract(left(t, 800), '(?s)^.*\n\s*\n')), 0),
+   nullif(length(regexp_extract(left(t, 800), '(?s)^.*[.!?…]["»”'']?(?:\s+|$)')), 0), nullif(length(regexp_extract(left(t, 800), '(?s)^.*\s')), 0), 800) END
+   FROM p, LATERAL (SELECT substring(rest, n + 1) AS t) WHERE n < length(rest))
+ SELECT doc_id AS chapter_id, piece_no, CAST(start_char AS INTEGER) AS start_char, sha256(left(rest, n)) AS piece_sha256 FROM p"""
+)
+def lossless_pieces(spark, sf_dir):
+    """The pieces themselves: cut at the last blank line, else the last sentence, else the last white space."""
+    spark.udtf.register("lossless_chunks", udfs.LosslessChunks)
+    chapters(spark, sf_dir).select("chapter_id", "text").createOrReplaceTempView("_chapters")
+    pieces = spark.sql("SELECT c.chapter_id, p.* FROM _chapters c, LATERAL lossless_chunks(c.text, 800) p")
+    return pieces.select("chapter_id", "piece_no", "start_char", F.sha2("piece", 256).alias("piece_sha256"))
+
+
 @query("SELECT doc_id AS chapter_id, CAST(count(*) AS BIGINT) AS n_segments, max(length(s)) AS longest FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\s*\\S+\\s*')) AS s FROM documents) GROUP BY doc_id")
 def segments(spark, sf_dir):
     parts = chunking.segments(chapters(spark, sf_dir).select("chapter_id", "text"), "text")
@@ -107,19 +124,14 @@ def coverage(spark, sf_dir):
     return intervals.coverage(spans(spark, sf_dir), ["user_id"], "s", "e")
 
 
-@query(f"WITH {SPANS_SQL} SELECT a.user_id, a.event_id AS inner_id, b.event_id AS outer_id FROM spans a JOIN spans b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND b.s <= a.s AND a.e <= b.e AND a.event_id % 7 < 2")
-def span_containment(spark, sf_dir, inside="event_id % 7 < 2"):
+@query(f"WITH {SPANS_SQL} SELECT a.user_id, a.event_id AS inner_id, b.event_id AS outer_id FROM spans a JOIN spans b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND b.s <= a.s AND a.e <= b.e")
+def span_containment(spark, sf_dir):
     every = spans(spark, sf_dir)
-    inner = every.filter(inside).select("user_id", F.col("event_id").alias("inner_id"), F.col("s").alias("a"), F.col("e").alias("b"))
+    inner = every.select("user_id", F.col("event_id").alias("inner_id"), F.col("s").alias("a"), F.col("e").alias("b"))
     outer = every.withColumnRenamed("event_id", "outer_id")
     return intervals.contained(inner, outer, ["user_id"], ("a", "b"), ("s", "e"), width=20_000).filter("inner_id <> outer_id").select("user_id", "inner_id", "outer_id")
 
 
-@query()
-def span_containment_all(spark, sf_dir):
-    return span_containment(spark, sf_dir, "true")
-
-
 @query(
     f"""WITH {SPANS_SQL}, m AS (SELECT user_id, s, e, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM spans WHERE s < e),
     g AS (SELECT user_id, s, e, sum(CASE WHEN r IS NULL OR r <= s THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e) AS passage_id FROM m),

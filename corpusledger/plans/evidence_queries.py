@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import chunking, evidence
+from ..operators.lineage import numbered
 from .base import chapters, query, table
 from .text_queries import QUOTES_SQL, quote_places
 
 STARTS_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in evidence.COMMON_STARTS)
 FOLDED = "replace(lower({0}), 'ß', 'ss')"
-WORDS_SQL = f"""WITH m AS (SELECT doc_id, regexp_extract_all(text, '([^\\pL]*)(\\pL+(?:[-’'']\\pL+)*)', 1) AS seps, regexp_extract_all(text, '([^\\pL]*)(\\pL+(?:[-’'']\\pL+)*)', 2) AS words FROM documents),
+WORDS_SQL = f"""WITH m AS MATERIALIZED (SELECT doc_id, regexp_extract_all(text, '([^\\pL]*)(\\pL+(?:[-’'']\\pL+)*)', 1) AS seps, regexp_extract_all(text, '([^\\pL]*)(\\pL+(?:[-’'']\\pL+)*)', 2) AS words FROM documents),
  u AS (SELECT doc_id, unnest(seps) AS sep, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM m),
  p AS (SELECT doc_id, i, word, length(sep) AS gap, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS prev, sep,
    sum(length(sep) + length(word)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS end_char FROM u),
  b AS (SELECT *, end_char - length(word) AS start_char, regexp_replace(word, '^[ldLD][’'']', '') AS bare,
    right(rtrim(right(coalesce(prev, '') || sep, 64), ' ' || chr(9) || chr(10) || chr(13)), 1) AS before FROM p),
  j AS (SELECT doc_id, start_char, end_char, before, {FOLDED.format('bare')} AS name, regexp_matches(bare, '^\\p{{Lu}}') AS up, regexp_matches(bare, '^\\p{{Ll}}') AS low FROM b),
- f AS (SELECT *, up AND name NOT IN ({STARTS_SQL}) AS candidate, low AND before <> '' AND before NOT IN ('.', '!', '?') AS lowercase,
+ f AS MATERIALIZED (SELECT *, up AND name NOT IN ({STARTS_SQL}) AS candidate, low AND before <> '' AND before NOT IN ('.', '!', '?') AS lowercase,
    up AND name NOT IN ({STARTS_SQL}) AND before <> '' AND before NOT IN ('.', '!', '?', chr(10), '"', '«', '—', '–', '-') AS interior FROM j),
  names AS (SELECT name FROM f GROUP BY name HAVING bool_or(candidate) AND (NOT bool_or(lowercase) OR bool_or(interior))),
  occ AS (SELECT doc_id AS chapter_id, name, CAST(start_char AS INTEGER) AS start_char, CAST(end_char AS INTEGER) AS end_char FROM f JOIN names USING (name))
@@ -90,8 +91,7 @@ def warning_counts(spark, sf_dir):
 @query(f"WITH {WARN_SQL} SELECT attribute, count(*) AS total, count(*) FILTER (warnings <> '') AS to_review, count(*) FILTER (classification = 'explicit' AND warnings = '') AS corrected FROM warned GROUP BY attribute")
 def review_counts(spark, sf_dir):
     rows = evidence.warnings(raw_observations(spark, sf_dir))
-    warned = F.size("warnings") > 0
-    return rows.groupBy("attribute").agg(F.count(F.lit(1)).alias("total"), F.count_if(warned).alias("to_review"), F.count_if((F.col("classification") == "explicit") & ~warned).alias("corrected"))
+    return evidence.review_report(rows, ["attribute"], F.col("classification") == "explicit")
 
 
 @query(f"WITH {RAW_SQL}, b AS (SELECT character, CASE WHEN classification = 'inferred' THEN 'inferred' WHEN persistence = 'temporary' THEN 'temporary' WHEN persistence = 'persistent' THEN 'stable' ELSE 'other' END AS bucket FROM raw) SELECT character, bucket, count(*) AS n FROM b GROUP BY ALL")
@@ -123,26 +123,10 @@ def evidence_confidence(spark, sf_dir):
     return rows.select("chapter_id", "item_id", "start_char", level.alias("confidence"))
 
 
-@query(
-    """WITH n AS (SELECT p_partkey, p_type, p_name, p_brand, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS k FROM part)
- SELECT p_type AS entity, string_agg(p_name, '|' ORDER BY k) AS traits FROM n WHERE k <= 40 AND k % 3 <> 0 GROUP BY p_type"""
-)
+@query("SELECT p_type AS entity, k AS number, p_name AS trait FROM (SELECT p_type, p_name, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS k FROM part) WHERE k % 3 <> 0")
 def drop_targets(spark, sf_dir):
-    """Every third of the first forty traits of a type is a review's target."""
-    parts = table(spark, sf_dir, "part")
-    from pyspark.sql import Window
-
-    k = F.row_number().over(Window.partitionBy("p_type").orderBy("p_partkey"))
-    numbered = parts.select(F.col("p_type").alias("entity"), "p_name", k.alias("k")).filter("k <= 40")
-    rows = numbered.groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "p_name"))), lambda s: s["p_name"]).alias("traits"))
-    targets = numbered.filter("k % 3 = 0").select("entity", F.col("k").alias("number"))
-    return evidence.drop_targets(rows, targets, ["entity"], "traits").select("entity", F.array_join("traits", "|").alias("traits"))
-
-
-@query()
-def drop_targets_all(spark, sf_dir):
     """Every third of all traits of a type is a review's target; a row for each trait that stays."""
     parts = table(spark, sf_dir, "part").select(F.col("p_type").alias("entity"), "p_partkey", "p_name")
-    traits = evidence.numbered(parts, ["entity"], ["p_partkey"])
+    traits = numbered(parts, ["entity"], ["p_partkey"])
     targets = traits.filter("number % 3 = 0").select("entity", "number")
     return evidence.drop_target_rows(traits, targets, ["entity"]).select("entity", "number", F.col("p_name").alias("trait"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import assets, identity
@@ -66,15 +67,16 @@ def audit_clusters_all(spark, sf_dir):
 
 
 @query(
-    f"""WITH {ENTITIES_SQL}, i AS (SELECT entity_id AS in_id, p_type, canonical_name AS n FROM ents WHERE entity_id % 50 = 0), p AS (SELECT entity_id AS pool_id, p_type, canonical_name AS m FROM ents WHERE entity_id % 50 <> 0),
- s AS (SELECT in_id, pool_id, CASE WHEN n = m THEN 1.0 ELSE {jac('n', 'm')} END AS score FROM i JOIN p USING (p_type)),
+    f"""WITH {ENTITIES_SQL}, i AS (SELECT entity_id AS in_id, p_type, canonical_name AS n FROM ents WHERE entity_id % 20 = 0), p AS (SELECT entity_id AS pool_id, p_type, canonical_name AS m, count(*) OVER (PARTITION BY p_type) AS pool FROM ents),
+ s AS (SELECT in_id, pool_id, pool, CASE WHEN n = m THEN 1.0 ELSE {jac('n', 'm')} END AS score FROM i JOIN p USING (p_type)),
  k AS (SELECT *, CAST(row_number() OVER (PARTITION BY in_id ORDER BY score DESC, pool_id) AS INTEGER) AS place, count(*) FILTER (score >= 0.15) OVER (PARTITION BY in_id) AS o FROM s)
- SELECT in_id, pool_id, score, place FROM k WHERE (place <= 12 AND score >= 0.15) OR (o = 0 AND place <= 3)"""
+ SELECT in_id, pool_id, score, place FROM k WHERE pool <= 35 OR (place <= 12 AND score >= 0.15) OR (o = 0 AND place <= 3)"""
 )
 def topk_candidates(spark, sf_dir):
+    """Entities whose id divides by 20 are searched among all."""
     e = entities(spark, sf_dir)
-    incoming = e.filter("entity_id % 50 = 0").select(F.col("entity_id").alias("in_id"), "p_type", F.col("canonical_name").alias("in_name"))
-    pool = e.filter("entity_id % 50 <> 0").select(F.col("entity_id").alias("pool_id"), "p_type", F.col("canonical_name").alias("pool_name"))
+    incoming = e.filter("entity_id % 20 = 0").select(F.col("entity_id").alias("in_id"), "p_type", F.col("canonical_name").alias("in_name"))
+    pool = e.select(F.col("entity_id").alias("pool_id"), "p_type", F.col("canonical_name").alias("pool_name"))
     return identity.top_candidates(incoming, pool, "p_type")
 
 
@@ -87,20 +89,15 @@ def topk_candidates_all(spark, sf_dir):
     return identity.top_candidates(incoming, pool, "p_type")
 
 
-MERGES_SQL = f"WITH {ENTITIES_SQL}, g AS (SELECT l_orderkey AS group_no, l_partkey AS id FROM lineitem WHERE l_orderkey % 20 = 0), k AS (SELECT DISTINCT group_no, id, kind FROM g JOIN ents ON entity_id = id), f AS (SELECT id, min(group_no) AS group_no FROM k GROUP BY id), m AS (SELECT k.* FROM k JOIN f USING (id, group_no)), s AS (SELECT group_no, count(DISTINCT kind) AS t, count(*) AS n, min(id) AS kept_id FROM m GROUP BY group_no)"
+MERGES_SQL = f"WITH {ENTITIES_SQL}, g AS (SELECT l_orderkey AS group_no, l_partkey AS id FROM lineitem), k AS (SELECT DISTINCT group_no, id, kind FROM g JOIN ents ON entity_id = id), f AS (SELECT id, min(group_no) AS group_no FROM k GROUP BY id), m AS (SELECT k.* FROM k JOIN f USING (id, group_no)), s AS (SELECT group_no, count(DISTINCT kind) AS t, count(*) AS n, min(id) AS kept_id FROM m GROUP BY group_no)"
 
 
 @query(MERGES_SQL + " SELECT id, kept_id FROM m JOIN s USING (group_no) WHERE t = 1 AND n > 1")
-def apply_merges(spark, sf_dir, lines="l_orderkey % 20 = 0"):
-    groups = table(spark, sf_dir, "lineitem").filter(lines).select(F.col("l_orderkey").alias("group_no"), F.col("l_partkey").alias("id"))
+def apply_merges(spark, sf_dir):
+    groups = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("group_no"), F.col("l_partkey").alias("id"))
     return identity.apply_merges(entities(spark, sf_dir).withColumnRenamed("entity_id", "id"), groups, "id", "kind")[0]
 
 
-@query()
-def apply_merges_all(spark, sf_dir):
-    return apply_merges(spark, sf_dir, "true")
-
-
 @query(f"WITH {ENTITIES_SQL} SELECT entity_id, upper(left(kind, 3)) || '_' || lpad(CAST(k AS VARCHAR), CAST(greatest(3, length(CAST(k AS VARCHAR))) AS INTEGER), '0') AS global_id FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY entity_id) + CASE kind WHEN 'character' THEN 40 WHEN 'location' THEN 7 ELSE 0 END AS k FROM ents)")
 def assign_ids(spark, sf_dir):
     """Numbers 1 to 40 of characters and 1 to 7 of locations are taken, as the region and nation keys have it."""
@@ -115,20 +112,15 @@ def ambiguous_aliases(spark, sf_dir):
     return identity.unambiguous(a, "id", "alias", ["brand"])
 
 
-VALUES_SQL = "WITH v AS (SELECT user_id, event_type AS trait, CAST(CAST(floor(value / 50) AS BIGINT) AS VARCHAR) AS value, min(event_id) AS id FROM events WHERE event_id % 3 = 0 GROUP BY ALL)"
+VALUES_SQL = "WITH v AS (SELECT user_id, event_type AS trait, CAST(CAST(floor(value / 50) AS BIGINT) AS VARCHAR) AS value, min(event_id) AS id FROM events GROUP BY ALL)"
 
 
 @query(VALUES_SQL + " SELECT a.user_id, a.trait, a.value AS left_value, a.id AS left_id, b.value AS right_value, b.id AS right_id FROM v a JOIN v b ON a.user_id = b.user_id AND a.trait = b.trait AND a.value < b.value")
-def value_pairs(spark, sf_dir, events="event_id % 3 = 0"):
-    rows = table(spark, sf_dir, "events").filter(events).select("user_id", F.col("event_type").alias("trait"), F.floor(F.col("value") / 50).cast("string").alias("value"), "event_id")
+def value_pairs(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("trait"), F.floor(F.col("value") / 50).cast("string").alias("value"), "event_id")
     return identity.value_pairs(rows, ["user_id", "trait"], "event_id", "value")
 
 
-@query()
-def value_pairs_all(spark, sf_dir):
-    return value_pairs(spark, sf_dir, "true")
-
-
 def trait_rows(spark, sf_dir):
     pick = lambda n, values: F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % n + 1).cast("int"))
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("evidence_id"), "user_id", F.col("event_type").alias("trait"), F.floor(F.col("value") / 50).cast("string").alias("value"), pick(2, ["explicit", "inferred"]).alias("classification"), pick(3, ["persistent", "temporary", "uncertain"]).alias("persistence"))
@@ -141,44 +133,30 @@ def trait_rollup(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT event_id AS a, lead(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS b FROM events WHERE event_id % 3 <> 1),
- ed AS (SELECT a, b FROM e WHERE b - a < 500 UNION SELECT b, a FROM e WHERE b - a < 500), r AS (SELECT a AS id, a AS root FROM ed UNION SELECT ed.b, r.root FROM r JOIN ed ON ed.a = r.id),
- c AS (SELECT id, min(root) AS component FROM r GROUP BY id), g AS (SELECT component, CAST(CAST(floor(value / 50) AS BIGINT) AS VARCHAR) AS value, count(*) AS n, min(id) AS first_id FROM c JOIN events ON event_id = id GROUP BY ALL)
+    """WITH v AS (SELECT *, CAST(CAST(floor(value / 50) AS BIGINT) AS VARCHAR) AS v FROM events), p AS (SELECT *, lag(v) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS pv, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS pe FROM v),
+ i AS (SELECT *, sum(CASE WHEN pe IS NULL OR pv = v THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS run FROM p),
+ c AS (SELECT *, min(event_id) OVER (PARTITION BY user_id, event_type, run) AS component, count(*) OVER (PARTITION BY user_id, event_type, run) AS size FROM i),
+ g AS (SELECT component, v AS value, count(*) AS n, min(event_id) AS first_id FROM c WHERE size > 1 GROUP BY component, v)
  SELECT *, CAST(row_number() OVER (PARTITION BY component ORDER BY first_id) AS INTEGER) AS choice_no, row_number() OVER (PARTITION BY component ORDER BY first_id) = 1 AS selected FROM g"""
 )
 def conflict_groups(spark, sf_dir):
-    from pyspark.sql import Window
-
+    """Evidence conflicts with the next of its user and trait if their values differ."""
     rows = trait_rows(spark, sf_dir)
-    following = F.lead("evidence_id").over(Window.partitionBy("user_id", "trait").orderBy("evidence_id"))
-    edges = rows.filter("evidence_id % 3 <> 1").select(F.col("evidence_id").alias("a"), following.alias("b")).filter("b - a < 500")
-    return identity.conflict_groups(rows.select("evidence_id", "value"), edges, "evidence_id", "value")
+    turn = Window.partitionBy("user_id", "trait").orderBy("evidence_id")
+    steps = rows.select(F.col("evidence_id").alias("a"), "value", F.lead("evidence_id").over(turn).alias("b"), F.lead("value").over(turn).alias("_next"))
+    return identity.conflict_groups(rows.select("evidence_id", "value"), steps.filter("b IS NOT NULL AND value <> _next").select("a", "b"), "evidence_id", "value")
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 400 AS a, l_suppkey + 1000 AS b FROM lineitem WHERE l_orderkey % 300 = 0), ed AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT CAST(a AS BIGINT) AS id, 0 AS steps FROM ed WHERE a % 97 = 0 UNION SELECT ed.b, r.steps + 1 FROM r JOIN ed ON ed.a = r.id WHERE r.steps < 25) SELECT id, CAST(min(steps) AS INTEGER) AS steps FROM r GROUP BY id")
+@query("WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, -1 - l_suppkey AS b FROM lineitem), ed AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT CAST(a AS BIGINT) AS id, 0 AS steps FROM ed WHERE a % 97 = 0 UNION SELECT ed.b, r.steps + 1 FROM r JOIN ed ON ed.a = r.id WHERE r.steps < 12) SELECT id, CAST(min(steps) AS INTEGER) AS steps FROM r GROUP BY id")
 def seeded_reach(spark, sf_dir):
-    edges = table(spark, sf_dir, "lineitem").filter("l_orderkey % 300 = 0").select((F.col("l_partkey") % 400).alias("a"), (F.col("l_suppkey") + 1000).alias("b")).distinct()
-    ids = edges.select(F.explode(F.array("a", "b")).alias("id")).filter("id % 97 = 0")
-    return identity.seeded_reach(edges, ids)
-
-
-@query()
-def seeded_reach_all(spark, sf_dir):
-    """All parts and suppliers; a supplier's id is below zero."""
+    """All parts and suppliers, from those whose id divides by 97; a supplier's id is below zero. The SQL's twelve steps are more than any path needs."""
     edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b")).distinct()
     ids = edges.select(F.explode(F.array("a", "b")).alias("id")).filter("id % 97 = 0")
     return identity.seeded_reach(edges, ids)
 
 
-@query("WITH p AS (SELECT DISTINCT c_custkey, s_suppkey FROM customer JOIN supplier ON c_custkey % 140 = s_suppkey % 130 AND c_custkey < 200), a AS (SELECT *, count(*) OVER (PARTITION BY c_custkey) AS x, count(*) OVER (PARTITION BY s_suppkey) AS y FROM p) SELECT c_custkey, s_suppkey FROM a WHERE x = 1 AND y = 1")
+@query("WITH p AS (SELECT DISTINCT c_custkey, s_suppkey FROM customer JOIN supplier ON string_split(c_name, '#')[-1] = string_split(s_name, '#')[-1]), a AS (SELECT *, count(*) OVER (PARTITION BY c_custkey) AS x, count(*) OVER (PARTITION BY s_suppkey) AS y FROM p) SELECT c_custkey, s_suppkey FROM a WHERE x = 1 AND y = 1")
 def unique_match(spark, sf_dir):
-    left = table(spark, sf_dir, "customer").filter("c_custkey < 200").select("c_custkey", (F.col("c_custkey") % 140).alias("k"))
-    right = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 130).alias("k"))
-    return identity.unique_match(left, right, "c_custkey", "s_suppkey", "k")
-
-
-@query()
-def unique_match_all(spark, sf_dir):
     """All customers and suppliers by the number in their names."""
     number = lambda c: F.substring_index(c, "#", -1).alias("k")
     left = table(spark, sf_dir, "customer").select("c_custkey", number("c_name"))
@@ -244,7 +222,7 @@ def coverage_gaps(spark, sf_dir):
     return assets.coverage_gaps(c.select("scene", "subject").distinct(), c.filter("subject % 5 <> 0").select("subject"), slots, ["scene"])
 
 
-@query(f"WITH {ENTITIES_SQL} SELECT entity_id, a.l_orderkey AS asset_id, '<Picture ' || a.k || '>' AS label FROM ents LEFT JOIN (SELECT l_partkey, l_orderkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey) AS k FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE l_linenumber = 1)) a ON a.l_partkey = entity_id")
+@query(f"WITH {ENTITIES_SQL} SELECT entity_id, a.l_orderkey AS asset_id, '<Picture ' || a.k || '>' AS label FROM ents LEFT JOIN (SELECT l_partkey, l_orderkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey) AS k FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem)) a ON a.l_partkey = entity_id")
 def entity_assets(spark, sf_dir):
-    a = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_partkey").alias("entity_id"), F.col("l_orderkey").alias("asset_id")).distinct()
+    a = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("entity_id"), F.col("l_orderkey").alias("asset_id")).distinct()
     return entities(spark, sf_dir).select("entity_id").join(assets.numbered(a, ["entity_id"], ["asset_id"], "Picture"), "entity_id", "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import decisions, quality
+from ..operators import catalogs, decisions, quality
 from .base import ENTITIES_SQL, OBSERVATIONS_SQL, chapters, entities, observations, query, table
 
 
@@ -24,21 +24,15 @@ def id_coverage(spark, sf_dir):
     return quality.id_coverage(chapters(spark, sf_dir).filter("chapter_id % 2 = 0").select(F.col("chapter_id").alias("id")), returned, "id")
 
 
-def salvaged(spark, sf_dir, events):
-    rows = table(spark, sf_dir, "events").filter(events).select(F.col("user_id").alias("id"), "event_id", "value")
-    known = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"))
-    return quality.salvage(rows, known, "id", F.col("value") > 10)
-
-
-@query("SELECT user_id AS id, min(event_id) AS event_id FROM (SELECT user_id, event_id, value FROM events WHERE event_id % 60 = 0) WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) GROUP BY user_id HAVING count(*) = 1 AND min(value) > 10")
+@query(
+    """WITH e AS (SELECT user_id AS id, event_id, value, count(*) OVER (PARTITION BY user_id) AS n, user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) AS known FROM events)
+ SELECT id, event_id, CASE WHEN NOT known THEN 'foreign id' WHEN n > 1 THEN 'repeated id' WHEN NOT value > 10 THEN 'invalid' END AS reason FROM e"""
+)
 def salvage_rows(spark, sf_dir):
-    return salvaged(spark, sf_dir, "event_id % 60 = 0")[0].select("id", "event_id")
-
-
-@query()
-def salvage_rows_all(spark, sf_dir):
-    """Every event, a refused one with its reason."""
-    kept, refused = salvaged(spark, sf_dir, "true")
+    """Every event: kept if its user is known, occurs once and has a value above ten, else with the reason of its refusal."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "event_id", "value")
+    known = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"))
+    kept, refused = quality.salvage(rows, known, "id", F.col("value") > 10)
     return kept.select("id", "event_id").unionByName(refused.select("id", "event_id", "reason"), allowMissingColumns=True)
 
 
@@ -148,11 +142,11 @@ def approval(spark, sf_dir):
     return decisions.approval(rows, ["scene"])
 
 
-@query("WITH r AS (SELECT l_orderkey AS scene, list(DISTINCT l_returnflag || l_linestatus) FILTER (l_linenumber <= 4) AS b, list(DISTINCT l_returnflag || l_linestatus) FILTER (l_linenumber BETWEEN 3 AND 4) AS a FROM lineitem GROUP BY ALL) SELECT scene, len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 AND len(a) < len(b) AS accepted FROM r WHERE a IS NOT NULL AND b IS NOT NULL")
+@query("WITH r AS (SELECT l_orderkey AS scene, list(DISTINCT l_returnflag || l_linestatus) AS b, list(DISTINCT l_returnflag || l_linestatus) FILTER (l_linenumber > 2) AS a FROM lineitem GROUP BY ALL) SELECT scene, len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 AND len(a) < len(b) AS accepted FROM r WHERE a IS NOT NULL AND b IS NOT NULL")
 def non_regression(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("scene"), F.concat("l_returnflag", "l_linestatus").alias("rule"), "l_linenumber")
-    before = li.filter("l_linenumber <= 4").groupBy("scene").agg(F.collect_set("rule").alias("rules"))
-    after = li.filter("l_linenumber BETWEEN 3 AND 4").groupBy("scene").agg(F.collect_set("rule").alias("rules"))
+    before = li.groupBy("scene").agg(F.collect_set("rule").alias("rules"))
+    after = li.filter("l_linenumber > 2").groupBy("scene").agg(F.collect_set("rule").alias("rules"))
     return decisions.non_regression(before, after, "scene")
 
 
@@ -187,50 +181,47 @@ def resolve_choice(spark, sf_dir):
 
 @query(f"WITH {ENTITIES_SQL} SELECT brand, count(*) FILTER (kind = 'character') AS characters, count(*) FILTER (kind = 'location') AS locations, count(*) FILTER (kind = 'object') AS objects FROM ents GROUP BY brand")
 def kind_counts(spark, sf_dir):
-    kinds = {"character": "characters", "location": "locations", "object": "objects"}
-    return entities(spark, sf_dir).groupBy("brand").agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in kinds.items()])
+    return catalogs.kind_summary(entities(spark, sf_dir), ["brand"], "kind", {"character": "characters", "location": "locations", "object": "objects"})
 
 
 @query(f"WITH {ENTITIES_SQL}, d AS (SELECT brand, p_type, min(entity_id) AS f FROM ents GROUP BY ALL) SELECT brand, bool_or(p_size > 45) AS speaks, string_agg(p_type, '|' ORDER BY f) AS types FROM ents JOIN d USING (brand, p_type) WHERE entity_id = f GROUP BY brand".replace("bool_or(p_size > 45) AS speaks", "(SELECT bool_or(x.p_size > 45) FROM ents x WHERE x.brand = ents.brand) AS speaks").replace("GROUP BY brand", "GROUP BY ents.brand").replace("SELECT brand, (SELECT", "SELECT ents.brand AS brand, (SELECT"))
 def ordered_union(spark, sf_dir):
     e = entities(spark, sf_dir)
-    first = e.groupBy("brand", "p_type").agg(F.min("entity_id").alias("f"), F.bool_or(F.col("p_size") > 45).alias("s"))
-    types = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "p_type"))), lambda x: x["p_type"]), "|")
-    return first.groupBy("brand").agg(F.bool_or("s").alias("speaks"), types.alias("types"))
+    types = catalogs.ordered_union(e, ["brand"], "p_type", "entity_id").select("brand", F.array_join("values", "|").alias("types"))
+    return e.groupBy("brand").agg(F.bool_or(F.col("p_size") > 45).alias("speaks")).join(types, "brand")
 
 
 @query("SELECT doc_id AS chapter_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def semi_docs(spark, sf_dir):
     good = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("chapter_id"))
-    return chapters(spark, sf_dir).join(good, "chapter_id", "left_semi").select("chapter_id", "source")
+    return catalogs.selected(chapters(spark, sf_dir), good, ["chapter_id"]).select("chapter_id", "source")
 
 
 @query("SELECT 'both' AS kind, id FROM (SELECT c_custkey AS id FROM customer INTERSECT SELECT user_id FROM events) UNION ALL SELECT 'customers', id FROM (SELECT c_custkey AS id FROM customer EXCEPT SELECT user_id FROM events) UNION ALL SELECT 'all', id FROM (SELECT s_suppkey AS id FROM supplier UNION SELECT n_nationkey FROM nation)")
 def set_ops(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"))
-    both, only = c.intersect(e), c.subtract(e)
+    sides = catalogs.set_sides(c, e).filter("kind <> 'right'").select(F.when(F.col("kind") == "left", "customers").otherwise("both").alias("kind"), "id")
     every = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")).union(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"))).distinct()
-    return both.select(F.lit("both").alias("kind"), "id").unionByName(only.select(F.lit("customers").alias("kind"), "id")).unionByName(every.select(F.lit("all").alias("kind"), "id"))
+    return sides.unionByName(every.select(F.lit("all").alias("kind"), "id"))
 
 
-@query("SELECT p_brand AS folder, string_agg('[' || p_name || ']' || chr(10) || p_type, chr(10) || chr(10) ORDER BY p_name, p_partkey) AS block FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 1) GROUP BY p_brand")
+@query("SELECT p_brand AS folder, string_agg('[' || p_name || ']' || chr(10) || p_type, chr(10) || chr(10) ORDER BY p_name, p_partkey) AS block FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem) GROUP BY p_brand")
 def export_blocks(spark, sf_dir):
     from ..sources.export import text_blocks
 
-    used = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_partkey").alias("p_partkey"))
+    used = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
     parts = table(spark, sf_dir, "part").join(used, "p_partkey", "left_semi")
     return text_blocks(parts, ["p_brand"], ["p_name", "p_partkey"], F.concat(F.lit("["), F.col("p_name"), F.lit("]\n"), F.col("p_type"))).withColumnRenamed("p_brand", "folder")
 
 
 @query(
-    r"""WITH d AS (SELECT doc_id, string_split_regex(lower(text), '[^\pL]+') AS w FROM documents), t AS (SELECT DISTINCT doc_id, unnest(w) AS tok FROM d),
- n AS (SELECT item_id, string_split_regex(lower(text), '[^\pL]+')[1] AS tok FROM benchmark)
- SELECT doc_id AS chapter_id, item_id FROM n JOIN t USING (tok) WHERE tok <> ''"""
+    r"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\pL]+'), lambda x: x <> '') AS w FROM documents), t AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)]) AS phrase FROM d),
+ n AS (SELECT item_id, array_to_string(list_filter(string_split_regex(lower(text), '[^\pL]+'), lambda x: x <> '')[1:3], ' ') AS phrase FROM benchmark)
+ SELECT doc_id AS chapter_id, item_id FROM n JOIN t USING (phrase)"""
 )
 def name_mentions(spark, sf_dir):
-    """Documents that mention the first word of a passage as a whole word, whatever its case."""
-    tokens = lambda c: F.split(F.lower(c), r"[^\p{L}]+")
-    words = chapters(spark, sf_dir).select("chapter_id", F.explode(F.array_distinct(tokens("text"))).alias("tok"))
-    names = table(spark, sf_dir, "benchmark").select("item_id", tokens("text")[0].alias("tok")).filter("tok <> ''")
-    return words.join(names, "tok").select("chapter_id", "item_id")
+    """Documents that mention a passage's opening, its first three words, as a name: whole words, whatever their case."""
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) > 0)
+    names = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(words, 1, 3), " ").alias("name"))
+    return catalogs.mentions(chapters(spark, sf_dir), names, "chapter_id", "text", "item_id", "name")

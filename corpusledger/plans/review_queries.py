@@ -20,16 +20,11 @@ def identity_windows(spark, sf_dir):
     return reviews.identity_windows(jobs, ["chapter_id"]).select("chapter_id", F.col("ord").alias("sequence"), "window_no", "context")
 
 
-@query(f"WITH {ENTITIES_SQL}, d AS (SELECT entity_id AS design_id, upper(canonical_name) AS canonical_name, kind FROM ents WHERE entity_id % 40 = 0), r AS (SELECT entity_id AS entity, canonical_name, kind FROM ents WHERE entity_id < 400), p AS (SELECT d.design_id, r.entity, d.canonical_name, d.kind, count(*) OVER (PARTITION BY d.kind, d.canonical_name) AS n FROM d JOIN r ON r.kind = d.kind AND r.canonical_name = lower(d.canonical_name)) SELECT design_id, entity FROM p WHERE n = 1")
+@query(
+    f"""WITH {ENTITIES_SQL}, r AS (SELECT kind, canonical_name, count(*) AS n, min(entity_id) AS entity FROM ents GROUP BY ALL), d AS (SELECT entity_id AS design_id, kind, upper(canonical_name) AS canonical_name, count(*) OVER (PARTITION BY kind, upper(canonical_name)) AS k FROM ents)
+ SELECT design_id, CASE WHEN n = 1 AND k = 1 THEN entity END AS entity, CASE WHEN n > 1 OR k > 1 THEN 'ambiguous' END AS reason FROM d JOIN r ON r.kind = d.kind AND r.canonical_name = lower(d.canonical_name)"""
+)
 def import_designs(spark, sf_dir):
-    e = entities(spark, sf_dir)
-    designs = e.filter("entity_id % 40 = 0").select(F.col("entity_id").alias("design_id"), F.upper("canonical_name").alias("canonical_name"), "kind")
-    registry = e.filter("entity_id < 400").select(F.col("entity_id").alias("entity"), "canonical_name", "kind")
-    return reviews.import_designs(designs, registry)[0].select("design_id", "entity")
-
-
-@query()
-def import_designs_all(spark, sf_dir):
     """A design of every entity against the whole registry; a rejected one has its reason."""
     e = entities(spark, sf_dir)
     designs = e.select(F.col("entity_id").alias("design_id"), F.upper("canonical_name").alias("canonical_name"), "kind")
@@ -38,19 +33,15 @@ def import_designs_all(spark, sf_dir):
 
 
 @query(
-    """WITH r AS (SELECT l_orderkey AS scene, l_partkey AS subject, 'v' || l_linenumber AS view FROM lineitem WHERE l_orderkey % 10 = 0)
+    """WITH r AS (SELECT l_orderkey AS scene, l_partkey AS subject, 'v' || l_linenumber AS view FROM lineitem)
  SELECT 'not_approved' AS rule, scene || '/' || subject AS key, '' AS detail FROM r WHERE subject % 3 = 0
  UNION ALL SELECT 'repeated_request', scene || '/' || subject, CAST(count(*) AS VARCHAR) FROM r GROUP BY scene, subject HAVING count(*) > 1
  UNION ALL SELECT 'view_not_available', scene || '/' || subject, view FROM r WHERE view IN ('v6', 'v7')
  UNION ALL SELECT 'speaker_without_dialogue', scene || '/' || subject, '' FROM r WHERE scene % 20 <> 0"""
 )
-def metadata_rules(spark, sf_dir, lines="l_orderkey % 10 = 0"):
-    r = table(spark, sf_dir, "lineitem").filter(lines).select(F.col("l_orderkey").alias("scene"), F.col("l_partkey").alias("subject"), F.concat(F.lit("v"), F.col("l_linenumber").cast("string")).alias("view"))
+def metadata_rules(spark, sf_dir):
+    r = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("scene"), F.col("l_partkey").alias("subject"), F.concat(F.lit("v"), F.col("l_linenumber").cast("string")).alias("view"))
     approved = r.filter("subject % 3 <> 0").select("scene", "subject").distinct()
     views = r.filter("view NOT IN ('v6', 'v7')").select("subject", "view").distinct()
     return reviews.metadata_violations(r, approved, views, r.select("scene", "subject"), r.filter("scene % 20 = 0"))
 
-
-@query()
-def metadata_rules_all(spark, sf_dir):
-    return metadata_rules(spark, sf_dir, "true")

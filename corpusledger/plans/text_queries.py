@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import udfs
 from ..operators import spans
-from .base import NORMAL_SQL, TYPOGRAPHIC_SQL, chapters, entities, ENTITIES_SQL, query, table, typographic
+from ..operators.lineage import numbered
+from ..sources import chapters as sources
+from .base import ENTITIES_SQL, NORMAL_SQL, TYPOGRAPHIC_SQL, chapters, entities, query, table, typographic
 
 
 @query(f"SELECT doc_id AS chapter_id, sha256({NORMAL_SQL.format(TYPOGRAPHIC_SQL)}) AS text_sha256 FROM documents")
@@ -23,15 +25,16 @@ def comparison_docs(spark, sf_dir):
 
 @query("SELECT doc_id AS chapter_id, CASE WHEN length(text) >= 100 THEN 'accepted' ELSE 'rejected' END AS status, length(text) AS n_chars FROM documents")
 def short_doc_gate(spark, sf_dir):
-    n = F.length("text")
-    return chapters(spark, sf_dir).select("chapter_id", F.when(n >= 100, "accepted").otherwise("rejected").alias("status"), n.cast("long").alias("n_chars"))
+    accepted, rejected = sources.length_gate(chapters(spark, sf_dir))
+    rows = accepted.select("chapter_id", F.lit("accepted").alias("status"), F.length("text").cast("long").alias("n_chars"))
+    return rows.unionByName(rejected.select("chapter_id", F.lit("rejected").alias("status"), F.col("n_chars").cast("long").alias("n_chars")))
 
 
 @query("SELECT doc_id AS chapter_id, sha256(text) AS digest FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents p WHERE p.doc_id % 3 <> 0 AND p.doc_id = d.doc_id AND sha256(p.text) = sha256(d.text))")
 def changed_docs(spark, sf_dir):
     """Documents that are new against a previous digest table (here: ids not divisible by three were known)."""
     now = chapters(spark, sf_dir).select("chapter_id", F.sha2("text", 256).alias("digest"))
-    return now.join(now.filter("chapter_id % 3 <> 0"), ["chapter_id", "digest"], "left_anti")
+    return sources.changed(now, now.filter("chapter_id % 3 <> 0"), "chapter_id", "digest")
 
 
 @query(
@@ -41,10 +44,7 @@ def changed_docs(spark, sf_dir):
 )
 def unique_slugs(spark, sf_dir):
     e = entities(spark, sf_dir).select("entity_id", T.slug(F.col("canonical_name")).alias("slug"))
-    same = Window.partitionBy("slug")
-    k = F.row_number().over(same.orderBy("entity_id")).cast("string")
-    numbered = F.concat_ws("_", "slug", F.lpad(k, F.greatest(F.lit(3), F.length(k)), F.lit("0")))
-    return e.select("entity_id", F.when(F.count(F.lit(1)).over(same) == 1, F.col("slug")).otherwise(numbered).alias("chapter_id"))
+    return sources.unique_ids(e, "entity_id", "slug").select("entity_id", F.col("unique_id").alias("chapter_id"))
 
 
 QUOTES_SQL = """WITH d AS (SELECT doc_id, text, translate(text, chr(10) || chr(9), '  ') AS t FROM documents),
@@ -56,6 +56,10 @@ QUOTES_SQL = """WITH d AS (SELECT doc_id, text, translate(text, chr(10) || chr(9
 
 
 def quote_places(spark, sf_dir):
+    return quote_details(spark, sf_dir).select("chapter_id", "item_id", "start_char", "end_char")
+
+
+def quote_details(spark, sf_dir):
     return spans.locate(chapters(spark, sf_dir), table(spark, sf_dir, "benchmark"), "chapter_id", "text", "item_id", "text")
 
 
@@ -78,7 +82,7 @@ def quote_contained(spark, sf_dir):
 
 @query(QUOTES_SQL + "SELECT chapter_id, item_id, min(substring(text, start_char + 1, end_char - start_char)) AS wording FROM spans GROUP BY ALL HAVING count(DISTINCT substring(text, start_char + 1, end_char - start_char)) = 1")
 def restore_quote(spark, sf_dir):
-    return spans.restored(quote_places(spark, sf_dir), chapters(spark, sf_dir), "chapter_id", "text", ["chapter_id", "item_id"])
+    return spans.restored(quote_details(spark, sf_dir), ["chapter_id", "item_id"])
 
 
 LINES_SQL = "length(left(text, {0})) - length(replace(left(text, {0}), chr(10), '')) + 1"
@@ -86,7 +90,7 @@ LINES_SQL = "length(left(text, {0})) - length(replace(left(text, {0}), chr(10),
 
 @query(QUOTES_SQL + f"SELECT chapter_id, item_id, start_char, end_char, CAST({LINES_SQL.format('start_char')} AS INTEGER) AS start_line, CAST({LINES_SQL.format('end_char - 1')} AS INTEGER) AS end_line FROM spans")
 def locate_quotes(spark, sf_dir):
-    return spans.with_lines(quote_places(spark, sf_dir), chapters(spark, sf_dir), "chapter_id", "text")
+    return spans.with_lines(quote_details(spark, sf_dir), ["chapter_id", "item_id"])
 
 
 @query(f"SELECT doc_id AS chapter_id, CAST({LINES_SQL.format('length(text) // 2')} AS INTEGER) AS mid_line, CAST({LINES_SQL.format('length(text)')} AS INTEGER) AS last_line FROM documents")
@@ -98,7 +102,8 @@ def offset_lines(spark, sf_dir):
 @query("SELECT s_suppkey, row_number() OVER (ORDER BY CAST(regexp_extract(s_name, '(\\d+)$', 1) AS BIGINT) % 37, s_suppkey) AS place FROM supplier")
 def natural_order(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("Chapter"), (F.regexp_extract("s_name", r"(\d+)$", 1).cast("long") % 37).cast("string")).alias("name"))
-    return s.select("s_suppkey", F.row_number().over(Window.orderBy(T.natural_key(F.col("name")), "s_suppkey")).alias("place"))
+    rows = s.select("s_suppkey", T.natural_key(F.col("name")).alias("key"))
+    return numbered(rows, [], ["key", "s_suppkey"]).select("s_suppkey", F.col("number").alias("place"))
 
 
 FOLD_SQL = "replace(lower({0}), 'ß', 'ss')"
@@ -161,3 +166,20 @@ def name_ratio(spark, sf_dir):
     e = entities(spark, sf_dir).select("brand", "entity_id", F.lower("canonical_name").alias("name"))
     pairs = e.withColumn("other", F.lag("name").over(Window.partitionBy("brand").orderBy("entity_id"))).filter("other IS NOT NULL")
     return pairs.select("entity_id", udfs.seq_ratio("name", "other").alias("ratio"), udfs.longest_match("name", "other").alias("m")).select("entity_id", "ratio", "m.*")
+
+
+@query(
+    QUOTES_SQL
+    + """SELECT chapter_id, item_id, sha256(coalesce(max(CASE WHEN w = q THEN q END), CASE WHEN min(w) = max(w) THEN min(w) END)) AS quote_sha256
+ FROM (SELECT chapter_id, item_id, substring(s.text, start_char + 1, end_char - start_char) AS w, b.text AS q FROM spans s JOIN benchmark b USING (item_id)) GROUP BY ALL
+ HAVING bool_or(w = q) OR min(w) = max(w)"""
+)
+def anchored_quotes(spark, sf_dir):
+    """The wording that each document has for a passage: the passage itself, or the only one that stands for it."""
+    out = spans.anchored(quote_details(spark, sf_dir), table(spark, sf_dir, "benchmark"), ["chapter_id", "item_id"], "item_id", "text")
+    return out.select("chapter_id", "item_id", F.sha2("quote", 256).alias("quote_sha256"))
+
+
+@query(QUOTES_SQL + "SELECT chapter_id, item_id, 0 AS start_char, min(end_char) AS end_char FROM spans GROUP BY chapter_id, item_id, text HAVING trim(left(text, min(start_char)), ' ' || chr(9) || chr(10) || chr(13)) = ''")
+def leading_quotes(spark, sf_dir):
+    return spans.prefix_span(quote_details(spark, sf_dir), ["chapter_id", "item_id"])

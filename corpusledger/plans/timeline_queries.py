@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import timeline
+from ..operators import catalogs, quality, timeline
 from .base import OBSERVATIONS_SQL, SEQUENCES_SQL, chapters, observations, query, sequences, table
 
 COMPILE_SQL = f"""WITH {OBSERVATIONS_SQL},
@@ -74,8 +74,7 @@ def equivalence_collapse(spark, sf_dir):
 def at_address(spark, sf_dir):
     rows = observations(spark, sf_dir)
     address = ["entity", "chapter", "sequence"]
-    wanted = rows.filter("event_id % 4 = 0").select(*address).distinct()
-    return rows.join(wanted, address).groupBy(*address).agg(F.count(F.lit(1)).alias("n"))
+    return catalogs.selected(rows, rows.filter("event_id % 4 = 0"), address).groupBy(*address).agg(F.count(F.lit(1)).alias("n"))
 
 
 PRESENCE_SQL = f"""WITH {OBSERVATIONS_SQL}, r AS (SELECT chapter, sequence, entity AS local_id, CASE WHEN event_id % 9 = 0 THEN 'absent' WHEN event_id % 4 = 0 THEN 'uncertain' ELSE presence END AS presence, 'q' || (event_id % 3) AS quote, upper(attribute) AS label FROM obs),
@@ -157,31 +156,33 @@ def source_cover(spark, sf_dir):
 
 @query("SELECT conv_id, turn, lag(turn) OVER w AS previous_turn, lag(role) OVER w AS previous_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def prev_scene(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("turn").over(w).alias("previous_turn"), F.lag("role").over(w).alias("previous_role"))
+    rows = timeline.previous(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", ["turn", "role"])
+    return rows.select("conv_id", "turn", "previous_turn", "previous_role")
 
 
 @query("SELECT conv_id, turn, coalesce(string_agg(CAST(length(text) AS VARCHAR), ',') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS history, coalesce(string_agg(CAST(length(text) AS VARCHAR), ',') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS future FROM conversations")
 def history_future(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    size = F.length("text").cast("string")
-    past, later = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.collect_list(size).over(past), ",").alias("history"), F.array_join(F.collect_list(size).over(later), ",").alias("future"))
+    rows = timeline.around(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", F.length("text").cast("string"))
+    return rows.select("conv_id", "turn", F.array_join("history", ",").alias("history"), F.array_join("future", ",").alias("future"))
 
 
 @query("WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM (SELECT * FROM conversations WHERE (conv_id + turn) % 9 <> 0)) SELECT conv_id, turn, CASE WHEN turn <= p THEN 'not_increasing' ELSE 'gap' END AS rule FROM t WHERE turn <> k - 1")
 def order_violations(spark, sf_dir):
     """Turns must be dense from 0; some turns are left out."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, sf_dir, "conversations").filter("(conv_id + turn) % 9 <> 0").select("conv_id", "turn", F.row_number().over(w).alias("k"), F.lag("turn").over(w).alias("p"))
-    return rows.filter("turn <> k - 1").select("conv_id", "turn", F.when(F.col("turn") <= F.col("p"), "not_increasing").otherwise("gap").alias("rule"))
+    rows = table(spark, sf_dir, "conversations").filter("(conv_id + turn) % 9 <> 0")
+    return quality.order_violations(rows, ["conv_id"], "turn", 0).select("conv_id", "turn", "rule")
 
 
-@query(f"WITH {SEQUENCES_SQL}, ph AS (SELECT chapter_id, sequence, unnest(['initial', 'event', 'ending']) AS phase, unnest([left(source, 20), source, right(source, 20)]) AS text FROM seqs) SELECT chapter_id, CAST(sequence AS INTEGER) AS sequence, phase, left(sha256('v' || chapter_id || chr(31) || 'v' || sequence || chr(31) || 'v' || phase || chr(31) || 'v' || text), 24) AS content_id FROM ph WHERE length(trim(text)) > 0")
-def phase_rows(spark, sf_dir):
-    from ..functions.text import digest_id
+PHASES_SQL = f"{SEQUENCES_SQL}, ph AS (SELECT chapter_id, sequence, unnest(['initial', 'event', 'ending']) AS phase, unnest([left(source, length(source) // 2), source, substring(source, length(source) // 2 + 1)]) AS text FROM seqs), ids AS (SELECT chapter_id, CAST(sequence AS INTEGER) AS sequence, phase, left(sha256('v' || chapter_id || chr(31) || 'v' || sequence || chr(31) || 'v' || phase || chr(31) || 'v' || text), 24) AS content_id FROM ph WHERE length(trim(text)) > 0)"
+
+
+def phased(spark, sf_dir):
+    """Lines with their halves as initial and final state."""
+    half = F.floor(F.length("source") / 2).cast("int")
+    phases = F.struct(F.left("source", half).alias("initial"), F.col("source").alias("event"), F.substring(F.col("source"), half + 1, F.length("source")).alias("ending"))
+    return sequences(spark, sf_dir).select("chapter_id", "sequence", phases.alias("adaptation"))
 
-    rows = sequences(spark, sf_dir)
-    phases = F.array(*[F.struct(F.lit(n).alias("phase"), c.alias("text")) for n, c in (("initial", F.left("source", F.lit(20))), ("event", F.col("source")), ("ending", F.right("source", F.lit(20))))])
-    out = rows.select("chapter_id", "sequence", F.inline(phases)).filter(F.length(F.trim("text")) > 0)
-    return out.select("chapter_id", "sequence", "phase", digest_id("", 24, F.col("chapter_id"), F.col("sequence"), F.col("phase"), F.col("text")).alias("content_id"))
+
+@query(f"WITH {PHASES_SQL} SELECT * FROM ids")
+def phase_rows(spark, sf_dir):
+    return catalogs.phase_rows(phased(spark, sf_dir), "chapter_id").select("chapter_id", "sequence", "phase", "content_id")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import text as X
+from ..operators.lineage import checkpointed, numbered
 
 EXTENSIONS = r"(?i)\.(txt|md|markdown|pdf)$"
 LEAST_CHARS = 100
@@ -49,8 +50,9 @@ def read_chapters(files: DataFrame, pdf_text: Callable[[bytes], str] | None = No
     rows = raw.withColumn("text", X.normalize_text(F.col("_raw")))
     blank = F.col("text").isNull() | (X.squeeze(F.col("text")) == "")
     rejects = rows.filter(blank).select("path", F.when(F.col("text").isNull(), "unreadable").otherwise("blank").alias("reason"))
-    place = F.row_number().over(Window.orderBy(X.natural_key(F.col("name")), "path"))
-    kept = rows.filter(~blank).select(place.alias("ord"), F.regexp_replace("name", r"\.[^.]+$", "").alias("chapter_id"), F.col("path").alias("source_file"), "location_basis", "text", F.sha2("text", 256).alias("text_sha256"))
+    # names and paths alone are put in order
+    places = numbered(rows.filter(~blank).select(X.natural_key(F.col("name")).alias("_key"), "path"), [], ["_key", "path"])
+    kept = rows.filter(~blank).join(places, "path").select(F.col("number").alias("ord"), F.regexp_replace("name", r"\.[^.]+$", "").alias("chapter_id"), F.col("path").alias("source_file"), "location_basis", "text", F.sha2("text", 256).alias("text_sha256"))
     return kept, rejects
 
 
@@ -76,6 +78,23 @@ def changed(now: DataFrame, before: DataFrame, key: str, digest: str) -> DataFra
     return now.join(before.select(key, digest), [key, digest], "left_anti")
 
 
-def run_record(files: DataFrame, run_id: str, role: str) -> DataFrame:
-    """One row per file of a run: run_id, role, path, digest."""
-    return files.select(F.lit(run_id).alias("run_id"), F.lit(role).alias("role"), "path", F.sha2(F.col("content"), 256).alias("digest"))
+def unique_ids(rows: DataFrame, key: str, slug: str) -> DataFrame:
+    """Rows with unique_id: the slug if it is the only one of its kind, else slug_001 and so on by key; where that is taken too, a
+    further number is appended until all differ. Keys are unique."""
+    same = Window.partitionBy(slug)
+    k = F.row_number().over(same.orderBy(key)).cast("string")
+    counted = F.concat_ws("_", slug, F.lpad(k, F.greatest(F.lit(3), F.length(k)), F.lit("0")))
+    out = rows.withColumn("unique_id", F.when(F.count(F.lit(1)).over(same) == 1, F.col(slug)).otherwise(counted))
+    while True:
+        again = Window.partitionBy("unique_id").orderBy(F.col("unique_id") != F.col(slug), key)
+        out = checkpointed(out.withColumn("_n", F.row_number().over(again)))
+        if out.filter("_n > 1").isEmpty():
+            return out.drop("_n")
+        out = out.withColumn("unique_id", F.when(F.col("_n") > 1, F.concat_ws("_", "unique_id", F.col("_n").cast("string"))).otherwise(F.col("unique_id"))).drop("_n")
+
+
+def run_record(files: DataFrame, run_id: str, role: str, settings: dict[str, str] | None = None) -> DataFrame:
+    """One row per file of a run: run_id, role ('input' or 'output'), path, digest, and the run's settings (map) for comparison."""
+    pairs = [F.lit(x) for k, v in sorted((settings or {}).items()) for x in (k, str(v))]
+    kept = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    return files.select(F.lit(run_id).alias("run_id"), F.lit(role).alias("role"), "path", F.sha2(F.col("content"), 256).alias("digest"), kept.alias("settings"))

@@ -57,7 +57,6 @@ def ingest(stream: DataFrame, table_path: str, checkpoint: str, key: str = "chap
         except Exception as error:  # the first batch finds no table
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        rows.write.mode("overwrite").partitionBy("batch_no").parquet(table_path)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_no").parquet(table_path)
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,16 +2,13 @@
 
 import difflib
 import random
-from decimal import Decimal
 
-import duckdb
-import pytest
+from pyspark.sql import functions as F
 
-from __spark_entry__ import SMALL
-
-from corpusledger.llm import license_scan
-from corpusledger.operators import identity, reviews
+from corpusledger.operators import chunking, identity, reviews, timeline
+from corpusledger.operators.lineage import numbered
 from corpusledger.plans import registry
+from corpusledger.sources import chapters as sources
 
 
 def values(df, *columns):
@@ -66,7 +63,7 @@ def test_designs_meet_the_whole_registry(spark, tmp_path):
     rows = [(i, f"name {i}" if i < 500 else f"name {i - 294}", "B", "T", 1) for i in (*range(0, 600, 7), 1200, 1203)]
     put(spark, tmp_path, "part", rows, PART)
     same = {r[0]: [q[0] for q in rows if kind(q[0]) == kind(r[0]) and q[1] == r[1]] for r in rows}
-    found = values(registry.QUERIES["import_designs_all"](spark, str(tmp_path)), "design_id", "entity", "reason")
+    found = values(registry.QUERIES["import_designs"](spark, str(tmp_path)), "design_id", "entity", "reason")
     assert found == sorted([(i, i, None) if len(q) == 1 else (i, None, "ambiguous") for i, q in same.items()], key=str)
     assert (1200, 1200, None) in found and any(r[2] for r in found)
 
@@ -82,7 +79,7 @@ def test_designs_are_counted_on_both_sides(spark):
 def test_customers_meet_all_suppliers(spark, tmp_path):
     put(spark, tmp_path, "customer", [(i, f"Customer#{i % 450:09d}") for i in range(600)], "c_custkey long, c_name string")
     put(spark, tmp_path, "supplier", [(i, f"Supplier#{i + 100:09d}") for i in range(400)], "s_suppkey long, s_name string")
-    found = values(registry.QUERIES["unique_match_all"](spark, str(tmp_path)), "c_custkey", "s_suppkey")
+    found = values(registry.QUERIES["unique_match"](spark, str(tmp_path)), "c_custkey", "s_suppkey")
     assert found == sorted([(c, c - 100) for c in range(150, 450)], key=str)
 
 
@@ -116,7 +113,7 @@ def test_reach_and_merges_take_every_line(spark, tmp_path):
     while front:
         front = sorted({m for n in front for m in near[n]} - steps.keys())
         steps |= dict.fromkeys(front, max(steps.values()) + 1)
-    assert values(registry.QUERIES["seeded_reach_all"](spark, str(tmp_path)), "id", "steps") == sorted(steps.items(), key=str)
+    assert values(registry.QUERIES["seeded_reach"](spark, str(tmp_path)), "id", "steps") == sorted(steps.items(), key=str)
     decisions = [(s, o * 10 + n, p, -1 - s, "different" if f == "R" else "same") for o, p, s, n, f in rows]
     assert values(registry.QUERIES["constrained_merge"](spark, str(tmp_path)), "group", "id", "component") == merged(decisions)
 
@@ -136,46 +133,82 @@ def test_targets_are_dropped_beyond_the_fortieth_trait(spark, tmp_path):
         names = [r[1] for r in sorted(rows) if r[3] == kind]
         expected += [(kind, k, n) for k, n in enumerate(names, 1) if k % 3]
     assert max(r[1] for r in expected) > 40
-    assert values(registry.QUERIES["drop_targets_all"](spark, str(tmp_path)), "entity", "number", "trait") == sorted(expected, key=str)
-
-
-#: Query -> what its SQL says about rows that are left out.
-FILTERS = {
-    "topk_candidates": [" WHERE entity_id % 50 = 0", " WHERE entity_id % 50 <> 0"],
-    "salvage_rows": [" WHERE event_id % 60 = 0"],
-    "apply_merges": [" WHERE l_orderkey % 20 = 0"],
-    "metadata_rules": [" WHERE l_orderkey % 10 = 0"],
-    "value_pairs": [" WHERE event_id % 3 = 0"],
-    "location_views": [" l_partkey % 3 = 1 AND", " WHERE l_partkey % 3 = 1"],
-    "span_containment": [" AND a.event_id % 7 < 2"],
-}
-
-
-@pytest.mark.parametrize("name", FILTERS)
-def test_unfiltered_queries_equal_the_sql_without_its_filter(spark, name):
-    sql, data = registry.ORACLE_SQL[name], SMALL
-    if name == "topk_candidates":  # its SQL leaves out the rule for small pools
-        data = SMALL.replace("sf0.001", "sf0.01")
-    for said in FILTERS[name]:
-        assert said in sql
-        sql = sql.replace(said, "")
-    with duckdb.connect() as db:
-        for t in ("part", "lineitem", "events", "customer"):
-            db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
-        result = db.execute(sql)
-        columns, rows = [d[0] for d in result.description], result.fetchall()
-        part = db.execute(registry.ORACLE_SQL[name]).fetchall()
-    rounded = lambda rows: sorted((tuple(round(float(v), 9) if isinstance(v, float | Decimal) else v for v in r) for r in rows), key=str)
-    found = registry.QUERIES[f"{name}_all"](spark, data)
-    if name == "salvage_rows":
-        assert found.count() == spark.read.parquet(f"{data}/events.parquet").count()
-        found = found.filter("reason IS NULL")
-    assert rounded(found.select(*columns).collect()) == rounded(rows)
-    assert rounded(registry.QUERIES[name](spark, data).select(*columns).collect()) == rounded(part) != rounded(rows)
-
-
-def test_an_edited_notice_before_an_exact_one_is_found():
-    edited, exact = "licensd undr the apache license version 2 0", "licensed under the apache license version 2 0"
-    for text in (f"x {edited} and {exact} end", f"x {exact} and {edited} end", f"{edited} a {exact} b {edited}"):
-        near = [n for n in license_scan.find(text)[2] if n[2] == "apache"]
-        assert len(near) == text.count("version 2 0") and min(n[3] for n in near) == 0
+    assert values(registry.QUERIES["drop_targets"](spark, str(tmp_path)), "entity", "number", "trait") == sorted(expected, key=str)
+
+
+def test_candidates_equal_a_search_of_all_pairs(spark):
+    dice = random.Random(8)
+    words = "red old tin ring plate cup lid".split()
+    name = lambda: " ".join(dice.choices(words, k=dice.randrange(4)))
+    pool = [(i, "big" if i % 4 else "small", name()) for i in range(100)]
+    asked = [(1000 + i, dice.choice(["big", "small", "none"]), name() if i else "of no kin") for i in range(30)]
+    left, right = spark.createDataFrame(asked, "in_id long, kind string, in_name string"), spark.createDataFrame(pool, "pool_id long, kind string, pool_name string")
+    out = values(identity.top_candidates(left, right), "in_id", "pool_id", F.round("score", 9), "place")
+
+    def score(x, y):
+        a, b = set(x.split()), set(y.split())
+        return 1.0 if x == y else len(a & b) / max(1, len(a | b))
+
+    want = []
+    for i, kind, n in asked:
+        ranked = sorted((-score(n, m), p) for p, k, m in pool if k == kind)
+        size, over = len(ranked), sum(-s >= 0.15 for s, _ in ranked)
+        kept = ranked if size <= 35 else [r for r in ranked[:12] if -r[0] >= 0.15] if over else ranked[:3]
+        want += [(i, p, round(-s, 9), k) for k, (s, p) in enumerate(kept, 1)]
+    assert out == sorted(want, key=str)
+
+
+def test_large_blocks_are_dealt_into_parts(spark):
+    e = spark.createDataFrame([(i, "k", f"abc {i % 7} d{i}") for i in range(30)], "i long, kind string, name string")
+    whole = values(identity.similar_pairs(e, "i", "kind", "name", 0.3), "x", "y")
+    kept = identity.BLOCK_NAMES
+    try:
+        identity.BLOCK_NAMES = 4
+        assert values(identity.similar_pairs(e, "i", "kind", "name", 0.3), "x", "y") == whole
+    finally:
+        identity.BLOCK_NAMES = kept
+
+
+def test_numbering_has_no_single_task(spark):
+    rows = spark.createDataFrame([(k, i) for k in ("a", "a", "b") for i in range(40)], "k string, i long").distinct()
+    out = numbered(rows.repartition(7), ["k"], ["i"])
+    assert values(out, "k", "number") == sorted([(k, i + 1) for k in "ab" for i in range(40)], key=str)
+    assert values(numbered(rows, [], ["k", "i"]), "k", "i", "number") == sorted([(k, i, i + 1 + 40 * (k == "b")) for k in "ab" for i in range(40)], key=str)
+    assert numbered(rows.limit(0), [], ["i"]).count() == 0
+
+
+def unpartitioned_windows(df):
+    """Windows over all rows in a plan, but for those over the ranges themselves, which are as many as partitions."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [line for line in plan.splitlines() if "Window [" in line and line.rstrip().count("[") < 3 and "windowspecdefinition(_range#" not in line]
+
+
+def test_no_window_over_all_rows_carries_texts(spark):
+    docs = spark.createDataFrame([(i, "some text " * 40 + str(i % 3)) for i in range(12)], "i long, t string")
+    interned = chunking.intern(docs, "t", ["i"])
+    assert unpartitioned_windows(interned) == [] and values(interned, "value_id", "uses") == [(1, 4), (2, 4), (3, 4)]
+    files = spark.createDataFrame([(f"p{i}.txt", f"p{i}.txt", f"text {i}".encode()) for i in (10, 2, 1)], "path string, name string, content binary")
+    kept, _ = sources.read_chapters(files)
+    assert unpartitioned_windows(kept) == [] and values(kept, "ord", "chapter_id") == [(1, "p1"), (2, "p2"), (3, "p10")]
+    known = spark.createDataFrame([("character", 4)], "kind string, number long")
+    given = identity.assign_ids(spark.createDataFrame([("character", i) for i in range(3)], "kind string, i long"), known, "kind", ["i"], F.lit("CHAR"))
+    assert values(given, "i", "global_id") == [(0, "CHAR_005"), (1, "CHAR_006"), (2, "CHAR_007")]
+
+
+def test_ids_are_made_unique_whatever_they_meet(spark):
+    rows = [(1, "a"), (2, "a"), (3, "a_001"), (4, "b"), (5, "a_002"), (6, "a_002")]
+    out = sources.unique_ids(spark.createDataFrame(rows, "k long, s string"), "k", "s")
+    found = values(out, "k", "unique_id")
+    assert len({u for _, u in found}) == 6 and found[3] == (4, "b") and found[2] == (3, "a_001") and found[1] == (2, "a_002")
+
+
+def test_facts_end_at_resets_and_updates(spark):
+    dice = random.Random(4)
+    ups = [(c, s, 1, f"The {dice.choice('xyz')}", "a", "f") for c in range(3) for s in range(1, 15) if dice.random() < 0.7]
+    cuts = [(c, s, dice.random() < 0.2) for c in range(3) for s in range(1, 15)]
+    df = timeline.unbounded_facts(spark.createDataFrame(ups, "chapter long, sequence int, update_no int, entity string, aspect string, fact string"), spark.createDataFrame(cuts, "chapter long, sequence int, reset boolean"))
+    want = []
+    for c, s, _, e, _, _ in ups:
+        ends = [q for d, q, r in cuts if d == c and q > s and r] + [q for d, q, _, x, _, _ in ups if d == c and q > s and x == e]
+        want.append((c, s, e, min(ends, default=None)))
+    assert values(df, "chapter", "sequence", "entity", "until_sequence") == sorted(want, key=str)
