@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import flagged, settled
 
-SPACES = r"[\x20\x09-\x0D]+"
+#: Runs of ASCII white space that are not one space already.
+SPACES = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 LARGE = 4096
 
 
