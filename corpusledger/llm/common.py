@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Bits of the bitmap by which many rows are told apart from few.
 BITMAP_BITS = 26
 #: Rows and bytes of texts that a task works on at once; one longer text is worked on alone.
-BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

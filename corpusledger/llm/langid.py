@@ -25,8 +25,8 @@ TRAIN_ROWS, LEAST_ROWS, MOST_LABELS, PARTS, PART_CHARS = 1200, 40, 200, 16, 1250
 BUCKETS = 1 << 16
 LEXICON, LEXICON_COUNT = 20_000, 3
 LENGTH, BATCH, EPOCHS, RATE, DECAY = 48, 64, 3, 0.4, 1e-5
-#: Words of a chunk in which texts are run side by side; numbers that one run or the remembered scores of words may hold.
-CHUNK, MOST_CELLS = 64, 16_000_000
+#: Words of a chunk in which texts are run side by side; words whose scores are remembered; numbers that one run or those scores may hold.
+CHUNK, MOST_WORDS, MOST_CELLS = 64, 200_000, 16_000_000
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -66,7 +66,7 @@ class Field:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """exp of the label scores of each word, the largest 1."""
-        if len(self.known) * len(self.labels) > MOST_CELLS:
+        if len(self.known) > min(MOST_WORDS, MOST_CELLS // len(self.labels)):
             self.known, self.scores = {}, self.scores[:0]
         known = self.known
         new = [w for w in dict.fromkeys(words) if w not in known]
