@@ -78,3 +78,25 @@ def picture_specs(variants: DataFrame, views: DataFrame) -> DataFrame:
 def ordered_views(requested: Column, allowed: list[str]) -> Column:
     """The requested views that are allowed, each once, in the allowed order."""
     return F.array_intersect(F.array(*map(F.lit, allowed)), requested)
+
+
+def exact_views(requests: DataFrame, available: DataFrame, scene: list[str]) -> DataFrame:
+    """The asset for each requested view of a subject in a scene: scene, subject, level, view, asset_id.
+
+    Only an asset of exactly that view that is bound to the scene counts, the first by its order; requests without one are left
+    out and the levels of the others close up. ``requests``: scene, subject, ord, view; ``available``: scene, subject, view, ord, asset_id.
+    """
+    here = [*scene, "subject"]
+    first = available.groupBy(*here, "view").agg(F.min_by("asset_id", F.struct("ord", "asset_id")).alias("asset_id"))
+    met = requests.join(first, [*here, "view"])
+    return met.withColumn("level", F.row_number().over(Window.partitionBy(*here).orderBy("ord", "view")) - 1).select(*here, "level", "view", "asset_id")
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Rows with the columns of the table's row of their key (null without one); a table with more than one row for a key fails.
+
+    No hint is given: Spark broadcasts a table below its threshold and shuffles a larger one.
+    """
+    once = table.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    sound = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("more than one row for "), F.col(key).cast("string")))).otherwise(F.lit(True))
+    return rows.join(once.filter(sound.cast("boolean")).drop("_n"), key, "left")

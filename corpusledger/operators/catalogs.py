@@ -346,3 +346,53 @@ def design_defaults(design: DataFrame, allowed: DataFrame, blocked: DataFrame, o
     """
     kept = design.filter(F.length(F.trim(F.coalesce("value", F.lit("")))) > 0).join(allowed, ["entity_type", "field"], "left_semi")
     return kept.join(blocked.select(key, "field"), [key, "field"], "left_anti").join(occupied.select(key, "field"), [key, "field"], "left_anti").select(key, "field", "value")
+
+
+def local_catalog(mentions: DataFrame, chapter: str = "chapter_id") -> DataFrame:
+    """A chapter's entities from their mentions: chapter, kind, local_id, canonical_name, first_sequence, aliases.
+
+    ``mentions``: chapter, kind, name, alias (or null), sequence, ord (unique within a chapter). Names are one by entity key and the
+    first spelling stays; ids count the first mentions of a kind; an alias that two entities of a chapter have is left out.
+    """
+    rows = mentions.withColumn("_key", T.entity_key(F.col("name"))).filter(F.length("_key") > 0)
+    here = [chapter, "kind", "_key"]
+    base = rows.groupBy(*here).agg(F.min("ord").alias("_first"), F.min_by("name", "ord").alias("canonical_name"), F.min("sequence").alias("first_sequence"))
+    number = F.row_number().over(Window.partitionBy(chapter, "kind").orderBy("_first")).cast("string")
+    named = base.withColumn("local_id", F.concat(F.col("kind"), F.lit("_"), F.lpad(number, F.greatest(F.lit(3), F.length(number)), F.lit("0"))))
+    spelled = rows.filter("alias IS NOT NULL").groupBy(*here, T.entity_key(F.col("alias")).alias("_a")).agg(F.min_by("alias", "ord").alias("alias")).filter("length(_a) > 0 AND _a <> _key")
+    owners = spelled.groupBy(chapter, "_a").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").drop("_n")
+    taken = base.select(chapter, F.col("_key").alias("_a"))
+    kept = spelled.join(owners, [chapter, "_a"]).join(taken, [chapter, "_a"], "left_anti").groupBy(*here).agg(F.array_sort(F.collect_list("alias")).alias("aliases"))
+    return named.join(kept, here, "left").select(chapter, "kind", "local_id", "canonical_name", "first_sequence", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
+
+
+def applied_links(links: DataFrame, defaults: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links that may be applied, conflicts): a link of two profiles stands unless their edited defaults differ in some field.
+
+    ``links``: id, link; ``defaults``: id, field, value. Conflicts: id, link, fields.
+    """
+    mine = links.join(defaults, "id")
+    other = defaults.select(F.col("id").alias("link"), "field", F.col("value").alias("_other"))
+    differ = mine.join(other, ["link", "field"]).filter("value <> _other").groupBy("id", "link").agg(F.array_sort(F.collect_set("field")).alias("fields"))
+    return links.join(differ, ["id", "link"], "left_anti"), differ
+
+
+def profile_mapping(profiles: DataFrame, registry: DataFrame, required: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, problems) of profiles and registry entities by entity key: a pair has no other partner on either side.
+
+    ``profiles``: profile, name; ``registry``: entity, name; ``required``: entity. Problems: profile, entity, reason - 'ambiguous' (the profile
+    fits several), 'contested' (several fit the entity), 'unmatched' (a required entity that no profile fits).
+    """
+    p = profiles.select("profile", T.entity_key(F.col("name")).alias("_k")).filter("length(_k) > 0").distinct()
+    r = registry.select("entity", T.entity_key(F.col("name")).alias("_k")).filter("length(_k) > 0").distinct()
+    counts = lambda rows, n: rows.groupBy("_k").agg(F.count(F.lit(1)).alias(n))
+    sides = counts(p, "_p").join(counts(r, "_r"), "_k")
+    alone = sides.filter("_p = 1 AND _r = 1").select("_k")
+    pairs = p.join(alone, "_k").join(r, "_k").groupBy("profile", "entity").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    several = pairs.groupBy("profile").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("profile")
+    nobody, nothing = F.lit(None).cast(profiles.schema["profile"].dataType), F.lit(None).cast(registry.schema["entity"].dataType)
+    ambiguous = p.join(sides.filter("_r > 1"), "_k", "left_semi").select("profile").unionByName(several).distinct().select("profile", nothing.alias("entity"), F.lit("ambiguous").alias("reason"))
+    contested = r.join(sides.filter("_p > 1"), "_k", "left_semi").select("entity").distinct().select(nobody.alias("profile"), "entity", F.lit("contested").alias("reason"))
+    good = pairs.join(several, "profile", "left_anti")
+    lost = required.select("entity").distinct().join(r.join(sides, "_k", "left_semi").select("entity"), "entity", "left_anti").select(nobody.alias("profile"), "entity", F.lit("unmatched").alias("reason"))
+    return good, ambiguous.unionByName(contested).unionByName(lost)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import intervals
-from .lineage import numbered
+from .lineage import folded, numbered
 
 
 def paragraph_chunks(df: DataFrame, text_col: str, most: int, separator: str = r"\n\s*\n", joint: str = "\n\n", overlap: int = 0) -> DataFrame:
@@ -99,31 +98,21 @@ def pack(df: DataFrame, group: list[str], order: str, cost: Column, most: int, m
     """Greedy batches in order, per group: batch_no and status are added.
 
     A batch ends before the item that would take it over ``most`` (each further item costs ``gap`` more) or over
-    ``most_items``. An item over the limit is an error row and stands in no batch; nothing is cut. Groups are folded in
-    order by one function call each, so keep them to a chapter.
+    ``most_items``. An item over the limit is an error row and stands in no batch; nothing is cut. A group is folded in order, so
+    keep groups to a chapter.
     """
-    kept = df.columns
-    rows = df.withColumn("_cost", cost.cast("long"))
-    fields = [*rows.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields if f.name != "_cost") + ", batch_no int, status string"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        numbers, states, batch, size, items = [], [], 0, 0, 0
-        for c in pdf["_cost"]:
-            if c > most:
-                numbers.append(None)
-                states.append("over_budget")
-                continue
-            more = c + (gap if items else 0)
-            if items and (size + more > most or (most_items and items >= most_items)):
-                batch, size, items, more = batch + 1, 0, 0, c
-            size, items = size + more, items + 1
-            numbers.append(batch)
-            states.append("packed")
-        return pdf[kept].assign(batch_no=pd.array(numbers, dtype="Int32"), status=states)
-
-    return rows.groupBy(*group).applyInPandas(fold, schema)
+
+    def step(state, row):
+        (batch, size, items), c = state, row.cost_of_item
+        if c > most:
+            return state, (None, "over_budget")
+        more = c + (gap if items else 0)
+        if items and (size + more > most or (most_items and items >= most_items)):
+            batch, size, items, more = batch + 1, 0, 0, c
+        return (batch, size + more, items + 1), (batch, "packed")
+
+    rows = df.withColumn("cost_of_item", cost.cast("long"))
+    return folded(rows, group, [order], lambda: (0, 0, 0), step, {"batch_no": "int", "status": "string"}).drop("cost_of_item")
 
 
 def fixed_batches(df: DataFrame, group: list[str], order: list[str], size: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def violations(rows: DataFrame, rule: str, key: Column, detail: Column | None = None) -> DataFrame:
     return rows.select(F.lit(rule).alias("rule"), key.cast("string").alias("key"), (F.lit("") if detail is None else detail.cast("string")).alias("detail"))
@@ -82,6 +84,53 @@ def order_violations(rows: DataFrame, keys: list[str], order: str, first: int =
     return seen.filter(F.col(order) != F.col("_k")).select(*keys, order, F.when(F.col(order) <= F.col("_p"), "not_increasing").otherwise("gap").alias("rule"))
 
 
+def sequence_violations(rows: DataFrame, chapter: str, place: str) -> DataFrame:
+    """Sequences that break the shape of a chapter: chapter, sequence, rule. ``rows``: chapter, place (in the document), sequence, source
+    and adaptation (a struct of texts, the first and last of which are the states before and after).
+
+    Numbers rise with the place; neither the source nor a state is blank.
+    """
+    names = rows.schema["adaptation"].dataType.names
+    blank = lambda c: F.length(F.trim(F.coalesce(c, F.lit("")))) == 0
+    before = F.lag("sequence").over(Window.partitionBy(chapter).orderBy(place))
+    rules = F.array_compact(F.array(
+        F.when(F.col("sequence").isNull() | (F.col("sequence") < 1) | F.coalesce(F.col("sequence") <= before, F.lit(False)), "not_increasing"),
+        F.when(blank(F.col("source")), "blank_source"),
+        F.when(blank(F.col(f"adaptation.{names[0]}")) | blank(F.col(f"adaptation.{names[-1]}")), "blank_state"),
+    ))
+    return rows.select(chapter, "sequence", rules.alias("_r")).select(chapter, "sequence", F.explode("_r").alias("rule"))
+
+
+def plan_violations(plans: DataFrame, keys: list[str]) -> DataFrame:
+    """Broken rules of scene plans: keys, rule, detail (the place within the plan).
+
+    ``plans``: keys, source, seconds (array of double: beats, then the pause), stated (double), reset, reset_evidence and updates (array
+    of struct entity, aspect, fact, source_quote). Numbers are finite, their sum is positive and near the stated total; a reset
+    quotes the source and only a reset does; facts are not blank and quote the source.
+    """
+    source = T.comparison_text(F.col("source"))
+    quoted = lambda q: T.contained(T.comparison_text(F.coalesce(q, F.lit(""))), F.col("_source"))
+    rows = plans.withColumn("_source", source)
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    wild = ~F.forall(F.array_append("seconds", F.col("stated")), finite)
+    total = F.aggregate("seconds", F.lit(0.0), lambda s, x: s + x)
+    off = (total <= 0) | (F.abs(total - F.col("stated")) > 0.05)
+    rule = lambda test, name, detail: F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(name).alias("rule"), F.lit(detail).alias("detail")))
+    reset_quote = F.coalesce("reset_evidence", F.lit(""))
+    whole = rows.select(*keys, F.inline(F.array_compact(F.array(
+        rule(wild, "timing_nonfinite", "/timing"),
+        rule(~wild & off, "timing_total_mismatch", "/timing/estimated_seconds"),
+        rule(F.when(F.col("reset"), ~quoted(reset_quote)).otherwise(F.length(reset_quote) > 0), "reset_quote_mismatch", "/continuity/reset_evidence"),
+    ))))
+    facts = rows.select(*keys, "_source", F.posexplode("updates").alias("_i", "_u"))
+    blank = F.lit(False)
+    for c in ("entity", "fact", "source_quote"):
+        blank = blank | (F.length(F.trim(F.coalesce(F.col(f"_u.{c}"), F.lit("")))) == 0)
+    broken = F.when(blank | (T.entity_key(F.coalesce("_u.entity", F.lit(""))) == ""), "blank_fact_field").when(~quoted(F.col("_u.source_quote")), "source_quote_mismatch")
+    each = facts.select(*keys, broken.alias("rule"), F.concat(F.lit("/continuity/updates/"), F.col("_i").cast("string")).alias("detail")).filter("rule IS NOT NULL")
+    return whole.unionByName(each)
+
+
 LABELS = ("Subject", "Picture", "Audio", "Video")
 
 

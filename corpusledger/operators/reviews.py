@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import quality
+from .lineage import folded
 
 #: Bounds of an identity window. Fixed values.
 WINDOW_JOBS, WINDOW_CHARS, WINDOW_CANDIDATES = 8, 12_000, 32
@@ -77,20 +78,11 @@ def identity_windows(jobs: DataFrame, group: list[str]) -> DataFrame:
     ``jobs``: group, ord, n_chars, n_candidates. A window ends before the job that would pass any of its three bounds; a job that
     passes one by itself is a window of its own.
     """
-    import pandas as pd
-
-    kept = jobs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in jobs.schema.fields) + ", window_no int, context long"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
-        window, n, chars, candidates, before, context = -1, WINDOW_JOBS, 0, 0, None, None
-        rows = []
-        for r in pdf.itertuples(index=False):
-            if n >= WINDOW_JOBS or chars + r.n_chars > WINDOW_CHARS or candidates + r.n_candidates > WINDOW_CANDIDATES:
-                window, n, chars, candidates, context = window + 1, 0, 0, 0, before
-            n, chars, candidates, before = n + 1, chars + r.n_chars, candidates + r.n_candidates, r.ord
-            rows.append((window, context))
-        return pdf[kept].assign(window_no=[w for w, _ in rows], context=pd.array([c for _, c in rows], dtype="Int64"))
-
-    return jobs.groupBy(*group).applyInPandas(fold, schema)
+
+    def step(state, row):
+        window, n, chars, candidates, before, context = state
+        if n >= WINDOW_JOBS or chars + row.n_chars > WINDOW_CHARS or candidates + row.n_candidates > WINDOW_CANDIDATES:
+            window, n, chars, candidates, context = window + 1, 0, 0, 0, before
+        return (window, n + 1, chars + row.n_chars, candidates + row.n_candidates, row.ord, context), (window, context)
+
+    return folded(jobs, group, ["ord"], lambda: (-1, WINDOW_JOBS, 0, 0, None, None), step, {"window_no": "int", "context": "long"})

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import assets, catalogs, chunking, documents, identity, prompts, timeline, traits
+from ..operators import assets, catalogs, chunking, documents, identity, prompts, quality, timeline, traits
+from ..sources import export
 from .base import ENTITIES_SQL, OBSERVATIONS_SQL, SEQUENCES_SQL, chapters, entities, observations, query, table
 from .timeline_queries import LEDGER_SQL, PHASES_SQL, ledger_inputs, phased
 
@@ -479,3 +480,121 @@ def assembled_assets(spark, sf_dir):
     briefs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("asset_id"), F.when(F.col("l_returnflag") == "R", F.lit(" ")).otherwise(F.concat(F.lit("brief "), F.col("l_orderkey").cast("string"))).alias("brief"))
     good, missing = catalogs.assembled_assets(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("asset_id")), briefs)
     return good.select("asset_id", "brief", F.lit(None).cast("string").alias("reason")).unionByName(missing.select("asset_id", F.lit(None).cast("string").alias("brief"), "reason"))
+
+
+# ---- shapes of chapters and plans, views and sheets
+
+
+@query(
+    """WITH r AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN turn - 2 ELSE turn + 1 END AS sequence, CASE WHEN turn % 7 = 3 THEN '' ELSE text END AS source, CASE WHEN role = 'assistant' AND length(text) % 3 = 0 THEN ' ' ELSE role END AS state FROM conversations),
+ p AS (SELECT *, lag(sequence) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM r)
+ SELECT conv_id, CAST(sequence AS INTEGER) AS sequence, 'not_increasing' AS rule FROM p WHERE sequence < 1 OR sequence <= before UNION ALL SELECT conv_id, sequence, 'blank_source' FROM p WHERE trim(source) = '' UNION ALL SELECT conv_id, sequence, 'blank_state' FROM p WHERE trim(state) = ''"""
+)
+def sequence_shape(spark, sf_dir):
+    """Turns are sequences; some are out of order, some have no text, some no first state."""
+    turn = F.col("turn")
+    state = F.when((F.col("role") == "assistant") & (F.length("text") % 3 == 0), F.lit(" ")).otherwise(F.col("role"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(turn % 5 == 4, turn - 2).otherwise(turn + 1).cast("int").alias("sequence"), F.when(turn % 7 == 3, "").otherwise(F.col("text")).alias("source"), F.struct(state.alias("initial"), F.lit("e").alias("event"), F.col("role").alias("ending")).alias("adaptation"))
+    return quality.sequence_violations(rows, "conv_id", "turn")
+
+
+@query(
+    """WITH r AS (SELECT conv_id, turn, regexp_replace(text, '\\s+', ' ', 'g') AS s, lead(left(text, 20)) OVER (PARTITION BY conv_id ORDER BY turn) AS after, length(text) / 10.0 AS total, left(text, 20) AS own FROM conversations),
+ q AS (SELECT *, trim(regexp_replace(coalesce(after, ''), '\\s+', ' ', 'g')) AS a FROM r)
+ SELECT conv_id, turn, 'timing_nonfinite' AS rule, '/timing' AS detail FROM q WHERE turn % 6 = 5 UNION ALL SELECT conv_id, turn, 'timing_total_mismatch', '/timing/estimated_seconds' FROM q WHERE turn % 6 <> 5 AND (total <= 0 OR turn % 4 = 1)
+ UNION ALL SELECT conv_id, turn, 'reset_quote_mismatch', '/continuity/reset_evidence' FROM q WHERE CASE WHEN turn % 2 = 0 THEN a = '' OR NOT contains(s, a) ELSE length(coalesce(after, '')) > 0 END
+ UNION ALL SELECT conv_id, turn, 'source_quote_mismatch', '/continuity/updates/1' FROM q WHERE a <> '' AND NOT contains(s, a) UNION ALL SELECT conv_id, turn, 'blank_fact_field', '/continuity/updates/1' FROM q WHERE a = ''
+ UNION ALL SELECT conv_id, turn, 'blank_fact_field', '/continuity/updates/0' FROM q WHERE trim(own) = ''"""
+)
+def plan_rules(spark, sf_dir):
+    """Each turn has a plan that quotes it and the turn after it; the times of some do not add up."""
+    after = F.coalesce(F.lead(F.left("text", F.lit(20))).over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
+    total, turn = F.length("text") / 10.0, F.col("turn")
+    fact = lambda q: F.struct(F.lit("Mara").alias("entity"), F.lit("a").alias("aspect"), F.lit("f").alias("fact"), q.alias("source_quote"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("source"), F.array(total / 2, total / 2, F.when(turn % 6 == 5, F.lit(float("nan"))).otherwise(F.lit(0.0))).alias("seconds"), (total + F.when(turn % 4 == 1, 1.0).otherwise(0.0)).alias("stated"), (turn % 2 == 0).alias("reset"), after.alias("reset_evidence"), F.array(fact(F.left("text", F.lit(20))), fact(after)).alias("updates"))
+    return quality.plan_violations(rows, ["conv_id", "turn"])
+
+
+@query(
+    """WITH v AS (SELECT l_orderkey AS scene, l_partkey AS subject, l_returnflag AS view, min(l_linenumber) AS o, min((l_linenumber, l_suppkey)) AS f FROM lineitem GROUP BY ALL), q AS (SELECT DISTINCT l_orderkey AS scene, l_partkey AS subject, unnest(['R', 'N']) AS view, unnest([1, 2]) AS ord FROM lineitem)
+ SELECT scene, subject, CAST(row_number() OVER (PARTITION BY scene, subject ORDER BY ord, view) - 1 AS INTEGER) AS level, view, f[2] AS asset_id FROM q JOIN v USING (scene, subject, view)"""
+)
+def exact_views(spark, sf_dir):
+    """Each part of an order asks for views R and N, in that order; its lines are the assets."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("scene"), F.col("l_partkey").alias("subject"), F.col("l_returnflag").alias("view"), F.col("l_linenumber").alias("ord"), F.col("l_suppkey").alias("asset_id"))
+    asked = li.select("scene", "subject").distinct().select("*", F.inline(F.array(*[F.struct(F.lit(v).alias("view"), F.lit(i).alias("ord")) for i, v in ((1, "R"), (2, "N"))])))
+    return assets.exact_views(asked, li, ["scene"])
+
+
+@query(
+    """SELECT c_nationkey AS chapter_id, c_custkey AS sequence, sha256('SCENE: ' || c_name || chr(10) || chr(10) || CASE WHEN c_custkey % 2 = 0 THEN 'OPENING IMAGE:' || chr(10) || 'The last frame of sequence ' || (c_custkey - 1) || ' opens this scene.' || chr(10) || chr(10) ELSE '' END
+ || 'REFERENCES IN ORDER:' || chr(10) || '<Subject 1> = ' || c_name || ' (character)' || chr(10) || CASE WHEN c_custkey % 3 = 0 THEN '  <Picture 1> = ' || c_name || ' | face | base | p.png' || chr(10) ELSE '' END || CASE WHEN c_custkey % 5 = 0 THEN 'No image attached: ' || c_mktsegment || ' (location)' || chr(10) ELSE '' END
+ || chr(10) || 'PROMPT:' || chr(10) || c_mktsegment || chr(10)) AS sheet_sha256 FROM customer"""
+)
+def scene_sheets(spark, sf_dir):
+    """Customers are scenes of their nation's chapter."""
+    i = F.col("c_custkey")
+    picture = F.struct(F.lit("<Picture 1>").alias("label"), F.lit("face").alias("view"), F.lit("base").alias("variant"), F.lit("p.png").alias("file"))
+    pictures = F.when(i % 3 == 0, F.array(picture)).otherwise(F.filter(F.array(picture), lambda p: F.lit(False)))
+    subjects = F.array(F.struct(F.lit("<Subject 1>").alias("label"), F.col("c_name").alias("name"), F.lit("character").alias("entity_type"), pictures.alias("pictures")))
+    bare = F.array(F.struct(F.col("c_mktsegment").alias("name"), F.lit("location").alias("entity_type")))
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("chapter_id"), i.alias("sequence"), F.col("c_name").alias("title"), F.when(i % 2 == 0, i - 1).alias("previous_sequence"), subjects.alias("subjects"),
+        F.array().cast("array<struct<label:string,name:string,file:string>>").alias("audio"), F.when(i % 5 == 0, bare).otherwise(F.filter(bare, lambda u: F.lit(False))).alias("unreferenced"), F.array().cast("array<string>").alias("errors"), F.concat("c_mktsegment", F.lit("  ")).alias("prompt"),
+    )
+    return export.scene_sheet(rows).select("chapter_id", "sequence", F.sha2("sheet", 256).alias("sheet_sha256"))
+
+
+@query("SELECT c_nationkey AS chapter_id, sha256(string_agg('== ' || c_name || ' ==' || chr(10) || c_mktsegment, chr(10) || chr(10) ORDER BY c_custkey)) AS block_sha256 FROM customer GROUP BY c_nationkey")
+def chapter_prompts(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("chapter_id"), F.col("c_custkey").alias("sequence"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("prompt"))
+    return export.chapter_prompts(rows).select("chapter_id", F.sha2("block", 256).alias("block_sha256"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, p_name FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size > 10")
+def part_lookup(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").filter("p_size > 10").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    return assets.lookup(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), parts, "l_partkey")
+
+
+@query(
+    """WITH m AS (SELECT l_suppkey AS chapter_id, p_type AS kind, p_name AS name, CASE WHEN p_size % 2 = 0 THEN p_brand || ' ' || (p_partkey % 40) END AS alias, l_linenumber AS sequence, (l_orderkey * 100 + l_linenumber) * 1000000 + l_partkey AS ord FROM lineitem JOIN part ON p_partkey = l_partkey),
+ b AS (SELECT chapter_id, kind, lower(name) AS k, min(ord) AS f, min(sequence) AS first_sequence FROM m GROUP BY ALL),
+ n AS (SELECT *, CAST(row_number() OVER (PARTITION BY chapter_id, kind ORDER BY f) AS VARCHAR) AS r FROM b),
+ s AS (SELECT DISTINCT chapter_id, kind, lower(name) AS k, alias FROM m WHERE alias IS NOT NULL), o AS (SELECT chapter_id, alias FROM s GROUP BY ALL HAVING count(*) = 1),
+ a AS (SELECT chapter_id, kind, k, string_agg(alias, ',' ORDER BY alias) AS aliases FROM s JOIN o USING (chapter_id, alias) GROUP BY ALL)
+ SELECT chapter_id, kind, kind || '_' || lpad(r, CAST(greatest(3, length(r)) AS INTEGER), '0') AS local_id, k AS canonical_name, first_sequence, coalesce(aliases, '') AS aliases FROM n LEFT JOIN a USING (chapter_id, kind, k)"""
+)
+def local_catalog(spark, sf_dir):
+    """Suppliers are chapters, parts the entities their lines mention, with brands as aliases of some."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("kind"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 2 == 0, F.concat("p_brand", F.lit(" "), (F.col("p_partkey") % 40).cast("string"))).alias("alias"))
+    m = table(spark, sf_dir, "lineitem").join(p, "l_partkey").select(F.col("l_suppkey").alias("chapter_id"), "kind", "name", "alias", F.col("l_linenumber").alias("sequence"), ((F.col("l_orderkey") * 100 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("ord"))
+    out = catalogs.local_catalog(m)
+    return out.select("chapter_id", "kind", "local_id", "canonical_name", "first_sequence", F.array_join("aliases", ",").alias("aliases"))
+
+
+@query(
+    """WITH l AS (SELECT DISTINCT l_partkey AS id, l_suppkey AS link FROM lineitem WHERE l_partkey <> l_suppkey), d AS (SELECT p_partkey AS id, p_type AS field, p_brand AS value FROM part),
+ c AS (SELECT l.id, l.link, a.field FROM l JOIN d a ON a.id = l.id JOIN d b ON b.id = l.link AND b.field = a.field AND b.value <> a.value)
+ SELECT id, link, (SELECT string_agg(DISTINCT field, ',' ORDER BY field) FROM c WHERE c.id = l.id AND c.link = l.link) AS fields FROM l"""
+)
+def applied_links(spark, sf_dir):
+    """A line links its part to the part with its supplier's number; types are fields, brands their edited values."""
+    links = table(spark, sf_dir, "lineitem").filter("l_partkey <> l_suppkey").select(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("link")).distinct()
+    defaults = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("field"), F.col("p_brand").alias("value"))
+    good, bad = catalogs.applied_links(links, defaults)
+    return good.select("id", "link", F.lit(None).cast("string").alias("fields")).unionByName(bad.select("id", "link", F.array_join("fields", ",").alias("fields")))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS profile, p_name || ' ' || (p_partkey % 700) AS k FROM part), r AS (SELECT p_partkey AS entity, p_name || ' ' || (p_partkey % 900) AS k, p_size > 45 AS q FROM part),
+ pc AS (SELECT k, count(*) AS n FROM p GROUP BY k), rc AS (SELECT k, count(*) AS m FROM r GROUP BY k), s AS (SELECT * FROM pc JOIN rc USING (k))
+ SELECT profile, entity, NULL AS reason FROM p JOIN s USING (k) JOIN r USING (k) WHERE n = 1 AND m = 1
+ UNION ALL SELECT profile, NULL, 'ambiguous' FROM p JOIN s USING (k) WHERE m > 1 UNION ALL SELECT NULL, entity, 'contested' FROM r JOIN s USING (k) WHERE n > 1 UNION ALL SELECT NULL, entity, 'unmatched' FROM r WHERE q AND k NOT IN (SELECT k FROM s)"""
+)
+def profile_mapping(spark, sf_dir):
+    """Parts are profiles and entities under names with numbers of their own; those of large size are required."""
+    p = table(spark, sf_dir, "part")
+    name = lambda n: F.concat(F.lit("The "), "p_name", F.lit(" "), (F.col("p_partkey") % n).cast("string")).alias("name")
+    good, bad = catalogs.profile_mapping(p.select(F.col("p_partkey").alias("profile"), name(700)), p.select(F.col("p_partkey").alias("entity"), name(900)), p.filter("p_size > 45").select(F.col("p_partkey").alias("entity")))
+    return good.select("profile", "entity", F.lit(None).cast("string").alias("reason")).unionByName(bad)

@@ -31,6 +31,37 @@ def write_stage(df: DataFrame, path: str, partition: list[str] | None = None, fo
     (writer.partitionBy(*partition) if partition else writer).save(path)
 
 
+def scene_sheet(scenes: DataFrame) -> DataFrame:
+    """The sheet of each scene: keys, title, sheet.
+
+    ``scenes``: chapter_id, sequence, title, previous_sequence, subjects (array of struct label, name, entity_type, pictures: array of struct
+    label, view, variant, file), audio (array of struct label, name, file), unreferenced (array of struct name, entity_type), errors and
+    prompt. Parts that a scene has nothing for are left out.
+    """
+    none = F.array().cast("array<string>")
+    files = lambda s: F.transform(s["pictures"], lambda p: F.concat(F.lit("  "), p["label"], F.lit(" = "), s["name"], F.lit(" | "), F.concat_ws(" | ", p["view"], p["variant"], p["file"])))
+    heads = lambda s: F.array(F.concat(s["label"], F.lit(" = "), s["name"], F.lit(" ("), s["entity_type"], F.lit(")")))
+    subjects = F.flatten(F.transform("subjects", lambda s: F.concat(heads(s), files(s))))
+    voices = F.transform("audio", lambda a: F.concat(a["label"], F.lit(" = "), a["name"], F.lit(" | "), a["file"]))
+    bare = F.transform("unreferenced", lambda u: F.concat(F.lit("No image attached: "), u["name"], F.lit(" ("), u["entity_type"], F.lit(")")))
+    part = lambda test, *lines: F.when(F.coalesce(test, F.lit(False)), F.concat(*lines)).otherwise(none)
+    line = lambda c: F.array(c if not isinstance(c, str) else F.lit(c))
+    text = F.concat(
+        line(F.concat(F.lit("SCENE: "), F.col("title"))), line(""),
+        part(F.col("previous_sequence").isNotNull(), line("OPENING IMAGE:"), line(F.concat(F.lit("The last frame of sequence "), F.col("previous_sequence").cast("string"), F.lit(" opens this scene."))), line("")),
+        part(F.size(F.concat(subjects, voices)) > 0, line("REFERENCES IN ORDER:"), subjects, voices),
+        bare,
+        part(F.size("errors") > 0, line(""), line("VALIDATION WARNINGS:"), F.col("errors")),
+        line(""), line("PROMPT:"), line(F.rtrim("prompt")),
+    )
+    return scenes.select("chapter_id", "sequence", "title", F.concat(F.array_join(text, "\n"), F.lit("\n")).alias("sheet"))
+
+
+def chapter_prompts(scenes: DataFrame, chapter: str = "chapter_id") -> DataFrame:
+    """All prompts of a chapter in one text, in order and under their titles: chapter, block."""
+    return text_blocks(scenes, [chapter], ["sequence"], F.concat(F.lit("== "), F.col("title"), F.lit(" ==\n"), F.rtrim("prompt")))
+
+
 def write_texts(df: DataFrame, path: str, folder: str, text_col: str) -> None:
     """One text file set per folder."""
     df.select(folder, F.col(text_col).alias("value")).repartition(folder).write.mode("overwrite").partitionBy(folder).text(path)

