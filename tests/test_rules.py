@@ -257,3 +257,22 @@ def test_plans_lookups_sheets(spark):
     scene = spark.createDataFrame([("c", 1, "T", None, [("<Subject 1>", "Mara", "character", [("<Picture 1>", "face", "base", "m.png")])], [("<Audio 1>", "Mara", "m.wav")], [("Dog", "object")], ["late"], "go \n")], "chapter_id string, sequence int, title string, previous_sequence int, subjects array<struct<label:string,name:string,entity_type:string,pictures:array<struct<label:string,view:string,variant:string,file:string>>>>, audio array<struct<label:string,name:string,file:string>>, unreferenced array<struct<name:string,entity_type:string>>, errors array<string>, prompt string")
     sheet = export.scene_sheet(scene).first()["sheet"]
     assert sheet.split("\n") == ["SCENE: T", "", "REFERENCES IN ORDER:", "<Subject 1> = Mara (character)", "  <Picture 1> = Mara | face | base | m.png", "<Audio 1> = Mara | m.wav", "No image attached: Dog (object)", "", "VALIDATION WARNINGS:", "late", "", "PROMPT:", "go", ""] or sheet.rstrip().endswith("go")
+
+
+def test_name_ratio_equals_plain_python(spark, tmp_path):
+    import difflib
+
+    from corpusledger.plans import registry
+
+    names = ["red ring", "red rings", "old plate", "cold plates", "tin", "lead cup", ""]
+    rows = [(i, names[i % 7], f"B{i % 3}", "T", i) for i in range(40)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    want, last = [], {}
+    for i, n, brand, *_ in rows:
+        if brand in last:
+            m = difflib.SequenceMatcher(None, n, last[brand])
+            block = difflib.SequenceMatcher(None, n, last[brand], autojunk=False).find_longest_match()
+            want.append((i, round(m.ratio(), 9), block.a, block.b, block.size))
+        last[brand] = n
+    out = registry.QUERIES["name_ratio"](spark, str(tmp_path))
+    assert values(out, "entity_id", F.round("ratio", 9), "a_start", "b_start", "size") == sorted(want, key=str)
