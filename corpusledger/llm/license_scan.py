@@ -36,6 +36,16 @@ NOTICES = {
     "mozilla public license version 2 0": "mpl",
     "this work is licensed under a creative commons attribution": "cc-by",
     "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gpl",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "to the extent possible under law the author has waived all copyright and related rights": "cc0",
+    "this work is licensed under a creative commons attribution sharealike": "cc-by-sa",
+    "boost software license version 1 0": "bsl",
+    "eclipse public license version 2 0": "epl",
+    "european union public licence": "eupl",
+    "gnu free documentation license": "gfdl",
+    "common development and distribution license": "cddl",
+    "permission is granted to anyone to use this software for any purpose including commercial applications": "zlib",
 }
 EDIT_CHARS = 12
 
