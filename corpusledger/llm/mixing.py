@@ -20,8 +20,8 @@ from .common import settled, words_expr
 #: Weights of the sources in code-point order, repeating; the share of all words to mix; the most uses of a document.
 WEIGHTS, SHARE, MOST_USES = (3, 1, 2), 1.5, 2
 SEED = 20_240_229
-#: Rows of one length that one task ranks.
-RANKED = 20_000
+#: Rows of one length that are ranked together; a length with more is ranked in buckets by the seeded lot.
+RANKED = 500
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
