@@ -7,42 +7,68 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.udfs import entity_key_of
 from ..operators.timeline import MOST_FACTS, advance
 
 #: Input of the ledger stream: one row per sequence with its updates.
 LEDGER_IN = "chapter long, sequence int, reset boolean, updates array<struct<entity:string,aspect:string,fact:string>>"
-LEDGER_OUT = "chapter long, sequence int, entity string, aspect string, fact string, from_sequence int"
-#: Cursor, facts kept and sequences held back until the gap before them closes.
-LEDGER_STATE = "next_sequence int, facts string, held string"
+#: Its output: a fact after a sequence, or how many sequences wait behind the one that is missing (the other columns null).
+LEDGER_OUT = "chapter long, sequence int, entity string, aspect string, fact string, from_sequence int, n_held int"
+FACT = ("key", "entity", "aspect", "fact", "sequence")
 
 
-def stream_ledger(rows: DataFrame, most: int = MOST_FACTS) -> DataFrame:
-    """Facts after each sequence, emitted once and in order; sequences start at 1 and those ahead of a gap are held.
+class Ledger(StatefulProcessor):
+    """Per chapter: the next sequence and how many wait, the facts alive (MOST_FACTS at most), and the waiting sequences in a map.
 
-    A sequence that arrives again after it was emitted is ignored.
+    A batch touches the map at the sequences that arrive or leave only, however many wait.
     """
-    import json
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cursor, facts, held = (state.get[0], json.loads(state.get[1]), json.loads(state.get[2])) if state.exists else (1, [], {})
-        for pdf in batches:
+    def __init__(self, most: int):
+        self.most = most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.place = handle.getValueState("place", "next_sequence int, n_held int")
+        self.facts = handle.getListState("facts", "key string, entity string, aspect string, fact string, sequence int")
+        self.held = handle.getMapState("held", "sequence int", "reset boolean, updates array<struct<entity:string,aspect:string,fact:string>>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        cursor, waiting = self.place.get() if self.place.exists() else (1, 0)
+        for pdf in rows:
             for r in pdf.itertuples(index=False):
-                if r.sequence >= cursor:
-                    given = [] if r.updates is None else [{k: u[k] for k in ("entity", "aspect", "fact")} | {"key": entity_key_of(u["entity"])} for u in r.updates]
-                    held.setdefault(str(r.sequence), [bool(r.reset), given])
+                at = (int(r.sequence),)
+                if at[0] >= cursor and not self.held.containsKey(at):
+                    self.held.updateValue(at, (bool(r.reset), [(u["entity"], u["aspect"], u["fact"]) for u in (r.updates if r.updates is not None else [])]))
+                    waiting += 1
         out = []
-        while str(cursor) in held:
-            reset, given = held.pop(str(cursor))
-            facts = advance(facts, cursor, reset, given, most)
-            out += [(key[0], cursor, f["entity"], f["aspect"], f["fact"], f["sequence"]) for f in facts]
-            cursor += 1
-        state.update((cursor, json.dumps(facts), json.dumps(held)))
-        yield pd.DataFrame(out, columns=["chapter", "sequence", "entity", "aspect", "fact", "from_sequence"])
-
-    return rows.groupBy("chapter").applyInPandasWithState(step, LEDGER_OUT, LEDGER_STATE, "append", GroupStateTimeout.NoTimeout)
+        if self.held.containsKey((cursor,)):
+            facts = [dict(zip(FACT, f, strict=True)) for f in self.facts.get()]
+            while self.held.containsKey((cursor,)):
+                reset, updates = self.held.getValue((cursor,))
+                self.held.removeKey((cursor,))
+                given = [{"key": entity_key_of(e), "entity": e, "aspect": a, "fact": f} for e, a, f in updates]
+                facts = advance(facts, cursor, reset, given, self.most)
+                out += [(key[0], cursor, f["entity"], f["aspect"], f["fact"], f["sequence"], None) for f in facts]
+                cursor, waiting = cursor + 1, waiting - 1
+            self.facts.put([tuple(f[n] for n in FACT) for f in facts]) if facts else self.facts.clear()
+        self.place.update((cursor, waiting))
+        if waiting:
+            out.append((key[0], cursor, None, None, None, None, waiting))
+        columns = [c.split()[0] for c in LEDGER_OUT.split(", ")]
+        yield pd.DataFrame(out, columns=columns, dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_ledger(rows: DataFrame, most: int = MOST_FACTS) -> DataFrame:
+    """Facts after each sequence, emitted once and in order; sequences start at 1 and those ahead of a gap are held (LEDGER_OUT).
+
+    After each batch a chapter that waits for a sequence reports it, with how many are held behind it. A sequence that
+    arrives again is ignored. The state store must be RocksDB's (spark.sql.streaming.stateStore.providerClass).
+    """
+    return rows.groupBy("chapter").transformWithStateInPandas(Ledger(most), LEDGER_OUT, "Append", "None")
 
 
 def ingest(stream: DataFrame, table_path: str, checkpoint: str, key: str = "chapter_id", digest: str = "text_sha256"):
