@@ -22,6 +22,37 @@ def flatten_kinds(characters: DataFrame, locations: DataFrame, objects: DataFram
     return out
 
 
+def compact(rows: DataFrame, fields: dict[str, Column | None]) -> DataFrame:
+    """What of rows a request needs: the named columns only, nulls and missing ones as their default (None: the column must be there)."""
+    there = set(rows.columns)
+    return rows.select(*[(F.col(n) if d is None else F.coalesce(F.col(n), d) if n in there else d).alias(n) for n, d in fields.items()])
+
+
+def compact_local(entities: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
+    """A chapter's entities as identity jobs see them: keys, names, sequences, intrinsic_descriptions, evidence, each value once, in order of use.
+
+    ``entities``: keys, canonical_name, aliases; ``members``: keys, ord, sequence, name, aliases, visual_traits and evidence.
+    """
+    used = members.select(*keys, "ord", "sequence", F.concat(F.array("name"), "aliases").alias("_n"), F.transform(F.filter("visual_traits", lambda t: t["scope"] == "intrinsic"), lambda t: t["description"]).alias("_d"), "evidence")
+    ordered = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col(c).alias("_v")))), lambda s: s["_v"])))
+    sums = used.withColumn("_s", F.array("sequence")).groupBy(*keys).agg(ordered("_n").alias("_n"), ordered("_s").alias("sequences"), ordered("_d").alias("intrinsic_descriptions"), ordered("evidence").alias("evidence"))
+    return entities.join(sums, keys).select(*keys, "canonical_name", F.array_distinct(F.concat(F.array("canonical_name"), "aliases", "_n")).alias("names"), "sequences", "intrinsic_descriptions", "evidence")
+
+
+def as_struct(rows: DataFrame, keys: list[str], name: str, left_out: list[str] | None = None) -> DataFrame:
+    """Rows as keys and one struct of their other columns; ``left_out`` names columns that the receiver has already."""
+    return rows.select(*keys, F.struct(*[c for c in rows.columns if c not in keys and c not in (left_out or [])]).alias(name))
+
+
+def from_struct(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    return rows.select(*keys, f"{name}.*")
+
+
+def without_context(rows: DataFrame) -> DataFrame:
+    """Observations as they are saved: columns that only a request derives (their names begin with an underscore) are dropped."""
+    return rows.drop(*[c for c in rows.columns if c.startswith("_")])
+
+
 def usable_evidence(rows: DataFrame, persistence: list[str] | None = None) -> DataFrame:
     """Evidence whose confidence is not low, of the wanted persistence."""
     kept = rows.filter(F.col("confidence") != "low")

@@ -75,6 +75,24 @@ PHYSICAL, WORN = ["age", "physical_appearance", "distinguishing_feature"], ["clo
 WARDROBE = r"wardrobe_[a-z0-9]+(?:_[a-z0-9]+)*"
 
 
+#: Fields of a description by the traits that it gathers; of eyes, hair and skin by how a trait begins. Fixed values.
+TRAIT_FIELD = {
+    "facial_hair": "hair", "body_hair": "hair",
+    "nose_shape": "facial_features", "cheekbones": "facial_features", "lips": "facial_features", "chin": "facial_features", "face_shape": "facial_features", "teeth": "facial_features",
+    "age": "age_appearance", "clothing": "default_outfit", "accessory": "accessories",
+}
+FIELD_STARTS, OTHER_FIELD = {"eye_": "eyes", "hair_": "hair", "skin_": "skin"}, "build"
+
+
+def field_of(trait: Column) -> Column:
+    """The field of a description that a trait belongs to."""
+    known = F.create_map(*[F.lit(x) for pair in TRAIT_FIELD.items() for x in pair])
+    out = F.coalesce(known[trait], F.lit(OTHER_FIELD))
+    for start, field in FIELD_STARTS.items():
+        out = F.when(F.startswith(trait, F.lit(start)), field).otherwise(out)
+    return out
+
+
 def holds(text: Column, pattern: str) -> Column:
     return text.rlike("(?U)" + pattern)
 

@@ -598,3 +598,36 @@ def profile_mapping(spark, sf_dir):
     name = lambda n: F.concat(F.lit("The "), "p_name", F.lit(" "), (F.col("p_partkey") % n).cast("string")).alias("name")
     good, bad = catalogs.profile_mapping(p.select(F.col("p_partkey").alias("profile"), name(700)), p.select(F.col("p_partkey").alias("entity"), name(900)), p.filter("p_size > 45").select(F.col("p_partkey").alias("entity")))
     return good.select("profile", "entity", F.lit(None).cast("string").alias("reason")).unionByName(bad)
+
+
+@query(
+    f"""WITH t AS (SELECT p_partkey, {listed(TRAITS)}[p_partkey % {len(TRAITS)} + 1] AS trait FROM part)
+ SELECT p_partkey, trait, CASE WHEN starts_with(trait, 'eye_') THEN 'eyes' WHEN starts_with(trait, 'hair_') OR trait = 'facial_hair' THEN 'hair' WHEN starts_with(trait, 'skin_') THEN 'skin' WHEN trait = 'chin' THEN 'facial_features' WHEN trait = 'age' THEN 'age_appearance' ELSE 'build' END AS field FROM t"""
+)
+def trait_fields(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", picked("p_partkey", TRAITS).alias("trait")).withColumn("field", traits.field_of(F.col("trait")))
+
+
+@query("SELECT p_partkey AS entity_id, p_name AS canonical_name, CASE WHEN p_size > 20 THEN p_type ELSE 'minor' END AS importance, false AS speaks FROM part")
+def compact_entities(spark, sf_dir):
+    """Of parts what a request needs; nothing says whether they speak."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("canonical_name"), F.when(F.col("p_size") > 20, F.col("p_type")).alias("importance"), "p_brand")
+    return catalogs.compact(rows, {"entity_id": None, "canonical_name": None, "importance": F.lit("minor"), "speaks": F.lit(False)})
+
+
+@query(
+    """WITH m AS (SELECT l_suppkey AS chapter, l_partkey AS entity, l_orderkey * 100 + l_linenumber AS ord, l_linenumber AS s, l_returnflag AS n, l_linestatus AS e FROM lineitem),
+ f AS (SELECT chapter, entity, s, min(ord) AS o FROM m GROUP BY ALL), g AS (SELECT chapter, entity, n, min(ord) AS o FROM m GROUP BY ALL), h AS (SELECT chapter, entity, e, min(ord) AS o FROM m GROUP BY ALL)
+ SELECT chapter, entity, p_name || '|' || (SELECT string_agg(n, '|' ORDER BY o) FROM g WHERE g.chapter = x.chapter AND g.entity = x.entity) AS names, (SELECT string_agg(s, '|' ORDER BY o, s) FROM f WHERE f.chapter = x.chapter AND f.entity = x.entity) AS sequences,
+  (SELECT string_agg(e, '|' ORDER BY o) FROM h WHERE h.chapter = x.chapter AND h.entity = x.entity) AS evidence FROM (SELECT DISTINCT chapter, entity FROM m) x JOIN part ON p_partkey = entity"""
+)
+def compact_local(spark, sf_dir):
+    """Suppliers are chapters, their parts entities, lines their members."""
+    li = table(spark, sf_dir, "lineitem")
+    keys = ["chapter", "entity"]
+    at = F.struct((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("o"), F.col("l_linenumber").alias("s"), F.col("l_returnflag").alias("n"), F.col("l_linestatus").alias("e"))
+    members = li.select(F.col("l_suppkey").alias("chapter"), F.col("l_partkey").alias("entity"), at.alias("ord"), F.col("l_linenumber").alias("sequence"), F.col("l_returnflag").alias("name"), F.array().cast("array<string>").alias("aliases"), F.array().cast("array<struct<scope:string,description:string>>").alias("visual_traits"), F.array("l_linestatus").alias("evidence"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity"), F.col("p_name").alias("canonical_name"), F.array().cast("array<string>").alias("aliases"))
+    out = catalogs.compact_local(members.select(*keys).distinct().join(parts, "entity"), members, keys)
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "|").alias(c)
+    return out.select(*keys, text("names"), text("sequences"), text("evidence"))

@@ -276,3 +276,10 @@ def test_name_ratio_equals_plain_python(spark, tmp_path):
         last[brand] = n
     out = registry.QUERIES["name_ratio"](spark, str(tmp_path))
     assert values(out, "entity_id", F.round("ratio", 9), "a_start", "b_start", "size") == sorted(want, key=str)
+
+
+def test_structs_and_context(spark):
+    rows = spark.createDataFrame([(1, 2, "t", "s", "c")], "k long, sequence int, title string, source string, _source_context string")
+    packed = catalogs.as_struct(catalogs.without_context(rows), ["k"], "scene", ["source"])
+    assert packed.columns == ["k", "scene"] and catalogs.from_struct(packed, ["k"], "scene").columns == ["k", "sequence", "title"]
+    assert catalogs.without_context(rows).columns == ["k", "sequence", "title", "source"]
