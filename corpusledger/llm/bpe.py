@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import map_rows, settled
 
 #: Most states kept, and most pieces whose encoding is remembered, before either memory is emptied.
 MOST_STATES, MOST_PIECES = 200_000, 400_000
@@ -324,7 +324,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
         return work
 
-    return map_rows(docs.select(id_col, text_col), make, f"{id_col} {kind}, n_tokens long, token_ids array<int>")
+    return settled(map_rows(docs.select(id_col, text_col), make, f"{id_col} {kind}, n_tokens long, token_ids array<int>"), "tokens")
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
@@ -338,7 +338,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id", i
 
         return work
 
-    return map_rows(tokens.select(id_col, ids_col), make, f"{id_col} {kind}, text string")
+    return settled(map_rows(tokens.select(id_col, ids_col), make, f"{id_col} {kind}, text string"), "tokens")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -362,4 +362,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
         return work
 
-    return map_rows(docs.select(id_col, text_col), make, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids)
+    return settled(map_rows(docs.select(id_col, text_col), make, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids), "tokens")

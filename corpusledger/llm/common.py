@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 BITMAP_BITS = 26
 #: Rows and bytes of texts that a task works on at once; one longer text is worked on alone.
 BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,11 +36,23 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Few rows an Arrow batch while a job runs, as a row may be a whole book; the session's own setting comes back after it."""
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once to the shared folder and read again: a short lineage that outlives lost executors."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,7 +71,10 @@ def portions(batch: pa.RecordBatch):
 
 
 def map_rows(df: DataFrame, make, schema: str) -> DataFrame:
-    """Apply ``make() -> function(dict of column lists) -> list of columns`` (lists or Arrow arrays) to portions of rows; make runs once a task."""
+    """Apply ``make() -> function(dict of column lists) -> list of columns`` (lists or Arrow arrays) to portions of rows; make runs once a task.
+
+    What is returned has not run; texts go to Python in small batches when it is ``settled``.
+    """
     fields = df.sparkSession.createDataFrame([], schema).schema
     names = fields.names
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, portions
+from .common import map_rows, portions, settled
 
 #: The classifier's bounded sample: rows in all, rows of a label at least, labels that a field can hold (more are an error),
 #: and of a sampled text that is longer than PARTS * PART_CHARS characters, so many parts of so many, spread over all of it.
@@ -308,7 +308,7 @@ def label(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
         return work
 
     rows = docs.select(id_col, text_col, held_out(F.col(id_col)).alias("_held"))
-    return map_rows(rows, make, f"{id_col} {kind}, held_out boolean, lang_pred string, score double")
+    return settled(map_rows(rows, make, f"{id_col} {kind}, held_out boolean, lang_pred string, score double"), "languages")
 
 
 def keep_known(docs: DataFrame, field: Field, least: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -325,7 +325,7 @@ def keep_known(docs: DataFrame, field: Field, least: float = 0.3, text_col: str
                 names, scores = own.predict(batch.column(column).to_pylist())
                 yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return settled(docs.mapInArrow(work, docs.schema), "known-languages")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -13,7 +13,7 @@ import ahocorasick
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import map_rows, settled
 from .secret_scan import lower_ascii
 
 WORDS = regex.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -132,7 +132,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
         return work
 
-    return map_rows(docs.select(id_col, text_col), make, f"{id_col} {kind}, n_words long, licenses array<struct<first_word:long,end_word:long,label:string,edits:int>>")
+    return settled(map_rows(docs.select(id_col, text_col), make, f"{id_col} {kind}, n_words long, licenses array<struct<first_word:long,end_word:long,label:string,edits:int>>"), "licenses")
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,4 +151,4 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
         return work
 
-    return map_rows(docs.select(id_col, text_col), make, f"{id_col} {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return settled(map_rows(docs.select(id_col, text_col), make, f"{id_col} {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"), "licenses")

@@ -15,7 +15,7 @@ import zlib
 import ahocorasick
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import map_rows, settled
 
 #: Base kinds, in the order that breaks ties between spans with one start.
 BASE = ("assign", "access", "hex")
@@ -138,7 +138,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
         return work
 
-    return map_rows(docs.select(id_col, text_col), make, f"{id_col} {kind}, secrets array<struct<kind:string,start:long,end:long>>")
+    return settled(map_rows(docs.select(id_col, text_col), make, f"{id_col} {kind}, secrets array<struct<kind:string,start:long,end:long>>"), "secrets")
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,4 +154,4 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
         return work
 
-    return map_rows(docs.select(id_col, text_col), make, f"{id_col} {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return settled(map_rows(docs.select(id_col, text_col), make, f"{id_col} {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"), "secrets")

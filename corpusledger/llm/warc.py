@@ -226,7 +226,7 @@ def read_archives(directory: DataFrame, with_payload: bool = True) -> DataFrame:
             for row in batch.to_pylist():
                 yield captures_of(row, None, with_payload)
 
-    return directory.repartition(tasks_of(directory.sparkSession), "archive", "block_at").mapInArrow(work, CAPTURES)
+    return settled(directory.repartition(tasks_of(directory.sparkSession), "archive", "block_at").mapInArrow(work, CAPTURES), "captures")
 
 
 class Captures:
@@ -318,7 +318,7 @@ def lookup(directory: DataFrame, wanted: DataFrame | list[str], with_payload: bo
             for row in batch.to_pylist():
                 yield captures_of(row, row["wanted"], with_payload)
 
-    return hit.mapInArrow(work, CAPTURES)
+    return settled(hit.mapInArrow(work, CAPTURES), "captures")
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame, url_col: str = "url") -> DataFrame:
