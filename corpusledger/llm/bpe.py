@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from .common import map_rows, settled
 
 #: Most states kept, and most pieces whose encoding is remembered, before either memory is emptied.
-MOST_STATES, MOST_PIECES = 200_000, 400_000
+MOST_STATES, MOST_PIECES = 100_000, 200_000
 NEVER = 1 << 40
 #: Ends of pieces up to this length may be run without new states; longer ones keep to the bounded lookahead.
 RARE_BYTES = 64
@@ -48,7 +48,7 @@ class Transducer:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
         self.openings = {t[:k] for t in ranks for k in range(1, len(t))}
-        self.fits = functools.lru_cache(1_000_000)(self._fits)
+        self.fits = functools.lru_cache(250_000)(self._fits)
         self.splits: dict[bytes, tuple[bytes, bytes] | None] = {}
         self.spines: tuple[dict[int, list], dict[int, list]] = ({}, {})
         self.reset()

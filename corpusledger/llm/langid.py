@@ -67,7 +67,7 @@ class Field:
     def word_scores(self, words: list[str]) -> np.ndarray:
         """exp of the label scores of each word, the largest 1."""
         if len(self.known) > min(MOST_WORDS, MOST_CELLS // len(self.labels)):
-            self.known, self.scores = {}, self.scores[:0]
+            self.forget()
         known = self.known
         new = [w for w in dict.fromkeys(words) if w not in known]
         if new:
@@ -78,6 +78,10 @@ class Field:
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
         return self.scores[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
 
+    def forget(self) -> None:
+        """Let go of remembered scores: a worker outlives its task."""
+        self.known, self.scores = {}, self.scores[:0].copy()
+
     def most_words(self) -> int:
         """Words of one run, by what it holds for each of their chunks: a matrix over the labels and the scores."""
         labels = len(self.labels)
@@ -324,6 +328,7 @@ def keep_known(docs: DataFrame, field: Field, least: float = 0.3, text_col: str
             for batch in portions(whole):
                 names, scores = own.predict(batch.column(column).to_pylist())
                 yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+        own.forget()
 
     return settled(docs.mapInArrow(work, docs.schema), "known-languages")
 

@@ -49,7 +49,7 @@ NODE, TILE, HOT, PUT_BACK, HUBS = 16, 512, 2048, 2, 8
 #: A word is frequent if it is one in this many words; so at most this many words are. Bits of the bitmap of a semi-join.
 ONE_IN, BITMAP_BITS = 65_536, 26
 #: Words whose hashes are remembered; bits of a word's hash that hold its class, and of an n-gram's its rank.
-MOST_WORDS, CLASS_BITS, RANK_BITS = 500_000, 4, 6
+MOST_WORDS, CLASS_BITS, RANK_BITS = 200_000, 4, 6
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -573,3 +573,12 @@ def test_portions_are_bounded():
     assert [x for p in parts for x in p.column(1).to_pylist()] == texts
     assert all(p.num_rows <= 6 and (p.num_rows == 1 or sum(len(x or "") for x in p.column(1).to_pylist()) <= 100) for p in parts)
     assert list(common.portions(batch.slice(0, 0))) == []
+
+
+def test_the_session_keeps_its_settings(spark):
+    before = dict(spark.conf.getAll)
+    given = docs(spark, [(i, f"word {i} token=abcdef{i}") for i in range(5)])
+    assert secret_scan.digest(given).count() == license_scan.digest(given).count() == ngram_join.join(given).count() == 5
+    after = dict(spark.conf.getAll)
+    rows_a_batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    assert after.pop(rows_a_batch, "10000") == before.pop(rows_a_batch, "10000") and after == before
