@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_dedup, langid, license_scan, mixing, ngram_join, secret_scan, sharding, warc
+from . import alignment, ann, bpe, decontamination, exact_dedup, langid, license_scan, mixing, ngram_join, secret_scan, sharding, warc, whitening
 from .common import table
 
 
@@ -94,6 +94,44 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents
+), b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM benchmark
+), w AS (
+  SELECT DISTINCT item_id, ws[s:s + 9] AS win FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS s FROM b WHERE len(ws) > 0)
+), sizes AS (SELECT DISTINCT len(win) AS n FROM w),
+places AS (
+  SELECT doc_id, s, n, ws[s:s + n - 1] AS win FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM d, sizes)
+), m AS (SELECT DISTINCT doc_id, s, n, item_id FROM places JOIN w USING (win)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT doc_id, s, n FROM m)) GROUP BY doc_id),
+listed AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS h
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), most=4)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -103,7 +141,10 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_license_scan": op10_license_scan,
+    "op11_alignment": op11_alignment,
+    "op12_decontamination": op12_decontamination,
+    "op13_whitening": op13_whitening,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sharding": op8_sharding,
 }
-ORACLE_SQL = {"op1_warc": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op8_sharding": OP8_SQL}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op8_sharding": OP8_SQL, "op12_decontamination": OP12_SQL}
