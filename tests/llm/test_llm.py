@@ -211,6 +211,54 @@ def test_an_edited_notice_before_an_exact_one_is_found():
         assert len(near) == text.count("version 2 0") and min(n[3] for n in near) == 0
 
 
+def test_notices_agree_with_an_unseeded_search():
+    """Every part's expression over the whole line, chained likewise: what the pieces may not lose."""
+    pick, seen = random.Random(3), 0
+    fillers = "red stone of the license public general gnu under modify terms by software".split()
+    for _ in range(300):
+        words = []
+        for _ in range(pick.randint(1, 4)):
+            words += pick.choices(fillers, k=pick.randint(0, 6))
+            notice = list(pick.choice(list(license_scan.NOTICES)))
+            for _ in range(pick.randint(0, 7)):
+                i = pick.randrange(len(notice))
+                notice[i : i + pick.randint(0, 1)] = pick.choice(["", "a", "b", " ", "xy"])
+            words += "".join(notice).split()
+        line, want = " ".join(words), []
+        for notice, label in license_scan.NOTICES.items():
+            found = [license_scan.matches_in(license_scan.part_pattern(p)[0], line, 0, len(line)) for p in license_scan.parts_of(notice)]
+            want += [(*c, label) for c in license_scan.chained(found)] if all(found) else []
+        assert sorted(license_scan.near_places(line)) == sorted(want)
+        seen += len(want)
+    assert seen > 200
+
+
+def test_parts_of_notices():
+    for notice in license_scan.NOTICES:
+        parts = license_scan.parts_of(notice)
+        assert " ".join(parts) == notice and max(map(len, parts)) <= license_scan.PART_CHARS
+    long = "permission is granted to anyone to use this software for any purpose including commercial applications"
+    assert license_scan.find(f"x {long.replace('granted', 'grantd').replace('commercial', 'comercial')} y")[2] == [(1, 16, "zlib", 2)]
+    assert not license_scan.find(long.replace(" for any", " red green blue for any"))[2]
+
+
+@pytest.mark.parametrize("text", ["cc by " * 40_000, "general public license " * 10_000, "licensed under the gnu " * 10_000])
+def test_license_scan_is_linear(text):
+    import time
+
+    began = time.time()
+    n, exact, _ = license_scan.find(text)
+    assert time.time() - began < 30 and n == len(text.split()) and len(exact) == text.count("cc by")
+
+
+@pytest.mark.parametrize("header", [b'{"alg":' + b"[" * 100_000, b"[" * 300_000, b"\xff" * 9000, b'{"alg":1' + b"0" * 6000 + b"}", b'{"alg":"HS256"} x'])
+def test_hostile_token_headers(header):
+    import base64
+
+    text = "x eyJ" + base64.urlsafe_b64encode(header).decode().rstrip("=")[3:] + ".aaaaaaaaaaaa.bbbbbbbb y"
+    assert [s for s in secret_scan.find(text) if s[3] == "jwt"] == []
+
+
 def test_license_scan(spark):
     n, exact, near = license_scan.find("x. Released under the MIT-License, cc by CC BY")
     assert n == 10 and exact == [(4, "mit"), (6, "cc-by"), (8, "cc-by")]
@@ -315,9 +363,9 @@ def test_no_label_is_lost(spark):
     drawn = langid.sample(docs(spark, given))
     assert {k for _, k in drawn} == {"xx", "yy", "zz"}
     assert max(len(t) for t, _ in drawn) <= langid.PARTS * (langid.PART_CHARS + 1)
-    out = langid.identify(docs(spark, [*given, (7, "kalo mi kalo", None), (8, "zuße xo", None)]))
+    out = langid.identify(docs(spark, [*given, (907, "kalo mi kalo", None), (908, "zuße xo", None)]))
     found = {r[0]: r["lang_pred"] for r in out.collect()}
-    assert found[7] == "xx" and found[8] == "yy"
+    assert found[907] == "xx" and found[908] == "yy"
     kept = langid.MOST_LABELS
     try:
         langid.MOST_LABELS = 2
