@@ -1,13 +1,16 @@
 """License scans by fuzzy search for short notices.
 
-A notice allows a bounded number of edits e. Cut into e + 1 pieces, at least one piece survives any e edits, so a text
-that holds the notice holds a piece unchanged. One automaton finds all pieces; around each hit a bounded-error regular
-expression verifies the notice and reports its span. Exact phrases are found in the same word text.
+A notice is cut at words into parts of PART_CHARS characters at most, which must follow one another. A part allows a bounded
+number of edits e. Cut into e + 1 pieces, at least one piece survives any e edits, so a text that holds the part holds a
+piece unchanged. One automaton finds all pieces; around each hit a bounded-error regular expression verifies the part and
+reports its span. Exact phrases are found in the same word text.
 """
 
 from __future__ import annotations
 
 import functools
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import ahocorasick
 import regex
@@ -24,7 +27,7 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Short notices as their words -> label; one edit is allowed for every EDIT_CHARS characters.
+#: Short notices as their words -> label.
 NOTICES = {
     "licensed under the apache license version 2 0": "apache",
     "this work is licensed under the gnu general public license version 3": "gpl",
@@ -47,25 +50,91 @@ NOTICES = {
     "common development and distribution license": "cddl",
     "permission is granted to anyone to use this software for any purpose including commercial applications": "zlib",
 }
-EDIT_CHARS = 12
+#: One edit is allowed for every EDIT_CHARS characters of a part, MOST_EDITS at most, as the cost of verifying grows steeply with them.
+EDIT_CHARS, MOST_EDITS, PART_CHARS = 12, 3, 60
+#: How far the start of a part may lie from where the part before it and a space end.
+SLACK = MOST_EDITS
+
+
+def parts_of(notice: str) -> list[str]:
+    """The notice cut at words into the fewest parts of PART_CHARS characters at most, of similar length; a longer word is a part."""
+    words, most = notice.split(), -(-len(notice) // -(-len(notice) // PART_CHARS))
+    parts = [words[0]]
+    for word in words[1:]:
+        if len(parts[-1]) + 1 + len(word) <= min(PART_CHARS, most + MOST_EDITS):
+            parts[-1] += f" {word}"
+        else:
+            parts.append(word)
+    return parts
+
+
+def part_pattern(part: str) -> tuple[regex.Pattern, int]:
+    """(expression, edits) of one part; of the matches at the leftmost place a better one is taken."""
+    edits = min(MOST_EDITS, len(part) // EDIT_CHARS)
+    return regex.compile(f"(?e)(?:{regex.escape(part, literal_spaces=True)}){{e<={edits}}}"), edits
 
 
 @functools.lru_cache(1)
 def compiled():
-    """(automaton of pieces -> [(notice number, offset)], [(pattern, length, edits, label)])"""
+    """(automaton of pieces -> [(part number, offset)], [(pattern, length, edits)] of parts, [(part numbers, label)] of notices)"""
     pieces: dict[str, list[tuple[int, int]]] = {}
-    notices = []
-    for k, (notice, label) in enumerate(NOTICES.items()):
-        edits = len(notice) // EDIT_CHARS
-        cuts = [round(i * len(notice) / (edits + 1)) for i in range(edits + 2)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            pieces.setdefault(notice[a:b], []).append((k, a))
-        notices.append((regex.compile(f"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={edits}}}"), len(notice), edits, label))
+    numbers: dict[str, int] = {}
+    parts, notices = [], []
+    for notice, label in NOTICES.items():
+        cut = parts_of(notice)
+        for part in cut:
+            if part not in numbers:
+                numbers[part] = len(parts)
+                pattern, edits = part_pattern(part)
+                cuts = [round(i * len(part) / (edits + 1)) for i in range(edits + 2)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    pieces.setdefault(part[a:b], []).append((numbers[part], a))
+                parts.append((pattern, len(part), edits))
+        notices.append(([numbers[p] for p in cut], label))
     out = ahocorasick.Automaton()
     for piece, places in pieces.items():
         out.add_word(piece, (len(piece), places))
     out.make_automaton()
-    return out, notices
+    return out, parts, notices
+
+
+def chained(found: list[list[tuple[int, int, int]]]) -> list[tuple[int, int, int]]:
+    """(start, end, edits) where matches of all parts follow one another; ``found``: each part's matches in order."""
+    chains = found[0]
+    for matches in found[1:]:
+        starts, longer = [m[0] for m in matches], []
+        for start, end, edits in chains:
+            at = bisect_left(starts, end + 1 - SLACK)
+            if at < len(starts) and starts[at] <= end + 1 + SLACK:
+                longer.append((start, matches[at][1], edits + matches[at][2]))
+        chains = longer
+    return chains
+
+
+def matches_in(pattern: regex.Pattern, line: str, begin: int, end: int) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of a part's matches in a stretch, leftmost first and not overlapping; a space at its start is not part of it."""
+    return [(m.start() + (line[m.start()] == " "), m.end(), sum(m.fuzzy_counts)) for m in pattern.finditer(line, begin, end)]
+
+
+def near_places(line: str) -> list[tuple[int, int, int, str]]:
+    """(start, end, edits, label) of the notices in a line of words."""
+    automaton, parts, notices = compiled()
+    windows: dict[int, list[list[int]]] = {}
+    for at, (n, places) in automaton.iter(line):
+        for k, offset in places:
+            begin, _, edits = at - n + 1 - offset, *parts[k][1:]
+            windows.setdefault(k, []).append([max(0, begin - edits), min(len(line), begin + parts[k][1] + 2 * edits)])
+    found: dict[int, list[tuple[int, int, int]]] = {}
+    for k, spans in windows.items():
+        spans.sort()
+        merged = [spans[0]]
+        for span in spans[1:]:
+            if span[0] <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], span[1])
+            else:
+                merged.append(span)
+        found[k] = [m for a, b in merged for m in matches_in(parts[k][0], line, a, b)]
+    return [(*place, label) for cut, label in notices if all(found.get(k) for k in cut) for place in chained([found[k] for k in cut])]
 
 
 def find(text: str | None) -> tuple[int, list[tuple[int, str]], list[tuple[int, int, str, int]]]:
@@ -82,32 +151,13 @@ def find(text: str | None) -> tuple[int, list[tuple[int, str]], list[tuple[int,
     for phrase, label in PHRASES.items():
         at = padded.find(f" {phrase} ")
         while at >= 0:
-            exact.append((padded.count(" ", 0, at), label))
+            exact.append((at, label))
             at = padded.find(f" {phrase} ", at + 1)
-    automaton, notices = compiled()
-    windows: dict[int, list[tuple[int, int]]] = {}
-    for at, (n, places) in automaton.iter(line):
-        for k, offset in places:
-            begin = at - n + 1 - offset
-            windows.setdefault(k, []).append((begin - notices[k][2], begin + notices[k][1] + notices[k][2]))
-    near = []
-    for k, spans in windows.items():
-        pattern, length, edits, label = notices[k]
-        spans.sort()
-        merged = [list(spans[0])]
-        for a, b in spans[1:]:
-            if a <= merged[-1][1]:
-                merged[-1][1] = max(b, merged[-1][1])
-            else:
-                merged.append([a, b])
-        todo = [(max(0, a), min(len(line), b)) for a, b in merged]
-        while todo:  # the best match of a stretch need not be its first, so both sides of it are searched
-            a, b = todo.pop()
-            m = pattern.search(line, a, b) if b - a >= length - edits else None
-            if m:
-                start, end = m.start() + (line[m.start()] == " "), m.end()
-                near.append((line.count(" ", 0, start), line.count(" ", 0, end) + 1, label, sum(m.fuzzy_counts)))
-                todo += [(a, m.start()), (m.end(), b)]
+    near = near_places(line)
+    if exact or near:
+        starts = list(accumulate((len(w) + 1 for w in words), initial=0))
+        word = lambda at: bisect_right(starts, at) - 1
+        exact, near = [(word(at), label) for at, label in exact], [(word(a), word(b) + 1, label, edits) for a, b, edits, label in near]
     return len(words), sorted(exact), sorted(near)
 
 
