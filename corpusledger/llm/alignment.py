@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, portions, settled
+from .common import REMEMBERED, map_rows, portions, settled, turn
 
 #: A pair that holds more than one link in LARGE travels to all tasks; at most LARGE pairs do.
 LARGE = 1 << 20
@@ -182,10 +182,21 @@ class Stretches:
 
 
 @functools.lru_cache(1)
-def stretches(path_a: str, path_b: str) -> Stretches:
+def _stretches(path_a: str, path_b: str) -> Stretches:
     return Stretches(pair(path_a, path_b))
 
 
+def stretches(path_a: str, path_b: str) -> Stretches:
+    """What the worker knows of the two tokenizers, until another operator's turn."""
+    REMEMBERED["alignment"] = forget
+    return _stretches(path_a, path_b)
+
+
+def forget() -> None:
+    _stretches.cache_clear()
+    pair.cache_clear()
+
+
 def _added(pairs: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     codes, at = np.unique(np.concatenate(pairs), return_inverse=True)
     return codes, np.bincount(at, np.concatenate(counts), len(codes)).astype(np.int64)
@@ -195,6 +206,7 @@ def pair_counts(docs: DataFrame, path_a: str, path_b: str, text_col: str = "text
     """a, b, links: how many links of the whole corpus hold an id pair. Same cases as ``align``."""
 
     def run(batches):
+        turn("alignment")
         own = stretches(path_a, path_b)
         pairs, counts, held = [], [], 0
         for batch in batches:
@@ -253,7 +265,7 @@ def spans(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
 
         return work
 
-    return map_rows(docs.select(id_col, text_col), make, f"{id_col} {kind}, groups array<struct<start:long,end:long,a:array<int>,b:array<int>>>")
+    return map_rows(docs.select(id_col, text_col), make, f"{id_col} {kind}, groups array<struct<start:long,end:long,a:array<int>,b:array<int>>>", "alignment")
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,7 +325,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
 
         return work
 
-    rows = settled(map_rows(docs.select(id_col, text_col), make, fields), "aligned")
+    rows = settled(map_rows(docs.select(id_col, text_col), make, fields, "alignment"), "aligned")
     rest = rows.select("_row", F.explode("_rest").alias("_r")).select("_row", "_r.*").join(rated, "_pair")
     added = rest.groupBy("_row").agg(F.sum(F.col("_n") * F.col("links")).alias("_links"), F.sum(F.col("_n") * F.col("_best").cast("long")).alias("_n_best"))
     whole = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))

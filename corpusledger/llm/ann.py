@@ -28,12 +28,16 @@ SEED = 5
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """_id, _vec (array of double), _dim of the vectors that take part: none null, empty, zero or with a part null or not finite."""
+    """_id, _vec (array of double), _dim of the vectors that take part: none null, empty, zero or with a part null or not finite.
+
+    Of rows that repeat an id the shortest vector stays, of equal lengths the first in order.
+    """
     vec = F.col(vec_col).cast("array<double>")
     bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.filter(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).alias("_id"), vec.alias("_vec"), bad.alias("_bad"))
     rows = rows.filter((~F.col("_bad")) & F.exists("_vec", lambda x: x != 0))
-    return rows.select("_id", "_vec", F.size("_vec").alias("_dim"))
+    one = rows.groupBy("_id").agg(F.min(F.struct(F.size("_vec").alias("_dim"), "_vec")).alias("_least"))
+    return one.select("_id", "_least._vec", "_least._dim")
 
 
 def lines(dim: int, count: int = LINES, seed: int = SEED) -> np.ndarray:
@@ -95,9 +99,8 @@ FOUND = "query_id long, vec_id long, score double, n_verified long"
 def _search_block(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     out = []
     if len(vectors) and len(queries):
-        vectors = vectors.sort_values("_id", kind="stable").drop_duplicates("_id")
+        vectors = vectors.sort_values("_id", kind="stable")
         index = Index(vectors["_id"].to_numpy(), np.stack(vectors["_vec"].to_numpy()).astype(np.float64), k)
-        queries = queries.drop_duplicates("_id")
         for own, query in zip(queries["_id"].to_numpy(), queries["_vec"].to_numpy(), strict=True):
             places, far, many = index.search(np.asarray(query, np.float64), own, k)
             # the count stands on the first row of a block
@@ -112,8 +115,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
 
     Ids are integers. A query's own row takes no part; ties go to the smaller id; fewer candidates than k give all of
     them. Vectors that are null, empty, zero or have a part that is null or not finite take no part, as queries neither;
-    vectors of different length are never compared. Of rows that repeat an id one counts. Empty tables give an empty
-    result; other columns are ignored.
+    vectors of different length are never compared. Of rows that repeat an id one counts (``usable``). Empty tables give an
+    empty result; other columns are ignored.
 
     Every block of rows meets every block of queries, each pair in one task of bounded size; the queries are a stated
     set, not all rows.

@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_rows, settled
+from .common import REMEMBERED, map_rows, settled
 
 #: Most states kept, and most pieces whose encoding is remembered, before either memory is emptied.
 MOST_STATES, MOST_PIECES = 100_000, 200_000
@@ -303,11 +303,17 @@ def listed(packed: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
 
 
-@functools.lru_cache(2)
-def codec(path: str, pattern: str) -> Codec:
+@functools.lru_cache(1)
+def _codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+def codec(path: str, pattern: str) -> Codec:
+    """The worker's own codec, which it keeps until another operator's turn."""
+    REMEMBERED["bpe"] = _codec.cache_clear
+    return _codec(path, pattern)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of every whole text: id, n_tokens, token_ids (array of int).
 
@@ -324,7 +330,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
         return work
 
-    return settled(map_rows(docs.select(id_col, text_col), make, f"{id_col} {kind}, n_tokens long, token_ids array<int>"), "tokens")
+    return settled(map_rows(docs.select(id_col, text_col), make, f"{id_col} {kind}, n_tokens long, token_ids array<int>", "bpe"), "tokens")
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
@@ -338,7 +344,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id", i
 
         return work
 
-    return settled(map_rows(tokens.select(id_col, ids_col), make, f"{id_col} {kind}, text string"), "tokens")
+    return settled(map_rows(tokens.select(id_col, ids_col), make, f"{id_col} {kind}, text string", "bpe"), "tokens")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -362,4 +368,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
         return work
 
-    return settled(map_rows(docs.select(id_col, text_col), make, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids), "tokens")
+    return settled(map_rows(docs.select(id_col, text_col), make, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids, "bpe"), "tokens")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 import numpy as np
@@ -24,11 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names, or the context's checkpoint folder; where neither is set, a folder in the
-    warehouse, which the driver and all executors share too."""
+    warehouse. On a cluster that folder must not lie on a machine's own disk: then it is an error that none is named."""
     context = spark.sparkContext
     named, given = context.getConf().get("spark.checkpoint.dir"), context._jsc.sc().getCheckpointDir()
     if named is None:
         named = given.get() if given.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        if not given.isDefined() and not context.master.startswith("local") and named.partition(":")[0] in (named, "file"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return named.rstrip("/")
 
 
@@ -70,9 +74,27 @@ def portions(batch: pa.RecordBatch):
         start = stop
 
 
-def map_rows(df: DataFrame, make, schema: str) -> DataFrame:
+#: What operators remember in a Python worker from one task to the next: operator -> how it is dropped.
+REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def turn(operator: str = "") -> None:
+    """Called as a task begins: workers outlive tasks, so what other operators remember in this one is dropped and goes back to the system."""
+    others = [name for name in REMEMBERED if name != operator]
+    for name in others:
+        REMEMBERED.pop(name)()
+    if others:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim:
+            trim(0)
+
+
+def map_rows(df: DataFrame, make, schema: str, operator: str = "") -> DataFrame:
     """Apply ``make() -> function(dict of column lists) -> list of columns`` (lists or Arrow arrays) to portions of rows; make runs once a task.
 
+    ``operator``: whose memory the worker keeps (``turn``).
+
     What is returned has not run; texts go to Python in small batches when it is ``settled``.
     """
     fields = df.sparkSession.createDataFrame([], schema).schema
@@ -81,6 +103,7 @@ def map_rows(df: DataFrame, make, schema: str) -> DataFrame:
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        turn(operator)
         out_schema, work = to_arrow_schema(fields), make()
         for batch in batches:
             for part in portions(batch):

@@ -46,6 +46,8 @@ HIGH, LEVELS, LOW_LEVELS = 0.85, ((300, 32), (2000, 64), (1 << 62, 512)), ((300,
 #: Points of a tree node; documents of a tile; members above which a block is split; times that n-grams are put back,
 #: and hubs that one block is split by before its tiles meet in pairs.
 NODE, TILE, HOT, PUT_BACK, HUBS = 16, 512, 2048, 2, 8
+#: A key with more than one row in HOT_KEYS is counted as hot; at most so many are.
+HOT_KEYS = 4096
 #: A word is frequent if it is one in this many words; so at most this many words are. Bits of the bitmap of a semi-join.
 ONE_IN, BITMAP_BITS = 65_536, 26
 #: Words whose hashes are remembered; bits of a word's hash that hold its class, and of an n-gram's its rank.
@@ -363,16 +365,23 @@ def sets_of(rows: DataFrame, docs: DataFrame, classes, k: int) -> DataFrame:
 
 
 def met(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The rows whose key occurs more than once, with _n (its rows) and _m (its smallest document)."""
-    block = Window.partitionBy(*key)
-    return rows.withColumn("_n", F.count(F.lit(1)).over(block)).withColumn("_m", F.min("_doc").over(block)).filter("_n > 1")
+    """The rows whose key occurs more than once, with _n (its rows), _m (its smallest document) and _same (a hash of its members).
+
+    Keys are summed up in each task before they are shuffled. A key with more than one row in HOT_KEYS meets its rows by a
+    broadcast, of HOT_KEYS keys at most, so that no key's rows are one task's.
+    """
+    members = F.xxhash64(F.count(F.lit(1)), F.bit_xor(F.xxhash64("_doc")), F.bit_xor(F.xxhash64("_doc", F.lit(1))), F.min("_doc"))
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("_doc").alias("_m"), members.alias("_same")).filter("_n > 1")
+    counts = settled(counts, "counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    is_hot = F.col("_n") * HOT_KEYS > total
+    hot = F.broadcast(counts.filter(is_hot))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(*key), key, "left_anti").join(counts.filter(~is_hot), key))
 
 
-def merged(rows: DataFrame, key: list[str]) -> DataFrame:
-    """_block, _doc, _n, _m: blocks with the same members are one."""
-    block = Window.partitionBy(*key)
-    rows = rows.withColumn("_x", F.bit_xor(F.xxhash64("_doc")).over(block)).withColumn("_y", F.bit_xor(F.xxhash64("_doc", F.lit(1))).over(block))
-    return rows.select(F.xxhash64("_n", "_x", "_y", "_m").alias("_block"), "_doc", "_n", "_m").distinct()
+def merged(rows: DataFrame) -> DataFrame:
+    """_block, _doc, _n, _m of rows that ``met``: blocks with the same members are one."""
+    return rows.select(F.col("_same").alias("_block"), "_doc", "_n", "_m").distinct()
 
 
 def put_back(rows: DataFrame, nodes: DataFrame, texts: DataFrame, classes, k: int, num: int, den: int) -> DataFrame:
@@ -417,7 +426,8 @@ def balls(blocks: DataFrame, points: DataFrame, num: int, den: int) -> tuple[lis
         if blocks.isEmpty():
             return edges, rest
         hubs = blocks.select("_m").distinct().join(points.toDF("_m", "_hub_size", "_hub"), "_m")
-        sized = blocks.join(points, "_doc").withColumn("_low", F.min("n_shingles").over(Window.partitionBy("_block"))).withColumn("_high", F.max("n_shingles").over(Window.partitionBy("_block")))
+        sized = blocks.join(points, "_doc")
+        ends = blocks.join(points.drop("_counts"), "_doc").groupBy("_block").agg(F.min("n_shingles").alias("_low"), F.max("n_shingles").alias("_high"))
 
         def work(columns):
             out = [[], [], [], [], []]
@@ -429,10 +439,10 @@ def balls(blocks: DataFrame, points: DataFrame, num: int, den: int) -> tuple[lis
                     values.append(value)
             return out
 
-        seen = sized.join(hubs, "_m").select("_block", "_doc", "_m", "n_shingles", "_counts", "_hub_size", "_hub", "_low", "_high")
+        seen = sized.join(ends, "_block").join(hubs, "_m").select("_block", "_doc", "_m", "n_shingles", "_counts", "_hub_size", "_hub", "_low", "_high")
         seen = settled(map_rows(seen, lambda: work, "_block long, _doc long, _m long, _in boolean, _out boolean"), "balls")
         edges.append(seen.filter(F.col("_in") & (F.col("_doc") != F.col("_m"))).select(F.col("_doc").alias("a"), F.col("_m").alias("b")))
-        beyond = settled(merged(met(seen.filter("_out").select("_block", "_doc"), ["_block"]), ["_block"]), "blocks")
+        beyond = settled(merged(met(seen.filter("_out").select("_block", "_doc"), ["_block"])), "blocks")
         rest.append(beyond.filter(F.col("_n") <= HOT).select("_block", "_doc"))
         blocks = beyond.filter(F.col("_n") > HOT)
     tiles = F.ceil(F.col("_n") * 2 / HOT).cast("int")
@@ -446,13 +456,13 @@ def families(nodes: DataFrame, texts: DataFrame, classes, k: int, num: int, den:
     points = nodes.select("_doc", "n_shingles", "_counts")
     rows = settled(met(nodes.select("_doc", F.explode("_keys").alias("_key")), ["_key"]), "blocks")
     rows = put_back(rows, nodes, texts, classes, k, num, den)
-    small = [merged(rows.filter(F.col("_n") <= HOT), ["_key"]).select("_block", "_doc")]
-    large, edges = settled(merged(rows.filter(F.col("_n") > HOT), ["_key"]), "large"), []
+    small = [merged(rows.filter(F.col("_n") <= HOT)).select("_block", "_doc")]
+    large, edges = settled(merged(rows.filter(F.col("_n") > HOT)), "large"), []
     if not large.isEmpty():
         # the base is a little above den / num, so that rounding parts no linked pair by more than one range
         band = F.floor(F.log("n_shingles") / math.log(den / num * (1 + 1e-9))).cast("long")
         bands = large.join(points.drop("_counts"), "_doc").select("_block", F.explode(F.array(band, band - 1)).alias("_band"), "_doc")
-        large = settled(merged(met(bands, ["_block", "_band"]), ["_block", "_band"]), "bands")
+        large = settled(merged(met(bands, ["_block", "_band"])), "bands")
         small.append(large.filter(F.col("_n") <= HOT).select("_block", "_doc"))
         edges, rest = balls(large.filter(F.col("_n") > HOT), points, num, den)
         small += rest
