@@ -9,8 +9,7 @@ from ..functions import text as T
 from ..functions.udfs import fold, plain
 from .timeline import PRESENCE
 
-# Cues of body parts (over folded text without accents), the traits that each may support, and the words
-# by which values of one part are told apart.
+# Fixed values, over folded text without accents: cues of body parts.
 BODY_CUES = {
     "hair": r"\b(?:cheveux?|chevelure|hair)\b",
     "eyes": r"\b(?:yeux|oeil|eyes?|iris|regard|gaze)\b",
@@ -29,6 +28,7 @@ BODY_CUES = {
     "chin": r"\b(?:mentons?|chins?)\b",
     "belly": r"\b(?:panse|ventre|bedaine|belly|paunch|abdomen)\b",
 }
+# The traits that each body part may support.
 BODY_TRAITS = {
     "hair": ["hair_color", "hair_length", "hair_texture", "hair_thickness", "hair_style"],
     "eyes": ["eye_color", "eye_size", "eye_shape", "eye_appearance"],
@@ -47,15 +47,21 @@ BODY_TRAITS = {
     "chin": ["chin"],
     "belly": ["build"],
 }
+# Fixed value: colours.
 COLORS = r"\b(?:noir\w*|blanc\w*|brun\w*|roux|rousse|blond\w*|bleu\w*|vert\w*|gris\w*|noisette|sombre\w*|black|white|brown|red|auburn|blond\w*|blue|green|grey|gray|hazel|dark|raven|corbeau)\b"
+# Fixed value: qualities that take the part that their quotation names.
 QUALITIES = r"(?:epais\w*|thick\w*|thin|fin[es]*|plein\w*|full|long\w*|court\w*|short|boucle\w*|ondule\w*|curly|wavy|raide\w*|straight|aile-de-corbeau)"
+# Ages, genders, words of height and whole values of height.
 AGES = r"(?:(?:(?:le|la|un|une|the|a) )?(?:jeune|vieux|vieille|young|old|elderly)(?: (?:homme|femme|garcon|fille|man|woman|boy|girl))?|(?:d['’]une |une )?(?:vingtaine|trentaine|quarantaine|cinquantaine|soixantaine) d['’]annees|(?:aged? )?\d+ (?:ans|years old))"
 GENDERS = r"\b(?:homme|femme|garcon|fille|man|woman|boy|girl)\b"
 HEIGHTS = r"\b(?:tall|short|grand|petit)\b"
 HEIGHT_VALUES = r"(?:(?:un |a )?(?:petit|grand|short|small|tall)(?: homme| man)?|plus grand|plus petit|taller than his companion)"
+# Whole values that speak of limbs.
 ALL_LIMBS = r"tout en bras,? (?:en )?jambes"
 STRONG_ARMS = r"(?:bras vigoureux|(?:strong|powerful|vigorous) arms?)"
+# Marks that stay and injuries.
 SCARS, WOUNDS = r"\b(?:cicatrice\w*|scar\w*)\b", r"\b(?:blessure\w*|wound\w*|injur\w*|brulure\w*|burns?)\b"
+# Words by which properties of hair are told apart.
 HAIR_WORDS = {
     "hair_color": COLORS,
     "hair_thickness": r"\b(?:epais\w*|thick\w*|thin|fin[es]*)\b",
@@ -63,15 +69,21 @@ HAIR_WORDS = {
     "hair_length": r"\b(?:long\w*|court\w*|short|cropped)\b",
     "hair_style": r"\b(?:folle|indiscipline\w*|desordre|chignon|natte\w*|coiff\w*|raie|messy|unruly|bun|braid\w*|parting|styled)\b",
 }
+# Words by which properties of limbs are told apart.
 LIMB_WORDS = {
     "body_hair": r"\b(?:poilu\w*|hairy|body hair)\b",
     "skin_color": r"\b(?:bruni\w*|bronze\w*|tann?ed|tan)\b",
     "leg_shape": r"\b(?:galbe\w*|shapely)\b",
     "arm_build": r"\b(?:maigre\w*|muscle\w*|thin|muscular)\b",
 }
+# Exposed clothing and brightness of eyes.
 EXPOSED, BRIGHT = r"\b(?:devoile\w*|exposed|uncovered)\b", r"\b(?:brillant\w*|bright|glacial|icy)\b"
-PASSING = r"\b(?:stubble|barbe de (?:deux|[0-9]+) jours?|two.day beard|eclat glacial|icy gaze|cold gaze)\b"
+# Beards and looks that pass.
+PASSING_BEARD = r"\b(?:stubble|barbe de (?:deux|[0-9]+) jours?|two.day beard)\b"
+PASSING_LOOK = r"\b(?:eclat glacial|icy gaze|cold gaze)\b"
+# Attributes of what is physical and of what is worn.
 PHYSICAL, WORN = ["age", "physical_appearance", "distinguishing_feature"], ["clothing", "accessory"]
+# Fixed value: attributes of a wardrobe.
 WARDROBE = r"wardrobe_[a-z0-9]+(?:_[a-z0-9]+)*"
 
 
@@ -137,11 +149,12 @@ def allowed_traits(value: Column, bodies: Column) -> Column:
 def trait_violations(rows: DataFrame) -> DataFrame:
     """The first rule that a trait breaks: evidence_id, trait, rule, detail (what the value would support).
 
-    ``rows``: evidence_id, trait, kind, value, quotation. Wording without a known cue breaks no rule. Null values and quotations
-    count as empty.
+    ``rows``: evidence_id, trait, kind, value, quotation, attribute. Only evidence of a physical attribute is asked what it describes;
+    clothing, voices and the like, and rows whose attribute is null, break no rule here. Wording without a known cue breaks none
+    either. Null values and quotations count as empty.
     """
     text = lambda c: plain(fold(F.coalesce(F.col(c), F.lit(""))))
-    seen = rows.select("evidence_id", "trait", "kind", text("value").alias("_v"), text("quotation").alias("_q"))
+    seen = rows.filter(F.col("attribute").isin(PHYSICAL)).select("evidence_id", "trait", "kind", text("value").alias("_v"), text("quotation").alias("_q"))
     value, trait = F.col("_v"), F.col("trait")
     seen = seen.withColumn("_b", bodies_of(value, F.col("_q")))
     bodies, everlasting = F.col("_b"), F.col("kind") == "global"
@@ -155,7 +168,7 @@ def trait_violations(rows: DataFrame) -> DataFrame:
         .when(limbs & outside("_limb"), "limb_property")
         .when(limbs & everlasting & holds(value, EXPOSED), "exposed_clothing")
         .when((trait == "eye_color") & holds(value, BRIGHT) & ~holds(value, COLORS), "eye_brightness")
-        .when(everlasting & holds(value, PASSING), "passing_trait")
+        .when(everlasting & (holds(value, PASSING_BEARD) | holds(value, PASSING_LOOK)), "passing_trait")
     )
     detail = F.when(rule == "trait_subject", F.col("_allowed")).when(rule == "hair_property", F.col("_hair")).when(rule == "limb_property", F.col("_limb")).otherwise(words())
     return seen.select("evidence_id", "trait", rule.alias("rule"), F.array_join(F.array_sort(F.array_distinct(detail)), ",").alias("detail")).filter("rule IS NOT NULL")

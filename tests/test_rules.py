@@ -41,8 +41,10 @@ def values(df, *columns):
     ],
 )
 def test_trait_subjects(spark, value, quotation, trait, kind, rule):
-    rows = spark.createDataFrame([("e", trait, kind, value, quotation)], "evidence_id string, trait string, kind string, value string, quotation string")
-    assert [r["rule"] for r in traits.trait_violations(rows).collect()] == ([rule] if rule else [])
+    attributes = [*traits.PHYSICAL, "clothing", "accessory", "voice", None]
+    rows = spark.createDataFrame([(str(a), trait, kind, value, quotation, a) for a in attributes], "evidence_id string, trait string, kind string, value string, quotation string, attribute string")
+    found = traits.trait_violations(rows).collect()
+    assert {r["evidence_id"]: r["rule"] for r in found} == ({a: rule for a in traits.PHYSICAL} if rule else {})
 
 
 def test_global_traits_and_evidence(spark):
