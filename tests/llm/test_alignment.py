@@ -76,7 +76,7 @@ def test_counts_and_spans(spark):
     given = [(i, t) for i, t in enumerate(ODD)] + [(90, None)]
     docs = spark.createDataFrame(given, "doc_id long, text string")
     counts = Counter(p for _, t in given if (f := plain(t)) for p in f[3])
-    assert {(r["a"], r["b"]): r["links"] for r in alignment.pair_counts(docs, *PATHS).collect()} == dict(counts)
+    assert {(r["a"], r["b"]): r["links"] for r in alignment.pair_counts(alignment.encoded(docs, *PATHS)).collect()} == dict(counts)
     own = alignment.pair(*PATHS)
     for r in alignment.spans(docs, *PATHS).collect():
         text = dict(given)[r["doc_id"]]
@@ -100,6 +100,11 @@ def test_offsets_are_refined():
 def test_memory_is_emptied(monkeypatch):
     own = alignment.Stretches(alignment.pair(*PATHS))
     monkeypatch.setattr(alignment, "MOST_KNOWN", 3)
-    assert not own.full() and len(own.numbered("a b c d e")) == 5 and own.full()
-    own.clear()
-    assert not own.full() and own.numbered("a b")
+    assert not own.full() and len(own.numbered(["a b c d e"])[0]) == 5 and own.full()
+    assert own.numbered(["x a", None, "\u2581 a", "a"]) == [[2, 0], [], [], [0]] and len(own.numbers) == 3
+
+
+def test_pairs_are_packed():
+    for codes, times in (([], []), ([5, 1 << 32 | 3, 70_000 << 32 | 31_999, 70_000 << 32 | 32_000], [1, 300, 70_000, 2])):
+        found = alignment.unpacked(alignment.packed(np.array(codes, np.int64), np.array(times, np.int64)))
+        assert found[0].tolist() == codes and found[1].tolist() == times
