@@ -101,7 +101,7 @@ def test_memory_is_emptied(monkeypatch):
     own = alignment.Stretches(alignment.pair(*PATHS))
     monkeypatch.setattr(alignment, "MOST_KNOWN", 3)
     assert not own.full() and len(own.numbered(["a b c d e"])[0]) == 5 and own.full()
-    assert own.numbered(["x a", None, "\u2581 a", "a"]) == [[2, 0], [], [], [0]] and len(own.numbers) == 3
+    assert own.numbered(["x a", None, "\u2581 a", "a"]) == [[0, 1], [], [], [1]] and len(own.numbers) == 3
 
 
 def test_pairs_are_packed():
