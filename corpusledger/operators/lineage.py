@@ -1,17 +1,25 @@
-"""Cutting lineages and numbering rows without one task for all of them."""
+"""Cutting lineages, and numbering and folding rows without one task for all of them or for a large key."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, checkpointed: in the folder of spark.checkpoint.dir or of the context, else in one in the warehouse, which is shared too."""
+    """The rows, checkpointed: in the folder of spark.checkpoint.dir or of the context, else in one in the warehouse.
+
+    On a cluster the warehouse must not lie on a machine's own disk: then it is an error that no folder is named.
+    """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(f"{df.sparkSession.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+        warehouse = df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not context.master.startswith("local") and warehouse.partition(":")[0] in (warehouse, "file"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(f"{warehouse}/_checkpoints")
     return df.checkpoint()
 
 
@@ -30,6 +38,26 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return dealt.withColumn("_k", place).join(before, [*keys, "_range"]).withColumn("number", F.col("_k") + F.col("_before")).drop("_k", "_before", "_range")
 
 
+RANGE = "_range"
+
+
+def in_ranges(rows: DataFrame, group: list[str], order: list[str], parts: int | None = None) -> DataFrame:
+    """Rows dealt by ranges of group and order, sorted, checkpointed, with their RANGE (the number of their partition).
+
+    A group may lie in several ranges that follow one another; of the groups of a range only the first can have begun in
+    an earlier one. So what is known at the borders of ranges is a bounded number of rows for each range.
+    """
+    keys = [*group, *order]
+    dealt = rows.repartitionByRange(parts, *keys) if parts else rows.repartitionByRange(*keys)
+    return checkpointed(dealt.sortWithinPartitions(*keys).withColumn(RANGE, F.spark_partition_id()))
+
+
+def keyed_rows(batches: Iterator[pd.DataFrame], group: list[str]):
+    """(batch, keys of its rows, nulls as None) of sorted batches."""
+    for pdf in batches:
+        yield pdf, list(pdf[group].astype(object).where(pdf[group].notna(), None).itertuples(index=False, name=None))
+
+
 def folded(rows: DataFrame, group: list[str], order: list[str], start, step, added: dict[str, str]) -> DataFrame:
     """Rows with columns of a fold over each group in order: ``step(state, row) -> (state, values)`` from ``start()``.
 

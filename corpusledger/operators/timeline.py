@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .lineage import RANGE, checkpointed, in_ranges, keyed_rows
 
 #: From most to least visible; scopes. Fixed values.
 PRESENCE = ["visible", "offscreen", "mentioned"]
@@ -137,33 +138,136 @@ def advance(facts: list[dict], sequence: int, reset: bool, updates: list[dict],
 
 
 LEDGER = "sequence int, entity string, aspect string, fact string, from_sequence int"
+FACT = "key:string,entity:string,aspect:string,fact:string,sequence:int"
 
 
-def fact_ledger(updates: DataFrame, resets: DataFrame, chapter: str = "chapter", most: int | None = MOST_FACTS) -> DataFrame:
+def ledger_rows(updates: DataFrame, resets: DataFrame, chapter: str) -> DataFrame:
+    """chapter, sequence, reset, updates (array in order); a sequence's updates are few."""
+    ups = updates.groupBy(chapter, "sequence").agg(F.array_sort(F.collect_list(F.struct("update_no", T.entity_key(F.col("entity")).alias("key"), "entity", "aspect", "fact"))).alias("updates"))
+    return resets.select(chapter, "sequence", "reset").join(ups, [chapter, "sequence"], "left").select(chapter, "sequence", "reset", "updates")
+
+
+def steps_of(batches: Iterator[pd.DataFrame], chapter: str):
+    """(chapter, sequence, reset, updates) of sorted rows, batch by batch."""
+    for pdf, keys in keyed_rows(batches, [chapter]):
+        for (key,), r in zip(keys, pdf.itertuples(index=False), strict=True):
+            yield key, int(r.sequence), bool(r.reset), [dict(u) for u in r.updates] if r.updates is not None else []
+
+
+def segment_summaries(dealt: DataFrame, chapter: str, most: int) -> DataFrame:
+    """One row for a range's first and last chapter: what the segment does to any ledger that enters it.
+
+    ``first_reset``; ``grown``: the sequences at which the segment's own facts first were 1, 2, ... up to ``most``; ``own``: its own facts that
+    survive it. Which facts it retires is asked for the few that may enter it.
+    """
+    kind = dealt.schema[chapter].dataType.simpleString()
+    columns = [RANGE, chapter, "is_first", "is_last", "last_sequence", "first_reset", "grown", "own"]
+
+    def run(batches):
+        begun, number, is_first, current = False, None, True, None
+        facts, grown, cut, last = [], [], None, None
+
+        def row(is_last):
+            own = [{n: f[n] for n in ("key", "entity", "aspect", "fact", "sequence")} for f in facts]
+            return pd.DataFrame([(number, current, is_first, is_last, last, cut, grown, own)], columns=columns)
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            number = int(pdf[RANGE].iloc[0])
+            for key, sequence, reset, given in steps_of([pdf], chapter):
+                if not begun or key != current:
+                    if begun and is_first:
+                        yield row(False)
+                    begun, is_first, current, facts, grown, cut = True, not begun, key, [], [], None
+                facts = advance(facts, sequence, reset, given, most)
+                grown += [sequence] * (len(facts) - len(grown))
+                last = sequence
+                cut = sequence if reset and cut is None else cut
+        if begun:
+            yield row(True)
+
+    return dealt.mapInPandas(run, f"{RANGE} int, {chapter} {kind}, is_first boolean, is_last boolean, last_sequence int, first_reset int, grown array<int>, own array<struct<{FACT}>>")
+
+
+def enter(facts: list[dict], grown: list[int], most: int) -> list[dict]:
+    """Those of the facts that enter a segment (each with ``until``, the sequence that retires it, or None) which its growth lets live.
+
+    A fact is dropped when itself, the newer ones that entered with it and the segment's own are more than ``most``. Newer ones
+    only become fewer, so this can only happen at a sequence where the own facts are more than ever before.
+    """
+    kept = []
+    for i, fact in enumerate(facts):
+        pushed = False
+        for many, at in enumerate(grown, 1):
+            if fact["until"] is not None and at >= fact["until"]:
+                break
+            newer = sum(f["until"] is None or f["until"] > at for f in facts[i + 1 :])
+            if many + newer >= most:
+                pushed = True
+                break
+        if not pushed:
+            kept.append(fact)
+    return kept
+
+
+def ledger_starts(dealt: DataFrame, chapter: str, most: int) -> dict[int, list[dict]]:
+    """Range -> the ledger that its first chapter brings from the ranges before; at most ``most`` facts for each range."""
+    known = checkpointed(segment_summaries(dealt, chapter, most))
+    own = known.filter("is_last").select(RANGE, chapter, F.posexplode("own").alias("_i", "_f")).select(RANGE, chapter, "_i", "_f.*")
+    # when the key of a fact that leaves its range is next updated: the first sequence of each range, then of the ranges that follow
+    asked = F.broadcast(own.select(chapter, "key").distinct())  # most facts for each range
+    updated = dealt.filter("updates IS NOT NULL").select(RANGE, chapter, "sequence", F.explode("updates.key").alias("key"))
+    firsts = updated.join(asked, [chapter, "key"], "left_semi").groupBy(RANGE, chapter, "key").agg(F.min("sequence").alias("_first"))
+    later = Window.partitionBy(chapter, "key").orderBy(RANGE).rangeBetween(1, Window.unboundedFollowing)
+    ends = own.select(RANGE, chapter, "key", "_i").join(firsts, [RANGE, chapter, "key"], "full").withColumn("_until", F.min("_first").over(later))
+    until = {(r[RANGE], r["_i"]): r["_until"] for r in ends.filter("_i IS NOT NULL").select(RANGE, "_i", "_until").collect()}
+    starts: dict[int, list[dict]] = {}
+    facts, current = [], None
+    for r in known.orderBy(RANGE, F.desc("is_first")).collect():  # two rows for each range at most
+        if not r["is_first"] or r[chapter] != current:
+            facts = []
+        elif facts:
+            starts[r[RANGE]] = facts
+        cut = r["first_reset"]
+        entered = [f | {"until": min([u for u in (f["until"], cut) if u is not None], default=None)} for f in facts]
+        facts = [f for f in enter(entered, r["grown"], most) if f["until"] is None or f["until"] > r["last_sequence"]]
+        if r["is_last"]:
+            facts += [f.asDict() | {"until": until[r[RANGE], i]} for i, f in enumerate(r["own"])]
+            current = r[chapter]
+    return starts
+
+
+def fact_ledger(updates: DataFrame, resets: DataFrame, chapter: str = "chapter", most: int | None = MOST_FACTS, parts: int | None = None) -> DataFrame:
     """Facts alive after every sequence: chapter, sequence, entity, aspect, fact, from_sequence.
 
-    ``updates``: chapter, sequence, update_no, entity, aspect, fact; ``resets``: chapter, sequence, reset (one row per
-    sequence). The fold depends on order, so a chapter is one group; its state never exceeds ``most`` facts.
+    ``updates``: chapter, sequence, update_no, entity, aspect, fact; ``resets``: chapter, sequence, reset (one row per sequence);
+    chapters and sequences are not null. A long chapter lies in several ranges (``parts`` in all, or as many as Spark makes), so it is not one task's: each range first tells what
+    it does to a ledger that enters it, the ledgers that enter follow from these in turn, and all ranges fold at once. Without a
+    bound (``most`` is None) a ledger may be as long as its chapter, and a chapter is one task's.
     """
     kind = resets.schema[chapter].dataType.simpleString()
-    ups = updates.groupBy(chapter, "sequence").agg(F.array_sort(F.collect_list(F.struct("update_no", T.entity_key(F.col("entity")).alias("key"), "entity", "aspect", "fact"))).alias("updates"))
-    rows = resets.join(ups, [chapter, "sequence"], "left")
+    rows = ledger_rows(updates, resets, chapter)
+    if most:
+        dealt = in_ranges(rows, [chapter], ["sequence"], parts)
+        starts = ledger_starts(dealt, chapter, most)
+    else:
+        dealt, starts = rows.withColumn(RANGE, F.lit(0)).repartition(chapter).sortWithinPartitions(chapter, "sequence"), {}
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        facts, at = [], None
+        facts, at, begun = [], None, False
         for pdf in batches:
             out = []
-            for r in pdf.itertuples(index=False):
-                row = r._asdict()
-                if row[chapter] != at:
-                    facts, at = [], row[chapter]
-                given = row["updates"] if row["updates"] is not None else []
-                facts = advance(facts, int(row["sequence"]), bool(row["reset"]), [dict(u) for u in given], most)
-                out += [(at, row["sequence"], f["entity"], f["aspect"], f["fact"], f["sequence"]) for f in facts]
+            if not begun and len(pdf):
+                facts = [{n: v for n, v in f.items() if n != "until"} for f in starts.get(int(pdf[RANGE].iloc[0]), [])]
+            for key, sequence, reset, given in steps_of([pdf], chapter):
+                if begun and key != at:
+                    facts = []
+                begun, at = True, key
+                facts = advance(facts, sequence, reset, given, most)
+                out += [(key, sequence, f["entity"], f["aspect"], f["fact"], f["sequence"]) for f in facts]
             yield pd.DataFrame(out, columns=[chapter, "sequence", "entity", "aspect", "fact", "from_sequence"])
 
-    # sorted rows stream through: a chapter is never gathered
-    dealt = rows.select(chapter, "sequence", "reset", "updates").repartition(chapter).sortWithinPartitions(chapter, "sequence")
     return dealt.mapInPandas(fold, f"{chapter} {kind}, {LEDGER}")
 
 

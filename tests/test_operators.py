@@ -179,6 +179,24 @@ def test_ledger(spark):
     assert values(free.filter("chapter = 2"), "fact", "until_sequence") == [("x", 2), ("y", 3), ("z", None)]
 
 
+@pytest.mark.parametrize("most,parts", [(1, 5), (3, 7), (3, 1), (8, 12)])
+def test_ledger_in_ranges_equals_the_fold(spark, most, parts):
+    """One chapter lies in many ranges: resets, retirements and overflows across their borders."""
+    import random
+
+    pick = random.Random(most * parts)
+    steps = {(c, s): (pick.random() < 0.08, [(k, f"the e{pick.randint(0, 12)}", "a", f"f{c}.{s}.{k}") for k in range(pick.choice([0, 1, 1, 2, 4]))]) for c, n in ((1, 3), (2, 150), (3, 1), (4, 40)) for s in range(1, n + 1)}
+    ups = spark.createDataFrame([(c, s, *u) for (c, s), (_, us) in steps.items() for u in us], "chapter long, sequence int, update_no int, entity string, aspect string, fact string")
+    resets = spark.createDataFrame([(c, s, r) for (c, s), (r, _) in steps.items()], "chapter long, sequence int, reset boolean")
+    want, facts, at = [], [], None
+    for (c, s), (reset, us) in sorted(steps.items()):
+        facts = timeline.advance(facts if c == at else [], s, reset, [{"key": e, "fact": f} for _, e, _, f in us], most)
+        at = c
+        want += [(c, s, f["fact"], f["sequence"]) for f in facts]
+    out = timeline.fact_ledger(ups, resets, most=most, parts=parts)
+    assert values(out, "chapter", "sequence", "fact", "from_sequence") == sorted(want, key=str)
+
+
 def test_streaming_ledger_equals_the_batch(spark, tmp_path):
     from corpusledger.streaming import jobs
 
