@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import intervals
-from .lineage import folded, numbered
+from .lineage import Batching, batched, numbered
 
 
 def paragraph_chunks(df: DataFrame, text_col: str, most: int, separator: str = r"\n\s*\n", joint: str = "\n\n", overlap: int = 0) -> DataFrame:
@@ -94,25 +94,17 @@ def name_windows(texts: DataFrame, occurrences: DataFrame, keys: list[str], text
     return intervals.merge(spans, keys, "start_char", "end_char", touching=True)
 
 
-def pack(df: DataFrame, group: list[str], order: str, cost: Column, most: int, most_items: int | None = None, gap: int = 0) -> DataFrame:
+def pack(df: DataFrame, group: list[str], order: str, cost: Column, most: int, most_items: int | None = None, gap: int = 0, parts: int | None = None) -> DataFrame:
     """Greedy batches in order, per group: batch_no and status are added.
 
     A batch ends before the item that would take it over ``most`` (each further item costs ``gap`` more) or over
-    ``most_items``. An item over the limit is an error row and stands in no batch; nothing is cut. A group is folded in order, so
-    keep groups to a chapter.
+    ``most_items``. An item over the limit, or whose cost is null, is an error row and stands in no batch; nothing is cut. A large group lies in many ranges
+    (``lineage.batched``).
     """
-
-    def step(state, row):
-        (batch, size, items), c = state, row.cost_of_item
-        if c > most:
-            return state, (None, "over_budget")
-        more = c + (gap if items else 0)
-        if items and (size + more > most or (most_items and items >= most_items)):
-            batch, size, items, more = batch + 1, 0, 0, c
-        return (batch, size + more, items + 1), (batch, "packed")
-
-    rows = df.withColumn("cost_of_item", cost.cast("long"))
-    return folded(rows, group, [order], lambda: (0, 0, 0), step, {"batch_no": "int", "status": "string"}).drop("cost_of_item")
+    known = F.coalesce(cost.cast("long"), F.lit(most + 1))
+    rows = df.withColumn("cost_of_item", known + gap).withColumn("over_budget", known > most)
+    out = batched(rows, group, [order], ["cost_of_item"], Batching([most + gap], most_items), "over_budget", parts)
+    return out.withColumn("status", F.when(F.col("over_budget"), "over_budget").otherwise("packed")).drop("cost_of_item", "over_budget")
 
 
 def fixed_batches(df: DataFrame, group: list[str], order: list[str], size: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,24 +59,122 @@ def keyed_rows(batches: Iterator[pd.DataFrame], group: list[str]):
         yield pdf, list(pdf[group].astype(object).where(pdf[group].notna(), None).itertuples(index=False, name=None))
 
 
-def folded(rows: DataFrame, group: list[str], order: list[str], start, step, added: dict[str, str]) -> DataFrame:
-    """Rows with columns of a fold over each group in order: ``step(state, row) -> (state, values)`` from ``start()``.
+class Batching:
+    """Greedy batches of items with integer costs: a batch ends before the item that takes it over a bound (``most`` of each cost,
+    ``most_items``). An item over a bound by itself is a batch of its own.
 
-    Sorted partitions stream through, so a group is never gathered; its rows are one task's, as each depends on those before it.
-    ``added``: column to type. Rows are named tuples.
+    A state is (number of the open batch, its costs, its items).
     """
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + [f"`{n}` {t}" for n, t in added.items()])
 
-    def run(batches):
-        of, state = None, None
-        for pdf in batches:
+    def __init__(self, most: list[int], most_items: int | None = None):
+        self.most, self.most_items = tuple(most), most_items
+
+    def start(self) -> tuple:
+        return 0, (0,) * len(self.most), 0
+
+    def step(self, state: tuple, costs: tuple) -> tuple:
+        batch, sums, items = state
+        over = any(s + c > m for s, c, m in zip(sums, costs, self.most, strict=True)) or (self.most_items and items >= self.most_items)
+        if items and over:
+            return batch + 1, costs, 1
+        return batch, tuple(s + c for s, c in zip(sums, costs, strict=True)), items + 1
+
+    def segment(self, costs: np.ndarray) -> dict:
+        """What a run of items does to any state that enters it (``leave``), from cumulative sums and pointers to the next batch's start.
+
+        ``at``: items at which the open batch may end; they lie in the run's own first batch and cost something, so they are no more than the
+        bounds. For each its cumulative costs, and what is open at the run's end if it begins a batch: costs, items, batches begun.
+        """
+        n, dims = len(costs), len(self.most)
+        sums = np.concatenate([np.zeros((1, dims), np.int64), np.cumsum(costs, axis=0)])
+        after = np.arange(1, n + 1)
+        for d, most in enumerate(self.most):
+            reach = np.searchsorted(sums[1:, d], sums[:-1, d] + most, "right")
+            after = reach if d == 0 else np.minimum(after, reach)
+        if self.most_items:
+            after = np.minimum(after, np.arange(n) + self.most_items)
+        after = np.maximum(after, np.arange(1, n + 1)).tolist()
+        last, begun = list(range(n)), [1] * n
+        for i in range(n - 1, -1, -1):
+            if after[i] < n:
+                last[i], begun[i] = last[after[i]], begun[after[i]] + 1
+        first = [i for i in range(min(n, (after[0] if n else 0) + 1)) if self.most_items or costs[i].any()]
+        ends = [(sums[n] - sums[last[i]]).tolist() for i in first]
+        fresh = [begun[0] - 1, *(sums[n] - sums[last[0]]).tolist(), n - last[0]] if n else [0] * (dims + 2)
+        return {"n": n, "total": sums[n].tolist(), "at": first, "upto": [sums[i + 1].tolist() for i in first], "ends": ends, "left": [n - last[i] for i in first], "begun": [begun[i] for i in first], "fresh": fresh}
+
+    def leave(self, state: tuple, run: dict) -> tuple:
+        """The state after a run of items."""
+        batch, sums, items = state
+        if not items:
+            fresh = run["fresh"]
+            return fresh[0], tuple(fresh[1:-1]), fresh[-1]
+        for i, upto, end, left, begun in zip(run["at"], run["upto"], run["ends"], run["left"], run["begun"], strict=True):
+            if any(s + u > m for s, u, m in zip(sums, upto, self.most, strict=True)) or (self.most_items and items + i >= self.most_items):
+                return batch + begun, tuple(end), left
+        return batch, tuple(s + t for s, t in zip(sums, run["total"], strict=True)), items + run["n"]
+
+
+RUN = "n long, total array<long>, at array<int>, upto array<array<long>>, ends array<array<long>>, left array<long>, begun array<long>, fresh array<long>"
+
+
+def batched(rows: DataFrame, group: list[str], order: list[str], costs: list[str], batching: Batching, skipped: str | None = None, parts: int | None = None) -> DataFrame:
+    """Rows with batch_no (from 0) of the greedy batches of each group in order; null for rows whose ``skipped`` is true, which stand in no batch.
+
+    Costs are integers, not null or negative. A group may lie in many ranges (``parts`` in all, or as many as Spark makes): each range tells what it does
+    to an open batch that enters it, which batches enter follows from these in turn, and all ranges then number their rows at once.
+    """
+    dealt = in_ranges(rows, group, order, parts)
+    columns = [*costs, *([skipped] if skipped else [])]
+
+    def taken(pdf: pd.DataFrame) -> np.ndarray:
+        return ~pdf[skipped].to_numpy(bool) if skipped else np.ones(len(pdf), bool)
+
+    def summary(batches):
+        number, runs = None, []  # of the range's groups the first and the last: [is_first, keys, costs]
+        for pdf, keys in keyed_rows(batches, group):
+            if not len(pdf):
+                continue
+            number, values, kept = int(pdf[RANGE].iloc[0]), pdf[costs].to_numpy(np.int64), taken(pdf)
+            starts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+            for a, b in zip(starts, starts[1:], strict=False):
+                part = values[a:b][kept[a:b]]
+                if runs and runs[-1][1] == keys[a]:
+                    runs[-1][2].append(part)
+                elif len(runs) > 1:
+                    runs[1] = [False, keys[a], [part]]
+                else:
+                    runs.append([not runs, keys[a], [part]])
+        if runs:
+            found = [batching.segment(np.concatenate(parts)) for _, _, parts in runs]
+            yield pd.DataFrame([(number, first, *[r[n] for n in found[0]]) for (first, _, _), r in zip(runs, found, strict=True)], columns=[RANGE, "is_first", *found[0]]).assign(**{f"_g{i}": pd.Series([k[i] for _, k, _ in runs], dtype=object) for i in range(len(group))})[[RANGE, "is_first", *[f"_g{i}" for i in range(len(group))], *found[0]]]
+
+    kinds = ", ".join(f"_g{i} {dealt.schema[g].dataType.simpleString()}" for i, g in enumerate(group))
+    known = dealt.select(RANGE, *group, *columns).mapInPandas(summary, f"{RANGE} int, is_first boolean, {kinds}, {RUN}")
+    states: dict[int, tuple] = {}
+    state, current = batching.start(), None
+    for r in known.orderBy(RANGE, F.desc("is_first")).collect():  # two rows for each range at most
+        key = tuple(r[f"_g{i}"] for i in range(len(group)))
+        if not r["is_first"] or key != current:
+            state = batching.start()
+        else:
+            states[r[RANGE]] = state
+        state, current = batching.leave(state, r.asDict()), key
+
+    def number(batches):
+        of, state, begun = None, None, False
+        for pdf, keys in keyed_rows(batches, group):
+            if not begun and len(pdf):
+                state = states.get(int(pdf[RANGE].iloc[0]), batching.start())
             out = []
-            keys = pdf[group].astype(object).where(pdf[group].notna(), None).itertuples(index=False, name=None)
-            for key, row in zip(keys, pdf.itertuples(index=False), strict=True):
-                if state is None or key != of:
-                    of, state = key, start()
-                state, values = step(state, row)
-                out.append(values)
-            yield pdf.assign(**{n: pd.Series([v[i] for v in out], dtype=object, index=pdf.index) for i, n in enumerate(added)})
-
-    return rows.repartition(*group).sortWithinPartitions(*group, *order).mapInPandas(run, schema)
+            for key, row, kept in zip(keys, pdf[costs].itertuples(index=False, name=None), taken(pdf).tolist(), strict=True):
+                if begun and key != of:
+                    state = batching.start()
+                begun, of = True, key
+                if kept:
+                    state = batching.step(state, row)
+                out.append(state[0] if kept else None)
+            yield pdf.drop(columns=RANGE).assign(batch_no=pd.Series(out, dtype=object, index=pdf.index))
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + ["batch_no int"])
+    return dealt.mapInPandas(number, schema)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import quality
-from .lineage import folded
+from .lineage import Batching, batched, checkpointed
 
 #: Bounds of an identity window. Fixed values.
 WINDOW_JOBS, WINDOW_CHARS, WINDOW_CANDIDATES = 8, 12_000, 32
@@ -72,17 +72,14 @@ def review_violations(issues: DataFrame, payload: str, pointers: list[str]) -> t
     return good.join(first, ["digest", "issue_id"], "left_semi").drop("_offered"), bad
 
 
-def identity_windows(jobs: DataFrame, group: list[str]) -> DataFrame:
+def identity_windows(jobs: DataFrame, group: list[str], parts: int | None = None) -> DataFrame:
     """Identity jobs packed in order: window_no and context (the job before the window's first) are added.
 
     ``jobs``: group, ord, n_chars, n_candidates. A window ends before the job that would pass any of its three bounds; a job that
-    passes one by itself is a window of its own.
+    passes one by itself is a window of its own. A large group lies in many ranges (``lineage.batched``).
     """
-
-    def step(state, row):
-        window, n, chars, candidates, before, context = state
-        if n >= WINDOW_JOBS or chars + row.n_chars > WINDOW_CHARS or candidates + row.n_candidates > WINDOW_CANDIDATES:
-            window, n, chars, candidates, context = window + 1, 0, 0, 0, before
-        return (window, n + 1, chars + row.n_chars, candidates + row.n_candidates, row.ord, context), (window, context)
-
-    return folded(jobs, group, ["ord"], lambda: (-1, WINDOW_JOBS, 0, 0, None, None), step, {"window_no": "int", "context": "long"})
+    rows = batched(jobs, group, ["ord"], ["n_chars", "n_candidates"], Batching([WINDOW_CHARS, WINDOW_CANDIDATES], WINDOW_JOBS), parts=parts)
+    rows = checkpointed(rows.withColumnRenamed("batch_no", "window_no"))
+    # the last job of a window is the context of the next
+    last = rows.groupBy(*group, (F.col("window_no") + 1).alias("window_no")).agg(F.max("ord").cast("long").alias("context"))
+    return rows.join(last, [*group, "window_no"], "left").select(*jobs.columns, "window_no", "context")

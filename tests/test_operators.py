@@ -111,6 +111,64 @@ def test_packing(spark):
     assert out == [(0, 0, "packed"), (1, 0, "packed"), (2, 1, "packed"), (3, None, "over_budget"), (4, 1, "packed"), (5, 2, "packed"), (6, 2, "packed")]
 
 
+@pytest.mark.parametrize("most,most_items,gap,parts", [(10, None, 0, 9), (25, 3, 2, 6), (400, None, 1, 5), (3, 2, 0, 12), (10**6, None, 0, 4)])
+def test_packing_in_ranges_equals_the_fold(spark, most, most_items, gap, parts):
+    import random
+
+    pick = random.Random(most + parts)
+    given = [(g, i, pick.choice([0, 0, 1, 2, 3, 5, 9, 11, 30, None])) for g, n in (("a", 2), ("b", 150), ("c", 1), (None, 60), ("d", 7)) for i in range(n)]
+    want, at = [], object()
+    for g, i, c in sorted(given, key=lambda r: (str(r[0]), r[1])):
+        if g != at:
+            at, batch, size, items = g, 0, 0, 0
+        if c is None or c > most:
+            want.append((g, i, None, "over_budget"))
+            continue
+        more = c + (gap if items else 0)
+        if items and (size + more > most or (most_items and items >= most_items)):
+            batch, size, items, more = batch + 1, 0, 0, c
+        size, items = size + more, items + 1
+        want.append((g, i, batch, "packed"))
+    out = chunking.pack(spark.createDataFrame(given, "g string, i long, c int"), ["g"], "i", F.col("c"), most, most_items, gap, parts)
+    assert values(out, "g", "i", "batch_no", "status") == sorted(want, key=str)
+
+
+def test_one_large_group_is_packed_by_many_tasks(spark):
+    n, most = 1_000_000, 1000
+    cost = F.pmod(F.xxhash64("i"), F.lit(90)).cast("int")
+    rows = spark.range(n).withColumnRenamed("id", "i").select(F.lit(1).alias("g"), "i", cost.alias("c"))
+    out = chunking.pack(rows, ["g"], "i", F.col("c"), most, parts=8)
+    assert out.rdd.getNumPartitions() == 8
+    table = out.select("i", "c", "batch_no").toArrow().sort_by("i")
+    batch, size, items, want = 0, 0, 0, []
+    for c in table.column("c").to_pylist():
+        if items and size + c > most:
+            batch, size, items = batch + 1, 0, 0
+        size, items = size + c, items + 1
+        want.append(batch)
+    assert table.column("batch_no").to_pylist() == want and batch > 40_000
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_identity_windows_in_ranges(spark, parts):
+    import random
+
+    from corpusledger.operators import reviews
+
+    pick = random.Random(parts)
+    jobs = [(g, i, pick.choice([100, 3000, 7000, 12_000, 15_000]), pick.choice([0, 3, 20, 40])) for g, n in (("a", 90), ("b", 1), ("c", 30)) for i in range(n)]
+    want, at = [], None
+    for g, i, chars, many in jobs:
+        if g != at:
+            at, window, count, sums, context, before = g, 0, 0, (0, 0), None, None
+        if count and (count >= reviews.WINDOW_JOBS or sums[0] + chars > reviews.WINDOW_CHARS or sums[1] + many > reviews.WINDOW_CANDIDATES):
+            window, count, sums, context = window + 1, 0, (0, 0), before
+        count, sums, before = count + 1, (sums[0] + chars, sums[1] + many), i
+        want.append((g, i, window, context))
+    out = reviews.identity_windows(spark.createDataFrame(jobs, "g string, ord long, n_chars int, n_candidates int"), ["g"], parts)
+    assert values(out, "g", "ord", "window_no", "context") == sorted(want, key=str)
+
+
 def test_intervals(spark):
     df = spark.createDataFrame([("k", 0, 5), ("k", 5, 7), ("k", 6, 9), ("k", 20, 20), ("k", 10, 12), (None, 1, 2)], "k string, s int, e int")
     assert values(intervals.merge(df, ["k"], "s", "e"), "k", "s", "e") == [("k", 0, 9), ("k", 10, 12), (None, 1, 2)]
