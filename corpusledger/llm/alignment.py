@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import REMEMBERED, map_rows, settled
+from .common import REMEMBERED, map_rows, settled, tidy
 
 #: A pair that holds more than one link in LARGE travels to all tasks; at most LARGE pairs do.
 LARGE = 1 << 20
@@ -288,7 +288,7 @@ def pair_counts(rows: DataFrame) -> DataFrame:
         if pairs:
             yield _pairs_batch(*_added(pairs, counts))
 
-    found = rows.select("_pairs").filter("_pairs IS NOT NULL").mapInArrow(run, "_pair long, _n long").groupBy("_pair").agg(F.sum("_n").alias("links"))
+    found = rows.select("_pairs").filter("_pairs IS NOT NULL").mapInArrow(tidy(run), "_pair long, _n long").groupBy("_pair").agg(F.sum("_n").alias("links"))
     return settled(found.select(F.shiftright("_pair", 32).cast("int").alias("a"), F.expr("cast(_pair & 4294967295 as int)").alias("b"), "links"), "pairs")
 
 

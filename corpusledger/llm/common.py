@@ -78,22 +78,34 @@ def portions(batch: pa.RecordBatch):
 REMEMBERED: dict[str, Callable[[], None]] = {}
 
 
-def turn(operator: str = "") -> None:
-    """Called as a task begins: workers outlive tasks, so what other operators remember in this one is dropped and goes back to the system."""
-    others = [name for name in REMEMBERED if name != operator]
-    for name in others:
-        REMEMBERED.pop(name)()
-    if others:
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-        if trim:
-            trim(0)
+def released() -> None:
+    """Memory that is free in this worker goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
+def tidy(run, operator: str = ""):
+    """``run(batches)`` for a worker that outlives its task: what other operators remember in it is dropped first, and what is free at the
+    end goes back to the system, so that idle workers hold little."""
+
+    def whole(batches):
+        others = [name for name in REMEMBERED if name != operator]
+        for name in others:
+            REMEMBERED.pop(name)()
+        if others:
+            released()
+        yield from run(batches)
+        released()
+
+    return whole
 
 
 def map_rows(df: DataFrame, make, schema: str, operator: str = "") -> DataFrame:
     """Apply ``make() -> function(dict of column lists) -> list of columns`` (lists or Arrow arrays) to portions of rows; make runs once a task.
 
-    ``operator``: whose memory the worker keeps (``turn``).
+    ``operator``: whose memory the worker keeps (``tidy``).
 
     What is returned has not run; texts go to Python in small batches when it is ``settled``.
     """
@@ -103,14 +115,13 @@ def map_rows(df: DataFrame, make, schema: str, operator: str = "") -> DataFrame:
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        turn(operator)
         out_schema, work = to_arrow_schema(fields), make()
         for batch in batches:
             for part in portions(batch):
                 columns = work({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, out_schema.field(n).type) for n, c in zip(names, columns, strict=True)], schema=out_schema)
 
-    return df.mapInArrow(run, fields)
+    return df.mapInArrow(tidy(run, operator), fields)
 
 
 def flagged(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, portions, settled, turn
+from .common import map_rows, portions, settled, tidy
 
 #: The classifier's bounded sample: rows in all, rows of a label at least, labels that a field can hold (more are an error),
 #: and of a sampled text that is longer than PARTS * PART_CHARS characters, so many parts of so many, spread over all of it.
@@ -323,7 +323,6 @@ def keep_known(docs: DataFrame, field: Field, least: float = 0.3, text_col: str
     shared, column = docs.sparkSession.sparkContext.broadcast(field), docs.columns.index(text_col)
 
     def work(batches):
-        turn()
         own = shared.value
         for whole in batches:
             for batch in portions(whole):
@@ -331,7 +330,7 @@ def keep_known(docs: DataFrame, field: Field, least: float = 0.3, text_col: str
                 yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
         own.forget()
 
-    return settled(docs.mapInArrow(work, docs.schema), "known-languages")
+    return settled(docs.mapInArrow(tidy(work), docs.schema), "known-languages")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, settled
+from .common import map_rows, settled, tidy
 
 #: Groups of a count vector by the size of the set, each a multiple of the one before, for similarities from 0.85 on and
 #: below: two unrelated sets of n n-grams differ by about 1.1 * sqrt(n * groups) in their counts, linked ones by at most a
@@ -407,7 +407,7 @@ def put_back(rows: DataFrame, nodes: DataFrame, texts: DataFrame, classes, k: in
                         same = {n: pa.array(np.full(len(part), v, np.int64)) for n, v in fixed.items()}
                         yield pa.RecordBatch.from_pydict(same | {"_at": pa.array(np.arange(at, at + len(part))), "_key": pa.array(part)})
 
-        grams = sets_of(texts, moved, classes, k).mapInArrow(ordered, "_doc long, _which long, _first long, _at long, _key long").join(hot, "_key", "left")
+        grams = sets_of(texts, moved, classes, k).mapInArrow(tidy(ordered), "_doc long, _which long, _first long, _at long, _key long").join(hot, "_key", "left")
         turn = Window.partitionBy("_doc", "_which").orderBy(F.col("_last").asc_nulls_first(), "_at")
         first = grams.withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") <= F.col("_first"))
         new = settled(first.select("_key", "_doc"), "keys")
@@ -481,7 +481,7 @@ def families(nodes: DataFrame, texts: DataFrame, classes, k: int, num: int, den:
         yield from edge_batches(each())
 
     dealt = blocks.join(points, "_doc").repartition("_block").sortWithinPartitions("_block", "_doc")
-    out = dealt.mapInArrow(work, "a long, b long")
+    out = dealt.mapInArrow(tidy(work), "a long, b long")
     for more in edges:
         out = out.unionByName(more)
     return out
@@ -511,7 +511,7 @@ def links(texts: DataFrame, family: DataFrame, classes, k: int, num: int, den: i
         return work
 
     dealt = sets.select("_root", F.explode("_tiles").alias("_tile"), "_doc", "_shingles").repartition("_root", "_tile").sortWithinPartitions("_root", "_tile", "_doc")
-    first = settled(dealt.mapInArrow(verify(["_root", "_tile"]), "a long, b long"), "links")
+    first = settled(dealt.mapInArrow(tidy(verify(["_root", "_tile"])), "a long, b long"), "links")
     large = member.filter(F.col("_n") > TILE).select("_doc", "_root", "_n")
     if large.isEmpty():
         return first
@@ -535,7 +535,7 @@ def links(texts: DataFrame, family: DataFrame, classes, k: int, num: int, den: i
 
     cells = made.join(both, "_doc").select("_root", F.explode("_cells").alias("_cell"), "_doc", "_part", "_shingles").select("_root", "_cell._tile", "_cell._sheaf", "_doc", "_part", "_shingles")
     cells = cells.repartition("_root", "_tile", "_sheaf").sortWithinPartitions("_root", "_tile", "_sheaf", "_doc")
-    return first.unionByName(settled(cells.mapInArrow(verify(["_root", "_tile", "_sheaf"], "_part"), "a long, b long"), "links"))
+    return first.unionByName(settled(cells.mapInArrow(tidy(verify(["_root", "_tile", "_sheaf"], "_part")), "a long, b long"), "links"))
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
