@@ -39,6 +39,20 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return dealt.withColumn("_k", place).join(before, [*keys, "_range"]).withColumn("number", F.col("_k") + F.col("_before")).drop("_k", "_before", "_range")
 
 
+#: Bits of the bitmap by which rows with a wanted value are told from others.
+BITMAP_BITS = 26
+
+
+def maybe_in(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows of df whose value is in wanted's only column, and few others; what travels is a bitmap of 2**BITMAP_BITS bits at most."""
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITMAP_BITS))
+    at = wanted.select(spot(wanted.columns[0]).alias("_spot"))
+    bits = at.groupBy(F.shiftright("_spot", 6).alias("_row")).agg(F.expr("bit_or(shiftleft(1L, cast(_spot & 63 as int)))").alias("_bits"))
+    rows = df.withColumn("_spot", spot(column)).withColumn("_row", F.shiftright("_spot", 6))
+    met = rows.join(F.broadcast(bits), "_row").filter(F.expr("(shiftright(_bits, cast(_spot & 63 as int)) & 1) = 1"))
+    return met.select(*df.columns)
+
+
 RANGE = "_range"
 
 

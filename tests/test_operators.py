@@ -111,6 +111,34 @@ def test_packing(spark):
     assert out == [(0, 0, "packed"), (1, 0, "packed"), (2, 1, "packed"), (3, None, "over_budget"), (4, 1, "packed"), (5, 2, "packed"), (6, 2, "packed")]
 
 
+@pytest.mark.parametrize("n_quotes,copy", [(50_000, 1000), (300, 3)])
+def test_many_quotes_meet_the_texts_by_words(spark, n_quotes, copy, monkeypatch):
+    import random
+
+    pick = random.Random(n_quotes)
+    words = ["the", "of", "stone", "river", "a.b*", "é", "gate,", *(f"w{i}" for i in range(400))]
+    gaps = [" ", " ", " ", "\n", " \u00a0", "\x1c", "\t "]
+    texts = ["".join(pick.choice(words) + pick.choice(gaps) for _ in range(150)) for _ in range(60)]
+    quotes = []
+    for _ in range(n_quotes):
+        parts = pick.choice(texts).split()
+        a, n = pick.randrange(140), pick.randint(1, 6)
+        quote = pick.choice(gaps).join(parts[a : a + n])
+        quotes.append(pick.choice([quote, quote, quote[1:], quote[:-1], quote + " nowhere"]))
+    quotes += [None, "  ", "the stone the", quotes[0]]
+    given = spark.createDataFrame([*((i % 58, t) for i, t in enumerate(texts)), (None, texts[0]), (99, None)], "d long, t string")
+    asked = spark.createDataFrame([*enumerate(quotes), (7, quotes[7])], "q long, s string")
+    columns = ["d", "q", "start_char", "end_char", "start_line", "wording", "closing_start"]
+    monkeypatch.setattr(spans, "MOST_QUOTES", n_quotes * 2)
+    want = values(spans.locate(given, asked, "d", "t", "q", "s"), *columns)
+    monkeypatch.setattr(spans, "MOST_QUOTES", 20_000 if n_quotes > 20_000 else 150)
+    monkeypatch.setattr(spans, "QUOTES_A_COPY", copy)
+    long = asked.filter(F.size(spans.words(F.col("s"))) >= 3)
+    out = spans.places_by_words(given, long, "d", "t", "q", "s")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2  # texts once, and what is asked of them
+    assert values(spans.locate(given, asked, "d", "t", "q", "s"), *columns) == want and len(want) > n_quotes / 2
+
+
 @pytest.mark.parametrize("most,most_items,gap,parts", [(10, None, 0, 9), (25, 3, 2, 6), (400, None, 1, 5), (3, 2, 0, 12), (10**6, None, 0, 4)])
 def test_packing_in_ranges_equals_the_fold(spark, most, most_items, gap, parts):
     import random
