@@ -15,6 +15,8 @@ MOST_CANDIDATES, WHOLE_POOL, FLOOR, FALLBACK = 12, 35, 0.15, 3
 #: Names of a block that meet in one task; a larger block is dealt into parts that meet each other.
 BLOCK_NAMES = 2000
 THRESHOLD, MOST_CLUSTER = 0.68, 24
+#: Characters that are counted each for itself when a ratio is bound; all others are counted together.
+COUNTED = "abcdefghijklmnopqrstuvwxyz 0123456789éèàç"
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -35,23 +37,58 @@ def blocks(names: DataFrame) -> DataFrame:
     return names.select("*", F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("p:"), F.left("name", F.lit(3)))), tokens))).alias("block"))
 
 
-def similar_pairs(entities: DataFrame, id_col: str, type_col: str, name_col: str, threshold: float = THRESHOLD, aliases_col: str | None = None, ratio: bool = True) -> DataFrame:
-    """Pairs of one type whose similarity reaches the threshold: a, b (a < b), score.
+def char_counts(name: Column) -> Column:
+    """How often each character of COUNTED stands in a name, then how often any other does."""
+    each = [F.length(name) - F.length(F.replace(name, F.lit(c))) for c in COUNTED]
+    return F.array(*each, F.length(name) - sum(each[1:], each[0]))
 
-    Score: 1 for equal name keys, else the larger of token overlap and matching-block ratio over all names. Distinct names of a
-    type are compared, not entities, so a name that very many entities share is one row; those entities are linked in a
-    star by ``name_links``.
+
+def ratio_bound(x: Column, y: Column, x_counts: Column, y_counts: Column) -> Column:
+    """What the matching-block ratio of two names cannot exceed: matching characters are no more than the characters that both hold."""
+    shared = sum((F.least(x_counts[i], y_counts[i]) for i in range(1, len(COUNTED) + 1)), F.least(x_counts[0], y_counts[0]))
+    return F.lit(2.0) * shared / (F.length(x) + F.length(y))
+
+
+def name_pairs(entities: DataFrame, id_col: str, type_col: str, name_col: str, threshold: float = THRESHOLD, aliases_col: str | None = None, ratio: bool = True) -> DataFrame:
+    """Distinct pairs of names of one type that meet in a block and may reach the threshold: _type, x, y (x < y), overlap, bound.
+
+    The bound is that of the character counts and, where that reaches the threshold, of the edit distance too: matching characters are in
+    one order in both names, so twice their number is no more than both lengths less the distance. Only pairs whose overlap or bound
+    reaches the threshold stay.
     """
     kept = names_of(entities, id_col, name_col, aliases_col).join(entities.select(id_col, F.col(type_col).alias("_type")), id_col)
     distinct = blocks(kept.select("_type", "name").distinct())
     sizes = distinct.groupBy("_type", "block").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     parts = F.ceil(F.col("_n") / BLOCK_NAMES)
     dealt = distinct.join(sizes, ["_type", "block"])
-    left = dealt.select("_type", "block", F.col("name").alias("x"), F.pmod(F.xxhash64("name"), parts).alias("_part"))
-    right = dealt.select("_type", "block", F.col("name").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_part"))
-    pairs = left.join(right, ["_type", "block", "_part"]).filter("x < y").select("_type", "x", "y").distinct()
-    score = F.greatest(jaccard(F.col("x"), F.col("y")), seq_ratio("x", "y")) if ratio else jaccard(F.col("x"), F.col("y"))
-    return pairs.withColumn("score", score).filter(F.col("score") >= threshold)
+    if ratio:
+        dealt = dealt.withColumn("_c", char_counts(F.col("name")))
+    counts = ["_c"] if ratio else []
+    left = dealt.select("_type", "block", F.col("name").alias("x"), *[F.col(c).alias(f"{c}x") for c in counts], F.pmod(F.xxhash64("name"), parts).alias("_part"))
+    right = dealt.select("_type", "block", F.col("name").alias("y"), *[F.col(c).alias(f"{c}y") for c in counts], F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_part"))
+    met = left.join(right, ["_type", "block", "_part"]).filter("x < y")
+    bound = F.lit(0.0)
+    if ratio:
+        by_counts, both = ratio_bound(F.col("x"), F.col("y"), F.col("_cx"), F.col("_cy")), F.length("x") + F.length("y")
+        bound = F.when(by_counts >= threshold, F.least(by_counts, (both - F.levenshtein("x", "y")) / both)).otherwise(by_counts)
+    overlap = jaccard(F.col("x"), F.col("y"))
+    may = (bound >= threshold) | (overlap >= threshold)
+    return met.filter(may).select("_type", "x", "y", overlap.alias("overlap"), bound.alias("bound")).distinct()
+
+
+def similar_pairs(entities: DataFrame, id_col: str, type_col: str, name_col: str, threshold: float = THRESHOLD, aliases_col: str | None = None, ratio: bool = True) -> DataFrame:
+    """Pairs of one type whose similarity reaches the threshold: _type, x, y (x < y), score.
+
+    Score: 1 for equal name keys, else the larger of token overlap and matching-block ratio over all names. Distinct names of a
+    type are compared, not entities, so a name that very many entities share is one row; those entities are linked in a
+    star by ``name_links``. The ratio is computed only where its bound reaches the threshold (``name_pairs``).
+    """
+    pairs = name_pairs(entities, id_col, type_col, name_col, threshold, aliases_col, ratio)
+    if not ratio:
+        return pairs.select("_type", "x", "y", F.col("overlap").alias("score"))
+    near, far = pairs.filter(F.col("bound") >= threshold), pairs.filter(F.col("bound") < threshold)
+    scored = near.select("_type", "x", "y", F.greatest("overlap", seq_ratio("x", "y")).alias("score"))
+    return scored.filter(F.col("score") >= threshold).unionByName(far.select("_type", "x", "y", F.col("overlap").alias("score")))
 
 
 def name_links(entities: DataFrame, id_col: str, type_col: str, name_col: str, threshold: float = THRESHOLD, aliases_col: str | None = None, ratio: bool = True) -> DataFrame:

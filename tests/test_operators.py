@@ -360,6 +360,34 @@ def test_incremental_ingest(spark, tmp_path):
     assert sorted(table(), key=str) == sorted(want, key=str)
 
 
+def test_few_pairs_of_names_are_scored(spark):
+    """All pairs of a block by difflib against those whose bound passes."""
+    import difflib
+    import random
+
+    pick = random.Random(4)
+    syllables = "al ba cor den el fin gar hol is jo ka lum mor nen os pel qui ran sol tur".split()
+    name = lambda: "".join(pick.choices(syllables, k=pick.randint(1, 4))).title()
+    names = [f"{pick.choice(['Sir', '', '', 'Lady'])} {name()} {name()}" for _ in range(300)]
+    names += [n[:-1] + pick.choice("xyz") for n in names[:60]] + ["Sir Zoë Œuvre", "Sir Zoë Œuvr", "Sir", "Sir Sir Sir", "Ünal Ünal", "Ünal Ünel"]
+    e = spark.createDataFrame([(i, "k", n) for i, n in enumerate(names)], "i long, kind string, name string")
+    keys = sorted({r[0] for r in e.select(T.name_key(F.col("name"))).collect()})
+    blocks_of = lambda n: {n[:3]} | {f"t:{t}" for t in n.split() if len(t) >= 3}
+    every = [(x, y) for k, x in enumerate(keys) for y in keys[k + 1 :] if {f"p:{x[:3]}"} & {f"p:{y[:3]}"} or (blocks_of(x) & blocks_of(y))]
+    want = {}
+    for x, y in every:
+        a, b = set(x.split()), set(y.split())
+        score = max(len(a & b) / len(a | b), difflib.SequenceMatcher(None, x, y).ratio())
+        if score >= identity.THRESHOLD:
+            want[x, y] = round(score, 9)
+    pairs = identity.name_pairs(e, "i", "kind", "name")
+    out = identity.similar_pairs(e, "i", "kind", "name")
+    assert {(r["x"], r["y"]): round(r["score"], 9) for r in out.collect()} == want and len(want) > 50
+    assert pairs.count() * 10 < len(every)
+    flat = {(r["x"], r["y"]) for r in identity.similar_pairs(e, "i", "kind", "name", ratio=False).collect()}
+    assert flat == {(x, y) for x, y in every if len(set(x.split()) & set(y.split())) / len(set(x.split()) | set(y.split())) >= identity.THRESHOLD}
+
+
 def test_identity(spark):
     e = spark.createDataFrame([(1, "character", "Lady Alice", ["Alice"]), (2, "character", "Alice", []), (3, "location", "Alice", []), (4, "character", "Bernard", None), (5, "character", "", [])], "i long, kind string, name string, aliases array<string>")
     parts = identity.components(identity.name_links(e, "i", "kind", "name", aliases_col="aliases"), id_col="i")
