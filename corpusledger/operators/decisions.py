@@ -38,6 +38,22 @@ def reuse(requests: DataFrame, sources: list[DataFrame], valid: Column | None =
     return decided, requests.join(best, "fingerprint", "left_anti")
 
 
+def in_batches(function: Callable[[pd.DataFrame], pd.DataFrame], rows: int):
+    """The function over batches of exactly so many rows (the last of a task may be smaller), however rows arrive."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            held = pdf if held is None else pd.concat([held, pdf])
+            while len(held) >= rows:
+                yield function(held.iloc[:rows])
+                held = held.iloc[rows:]
+        if held is not None and len(held):
+            yield function(held)
+
+    return run
+
+
 def decide(requests: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, partitions: int, batch_rows: int | None = None) -> DataFrame:
     """Run the user's function over batches of request rows; the rows are dealt evenly first, as calls are slow."""
 
@@ -49,11 +65,20 @@ def decide(requests: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame]
     return requests.repartition(partitions).mapInPandas(run, schema)
 
 
-def decide_with_retries(requests: DataFrame, key: str, function, schema: str, valid: Column, attempts: int, default: Column, partitions: int) -> DataFrame:
-    """key, result, attempt, status: rows without exactly one valid answer are asked again, up to ``attempts`` times; then the default."""
+def decide_with_retries(requests: DataFrame, key: str, function, schema: str, valid: Column, attempts: int, default: Column, partitions: int, batch_rows: int | None = None) -> DataFrame:
+    """key, result, attempt, status: rows without exactly one valid answer are asked again, up to ``attempts`` times; then the default.
+
+    With ``batch_rows`` the function gets batches of so many rows, and those still open half as many at each further attempt, one at
+    least, so that a row that spoils its batch is met in ever smaller ones. Batches follow the key's order.
+    """
     left, done = requests, None
     for attempt in range(1, attempts + 1):
-        answers = checkpointed(decide(left.withColumn("attempt", F.lit(attempt)), function, schema, partitions))
+        asked = left.withColumn("attempt", F.lit(attempt))
+        if batch_rows is None:
+            answers = checkpointed(decide(asked, function, schema, partitions))
+        else:
+            rows = max(1, batch_rows >> (attempt - 1))
+            answers = checkpointed(asked.repartitionByRange(partitions, key).sortWithinPartitions(key).mapInPandas(in_batches(function, rows), schema))
         once = answers.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first("result").alias("result")).filter("_n = 1").drop("_n").filter(valid)
         good = checkpointed(once.join(left.select(key), key, "left_semi").select(key, "result", F.lit(attempt).alias("attempt"), F.lit("decided").alias("status")))
         done = good if done is None else done.unionByName(good)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog_queries, chunk_queries, evidence_queries, identity_queries, quality_queries, review_queries, rule_queries, text_queries, timeline_queries  # noqa: F401  (they register their queries)
+from . import catalog_queries, chunk_queries, evidence_queries, function_queries, identity_queries, quality_queries, review_queries, rule_queries, text_queries, timeline_queries  # noqa: F401  (they register their queries)
 from .base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "locate_quotes"

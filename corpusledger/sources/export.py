@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def text_blocks(df: DataFrame, keys: list[str], order: list[str], line: Column, joint: str = "\n\n") -> DataFrame:
@@ -25,6 +26,30 @@ def manifest(scenes: DataFrame, key: str, hidden: list[str]) -> DataFrame:
     return scenes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*public))).alias("scenes"), F.count(F.lit(1)).alias("n_scenes"))
 
 
+def without_field(value: Column, kind: T.DataType, name: str) -> Column:
+    """A nested value without the field of that name, at any depth of structs and arrays."""
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: without_field(x, kind.elementType, name))
+    if not isinstance(kind, T.StructType):
+        return value
+    kept = [without_field(value[f.name], f.dataType, name).alias(f.name) for f in kind.fields if f.name != name]
+    return F.when(value.isNotNull(), F.struct(*kept))
+
+
+def downstream_chapters(chapters: DataFrame, reviewed: str = "narrative_review", sequences: str = "sequences", name: str = "review") -> DataFrame:
+    """Chapters as later stages get them: data and editable choices stay, what a review recorded goes.
+
+    Sequences lose their review; of the chapter's own review only its issues stay, their proposals without reviews of theirs. A null
+    review stays null; one without issues has an empty list. Other columns stay.
+    """
+    kinds = {f.name: f.dataType for f in chapters.schema.fields}
+    issues = F.coalesce(without_field(F.col(reviewed)["issues"], kinds[reviewed]["issues"].dataType, name), F.array())
+    return chapters.withColumns({
+        sequences: without_field(F.col(sequences), kinds[sequences], name),
+        reviewed: F.when(F.col(reviewed).isNotNull(), F.struct(issues.alias("issues"))),
+    })
+
+
 def write_stage(df: DataFrame, path: str, partition: list[str] | None = None, form: str = "parquet") -> None:
     """Replace a stage's table; the commit protocol keeps half-written files out."""
     writer = df.write.mode("overwrite").format(form)

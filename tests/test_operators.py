@@ -495,3 +495,27 @@ def test_reconcile(spark):
     out, members = catalogs.reconcile(known, incoming, decisions_, ["ord"])
     assert values(out, "entity", "number", F.array_join("names", "|"), "importance", "speaks") == [("CHAR_002", 2, "Mara|Mara Voss", "major", True), ("CHAR_003", 3, "Bern", "minor", False), ("LOCA_001", 1, "Hall", "minor", False)]
     assert values(members, "local_id", "entity") == [("a", "CHAR_002"), ("b", "CHAR_003"), ("c", "LOCA_001")]
+
+
+def test_downstream_chapters(spark):
+    schema = "c int, sequences array<struct<n:int,review:struct<a:int>>>, narrative_review struct<issues:array<struct<code:string,proposals:array<struct<o:int,review:string>>>>,attempts:int>, review string"
+    given = [(1, [(1, (5,)), (2, None)], ([("x", [(1, "r"), (2, None)]), ("y", None)], 3), "kept"), (2, None, None, None), (3, [], (None, 1), None)]
+    out = export.downstream_chapters(spark.createDataFrame(given, schema)).orderBy("c")
+    assert out.schema.simpleString() == "struct<c:int,sequences:array<struct<n:int>>,narrative_review:struct<issues:array<struct<code:string,proposals:array<struct<o:int>>>>>,review:string>"
+    rows = [r.asDict(True) for r in out.collect()]
+    assert rows[0] == {"c": 1, "sequences": [{"n": 1}, {"n": 2}], "narrative_review": {"issues": [{"code": "x", "proposals": [{"o": 1}, {"o": 2}]}, {"code": "y", "proposals": None}]}, "review": "kept"}
+    assert rows[1] == {"c": 2, "sequences": None, "narrative_review": None, "review": None} and rows[2] == {"c": 3, "sequences": [], "narrative_review": {"issues": []}, "review": None}
+
+
+def test_open_rows_are_asked_in_halves(spark):
+    """Two rows spoil every batch that holds them; batches of 8, 4, 2 and 1 leave only these undecided."""
+    sizes = spark.sparkContext.accumulator(0)
+
+    def answer(pdf):
+        sizes.add(1)
+        return (pdf if not pdf["id"].isin([3, 12]).any() else pdf.iloc[:0])[["id"]].assign(result="ok")
+
+    rows = spark.createDataFrame([(i,) for i in range(16)], "id long")
+    out = decisions.decide_with_retries(rows, "id", answer, "id long, result string", F.lit(True), 4, F.lit("none"), 1, batch_rows=8)
+    found = {r["id"]: (r["result"], r["attempt"], r["status"]) for r in out.collect()}
+    assert {i for i, f in found.items() if f[2] == "default"} == {3, 12} and {found[i][1] for i in (0, 1)} == {3} and found[2][1] == 4 and {found[i][1] for i in (4, 5, 6, 7)} == {2}
