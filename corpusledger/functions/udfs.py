@@ -147,51 +147,91 @@ def words_in(text: str | None):
         yield after, found.end(), found["word"], before
 
 
-# What may stand between a name and another that it is also called by, within a sentence and across two.
-ALIAS_PHRASES = (
-    r"(?:aussi |également )?(?:appelée?|surnommée?|nommée?)",
-    r"(?:était|est) (?:aussi |également )?(?:appelée?|surnommée?|nommée?)",
-    r"alias",
-    r"(?:also )?known as",
-    r"(?:was |is )(?:also )?(?:called|known as)",
-)
-NAMING_SENTENCES = (r"ceux qui (?:le|la) connaissaient l[’']appelaient", r"those who knew (?:him|her) called (?:him|her)")
-#: Proper names that may follow a name before such a phrase; what opens one. Fixed values.
-MOST_FOLLOWING, PROPER = 4, r"[A-ZÀ-ÖØ-Þ][\w’'-]*"
-
-
-def is_proper(name: str) -> bool:
-    """One word of letters, its first alone in upper case."""
-    return name.isalpha() and name.istitle()
-
-
-def whole(words: str) -> str:
-    return rf"(?<!\w){re.escape(words)}(?!\w)"
+# Fixed value: phrases of naming, between a name and another that it is also called by.
+ALIAS_PHRASE = r"(?:aussi |également )?(?:appelé[e]?|surnommé[e]?|nommé[e]?)|(?:était|est) (?:aussi |également )?(?:appelé[e]?|surnommé[e]?|nommé[e]?)|alias|(?:also )?known as|(?:was |is )(?:also )?(?:called|known as)"
+# Fixed value: sentences of naming, which follow a name across a full stop.
+NAMING_SENTENCE = r"ceux qui (?:le|la) connaissaient l[’']appelaient|those who knew (?:him|her) called (?:him|her)"
+# A proper name, and how many may follow a name before such a phrase.
+PROPER, MOST_FOLLOWING = r"[A-ZÀ-ÖØ-Þ][\w’'-]*", 4
+FOLLOWING, BLANKS = re.compile(rf"[ \t]+{PROPER}"), re.compile(r"[ \t\u00a0]+")
+#: What leads from one name to the next: a phrase after which a quotation mark may stand, or a sentence.
+NAMING = re.compile(rf"\s*,?\s*(?:{ALIAS_PHRASE})\s+(?P<mark>[\"«]?\s*)|\s*\.?\s*(?:Mais |But )?(?:{NAMING_SENTENCE})\s+")
+WORD_CHAR = re.compile(r"\w")
+
+
+class NameLinks:
+    """Which of a group's names a context shows to be one person's: one automaton over all names, then a small grammar over what
+    stands between neighbouring hits. The cost follows the context and its hits, not the pairs of names."""
+
+    def __init__(self, names: list[str]):
+        import ahocorasick
+
+        self.spellings: dict[str, set[str]] = {}
+        for name in names:
+            flat = " ".join(name.split())
+            if flat:
+                self.spellings.setdefault(flat, set()).add(name)
+        self.automaton = ahocorasick.Automaton()
+        for flat in self.spellings:
+            self.automaton.add_word(flat, flat)
+        if self.spellings:
+            self.automaton.make_automaton()
+        #: name -> shorter names that stand in it as whole words
+        self.parts = {y: {x for _, _, x in self.whole_hits(y) if x != y} for y in self.spellings}
+        #: single words of letters, the first alone in upper case
+        self.single = {n for n in self.spellings if n.isalpha() and n.istitle()}
+
+    def hits(self, text: str) -> list[tuple[int, int, str]]:
+        """(start, end, name) of every name in the text, wherever it stands."""
+        return [(at + 1 - len(n), at + 1, n) for at, n in self.automaton.iter(text)] if self.spellings else []
+
+    def whole_hits(self, text: str) -> list[tuple[int, int, str]]:
+        """Those across whose borders no word reaches."""
+        return [(a, b, n) for a, b, n in self.hits(text) if not (a and WORD_CHAR.match(text, a - 1)) and not WORD_CHAR.match(text, b)]
+
+    def side_by_side(self, text: str):
+        """Single names that stand next to one another as one full name."""
+        tied = lambda at: 0 <= at < len(text) and (text[at] in "’'-" or WORD_CHAR.match(text, at))
+        starts: dict[int, list[tuple[int, str]]] = {}
+        singles = [h for h in self.whole_hits(text) if h[2] in self.single]
+        for a, b, n in singles:
+            starts.setdefault(a, []).append((b, n))
+        for a, b, n in singles:
+            gap = BLANKS.match(text, b)
+            if gap and not tied(a - 1):
+                yield from ((n, other) for end, other in starts.get(gap.end(), ()) if not tied(end))
+
+    def named(self, text: str):
+        """Names that a phrase or sentence of naming leads to, from a name that further proper names may follow."""
+        starts: dict[int, list[str]] = {}
+        for a, b, n in self.hits(text):
+            if not WORD_CHAR.match(text, b):
+                starts.setdefault(a, []).append(n)
+        for _, b, n in self.whole_hits(text):
+            ends = [b]
+            if n in self.single:
+                for _ in range(MOST_FOLLOWING):
+                    more = FOLLOWING.match(text, ends[-1])
+                    if not more:
+                        break
+                    ends.append(more.end())
+                ends += [e + 1 for e in ends if text[e : e + 1] == "."]
+            for end in ends:
+                lead = NAMING.match(text, end)
+                if lead:
+                    mark = lead["mark"] or ""
+                    places = {lead.end(), lead.end() - len(mark), lead.end() - len(mark) + len(mark.rstrip())}
+                    yield from ((n, other) for at in places for other in starts.get(at, ()))
+
+    def find(self, context: str | None) -> set[tuple[str, str]]:
+        """Pairs of names, the smaller first. Null and empty contexts show none."""
+        if not context or not self.spellings:
+            return set()
+        flat = " ".join(context.split())
+        found = {*self.side_by_side(context), *self.named(flat), *((x, y) for _, _, y in self.whole_hits(flat) for x in self.parts[y])}
+        return {(min(x, y), max(x, y)) for a, b in found if a != b for x in self.spellings[a] for y in self.spellings[b]}
 
 
 def names_link(a: str, b: str, context: str) -> bool:
-    """Whether a context supports that two names are one person's.
-
-    It does if both are single proper names that stand side by side as one full name; if one name is part of the other and
-    the longer stands there; or if a phrase or sentence of naming leads from one, with up to four more proper names, to the other.
-    """
-    a, b, flat = " ".join(a.split()), " ".join(b.split()), " ".join(context.split())
-    if not a or not b:
-        return False
-    ways = ((a, b), (b, a))
-    if a != b and is_proper(a) and is_proper(b) and any(re.search(rf"(?<![\w’'-]){x}[ \t\u00a0]+{y}(?![\w’'-])", context) for x, y in ways):
-        return True
-    if a != b and any(re.search(whole(x), y) and re.search(whole(y), flat) for x, y in ways):
-        return True
-    phrases = rf"\s*,?\s*(?:{'|'.join(ALIAS_PHRASES)})\s+[\"«]?\s*"
-    sentences = rf"\s*\.?\s*(?:Mais |But )?(?:{'|'.join(NAMING_SENTENCES)})\s+"
-    for x, y in ways:
-        start = whole(x) + (rf"(?:[ \t]+{PROPER}){{0,{MOST_FOLLOWING}}}\.?" if is_proper(x) else "")
-        if re.search(rf"{start}(?:{phrases}|{sentences}){re.escape(y)}(?!\w)", flat):
-            return True
-    return False
-
-
-@pandas_udf(T.BooleanType())
-def alias_link(a: pd.Series, b: pd.Series, context: pd.Series) -> pd.Series:
-    return pd.Series([names_link(x or "", y or "", c or "") for x, y, c in zip(a, b, context, strict=True)])
+    """Whether a context shows two names to be one person's."""
+    return (min(a, b), max(a, b)) in NameLinks([a, b]).find(context)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.udfs import alias_link, seq_ratio
+from ..functions.udfs import NameLinks, seq_ratio
 from .lineage import checkpointed, numbered
 
 #: Candidates of an entity at most; a pool that is taken whole; the least score; how many are taken without one.
@@ -243,10 +243,26 @@ def unique_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 
 
 def alias_edges(names: DataFrame, contexts: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of names that some context of their group supports as one: keys, x, y. ``names``: keys, name; ``contexts``: keys, context."""
-    held = contexts.join(names, keys).filter(F.contains(F.lower("context"), F.lower("name")))
-    pairs = held.select(*keys, "context", F.col("name").alias("x")).join(held.select(*keys, "context", F.col("name").alias("y")), [*keys, "context"]).filter("x < y")
-    return pairs.filter(alias_link("x", "y", "context")).select(*keys, "x", "y").distinct()
+    """Pairs of names that some context of their group supports as one: keys, x, y (x < y). ``names``: keys, name; ``contexts``: keys, context.
+
+    All names of a group are searched at once in each of its contexts (``NameLinks``); a group's names are few. Null names and contexts are left out.
+    """
+    labels = names.filter("name IS NOT NULL").groupBy(*keys).agg(F.array_sort(F.collect_set("name")).alias("_names"))
+    rows = contexts.filter("context IS NOT NULL").join(labels, keys).select(*keys, "_names", "context")
+    schema = ", ".join([f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys] + ["x string", "y string"])
+
+    def run(batches):
+        of, links = None, None
+        for pdf in batches:
+            out = []
+            for *key, listed, context in pdf.itertuples(index=False, name=None):
+                if links is None or tuple(listed) != of:
+                    of = tuple(listed)
+                    links = NameLinks(list(of))
+                out += [(*key, *pair) for pair in sorted(links.find(context))]
+            yield pd.DataFrame(out, columns=[*keys, "x", "y"])
+
+    return rows.mapInPandas(run, schema).distinct()
 
 
 def dossier_pairs(labels: DataFrame, quotes: DataFrame, compared: DataFrame, blocked: DataFrame, bridges: DataFrame, group: str = "group") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import catalogs, decisions, reviews
+from ..operators import catalogs, decisions, identity, reviews
 from ..sources import export
 from .base import SEQUENCES_SQL, query, sequences, table
 
@@ -114,3 +114,28 @@ def halved_batches(spark, sf_dir):
 
     out = decisions.decide_with_retries(rows, "id", answer, "id long, result string", F.lit(True), 5, F.lit("none"), 8, batch_rows=16)
     return out.select("id", "result", "status")
+
+
+NAMED_SQL = "SELECT p_partkey AS part, list_transform(string_split(p_name || ' ' || p_type, ' ')[1:3], lambda w: upper(left(w, 1)) || lower(substring(w, 2))) AS w FROM part"
+
+
+@query(
+    f"""WITH n AS ({NAMED_SQL}), k AS (SELECT part, w[1] AS a, w[2] AS b, w[3] AS c, w[1] || ' ' || w[2] AS ab FROM n),
+ e AS (SELECT part, a AS x, b AS y FROM k WHERE part % 4 = 0 UNION ALL SELECT part, a, ab FROM k WHERE part % 4 = 0 UNION ALL SELECT part, b, ab FROM k WHERE part % 4 = 0
+  UNION ALL SELECT part, c, ab FROM k WHERE part % 4 = 0 AND c IN (a, b)
+  UNION ALL SELECT part, a, c FROM k WHERE part % 4 IN (1, 2))
+ SELECT DISTINCT part, least(x, y) AS x, greatest(x, y) AS y FROM e WHERE x <> y"""
+)
+def alias_links(spark, sf_dir):
+    """Three words of a part as names, and the first two as a full name; contexts show the full name, an alias, a naming, or nothing."""
+    word = lambda i: F.initcap(F.element_at(F.split(F.concat_ws(" ", "p_name", "p_type"), " "), i))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), word(1).alias("a"), word(2).alias("b"), word(3).alias("c"))
+    full, kind = F.concat_ws(" ", "a", "b"), F.col("part") % 4
+    names = rows.select("part", F.explode(F.array("a", "b", "c", full)).alias("name"))
+    context = (
+        F.when(kind == 0, F.concat(F.lit("then "), full, F.lit(" came.")))
+        .when(kind == 1, F.concat(F.lit("there "), "a", F.lit(", also known as "), "c", F.lit(", came.")))
+        .when(kind == 2, F.concat("c", F.lit(" était surnommé « "), "a", F.lit(" »")))
+        .otherwise(F.concat("a", F.lit(" and "), "b", F.lit(" met "), "c"))
+    )
+    return identity.alias_edges(names, rows.select("part", context.alias("context")), ["part"])

@@ -1,5 +1,7 @@
 """Cases of the rules of traits, references, prompts, documents, resumed runs, names and partitions."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +170,26 @@ def test_names_link(a, b, context, linked):
     assert udfs.names_link(a, b, context) is linked and udfs.names_link(b, a, context) is linked
 
 
+def test_all_names_at_once_link_as_pairs_do(spark):
+    """One automaton over all names against one for each pair of them."""
+    import itertools
+    import random
+
+    pick = random.Random(9)
+    names = ["Mara", "Voss", "Mara Voss", "Min", "the Heron", "Al", "Alba", "Heron", "le Héron", "Jones Jr."]
+    glue = [" ", " ", ", ", ", alias ", " was called ", " est nommé « ", ". But those who knew her called her ", " and ", "  ", "\n", "\u00a0", " Jr., surnommée ", "-", " is also known as the ", ". "]
+    contexts = ["".join(pick.choice(names) + pick.choice(glue) for _ in range(pick.randint(1, 7))) for _ in range(150)] + [None, ""]
+    want = {tuple(sorted(p)) for c in contexts if c for p in itertools.combinations(names, 2) if udfs.names_link(*p, c)}
+    every = udfs.NameLinks(names)
+    for c in contexts:
+        assert every.find(c) == {tuple(sorted(p)) for p in itertools.combinations(names, 2) if c and udfs.names_link(*p, c)}
+    named = spark.createDataFrame([("g", n) for n in [*names, None, " "]] + [("h", "Mara"), (None, "Min")], "g string, name string")
+    given = spark.createDataFrame([("g", c) for c in contexts] + [("h", "Mara Voss"), (None, "Min")], "g string, context string")
+    assert {(r["x"], r["y"]) for r in identity.alias_edges(named, given, ["g"]).collect() if r["g"] == "g"} == want and len(want) > 12
+    began = time.time()
+    assert len(udfs.NameLinks([f"Name{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)]).find("Namecb met Namede. " * 20_000)) == 0 and time.time() - began < 10
+
+
 def test_dossiers_and_partitions(spark):
     labels = spark.createDataFrame([(1, "Mara"), (2, "Mara"), (3, "Heron"), (4, "Otto"), (5, None)], "group long, label string")
     quotes = spark.createDataFrame([(1, "Mara is the Heron."), (4, "He met Mara.")], "group long, quotation string")
