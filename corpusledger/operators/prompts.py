@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .decisions import non_regression
+from .lineage import checkpointed
 
 # The tasks that a summary may name, the markers of what is kept of a reference, the longest description
 # in words, and the shortest shot in seconds.
@@ -13,6 +15,8 @@ TASKS = ["keyframe completion", "reference generation", "video editing", "video
 VISIBLE_MARKERS = ["fully_preserved", "partially_preserved", "attribute_transfer", "weak_reference"]
 AUDIO_MARKERS = ["fully_copy", "partially_copy", "reference", "weak_reference"]
 MOST_WORDS, SHOT_SECONDS = 540, 2.5
+# Fixed value: what ends every image prompt.
+CLOSING = "Single image, single view. No added captions or watermark."
 
 
 def allowed_shots(duration: Column, most: int) -> Column:
@@ -37,7 +41,7 @@ def image_prompt(name: Column, style: Column, framing: Column, appearance: Colum
     subject = F.concat(style, F.lit(" image of "), F.trim(name))
     ended = F.when(subject.rlike(r"[.!?]$"), subject).otherwise(F.concat(subject, F.lit(".")))
     shown = F.concat(F.rtrim(appearance, F.lit(". ")), F.lit("."))
-    parts = [framing, ended, shown, F.trim(composition), F.lit("Single image, single view. No added captions or watermark.")]
+    parts = [framing, ended, shown, F.trim(composition), F.lit(CLOSING)]
     return F.concat_ws(" ", *[F.nullif(F.coalesce(p, F.lit("")), F.lit("")) for p in parts])
 
 
@@ -121,3 +125,67 @@ def prompt_violations(rows: DataFrame, key: str, text_col: str, most_shots: int
     rule("unknown_marker", F.size(wrong) > 0, F.array_join(F.transform(wrong, lambda z: z["m"]), ","))
     # more than one section may be missing or repeated: each is a row of its own
     return rows.select(F.col(key), F.inline(F.array_compact(F.array(*found))))
+
+
+#: Sections that each rule concerns; rules that are not named concern all, or those where their cause stands (``routed``).
+ROUTES = {
+    "summary": ["task_missing", "task_repeated", "task_unknown", "task_unexpected"],
+    "subject_definitions": ["undefined_label", "uncited_picture"],
+    "retention_analysis": ["picture_kept_alone", "speaker_kept", "unknown_marker"],
+    "detailed_description": ["no_shot", "shot_numbering", "first_shot_timed", "too_many_shots", "not_one_shot", "missing_timestamp", "bad_seconds", "times_not_rising", "time_beyond_end", "short_shot", "too_long"],
+}
+
+
+def routed(found: DataFrame, rows: DataFrame, key: str, text_col: str) -> DataFrame:
+    """Violations with the sections whose bodies are to be written anew: key, rule, detail, sections (array, in order).
+
+    A fence, dialogue without its language and an unbound label concern the sections where they stand; what stands in none, and all
+    that concerns the prompt as a whole, all sections.
+    """
+    text = F.col("_text")
+    body = {s: T.section_body(text, s) for s in T.SECTIONS}
+    every = F.array(*map(F.lit, T.SECTIONS))
+    where = lambda test: F.array_compact(F.array(*[F.when(test(b), F.lit(s)) for s, b in body.items()]))
+    mute = lambda b: F.exists(F.regexp_extract_all(b, F.lit(r"(?s)<d>(.*?)</d>"), F.lit(1)), lambda d: ~F.regexp_replace(d, r"^\s+|\s+$", "").rlike(r"(?s)^\[[^\]]+\]\s+.+"))
+    standing = (
+        F.when(F.col("rule") == "code_fence", where(lambda b: F.contains(b, F.lit("```"))))
+        .when(F.col("rule") == "dialogue_language", where(mute))
+        .when(F.col("rule") == "unbound_label", where(lambda b: F.exists(F.split("detail", ","), lambda x: F.contains(b, x))))
+    )
+    fixed = F.lit(None).cast("array<string>")
+    for section, rules in ROUTES.items():
+        fixed = F.when(F.col("rule").isin(rules), F.array(F.lit(section))).otherwise(fixed)
+    sections = F.coalesce(fixed, F.when(F.size(standing) > 0, standing), every)
+    return found.join(rows.select(key, F.col(text_col).alias("_text")), key).select(key, "rule", "detail", sections.alias("sections"))
+
+
+def label_repairs(rows: DataFrame, key: str, text_col: str, most_shots: int = 1) -> DataFrame:
+    """Rows with asset ids in definitions replaced by their picture labels where that mends the prompt, and ``repaired``.
+
+    ``rows`` as ``prompt_violations`` has them, and assets (array of struct label, asset, picture). In the line that defines a label, an asset of it
+    that stands for one picture only is replaced as a whole word; nothing else of the text changes. A repaired text stays only if the
+    rules that it breaks are a strict part of those before. Keys are unique.
+    """
+    text, body = F.col(text_col), T.section_body(F.col(text_col), "subject_definitions")
+    head = r"(?mi)^\s*subject_definitions\s*:[ \t]*$"
+    same = lambda a, b: (a["label"] == b["label"]) & (a["asset"] == b["asset"])
+    pictures = lambda a: F.array_distinct(F.transform(F.filter("assets", lambda b: same(a, b)), lambda b: b["picture"]))
+    clear = F.filter("assets", lambda a: (F.length(a["asset"]) > 0) & (F.size(pictures(a)) == 1))
+
+    def mended(line: Column) -> Column:
+        own = F.filter(clear, lambda a: F.startswith(line, a["label"]) & F.substring(line, F.length(a["label"]) + 1, F.lit(1)).isin(" ", "\t", ":"))
+        whole = lambda a: F.concat(F.lit(r"(?U)(?<!\w)\Q"), a["asset"], F.lit(r"\E(?!\w)"))
+        return F.aggregate(own, line, lambda now, a: F.regexp_replace(now, whole(a), a["picture"]))
+
+    new = F.array_join(F.transform(F.split(body, "\n"), mended), "\n")
+    # the body begins where it first stands behind its heading
+    start = F.regexp_instr(text, F.lit(head)) + F.length(F.regexp_extract(text, head, 0))
+    placed = rows.withColumns({"_body": body, "_new": new, "_start": start}).withColumn("_at", F.expr(f"locate(_body, `{text_col}`, _start)"))
+    edit = F.when((F.col("_body") != F.col("_new")) & (F.col("_at") > 0), F.concat(F.left(text, F.col("_at") - 1), "_new", F.substring(text, F.col("_at") + F.length("_body"), F.length(text))))
+    edited = checkpointed(placed.withColumn("_edited", edit).filter("_edited IS NOT NULL").select(*rows.columns, "_edited"))
+    broken = lambda df: df.groupBy(key).agg(F.collect_set(F.concat_ws("|", "rule", "detail")).alias("rules"))
+    of = lambda df: edited.select(key).join(broken(prompt_violations(df, key, text_col, most_shots)), key, "left").select(key, F.coalesce("rules", F.array().cast("array<string>")).alias("rules"))
+    kept = non_regression(of(edited.drop("_edited")), of(edited.withColumn(text_col, F.col("_edited")).drop("_edited")), key).filter("accepted").select(key)
+    better = kept.join(edited.select(key, "_edited"), key)
+    out = rows.join(better, key, "left")
+    return out.select(*[F.coalesce("_edited", text_col).alias(c) if c == text_col else F.col(c) for c in rows.columns], F.col("_edited").isNotNull().alias("repaired"))

@@ -137,10 +137,43 @@ PROMPT_SQL = """CASE WHEN c_custkey % 11 = 0 THEN '' ELSE 'subject_definitions:'
  UNION ALL SELECT c_custkey, 'unknown_marker', 'lost' FROM t WHERE c_mktsegment = 'BUILDING'"""
 )
 def prompt_rules(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.expr(PROMPT_SQL.replace("chr(10)", "'\\n'")).alias("text"))
+    return prompts.prompt_violations(prompt_rows(spark, sf_dir), "c_custkey", "text", 3)
+
+
+def prompt_rows(spark, sf_dir, sql=PROMPT_SQL):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.expr(sql.replace("chr(10)", "'\\n'")).alias("text"))
     subjects = F.array(F.struct(F.lit("<Subject 1>").alias("label"), F.array(F.lit("<Picture 1>")).alias("pictures")))
-    rows = c.withColumns({"duration": F.lit(8.0), "subjects": subjects, "audio": F.array().cast("array<string>"), "has_frame": F.lit(False)})
-    return prompts.prompt_violations(rows, "c_custkey", "text", 3)
+    return c.withColumns({"duration": F.lit(8.0), "subjects": subjects, "audio": F.array().cast("array<string>"), "has_frame": F.lit(False)})
+
+
+@query(
+    """WITH t AS (SELECT *, c_custkey % 11 <> 0 AS defined FROM customer)
+ SELECT c_custkey, 'task_missing' AS rule, '' AS detail, 'summary' AS sections FROM t WHERE c_nationkey < 5
+ UNION ALL SELECT c_custkey, 'dialogue_language', '', 'detailed_description' FROM t WHERE c_custkey % 7 = 0
+ UNION ALL SELECT c_custkey, 'unbound_label', '<Picture ' || (c_nationkey % 3 + 1) || '>', 'detailed_description' FROM t WHERE c_nationkey % 3 > 0
+ UNION ALL SELECT c_custkey, 'undefined_label', '<Subject 1>', 'subject_definitions' FROM t WHERE NOT defined
+ UNION ALL SELECT c_custkey, 'unknown_marker', 'lost', 'retention_analysis' FROM t WHERE c_mktsegment = 'BUILDING'
+ UNION ALL SELECT c_custkey, 'section_count', 'subject_definitions:0', 'subject_definitions,summary,retention_analysis,detailed_description,overall_soundscape,non_diegetic_music' FROM t WHERE NOT defined"""
+)
+def prompt_routes(spark, sf_dir):
+    """Where six of the rules send a prompt."""
+    rows = prompt_rows(spark, sf_dir)
+    found = prompts.prompt_violations(rows, "c_custkey", "text", 3).filter(F.col("rule").isin("task_missing", "dialogue_language", "unbound_label", "undefined_label", "unknown_marker", "section_count"))
+    return prompts.routed(found, rows, "c_custkey", "text").withColumn("sections", F.array_join("sections", ","))
+
+
+ASSET_SQL = PROMPT_SQL.replace("', <Picture 1>'", "', PIC_1 and PIC_12'")
+
+
+@query(
+    f"""WITH t AS (SELECT c_custkey, {ASSET_SQL} AS text, c_custkey % 11 <> 0 AND c_nationkey % 2 = 0 AND c_nationkey % 4 <> 0 AS repaired FROM customer)
+ SELECT c_custkey, sha256(CASE WHEN repaired THEN replace(text, ', PIC_1 and', ', <Picture 1> and') ELSE text END) AS text_sha256, repaired FROM t"""
+)
+def label_repairs(spark, sf_dir):
+    """Definitions name an asset in place of its picture; every fourth nation's asset stands for two pictures."""
+    asset = lambda k: F.struct(F.lit("<Subject 1>").alias("label"), F.lit("PIC_1").alias("asset"), F.lit(f"<Picture {k}>").alias("picture"))
+    rows = prompt_rows(spark, sf_dir, ASSET_SQL).withColumn("assets", F.when(F.col("c_nationkey") % 4 == 0, F.array(asset(1), asset(2))).otherwise(F.array(asset(1))))
+    return prompts.label_repairs(rows, "c_custkey", "text", 3).select("c_custkey", F.sha2("text", 256).alias("text_sha256"), "repaired")
 
 
 # ---- resume, spatial inputs, bundles, coverage

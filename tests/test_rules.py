@@ -170,6 +170,36 @@ def test_names_link(a, b, context, linked):
     assert udfs.names_link(a, b, context) is linked and udfs.names_link(b, a, context) is linked
 
 
+def test_labels_are_repaired_where_it_helps(spark):
+    subject = "array<struct<label:string,pictures:array<string>>>"
+    assets = "array<struct<label:string,asset:string,picture:string>>"
+    one = [("<Subject 1>", "a.jpg", "<Picture 1>")]
+    bad = GOOD.replace("seen in <Picture 1>", "seen in a.jpg, xa.jpg").replace("wind", "wind a.jpg")
+    given = {
+        "mended": (bad, one, True),
+        "two pictures": (bad, [*one, ("<Subject 1>", "a.jpg", "<Picture 2>")], False),
+        "another's": (bad, [("<Subject 2>", "a.jpg", "<Picture 1>")], False),
+        "no help": (GOOD.replace("Mara, seen", "Mara a.jpg, seen"), one, False),
+        "no assets": (bad, [], False),
+        "nothing to do": (GOOD, one, False),
+        "no text": (None, one, False),
+        "no section": ("a.jpg", one, False),
+    }
+    rows = spark.createDataFrame([(k, t, 6.0, [("<Subject 1>", ["<Picture 1>"])], ["<Audio 1>"], False, a) for k, (t, a, _) in given.items()], f"k string, text string, duration double, subjects {subject}, audio array<string>, has_frame boolean, assets {assets}")
+    out = {r["k"]: (r["text"], r["repaired"]) for r in prompts.label_repairs(rows, "k", "text", 2).collect()}
+    assert out == {k: (t.replace("seen in a.jpg,", "seen in <Picture 1>,") if mended else t, mended) for k, (t, _, mended) in given.items()}
+    broken = lambda df: {(r["k"], r["rule"], r["detail"]) for r in prompts.prompt_violations(df, "k", "text", 2).collect()}
+    assert broken(prompts.label_repairs(rows, "k", "text", 2).drop("repaired")) < broken(rows)
+
+
+def test_errors_are_routed(spark):
+    rows = spark.createDataFrame([("a", GOOD.replace("[English] Hello.", "Hello.").replace("wind", "```wind <Picture 7>").replace("Mara walks.\n\nretention", "Mara <Picture 7> <Picture 8> walks.\n\nretention"))], "k string, text string")
+    found = spark.createDataFrame([("a", r, d) for r, d in [("task_missing", ""), ("dialogue_language", ""), ("code_fence", ""), ("unbound_label", "<Picture 7>,<Picture 8>"), ("section_order", ""), ("too_long", "600"), ("unbound_label", "<Picture 9>")]], "k string, rule string, detail string")
+    out = {(r["rule"], r["detail"]): r["sections"] for r in prompts.routed(found, rows, "k", "text").collect()}
+    every = list(T.SECTIONS)
+    assert out == {("task_missing", ""): ["summary"], ("dialogue_language", ""): ["detailed_description"], ("code_fence", ""): ["overall_soundscape"], ("unbound_label", "<Picture 7>,<Picture 8>"): ["summary", "overall_soundscape"], ("section_order", ""): every, ("too_long", "600"): ["detailed_description"], ("unbound_label", "<Picture 9>"): every}
+
+
 def test_all_names_at_once_link_as_pairs_do(spark):
     """One automaton over all names against one for each pair of them."""
     import itertools
