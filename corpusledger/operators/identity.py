@@ -15,6 +15,8 @@ MOST_CANDIDATES, WHOLE_POOL, FLOOR, FALLBACK = 12, 35, 0.15, 3
 #: Names of a block that meet in one task; a larger block is dealt into parts that meet each other.
 BLOCK_NAMES = 2000
 THRESHOLD, MOST_CLUSTER = 0.68, 24
+#: Names that a word joins at most where it holds more than one in HOT_SHARE of all words.
+HOT_NAMES, HOT_SHARE = 1000, 4096
 #: Characters that are counted each for itself when a ratio is bound; all others are counted together.
 COUNTED = "abcdefghijklmnopqrstuvwxyz 0123456789éèàç"
 
@@ -142,23 +144,26 @@ def top_candidates(incoming: DataFrame, pool: DataFrame, type_col: str = "kind",
     ``incoming``: in_id, type, in_name; ``pool``: pool_id, type, pool_name. A small pool is taken whole; else those with a
     score of FLOOR or more, or the best FALLBACK if there are none. Distinct names meet by the words that they share, so names of
     a type that share none are not compared; incoming entities of one name share its candidates. Two empty names are equal.
+
+    A word that very many names of the pool hold (``hot_words``) joins no names. Names that share such words alone have a score that follows from these words and
+    the numbers of words, so of the pool's entities that agree in both only the first ``most`` can be among the candidates.
     """
     left = incoming.withColumn("in_key", T.name_key(F.col("in_name")))
     right = pool.withColumn("pool_key", T.name_key(F.col("pool_name")))
     small = right.groupBy(type_col).agg(F.count(F.lit(1)).alias("_pool")).filter(F.col("_pool") <= whole).select(type_col)
-
-    def tokens(rows: DataFrame, key: str, count: str) -> DataFrame:
-        words = F.array_distinct(F.split(key, " "))
-        return rows.select(type_col, key).distinct().select(type_col, key, F.size(words).alias(count), F.explode(words).alias("_word"))
-
-    shared = tokens(left, "in_key", "_x").join(tokens(right, "pool_key", "_y"), [type_col, "_word"]).groupBy(type_col, "in_key", "pool_key", "_x", "_y").agg(F.count(F.lit(1)).alias("_s"))
-    scored = shared.select(type_col, "in_key", "pool_key", (F.col("_s") / (F.col("_x") + F.col("_y") - F.col("_s"))).alias("score"))
+    names, pool_names = left.select(type_col, "in_key").distinct(), right.select(type_col, "pool_key").distinct()
+    hot = hot_words(pool_names, type_col, "pool_key")
+    cold = lambda rows, key: words_of_names(rows, type_col, key).join(hot, [type_col, "_word"], "left_anti")
+    shared = cold(names, "in_key").join(cold(pool_names, "pool_key"), [type_col, "_word"]).select(type_col, "in_key", "pool_key").distinct()
+    scored = shared.select(type_col, "in_key", "pool_key", jaccard_of(F.array_distinct(F.split("in_key", " ")), F.array_distinct(F.split("pool_key", " "))).alias("score"))
     # of a pool name at most so many entities can be among the first, so no more are carried
     first = F.row_number().over(Window.partitionBy(type_col, "pool_key").orderBy("pool_id"))
     short = right.withColumn("_k", first).filter(F.col("_k") <= max(most, whole)).select(type_col, "pool_key", "pool_id")
     found = scored.join(short, [type_col, "pool_key"]).select(type_col, "in_key", "pool_id", "score")
+    if not hot.isEmpty():
+        found = found.unionByName(hot_candidates(names, right, hot, type_col, most))
     # every name is also given the whole of a small pool, or the first of a large one, without a score
-    names, ids = left.select(type_col, "in_key").distinct(), F.row_number().over(Window.partitionBy(type_col).orderBy("pool_id"))
+    ids = F.row_number().over(Window.partitionBy(type_col).orderBy("pool_id"))
     start = right.withColumn("_k", ids).filter(F.col("_k") <= max(whole, FALLBACK)).join(small.withColumn("_small", F.lit(True)), type_col, "left")
     start = start.filter(F.col("_small") | (F.col("_k") <= FALLBACK)).select(type_col, "pool_id", F.lit(0.0).alias("score"))
     rows = found.unionByName(names.join(start, type_col)).groupBy(type_col, "in_key", "pool_id").agg(F.max("score").alias("score"))
@@ -169,6 +174,47 @@ def top_candidates(incoming: DataFrame, pool: DataFrame, type_col: str = "kind",
     return left.join(marked.filter(keep), [type_col, "in_key"]).select("in_id", "pool_id", "score", "place")
 
 
+def jaccard_of(x: Column, y: Column) -> Column:
+    """Overlap of two lists of distinct words."""
+    shared = F.size(F.array_intersect(x, y))
+    return shared / (F.size(x) + F.size(y) - shared)
+
+
+def words_of_names(names: DataFrame, type_col: str, key: str) -> DataFrame:
+    return names.select(type_col, key, F.explode(F.array_distinct(F.split(key, " "))).alias("_word"))
+
+
+def hot_words(names: DataFrame, type_col: str, key: str) -> DataFrame:
+    """type, _word of the words that more than HOT_NAMES names of a type hold, and more than one in HOT_SHARE of all words: HOT_SHARE rows at most."""
+    counts = checkpointed(words_of_names(names, type_col, key).groupBy(type_col, "_word").agg(F.count(F.lit(1)).alias("_n")))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    return F.broadcast(checkpointed(counts.filter((F.col("_n") > HOT_NAMES) & (F.col("_n") * HOT_SHARE > total)).select(type_col, "_word")))
+
+
+def hot_candidates(names: DataFrame, pool: DataFrame, hot: DataFrame, type_col: str, most: int) -> DataFrame:
+    """type, in_key, pool_id, score of the best ``most`` by the hot words that each name shares; a score may be too low where other words are shared too.
+
+    ``names``: type, in_key; ``pool``: type, pool_key, pool_id. Names with the same hot words and as many words in all are one kind; kinds meet, not names.
+    """
+
+    def kinds(rows: DataFrame, key: str, mark: str) -> DataFrame:
+        held = words_of_names(rows.select(type_col, key).distinct(), type_col, key).join(hot, [type_col, "_word"]).groupBy(type_col, key).agg(F.array_sort(F.collect_set("_word")).alias(f"{mark}_hot"))
+        return held.withColumn(f"{mark}_n", F.size(F.array_distinct(F.split(key, " "))))
+
+    asked, mine, theirs = kinds(names, "in_key", "in"), [type_col, "in_hot", "in_n"], [type_col, "pool_hot", "pool_n"]
+    order = F.row_number().over(Window.partitionBy(*theirs).orderBy("pool_id"))
+    members = pool.select(type_col, "pool_key", "pool_id").join(kinds(pool, "pool_key", "pool"), [type_col, "pool_key"]).withColumn("_k", order).filter(F.col("_k") <= most)
+    members = checkpointed(members.select(*theirs, "pool_id"))
+    a = asked.select(*mine).distinct().withColumn("_word", F.explode("in_hot"))
+    b = members.select(*theirs).distinct().withColumn("_word", F.explode("pool_hot"))
+    met = a.join(b, [type_col, "_word"]).drop("_word").distinct()
+    shared = F.size(F.array_intersect("in_hot", "pool_hot"))
+    scored = met.withColumn("score", shared / (F.col("in_n") + F.col("pool_n") - shared)).join(members, theirs)
+    best = F.row_number().over(Window.partitionBy(*mine).orderBy(F.desc("score"), "pool_id"))
+    top = scored.withColumn("_k", best).filter(F.col("_k") <= most).select(*mine, "pool_id", "score")
+    return asked.join(top, mine).select(type_col, "in_key", "pool_id", "score")
+
+
 def apply_merges(entities: DataFrame, groups: DataFrame, id_col: str, type_col: str) -> tuple[DataFrame, DataFrame]:
     """(mapping id -> kept id, refused groups). ``groups``: group_no, id.
 

@@ -519,3 +519,31 @@ def test_open_rows_are_asked_in_halves(spark):
     out = decisions.decide_with_retries(rows, "id", answer, "id long, result string", F.lit(True), 4, F.lit("none"), 1, batch_rows=8)
     found = {r["id"]: (r["result"], r["attempt"], r["status"]) for r in out.collect()}
     assert {i for i, f in found.items() if f[2] == "default"} == {3, 12} and {found[i][1] for i in (0, 1)} == {3} and found[2][1] == 4 and {found[i][1] for i in (4, 5, 6, 7)} == {2}
+
+
+@pytest.mark.parametrize("hot", [0, 4, 1000])
+def test_candidates_without_joins_of_hot_words(spark, hot, monkeypatch):
+    """Every score by brute force against words that join no names: none, some and all of them."""
+    import random
+
+    pick = random.Random(hot)
+    words = ["sir", "sir", "sir", "the", "the", "al", "bo", "cy", "di", "ed", "flo", "gus"]
+    name = lambda: " ".join(pick.choices(words, k=pick.randint(1, 4)))
+    pool = [(i, pick.choice("kkkkp"), name()) for i in range(220)] + [(300, "k", ""), (301, "small", "sir al"), (302, "small", "x"), (303, "k", None)]
+    asked = [(i, pick.choice("kkp"), name()) for i in range(40)] + [(100, "k", ""), (101, "k", "nobody"), (102, "small", "sir"), (103, "none", "sir")]
+    want = []
+    for i, kind, n in asked:
+        mine, rows = set((n or "").split(" ")), []
+        for p, k, m in pool:
+            if k == kind and m is not None:
+                theirs = set(m.split(" "))
+                rows.append((-len(mine & theirs) / len(mine | theirs), p))
+        rows.sort()
+        good = [r for r in rows if -r[0] >= identity.FLOOR]
+        kept = rows if len(rows) <= identity.WHOLE_POOL else good[: identity.MOST_CANDIDATES] or rows[: identity.FALLBACK]
+        want += [(i, p, round(-s, 9), k) for k, (s, p) in enumerate(kept, 1)]
+    monkeypatch.setattr(identity, "HOT_NAMES", hot)
+    left = spark.createDataFrame(asked, "in_id long, kind string, in_name string")
+    right = spark.createDataFrame([p for p in pool if p[2] is not None], "pool_id long, kind string, pool_name string")
+    out = identity.top_candidates(left, right)
+    assert sorted((r["in_id"], r["pool_id"], round(r["score"], 9), r["place"]) for r in out.collect()) == sorted(want)
