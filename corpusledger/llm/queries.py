@@ -132,6 +132,37 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), most=4)
 
 
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op4: how many secrets of each base kind a text has."""
+    return op4_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+SECRET_COUNTS_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id,
+  len(list_filter(regexp_extract_all(t, '(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 'i'), lambda x: length(x) >= 6)) AS n_assign,
+  len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access,
+  len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex
+FROM d
+"""
+
+
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op10: words, places and labels of the exact phrases."""
+    return op10_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+LICENSE_PHRASES_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents
+), p(words, label) AS (VALUES """ + ", ".join(f"({p.split()}, '{label}')" for p, label in license_scan.PHRASES.items()) + r"""),
+m AS (SELECT doc_id, label, unnest(list_filter(range(0, len(ws)), lambda i: ws[i + 1:i + len(words)] = words)) AS pos FROM d, p),
+b AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM m GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM d LEFT JOIN b USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -146,5 +177,7 @@ QUERIES = {
     "op13_whitening": op13_whitening,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sharding": op8_sharding,
+    "secret_counts": secret_counts,
+    "license_phrases": license_phrases,
 }
-ORACLE_SQL = {"op1_warc": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op8_sharding": OP8_SQL, "op12_decontamination": OP12_SQL}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op8_sharding": OP8_SQL, "op12_decontamination": OP12_SQL, "secret_counts": SECRET_COUNTS_SQL, "license_phrases": LICENSE_PHRASES_SQL}
