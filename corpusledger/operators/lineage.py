@@ -192,3 +192,27 @@ def batched(rows: DataFrame, group: list[str], order: list[str], costs: list[str
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + ["batch_no int"])
     return dealt.mapInPandas(number, schema)
+
+
+def folded(rows: DataFrame, group: list[str], order: list[str], start, step, added: dict[str, str]) -> DataFrame:
+    """Rows with columns of a fold over each group in order: ``step(state, row) -> (state, values)`` from ``start()``.
+
+    For any step; where what a range does to a state can be told beforehand, ``in_ranges`` makes a large group many tasks'. Sorted
+    partitions stream through, so a group is never gathered; its rows are one task's, as each depends on those before it.
+    ``added``: column to type. Rows are named tuples.
+    """
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + [f"`{n}` {t}" for n, t in added.items()])
+
+    def run(batches):
+        of, state = None, None
+        for pdf in batches:
+            out = []
+            keys = pdf[group].astype(object).where(pdf[group].notna(), None).itertuples(index=False, name=None)
+            for key, row in zip(keys, pdf.itertuples(index=False), strict=True):
+                if state is None or key != of:
+                    of, state = key, start()
+                state, values = step(state, row)
+                out.append(values)
+            yield pdf.assign(**{n: pd.Series([v[i] for v in out], dtype=object, index=pdf.index) for i, n in enumerate(added)})
+
+    return rows.repartition(*group).sortWithinPartitions(*group, *order).mapInPandas(run, schema)
