@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import time
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
@@ -78,6 +79,9 @@ def portions(batch: pa.RecordBatch):
 REMEMBERED: dict[str, Callable[[], None]] = {}
 
 
+RELEASE_SECONDS = 1.0
+
+
 def released() -> None:
     """Memory that is free in this worker goes back to the system."""
     pa.default_memory_pool().release_unused()
@@ -87,8 +91,8 @@ def released() -> None:
 
 
 def tidy(run, operator: str = ""):
-    """``run(batches)`` for a worker that outlives its task: what other operators remember in it is dropped first, and what is free at the
-    end goes back to the system, so that idle workers hold little."""
+    """``run(batches)`` for a worker that outlives its task: what other operators remember in it is dropped first, and what is free goes
+    back to the system every RELEASE_SECONDS and at the end, so that neither busy nor idle workers hold more than they use."""
 
     def whole(batches):
         others = [name for name in REMEMBERED if name != operator]
@@ -96,7 +100,12 @@ def tidy(run, operator: str = ""):
             REMEMBERED.pop(name)()
         if others:
             released()
-        yield from run(batches)
+        last = time.monotonic()
+        for out in run(batches):
+            yield out
+            if time.monotonic() - last > RELEASE_SECONDS:
+                released()
+                last = time.monotonic()
         released()
 
     return whole
