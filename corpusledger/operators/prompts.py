@@ -61,70 +61,77 @@ def prompt_violations(rows: DataFrame, key: str, text_col: str, most_shots: int
     def rule(name: str, test: Column, detail: Column | None = None) -> None:
         found.append(F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(name).alias("rule"), F.coalesce(detail if detail is not None else F.lit(""), F.lit("")).alias("detail"))))
 
-    prose = F.regexp_replace(text, r"(?s)<d>.*?</d>", "")
-    rule("internal_id", prose.rlike(r"(?i)\b(?:PIC|AUD|CHAR|LOC|OBJ)_[A-Z0-9_]+\b"))
-    heads = {s: rf"(?mi)^\s*{s}\s*:\s*$" for s in T.SECTIONS}
-    for s, head in heads.items():
-        count = F.regexp_count(text, F.lit(head))
-        rule("section_count", count != 1, F.concat(F.lit(s + ":"), count.cast("string")))
-    at = [F.regexp_instr(text, F.lit(head)) for head in heads.values()]
-    rule("section_order", F.forall(F.array(*at), lambda x: x > 0) & (F.array(*at) != F.array_sort(F.array(*at))))
-
-    body = {s: T.section_body(text, s) for s in T.SECTIONS}
-    summary, detailed, defs, kept = body["summary"], body["detailed_description"], body["subject_definitions"], body["retention_analysis"]
-    bracket = F.regexp_extract(summary, r"^\[([^\]]+)\]", 1)
-    tasks = F.transform(F.split(bracket, r"\+"), lambda t: F.trim(t))
-    named, wanted = F.length(bracket) > 0, expected_tasks(F.col("has_frame"), F.size("audio") > 0)
+    # each step is columns of its own: what several rules ask of a text is found once, not once a rule or an element
+    heads = [rf"(?mi)^\s*{s}\s*:\s*$" for s in T.SECTIONS]
+    bodies = {"_summary": "summary", "_detailed": "detailed_description", "_defs": "subject_definitions", "_kept": "retention_analysis"}
+    rows = rows.withColumns({"_heads": F.array(*[F.regexp_count(text, F.lit(h)) for h in heads]), "_at": F.array(*[F.regexp_instr(text, F.lit(h)) for h in heads])} | {c: T.section_body(text, s) for c, s in bodies.items()})
+    summary, detailed, defs, kept = map(F.col, bodies)
+    stamp = r"\[Shot\s+(\d+)\] At (\d{2}):(\d{2})\.(\d{3}), "
+    marked = r"(?m)^\s*<(Subject|Video|Audio)\s+\d+>.*?:\s*([a-z_]+)\s*-"
+    rows = rows.withColumns({
+        "_bracket": F.regexp_extract(summary, r"^\[([^\]]+)\]", 1),
+        "_numbers": F.transform(every(r"\[Shot\s+(\d+)\]", 1, detailed), lambda n: n.cast("int")),
+        "_stamps": F.arrays_zip(*[every(stamp, i, detailed).alias(n) for i, n in ((1, "shot"), (2, "m"), (3, "s"), (4, "ms"))]),
+        "_words": T.word_count(detailed),
+        "_lines": F.transform(F.split(defs, r"\r?\n"), lambda x: F.lower(F.ltrim(x))),
+        "_marks": F.arrays_zip(every(marked, 1, kept).alias("k"), every(marked, 2, kept).alias("m")),
+    })
+    own = lambda s: F.filter("_lines", lambda x: F.startswith(x, F.lower(s["label"])) & F.substring(x, F.length(s["label"]) + 1, F.lit(1)).isin("", " ", "\t", ":"))
+    bound = {"Subject": F.transform("subjects", lambda s: s["label"]), "Picture": F.flatten(F.transform("subjects", lambda s: s["pictures"])), "Audio": F.col("audio"), "Video": none}
+    rows = rows.withColumns({
+        "_tasks": F.transform(F.split("_bracket", r"\+"), lambda t: F.trim(t)),
+        "_wanted": expected_tasks(F.col("has_frame"), F.size("audio") > 0),
+        "_later": F.filter("_stamps", lambda p: p["shot"].cast("int") != 1),
+        "_own": F.transform("subjects", lambda s: F.struct(s["label"].alias("label"), s["pictures"].alias("pictures"), own(s).alias("lines"))),
+        "_wrong": F.filter("_marks", lambda z: F.when(z["k"] == "Audio", ~z["m"].isin(AUDIO_MARKERS)).otherwise(~z["m"].isin(VISIBLE_MARKERS))),
+    } | {f"_loose{kind}": F.array_sort(F.array_except(every(rf"<{kind}\s+\d+>"), labels)) for kind, labels in bound.items()})
+    pairs = lambda c: F.when(F.size(c) > 1, F.transform(F.sequence(F.lit(2), F.size(c)), lambda i: F.element_at(c, i) - F.element_at(c, i - 1))).otherwise(F.array().cast("array<double>"))
+    numbers, later = F.col("_numbers"), F.col("_later")
+    rows = rows.withColumns({
+        "_unknown": F.array_except("_tasks", F.array(*map(F.lit, TASKS))),
+        "_dense": numbers == F.sequence(F.lit(1), F.greatest(F.size(numbers), F.lit(1))),
+        "_complete": F.size(later) == F.size(F.filter(numbers, lambda n: n != 1)),
+        "_over": F.exists(later, lambda p: p["s"].cast("int") >= 60),
+        "_times": F.transform(later, lambda p: p["m"].cast("double") * 60 + p["s"].cast("double") + p["ms"].cast("double") / 1000),
+        "_missing": F.concat(F.transform(F.filter("_own", lambda s: F.size(s["lines"]) == 0), lambda s: s["label"]), F.filter("audio", lambda a: ~F.contains(defs, a))),
+        "_uncited": F.flatten(F.transform(F.filter("_own", lambda s: F.size(s["lines"]) > 0), lambda s: F.filter(s["pictures"], lambda p: ~F.contains(s["lines"][0], F.lower(p))))),
+    })
+    rows = rows.withColumn("_steps", F.concat(F.array(F.lit(0.0)), "_times")).withColumn("_ends", F.concat("_steps", F.array(duration)))
+    rows = rows.withColumns({"_rises": pairs(F.col("_steps")), "_gaps": pairs(F.col("_ends"))})
+
+    rule("internal_id", F.regexp_replace(text, r"(?s)<d>.*?</d>", "").rlike(r"(?i)\b(?:PIC|AUD|CHAR|LOC|OBJ)_[A-Z0-9_]+\b"))
+    for i, s in enumerate(T.SECTIONS):
+        rule("section_count", F.col("_heads")[i] != 1, F.concat(F.lit(s + ":"), F.col("_heads")[i].cast("string")))
+    rule("section_order", F.forall("_at", lambda x: x > 0) & (F.col("_at") != F.array_sort("_at")))
+    named = F.length("_bracket") > 0
     rule("task_missing", ~named)
-    rule("task_repeated", named & (F.size(F.array_distinct(tasks)) < F.size(tasks)))
-    rule("task_unknown", named & (F.size(F.array_except(tasks, F.array(*map(F.lit, TASKS)))) > 0), F.array_join(F.array_except(tasks, F.array(*map(F.lit, TASKS))), ","))
-    rule("task_unexpected", named & (tasks != wanted), F.array_join(wanted, " + "))
-
-    numbers = F.transform(every(r"\[Shot\s+(\d+)\]", 1, detailed), lambda n: n.cast("int"))
-    dense = numbers == F.sequence(F.lit(1), F.greatest(F.size(numbers), F.lit(1)))
+    rule("task_repeated", named & (F.size(F.array_distinct("_tasks")) < F.size("_tasks")))
+    rule("task_unknown", named & (F.size("_unknown") > 0), F.array_join("_unknown", ","))
+    rule("task_unexpected", named & (F.col("_tasks") != F.col("_wanted")), F.array_join("_wanted", " + "))
     rule("no_shot", F.size(numbers) == 0)
-    rule("shot_numbering", (F.size(numbers) > 0) & ~dense, F.array_join(numbers, ","))
+    rule("shot_numbering", (F.size(numbers) > 0) & ~F.col("_dense"), F.array_join(numbers, ","))
     rule("first_shot_timed", detailed.rlike(r"(?i)\[Shot\s+1\]\s+(?:At\s+)?\d+:\d+(?:\.\d+)?"))
     rule("too_many_shots", F.size(numbers) > allowed_shots(duration, most_shots), F.size(numbers).cast("string"))
     if most_shots == 1:
         rule("not_one_shot", numbers != F.array(F.lit(1)))
-    stamp = r"\[Shot\s+(\d+)\] At (\d{2}):(\d{2})\.(\d{3}), "
-    parts = F.arrays_zip(*[every(stamp, i, detailed).alias(n) for i, n in ((1, "shot"), (2, "m"), (3, "s"), (4, "ms"))])
-    later = F.filter(parts, lambda p: p["shot"].cast("int") != 1)
-    times = F.transform(later, lambda p: p["m"].cast("double") * 60 + p["s"].cast("double") + p["ms"].cast("double") / 1000)
-    complete = F.size(later) == F.size(F.filter(numbers, lambda n: n != 1))
-    rule("missing_timestamp", ~complete)
-    rule("bad_seconds", F.exists(later, lambda p: p["s"].cast("int") >= 60))
-    steps = F.concat(F.array(F.lit(0.0)), times)
-    pairs = lambda a: F.when(F.size(a) > 1, F.transform(F.sequence(F.lit(2), F.size(a)), lambda i: F.element_at(a, i) - F.element_at(a, i - 1))).otherwise(F.array().cast("array<double>"))
-    rule("times_not_rising", F.exists(pairs(steps), lambda d: d <= 0))
-    rule("time_beyond_end", F.exists(times, lambda t: t > duration + 1e-6))
-    gaps = pairs(F.concat(steps, F.array(duration)))
-    whole = (F.size(numbers) > 0) & dense & complete & ~F.exists(later, lambda p: p["s"].cast("int") >= 60) & F.forall(gaps, lambda d: d >= 0)
-    rule("short_shot", whole & F.exists(gaps, lambda d: d + 1e-6 < F.least(F.lit(SHOT_SECONDS), duration)))
-    rule("too_long", T.word_count(detailed) > MOST_WORDS, T.word_count(detailed).cast("string"))
+    rule("missing_timestamp", ~F.col("_complete"))
+    rule("bad_seconds", F.col("_over"))
+    rule("times_not_rising", F.exists("_rises", lambda d: d <= 0))
+    rule("time_beyond_end", F.exists("_times", lambda t: t > duration + 1e-6))
+    whole = (F.size(numbers) > 0) & F.col("_dense") & F.col("_complete") & ~F.col("_over") & F.forall("_gaps", lambda d: d >= 0)
+    rule("short_shot", whole & F.exists("_gaps", lambda d: d + 1e-6 < F.least(F.lit(SHOT_SECONDS), duration)))
+    rule("too_long", F.col("_words") > MOST_WORDS, F.col("_words").cast("string"))
     rule("dialogue_language", F.exists(every(r"(?s)<d>(.*?)</d>", 1), lambda d: ~F.regexp_replace(d, r"^\s+|\s+$", "").rlike(r"(?s)^\[[^\]]+\]\s+.+")))
     rule("code_fence", F.contains(text, F.lit("```")))
-
-    bound = {"Subject": F.transform("subjects", lambda s: s["label"]), "Picture": F.flatten(F.transform("subjects", lambda s: s["pictures"])), "Audio": F.col("audio"), "Video": none}
-    for kind, labels in bound.items():
-        loose = F.array_sort(F.array_except(every(rf"<{kind}\s+\d+>"), labels))
-        rule("unbound_label", F.size(loose) > 0, F.array_join(loose, ","))
-    lines = F.transform(F.split(defs, r"\r?\n"), lambda x: F.lower(F.ltrim(x)))
-    own = lambda s: F.filter(lines, lambda x: F.startswith(x, F.lower(s["label"])) & F.substring(x, F.length(s["label"]) + 1, F.lit(1)).isin("", " ", "\t", ":"))
-    undefined = F.transform(F.filter("subjects", lambda s: F.size(own(s)) == 0), lambda s: s["label"])
-    uncited = F.flatten(F.transform(F.filter("subjects", lambda s: F.size(own(s)) > 0), lambda s: F.filter(s["pictures"], lambda p: ~F.contains(own(s)[0], F.lower(p)))))
-    unheard = F.filter("audio", lambda a: ~F.contains(defs, a))
-    rule("undefined_label", F.size(F.concat(undefined, unheard)) > 0, F.array_join(F.concat(undefined, unheard), ","))
-    rule("uncited_picture", F.size(uncited) > 0, F.array_join(uncited, ","))
+    for kind in bound:
+        rule("unbound_label", F.size(f"_loose{kind}") > 0, F.array_join(f"_loose{kind}", ","))
+    rule("undefined_label", F.size("_missing") > 0, F.array_join("_missing", ","))
+    rule("uncited_picture", F.size("_uncited") > 0, F.array_join("_uncited", ","))
     rule("picture_kept_alone", kept.rlike(rf"(?m)^\s*<Picture\s+\d+>.*?:\s*(?:{'|'.join(VISIBLE_MARKERS)})\s*-"))
     rule("speaker_kept", kept.rlike(r"\(S\d+\)"))
-    marked = rf"(?m)^\s*<(Subject|Video|Audio)\s+\d+>.*?:\s*([a-z_]+)\s*-"
-    kinds, marks = every(marked, 1, kept), every(marked, 2, kept)
-    wrong = F.filter(F.arrays_zip(kinds.alias("k"), marks.alias("m")), lambda z: F.when(z["k"] == "Audio", ~z["m"].isin(AUDIO_MARKERS)).otherwise(~z["m"].isin(VISIBLE_MARKERS)))
-    rule("unknown_marker", F.size(wrong) > 0, F.array_join(F.transform(wrong, lambda z: z["m"]), ","))
+    rule("unknown_marker", F.size("_wrong") > 0, F.array_join(F.transform("_wrong", lambda z: z["m"]), ","))
     # more than one section may be missing or repeated: each is a row of its own
-    return rows.select(F.col(key), F.inline(F.array_compact(F.array(*found))))
+    return rows.select(F.col(key), F.array(*found).alias("_found")).select(key, F.inline(F.array_compact("_found")))
 
 
 #: Sections that each rule concerns; rules that are not named concern all, or those where their cause stands (``routed``).

@@ -124,6 +124,15 @@ def test_prompt_rules(spark, old, new, rules):
     assert [r[1] for r in values(prompts.prompt_violations(df, "k", "text", 3), "k", "rule")] == sorted(rules)
 
 
+def test_prompts_are_read_once_by_many_tasks(spark):
+    from corpusledger.plans import rule_queries
+
+    rows = rule_queries.prompt_rows(spark, "/root/testdata/sf0.001")
+    assert rows.rdd.getNumPartitions() == 4
+    bodies = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count(r"[\s\S]*?")
+    assert bodies(prompts.prompt_violations(rows, "c_custkey", "text", 3)) == 4  # one for each body that a rule asks for
+
+
 def test_one_shot_and_strings(spark):
     df = spark.createDataFrame([(1, GOOD, 8.0, [("<Subject 1>", ["<Picture 1>"])], ["<Audio 1>"], True)], "k long, text string, duration double, subjects array<struct<label:string,pictures:array<string>>>, audio array<string>, has_frame boolean")
     assert [r[0] for r in values(prompts.prompt_violations(df, "k", "text", 1), "rule")] == ["not_one_shot", "task_unexpected", "too_many_shots"]
