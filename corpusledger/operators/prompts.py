@@ -149,8 +149,8 @@ def routed(found: DataFrame, rows: DataFrame, key: str, text_col: str) -> DataFr
     A fence, dialogue without its language and an unbound label concern the sections where they stand; what stands in none, and all
     that concerns the prompt as a whole, all sections.
     """
-    text = F.col("_text")
-    body = {s: T.section_body(text, s) for s in T.SECTIONS}
+    asked = F.col("rule").isin("code_fence", "dialogue_language", "unbound_label")
+    body = {s: F.col("_bodies")[i] for i, s in enumerate(T.SECTIONS)}
     every = F.array(*map(F.lit, T.SECTIONS))
     where = lambda test: F.array_compact(F.array(*[F.when(test(b), F.lit(s)) for s, b in body.items()]))
     mute = lambda b: F.exists(F.regexp_extract_all(b, F.lit(r"(?s)<d>(.*?)</d>"), F.lit(1)), lambda d: ~F.regexp_replace(d, r"^\s+|\s+$", "").rlike(r"(?s)^\[[^\]]+\]\s+.+"))
@@ -163,7 +163,9 @@ def routed(found: DataFrame, rows: DataFrame, key: str, text_col: str) -> DataFr
     for section, rules in ROUTES.items():
         fixed = F.when(F.col("rule").isin(rules), F.array(F.lit(section))).otherwise(fixed)
     sections = F.coalesce(fixed, F.when(F.size(standing) > 0, standing), every)
-    return found.join(rows.select(key, F.col(text_col).alias("_text")), key).select(key, "rule", "detail", sections.alias("sections"))
+    met = found.join(rows.select(key, F.col(text_col).alias("_text")), key)
+    met = met.withColumn("_bodies", F.when(asked, F.array(*[T.section_body(F.col("_text"), s) for s in T.SECTIONS])))
+    return met.select(key, "rule", "detail", sections.alias("sections"))
 
 
 def label_repairs(rows: DataFrame, key: str, text_col: str, most_shots: int = 1) -> DataFrame:

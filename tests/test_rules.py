@@ -131,6 +131,8 @@ def test_prompts_are_read_once_by_many_tasks(spark):
     assert rows.rdd.getNumPartitions() == 4
     bodies = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count(r"[\s\S]*?")
     assert bodies(prompts.prompt_violations(rows, "c_custkey", "text", 3)) == 4  # one for each body that a rule asks for
+    found = spark.createDataFrame([(1, "code_fence", "")], "c_custkey long, rule string, detail string")
+    assert bodies(prompts.routed(found, rows, "c_custkey", "text")) == len(T.SECTIONS)
 
 
 def test_one_shot_and_strings(spark):
