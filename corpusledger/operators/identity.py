@@ -311,6 +311,10 @@ def alias_edges(names: DataFrame, contexts: DataFrame, keys: list[str]) -> DataF
     return rows.mapInPandas(run, schema).distinct()
 
 
+#: Shares in which the dossiers of one label meet the others. Fixed value.
+SHARES = 16
+
+
 def dossier_pairs(labels: DataFrame, quotes: DataFrame, compared: DataFrame, blocked: DataFrame, bridges: DataFrame, group: str = "group") -> DataFrame:
     """Pairs of dossiers worth comparing: a, b (a < b).
 
@@ -323,14 +327,24 @@ def dossier_pairs(labels: DataFrame, quotes: DataFrame, compared: DataFrame, blo
 
     own = labels.select(group, "label").filter("label IS NOT NULL").distinct()
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
-    a, b = own.withColumnRenamed(group, "a"), own.withColumnRenamed(group, "b")
-    same = a.join(b, "label").filter("a < b").select("a", "b")
     names = own.select("label").distinct().withColumn("_name", F.col("label"))
-    named = mentions(quotes, names, group, "quotation", "label", "_name").withColumnRenamed(group, "a").join(b, "label").select("a", "b")
-    met = ordered(same.unionByName(named)).join(ordered(compared.unionByName(blocked)), ["a", "b"], "left_anti")
-    parts = own.join(bridges.select("label", F.col("component").cast("string").alias("_c")), "label", "left").select(group, F.coalesce("_c", F.concat(F.lit("label:"), "label")).alias("_c")).distinct()
-    joined = met.join(parts.toDF("a", "_c"), "a").join(parts.toDF("b", "_d"), "b").filter("_c = _d")
-    return joined.select("a", "b").distinct()
+    named = mentions(quotes, names, group, "quotation", "label", "_name").groupBy(group).agg(F.collect_set("label").alias("_named"))
+    parts = own.join(bridges.select("label", F.col("component").cast("string").alias("_c")), "label", "left")
+    cards = parts.groupBy(group).agg(F.collect_set("label").alias("_own"), F.collect_set(F.coalesce("_c", F.concat(F.lit("label:"), "label"))).alias("_parts"))
+    cards = cards.join(named, group, "left").withColumn("_named", F.coalesce("_named", F.array().cast("array<string>")))
+    # a label that many share is many tasks': each dossier meets those of the others once in its share
+    side = lambda x, listed, share: cards.select(F.struct(F.col(group).alias("id"), "_own", "_named", "_parts").alias(x), F.explode(listed).alias("label"), share.alias("_share"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))
+    left = side("l", F.array_union("_own", "_named"), F.pmod(F.hash(group), F.lit(SHARES)))
+    right = side("r", F.col("_own"), F.lit(None)).select("r", "label", every.alias("_share"))
+    # each pair comes once: by the smallest label that leads to it, by a shared one before a named one, from its smaller end first
+    both = F.array_intersect("l._own", "r._own")
+    led = F.array_intersect("l._named", "r._own")
+    shared = (F.col("l.id") < F.col("r.id")) & (F.array_min(both) == F.col("label"))
+    quoted = (F.size(both) == 0) & (F.col("l.id") != F.col("r.id")) & (F.array_min(led) == F.col("label")) & ((F.col("l.id") < F.col("r.id")) | ~F.arrays_overlap("r._named", "l._own"))
+    met = left.join(right, ["label", "_share"]).filter((F.array_contains("l._own", F.col("label")) & shared) | quoted).filter(F.arrays_overlap("l._parts", "r._parts"))
+    pairs = met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
+    return pairs.join(ordered(compared.unionByName(blocked)), ["a", "b"], "left_anti")
 
 
 def partition_violations(partition: DataFrame, supports: DataFrame, records: DataFrame, links: DataFrame) -> DataFrame:

@@ -211,6 +211,28 @@ def test_labels_are_repaired_where_it_helps(spark):
     assert broken(prompts.label_repairs(rows, "k", "text", 2).drop("repaired")) < broken(rows)
 
 
+def test_dossier_pairs_come_once_without_a_sort_of_all(spark):
+    import itertools
+    import random
+
+    pick = random.Random(4)
+    names = [f"Name{c}" for c in "ABCDEF"]
+    own = {i: set(pick.sample(names, pick.randint(1, 3))) for i in range(40)}
+    said = {i: set(pick.sample(names, 2)) for i in range(0, 40, 3)}
+    seen = {(a, a + 1) for a in range(0, 39, 5)}
+    labels = spark.createDataFrame([(i, x) for i, given in own.items() for x in given], "group long, label string")
+    quotes = spark.createDataFrame([(i, f"{' met '.join(given)}.") for i, given in said.items()], "group long, quotation string")
+    compared = spark.createDataFrame([(b, a) for a, b in seen], "a long, b long")
+    bridges = spark.createDataFrame([("NameA", "x"), ("NameB", "x"), ("NameC", "y")], "label string, component string")
+    part = lambda i: {{"NameA": "x", "NameB": "x", "NameC": "y"}.get(n, n) for n in own[i]}
+    met = lambda a, b: own[a] & own[b] or said.get(a, set()) & own[b] or said.get(b, set()) & own[a]
+    want = [(a, b) for a, b in itertools.combinations(own, 2) if met(a, b) and part(a) & part(b) and (a, b) not in seen]
+    found = identity.dossier_pairs(labels, quotes, compared, compared.limit(0), bridges)
+    assert values(found, "a", "b") == sorted(want, key=str)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join Inner")]
+
+
 def test_errors_are_routed(spark):
     rows = spark.createDataFrame([("a", GOOD.replace("[English] Hello.", "Hello.").replace("wind", "```wind <Picture 7>").replace("Mara walks.\n\nretention", "Mara <Picture 7> <Picture 8> walks.\n\nretention"))], "k string, text string")
     found = spark.createDataFrame([("a", r, d) for r, d in [("task_missing", ""), ("dialogue_language", ""), ("code_fence", ""), ("unbound_label", "<Picture 7>,<Picture 8>"), ("section_order", ""), ("too_long", "600"), ("unbound_label", "<Picture 9>")]], "k string, rule string, detail string")
