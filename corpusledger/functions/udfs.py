@@ -134,7 +134,8 @@ class LosslessChunks:
 
 
 #: A word after the white space before it, which starts where that does; an elided article is not part of the word.
-WORD = re.compile(r"(?<!\s)(?P<gap>\s*)(?P<elided>[ldLD][’'](?=[^\W\d_]))?(?P<word>[^\W\d_]+(?:[-’'][^\W\d_]+)*)")
+LETTERS = r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]++|[^\W\d_])++"  # the letters met most are tried as one set first
+WORD = re.compile(rf"(?<!\s)(?P<gap>\s*)(?P<elided>[ldLD][’'](?=[^\W\d_]))?(?P<word>{LETTERS}(?:[-’']{LETTERS})*)")
 #: White space over which a word is still seen as following the character before it.
 REACH = 63
 

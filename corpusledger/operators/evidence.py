@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from ..functions.udfs import words_in
+from ..functions.udfs import LETTERS, REACH, WORD
 from . import intervals
 
 #: Words that often begin a sentence and are not names. Fixed values.
@@ -33,6 +35,18 @@ def uses(word: str, before: str) -> tuple[str, bool, bool, bool]:
     return name, candidate, candidate and before != "" and before not in SENTENCE_MARKS, word[0].islower() and before != "" and before not in STOPS
 
 
+#: As WORD, with the mark before the white space (if it is one that counts), the white space and the word.
+MARKED = re.compile(rf"(?:(?<=([{re.escape(SENTENCE_MARKS)}]))|(?<!\s))(\s*)(?:[ldLD][’'](?=[^\W\d_]))?({LETTERS}(?:[-’']{LETTERS})*)")
+
+
+def marked_words(text: str | None) -> set[tuple[str, str]]:
+    """Each different word of a text with what stands before it: a mark, '' where nothing does, else a letter."""
+    first = WORD.match(text or "")
+    found = set(MARKED.findall(text, first.end()) if first else MARKED.findall(text or ""))
+    out = {(word, "" if len(gap) > REACH else mark or "x") for mark, gap, word in found}
+    return out | {(first["word"], "")} if first else out
+
+
 def word_flags(texts: DataFrame, text_col: str) -> DataFrame:
     """name, candidate, interior, lowercase: a row for each different name of a batch, with what any use of it was."""
     names = ["name", "candidate", "interior", "lowercase"]
@@ -41,12 +55,14 @@ def word_flags(texts: DataFrame, text_col: str) -> DataFrame:
     def work(batches):
         for batch in batches:
             seen: dict[str, list[bool]] = {}
+            words: set[tuple[str, str]] = set()
             for text in batch.column(0).to_pylist():
-                for _, _, word, before in words_in(text):
-                    name, *flags = uses(word, before)
-                    held = seen.setdefault(name, flags)
-                    if held is not flags:
-                        held[:] = [x or y for x, y in zip(held, flags, strict=True)]
+                words |= marked_words(text)
+            for word, before in words:
+                name, *flags = uses(word, before)
+                held = seen.setdefault(name, flags)
+                if held is not flags:
+                    held[:] = [x or y for x, y in zip(held, flags, strict=True)]
             columns = [list(seen), *([f[i] for f in seen.values()] for i in range(3))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), *[pa.bool_()] * 3], strict=True)], names=names)
 
@@ -69,10 +85,10 @@ def word_places(texts: DataFrame, keys: list[str], text_col: str, wanted=None) -
         for batch in batches:
             found = []
             for i, text in enumerate(batch.column(len(keys)).to_pylist()):
-                for start, end, word, _ in words_in(text):
-                    name = word.casefold()
+                for match in WORD.finditer(text or ""):
+                    name = match[3].casefold()
                     if name in names if names is not None else name not in COMMON:
-                        found.append((i, name, start, end))
+                        found.append((i, name, match.end(1), match.end()))
                 if len(found) > 200_000:
                     yield batch_of(batch, found)
                     found = []

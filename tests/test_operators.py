@@ -547,3 +547,16 @@ def test_candidates_without_joins_of_hot_words(spark, hot, monkeypatch):
     right = spark.createDataFrame([p for p in pool if p[2] is not None], "pool_id long, kind string, pool_name string")
     out = identity.top_candidates(left, right)
     assert sorted((r["in_id"], r["pool_id"], round(r["score"], 9), r["place"]) for r in out.collect()) == sorted(want)
+
+
+def test_marked_words_are_those_of_the_places():
+    import random
+
+    from corpusledger.functions.udfs import words_in
+
+    pick = random.Random(3)
+    bits = ["Mara", "l'Ombre", "d’eau", "porte-voix", "x1", "_a", "the", " ", "  ", "\n", ". ", "! ", "«", "—", "-", "’", " " * 63, " " * 64, "É", "ß", "7"]
+    texts = [None, "", "Mara", " Mara", ".Mara", *("".join(pick.choice(bits) for _ in range(pick.randint(1, 40))) for _ in range(400))]
+    for text in texts:
+        want = {evidence.uses(word, before) for _, _, word, before in words_in(text)}
+        assert {evidence.uses(word, before) for word, before in evidence.marked_words(text)} == want
