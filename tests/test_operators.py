@@ -560,3 +560,14 @@ def test_marked_words_are_those_of_the_places():
     for text in texts:
         want = {evidence.uses(word, before) for _, _, word, before in words_in(text)}
         assert {evidence.uses(word, before) for word, before in evidence.marked_words(text)} == want
+
+
+def test_texts_are_unpacked_by_portions(spark):
+    import pyarrow as pa
+
+    held = []
+    assert udfs.by_portions(pa.array(["É", None, "e\u0301"] * 100), lambda t: held.append(t) or t.casefold()).to_pylist() == ["é", None, "e\u0301"] * 100
+    assert udfs.by_portions(pa.array([], pa.string()), str).to_pylist() == [] and len(held) == 200
+    rows = spark.createDataFrame([("Straße É",), (None,), ("",)], "t string")
+    assert [r[0] for r in rows.select(udfs.plain("t").alias("p")).collect()] == ["Straße E", None, ""]
+    assert {u.func.__annotations__["text"] for u in (udfs.nfc, udfs.fold, udfs.plain, udfs.normalized_json)} == {"pa.Array"}
