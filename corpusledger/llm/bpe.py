@@ -29,6 +29,8 @@ MOST_STATES, MOST_PIECES = 100_000, 200_000
 NEVER = 1 << 40
 #: Ends of pieces up to this length may be run without new states; longer ones keep to the bounded lookahead.
 RARE_BYTES = 64
+#: Times that a step is asked for until it is determinised.
+ASKED = 4
 BYTES = [bytes([b]) for b in range(256)]
 
 
@@ -47,6 +49,11 @@ class Transducer:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
+        #: last three bytes -> length of the longest token that ends so; other ends have tokens of two bytes at most
+        self.reach: dict[bytes, int] = {}
+        for t in ranks:
+            if len(t) > max(2, self.reach.get(t[-3:], 0)):
+                self.reach[t[-3:]] = len(t)
         self.openings = {t[:k] for t in ranks for k in range(1, len(t))}
         self.fits = functools.lru_cache(250_000)(self._fits)
         self.splits: dict[bytes, tuple[bytes, bytes] | None] = {}
@@ -57,7 +64,7 @@ class Transducer:
         #: content -> number; content is (last emitted token or None, last tokens by position, None where dead)
         self.numbers: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = []
+        self.steps: list[dict[int, tuple[int, tuple[int, ...]] | int]] = []
         self.ends: list[tuple[int, ...]] = []
         self._number(None, (), b"")
 
@@ -129,7 +136,7 @@ class Transducer:
         last, ends, text = self.states[state]
         text += BYTES[byte]
         n, ranks, fits = len(text), self.ranks, self.fits
-        for start in range(max(0, n - self.longest), n):
+        for start in range(max(0, n - self.reach.get(text[-3:], 2)), n):
             token = ranks.get(text[start:])
             if token is not None:
                 before = ends[start - 1] if start else last
@@ -165,8 +172,9 @@ class Transducer:
         """Tokens from this state to the end of the piece, position by position, with no new state."""
         last, ends, text = self.states[state]
         at, text, ends = len(text), text + rest, list(ends)
-        get, fits, longest = self.ranks.get, self.fits, self.longest
+        get, fits, reach = self.ranks.get, self.fits, self.reach.get
         for n in range(at + 1, len(text) + 1):
+            longest = reach(text[n - 3 : n], 2) if n > 2 else n
             for start in range(n - longest if n > longest else 0, n):
                 token = get(text[start:n])
                 if token is not None:
@@ -189,7 +197,7 @@ class Transducer:
     def encode(self, data: bytes) -> list[int]:
         """Token ids of one piece; an empty piece has none.
 
-        A step is determinised when it is asked for the second time; until then the rest of the piece is run on the
+        A step is determinised when it is asked for the ASKED-th time; until then the rest of the piece is run on the
         undeterminised machine, as most rare words are met once only.
         """
         if len(self.states) > MOST_STATES:
@@ -197,9 +205,10 @@ class Transducer:
         state, steps, out = 0, self.steps, []
         for i, byte in enumerate(data):
             found = steps[state].get(byte)
-            if found is None:
-                if byte not in steps[state] and len(data) - i <= RARE_BYTES:
-                    steps[state][byte] = None
+            if found.__class__ is not tuple:
+                asked = (found or 0) + 1
+                if asked < ASKED and len(data) - i <= RARE_BYTES:
+                    steps[state][byte] = asked
                     return out + self._finish(state, data[i:])
                 found = self.step(state, byte)
             state, emitted = found
@@ -209,6 +218,20 @@ class Transducer:
         return out
 
 
+class Whole(dict):
+    """id -> text of the ids that begin and end between characters, filled as they are met; others are not held."""
+
+    def __init__(self, decoder: Decoder):
+        self.decoder = decoder
+
+    def __missing__(self, token: int) -> str:
+        state, text = self.decoder.advance(b"", self.decoder.tokens[token])
+        if state:
+            raise KeyError(token)
+        self[token] = text
+        return text
+
+
 class Decoder:
     """Ids to text piece by piece: the state is the incomplete character at the end, at most three bytes.
 
@@ -230,6 +253,8 @@ class Decoder:
         self.tokens = tokens
         #: state -> id -> (state, text)
         self.steps: dict[bytes, dict[int, tuple[bytes, str]]] = {}
+        #: the steps from the empty state back to it
+        self.whole = Whole(self)
 
     @classmethod
     def advance(cls, state: bytes, data: bytes) -> tuple[bytes, str]:
@@ -267,7 +292,10 @@ class Decoder:
             yield "�"
 
     def decode(self, ids) -> str:
-        return "".join(self.stream(ids))
+        try:
+            return "".join(map(self.whole.__getitem__, ids))
+        except KeyError:  # some character is dealt over ids, or an id is unknown
+            return "".join(self.stream(ids))
 
 
 class Codec:

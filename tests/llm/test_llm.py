@@ -630,3 +630,24 @@ def test_the_session_keeps_its_settings(spark):
     after = dict(spark.conf.getAll)
     rows_a_batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     assert after.pop(rows_a_batch, "10000") == before.pop(rows_a_batch, "10000") and after == before
+
+
+def test_whole_tokens_are_decoded_without_the_stream():
+    from corpusledger.llm import bpe
+
+    decoder = bpe.Decoder({0: b"a", 1: "é".encode(), 2: b"\xc3", 3: b"\xa9", 4: b"\xff"})
+    stream, calls = decoder.stream, []
+    decoder.stream = lambda ids: calls.append(1) or stream(ids)
+    assert decoder.decode([0, 1, 4, 0]) == "aé\ufffda" and not calls
+    assert decoder.decode([0, 2, 3, 2]) == "aé\ufffd" and calls == [1]
+    assert decoder.decode([]) == ""
+
+
+def test_tokens_are_sought_no_further_back_than_one_reaches():
+    from corpusledger.llm import bpe
+
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abc": 257, b"abcd": 258, b"bcd": 259}
+    machine = bpe.Transducer(ranks)
+    assert machine.reach == {b"abc": 3, b"bcd": 4}
+    for _ in range(bpe.ASKED + 1):
+        assert machine.encode(b"xabcdbcdab") == [ord("x"), 258, ord("b"), ord("c"), ord("d"), 256]
