@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,19 +39,40 @@ def reuse(requests: DataFrame, sources: list[DataFrame], valid: Column | None =
     return decided, requests.join(best, "fingerprint", "left_anti")
 
 
-def in_batches(function: Callable[[pd.DataFrame], pd.DataFrame], rows: int):
-    """The function over batches of exactly so many rows (the last of a task may be smaller), however rows arrive."""
+#: Answers that leave a task together: handing on a batch of a row costs more than most answers do.
+TOGETHER = 1_000
+#: How batches are cut and joined.
+PANDAS = (lambda b, at, rows: b.iloc[at : at + rows], lambda parts: pd.concat(parts, ignore_index=True))
+ARROW = (lambda b, at, rows: b.slice(at, rows), pa.concat_batches)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def in_batches(function: Callable, rows: int, kind: tuple = PANDAS):
+    """The function over batches of exactly so many rows (the last of a task may be smaller), however rows arrive; its answers leave in larger ones."""
+    cut, joined = kind
+
+    def answers(batches: Iterator) -> Iterator:
         held = None
-        for pdf in batches:
-            held = pdf if held is None else pd.concat([held, pdf])
-            while len(held) >= rows:
-                yield function(held.iloc[:rows])
-                held = held.iloc[rows:]
+        for batch in batches:
+            held, at = batch if held is None else joined([held, batch]), 0
+            while len(held) - at >= rows:
+                yield function(cut(held, at, rows))
+                at += rows
+            held = cut(held, at, rows)
         if held is not None and len(held):
             yield function(held)
 
+    def run(batches: Iterator) -> Iterator:
+        waiting, many = [], 0
+        for answer in answers(batches):
+            if len(answer):
+                waiting.append(answer)
+                many += len(answer)
+            if many >= TOGETHER:
+                yield joined(waiting)
+                waiting, many = [], 0
+        if waiting:
+            yield joined(waiting)
+
     return run
 
 
@@ -65,12 +87,16 @@ def decide(requests: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame]
     return requests.repartition(partitions).mapInPandas(run, schema)
 
 
-def decide_with_retries(requests: DataFrame, key: str, function, schema: str, valid: Column, attempts: int, default: Column, partitions: int, batch_rows: int | None = None) -> DataFrame:
+def decide_with_retries(requests: DataFrame, key: str, function, schema: str, valid: Column, attempts: int, default: Column, partitions: int | None, batch_rows: int | None = None, arrow: bool = False) -> DataFrame:
     """key, result, attempt, status: rows without exactly one valid answer are asked again, up to ``attempts`` times; then the default.
 
     With ``batch_rows`` the function gets batches of so many rows, and those still open half as many at each further attempt, one at
-    least, so that a row that spoils its batch is met in ever smaller ones. Batches follow the key's order.
+    least, so that a row that spoils its batch is met in ever smaller ones. Batches follow the key's order. ``partitions``: tasks that ask,
+    as many as a shuffle has if None. With ``arrow`` (for batches of few rows) the function takes and gives Arrow record batches in place of pandas frames.
     """
+    if arrow and batch_rows is None:
+        raise ValueError("Arrow batches need batch_rows")
+    partitions = partitions or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left, done = requests, None
     for attempt in range(1, attempts + 1):
         asked = left.withColumn("attempt", F.lit(attempt))
@@ -78,7 +104,8 @@ def decide_with_retries(requests: DataFrame, key: str, function, schema: str, va
             answers = checkpointed(decide(asked, function, schema, partitions))
         else:
             rows = max(1, batch_rows >> (attempt - 1))
-            answers = checkpointed(asked.repartitionByRange(partitions, key).sortWithinPartitions(key).mapInPandas(in_batches(function, rows), schema))
+            dealt = asked.repartitionByRange(partitions, key).sortWithinPartitions(key)
+            answers = checkpointed(dealt.mapInArrow(in_batches(function, rows, ARROW), schema) if arrow else dealt.mapInPandas(in_batches(function, rows), schema))
         once = answers.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first("result").alias("result")).filter("_n = 1").drop("_n").filter(valid)
         good = checkpointed(once.join(left.select(key), key, "left_semi").select(key, "result", F.lit(attempt).alias("attempt"), F.lit("decided").alias("status")))
         done = good if done is None else done.unionByName(good)

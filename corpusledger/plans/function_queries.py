@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -108,11 +110,12 @@ def halved_batches(spark, sf_dir):
     """A batch with an event of a user divisible by thirteen is not answered, so open rows are asked in halves until each such row is alone."""
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type", (F.col("user_id") % 13).cast("int").alias("rest"))
 
-    def answer(pdf):
-        out = pdf[["id"]].assign(result=pdf["event_type"] + pdf["rest"].astype(str))
-        return out.iloc[:0] if (pdf["rest"] == 0).any() else out
+    def answer(batch):
+        answered = batch.slice(0, 0) if pc.min(batch["rest"]).as_py() == 0 else batch
+        result = pc.binary_join_element_wise(answered["event_type"], answered["rest"].cast("string"), "")
+        return pa.RecordBatch.from_arrays([answered["id"], result], ["id", "result"])
 
-    out = decisions.decide_with_retries(rows, "id", answer, "id long, result string", F.lit(True), 5, F.lit("none"), 8, batch_rows=16)
+    out = decisions.decide_with_retries(rows, "id", answer, "id long, result string", F.lit(True), 5, F.lit("none"), None, batch_rows=16, arrow=True)
     return out.select("id", "result", "status")
 
 

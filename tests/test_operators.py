@@ -1,5 +1,7 @@
 """Cases of the engine's own operators on small invented rows."""
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -521,6 +523,19 @@ def test_open_rows_are_asked_in_halves(spark):
     assert {i for i, f in found.items() if f[2] == "default"} == {3, 12} and {found[i][1] for i in (0, 1)} == {3} and found[2][1] == 4 and {found[i][1] for i in (4, 5, 6, 7)} == {2}
 
 
+def test_answers_to_small_batches_leave_together(spark):
+    """A batch of a row is answered by itself, but not handed on by itself; frames and Arrow batches alike."""
+    given = pd.DataFrame({"id": range(2_500)})
+    sizes = []
+    out = list(decisions.in_batches(lambda b: (sizes.append(len(b)), b)[1], 1)(iter([given[:7], given[7:]])))
+    assert set(sizes) == {1} and [len(b) for b in out] == [1_000, 1_000, 500] and pd.concat(out)["id"].tolist() == given["id"].tolist()
+    arrow = [pa.RecordBatch.from_pandas(given[a:b], preserve_index=False) for a, b in ((0, 5), (5, 2_500))]
+    out = list(decisions.in_batches(lambda b: b.slice(0, 0) if b["id"][0].as_py() == 4 else b, 4, decisions.ARROW)(iter(arrow)))
+    assert [i for b in out for i in b["id"].to_pylist()] == [i for i in range(2_500) if i not in range(4, 8)]
+    with pytest.raises(ValueError):
+        decisions.decide_with_retries(spark.range(3), "id", None, "id long", F.lit(True), 2, F.lit("none"), None, arrow=True)
+
+
 @pytest.mark.parametrize("hot", [0, 4, 1000])
 def test_candidates_without_joins_of_hot_words(spark, hot, monkeypatch):
     """Every score by brute force against words that join no names: none, some and all of them."""
