@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ MOST_CANDIDATES, WHOLE_POOL, FLOOR, FALLBACK = 12, 35, 0.15, 3
 #: Names of a block that meet in one task; a larger block is dealt into parts that meet each other.
 BLOCK_NAMES = 2000
 THRESHOLD, MOST_CLUSTER = 0.68, 24
+#: Decisions of a key that are merged as one group, whatever they connect.
+SMALL_KEY = 20_000
 #: Names that a word joins at most where it holds more than one in HOT_SHARE of all words.
 HOT_NAMES, HOT_SHARE = 1000, 4096
 #: Characters that are counted each for itself when a ratio is bound; all others are counted together.
@@ -391,37 +396,69 @@ def constrained_merge(decisions: DataFrame, keys: list[str]) -> DataFrame:
     """keys, id, component: "same" edges joined in order unless a "different" decision stands between the two parts.
 
     ``decisions``: keys, order, a, b, relation; equal orders are taken by a, b. The result depends on the order within a
-    component of a key's "same" edges, so one such component is one group; ids without such an edge stay alone.
+    component of a key's "same" edges, so one such component is one group; ids without such an edge stay alone. A key of few
+    decisions (``SMALL_KEY``) is one group as it is.
     """
     id_type = decisions.schema["a"].dataType.simpleString()
     schema = ", ".join(f"`{k}` {decisions.schema[k].dataType.simpleString()}" for k in keys) + f", id {id_type}, component {id_type}"
-    node = lambda c: F.struct(*keys, F.col(c).alias("id"))
-    rows = checkpointed(decisions.select(*keys, "order", "a", "b", "relation", node("a").alias("_a"), node("b").alias("_b")))
-    parts = checkpointed(components(rows.filter("relation = 'same'").select(F.col("_a").alias("a"), F.col("_b").alias("b")), id_col="_node"))
+    rows = decisions.select(*keys, "order", "a", "b", F.when(F.col("relation") == "different", 0).when(F.col("relation") == "same", 1).otherwise(2).alias("_what"))
+    # keys and nodes are dealt by hashes: rows of equal hashes only come together, groups are told apart by their keys
+    rows = checkpointed(rows.withColumn("_root", F.xxhash64(*keys) if keys else F.lit(0).cast("long")))
+    large = checkpointed(rows.groupBy("_root").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > SMALL_KEY).select("_root"))
+    if not large.isEmpty():
+        rows = rows.join(large, "_root", "left_anti").unionByName(by_components(rows.join(large, "_root", "left_semi"), keys))
+
+    def least(key: tuple, part: dict) -> Iterator[tuple]:
+        of_part = {id(p): min(p) for p in {id(p): p for p in part.values()}.values()}
+        return ((*key, n, of_part[id(p)]) for n, p in part.items())
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, part, apart, types = None, {}, {}, None
+
+        def found(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [*keys, "id", "component"])
+
+        for batch in batches:
+            types = [*[batch.schema.field(k).type for k in keys], *[batch.schema.field("a").type] * 2]
+            out: list[tuple] = []
+            groups = zip(*[batch[k].to_pylist() for k in ("_root", *keys)], strict=True)
+            for group, what, a, b in zip(groups, *[batch[c].to_pylist() for c in ("_what", "a", "b")], strict=True):
+                if group != of:
+                    if part:
+                        out += least(of[1:], part)
+                    of, part, apart = group, {}, {}
+                x, y = part.get(a), part.get(b)
+                if x is None:
+                    x = part[a] = {a}
+                if y is None:
+                    y = part.setdefault(b, {b})
+                if what == 0:
+                    apart.setdefault(a, set()).add(b)
+                    apart.setdefault(b, set()).add(a)
+                elif what == 1 and part[a] is not y:
+                    if len(x) < len(y):
+                        x, y = y, x
+                    if all(q not in apart or x.isdisjoint(apart[q]) for q in y):
+                        x |= y
+                        for member in y:
+                            part[member] = x
+            if out:
+                yield found(out)
+        if part:
+            yield found(list(least(of[1:], part)))
+
+    tasks = int(decisions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(c).asc_nulls_last() for c in ("order", "a", "b")]
+    return rows.repartition(tasks, "_root").sortWithinPartitions("_root", *keys, "_what", *order).mapInArrow(fold, schema)
+
+
+def by_components(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Decisions of large keys with the component of their "same" edges as ``_root``; of one between two components only the nodes stay, each in its own."""
+    node = lambda c: F.xxhash64(*keys, c)
+    known = checkpointed(rows.drop("_root").withColumns({"_a": node("a"), "_b": node("b")}))
+    parts = checkpointed(components(known.filter("_what = 1").select(F.col("_a").alias("a"), F.col("_b").alias("b")), id_col="_node"))
     side = lambda c: parts.select(F.col("_node").alias(c), F.col("component").alias(f"_part{c}"))
-    inside = rows.join(side("_a"), "_a").join(side("_b"), "_b").filter("_part_a = _part_b").select(*keys, "order", "a", "b", "relation", F.col("_part_a.id").alias("_root"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["order", "a", "b"], kind="stable")
-        part = {x: {x} for x in [*pdf["a"], *pdf["b"]]}
-        apart: dict = {x: set() for x in part}
-        for a, b in pdf.loc[pdf["relation"] == "different", ["a", "b"]].itertuples(index=False):
-            apart[a].add(b)
-            apart[b].add(a)
-        for a, b in pdf.loc[pdf["relation"] == "same", ["a", "b"]].itertuples(index=False):
-            x, y = part[a], part[b]
-            if len(x) < len(y):
-                x, y = y, x
-            if x is not y and all(x.isdisjoint(apart[q]) for q in y):
-                x |= y
-                for member in y:
-                    part[member] = x
-        least = {id(p): min(p) for p in {id(p): p for p in part.values()}.values()}
-        out = pd.DataFrame([(i, least[id(p)]) for i, p in part.items()], columns=["id", "component"])
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "id", "component"]]
-
-    merged = inside.groupBy(*keys, "_root").applyInPandas(fold, schema)
-    every = rows.select(F.explode(F.array("_a", "_b")).alias("_node")).distinct()
-    return merged.unionByName(every.join(parts, "_node", "left_anti").select("_node.*", F.col("_node.id").alias("component")))
+    met = known.join(side("_a"), "_a", "left").join(side("_b"), "_b", "left").withColumns({f"_root{c}": F.coalesce(f"_part{c}", c) for c in ("_a", "_b")})
+    edge = F.array(F.struct(F.col("a"), F.col("b"), "_what", F.col("_root_a").alias("_root")))
+    nodes = F.array(*[F.struct(F.col(c).alias("a"), F.col(c).alias("b"), F.lit(2).alias("_what"), F.col(f"_root_{c}").alias("_root")) for c in ("a", "b")])
+    return met.select(*keys, "order", F.inline(F.when(F.col("_root_a") == F.col("_root_b"), edge).otherwise(nodes)))

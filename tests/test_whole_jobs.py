@@ -3,6 +3,7 @@
 import difflib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusledger.operators import chunking, identity, reviews, timeline
@@ -125,6 +126,19 @@ def test_merges_with_separations_in_every_order(spark):
     assert values(identity.constrained_merge(df, ["k"]), "k", "id", "component") == merged(rows)
 
 
+@pytest.mark.parametrize("most", [0, 30, 1000])
+def test_merges_of_small_keys_are_not_cut_first(spark, monkeypatch, most):
+    """Keys of few decisions go as they are, others by their components: the same merges, and no component is sought in vain."""
+    dice = random.Random(6)
+    rows = [(dice.randrange(9) % 6, k // 2, dice.randrange(14), dice.randrange(14), dice.choice(["same", "different", "same", "other"])) for k in range(160)]
+    cut = []
+    monkeypatch.setattr(identity, "SMALL_KEY", most)
+    monkeypatch.setattr(identity, "components", lambda *a, _f=identity.components, **k: cut.append(1) or _f(*a, **k))
+    df = spark.createDataFrame(rows, "k int, `order` long, a long, b long, relation string")
+    assert values(identity.constrained_merge(df, ["k"]), "k", "id", "component") == merged(rows)
+    assert bool(cut) == (most < 1000)
+
+
 def test_targets_are_dropped_beyond_the_fortieth_trait(spark, tmp_path):
     rows = [(i * 7 % 401, f"name {i}", "B", f"T{min(i % 5, 1)}", 1) for i in range(200)]
     put(spark, tmp_path, "part", rows, PART)
