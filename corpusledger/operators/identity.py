@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.udfs import NameLinks, seq_ratio
-from .lineage import checkpointed, numbered
+from .lineage import checkpointed, numbered, spread
 
 #: Candidates of an entity at most; a pool that is taken whole; the least score; how many are taken without one.
 MOST_CANDIDATES, WHOLE_POOL, FLOOR, FALLBACK = 12, 35, 0.15, 3
@@ -273,12 +273,13 @@ def conflict_groups(rows: DataFrame, edges: DataFrame, id_col: str, value_col: s
 
 def seeded_reach(edges: DataFrame, seeds: DataFrame, id_col: str = "id") -> DataFrame:
     """Ids reachable from the seeds, with the number of steps; new ids only travel on."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = checkpointed(both)  # not made distinct: ids are, after each step
     found = checkpointed(seeds.select(F.col(id_col)).distinct().withColumn("steps", F.lit(0)))
     front, step = found, 0
     while True:
         step += 1
-        new = front.select(F.col(id_col).alias("a")).join(both, "a").select(F.col("b").alias(id_col)).distinct()
+        new = front.select(F.col(id_col).alias("a")).join(spread(both, "a"), "a").select(F.col("b").alias(id_col)).distinct()
         front = checkpointed(new.join(found, id_col, "left_anti").withColumn("steps", F.lit(step)))
         if front.isEmpty():
             return found
@@ -447,9 +448,8 @@ def constrained_merge(decisions: DataFrame, keys: list[str]) -> DataFrame:
         if part:
             yield found(list(least(of[1:], part)))
 
-    tasks = int(decisions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(c).asc_nulls_last() for c in ("order", "a", "b")]
-    return rows.repartition(tasks, "_root").sortWithinPartitions("_root", *keys, "_what", *order).mapInArrow(fold, schema)
+    return spread(rows, "_root").sortWithinPartitions("_root", *keys, "_what", *order).mapInArrow(fold, schema)
 
 
 def by_components(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -53,6 +53,14 @@ def maybe_in(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     return met.select(*df.columns)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt to as many tasks as a shuffle has: a small file of many rows is one split, and its bytes do not tell their work.
+
+    With columns it also keeps light rows from being put together by their few bytes into tasks that sort and group very many of them.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 RANGE = "_range"
 
 

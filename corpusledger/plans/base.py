@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.lineage import spread  # noqa: F401 - for the modules of queries
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
@@ -23,11 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """Rows dealt to as many tasks as a shuffle has: a small file of many rows is one split, and its bytes do not tell their work."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
-
-
 def chapters(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chapter_id"), "text", "source", "lang")
 

@@ -150,7 +150,7 @@ def conflict_groups(spark, sf_dir):
 @query("WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, -1 - l_suppkey AS b FROM lineitem), ed AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT CAST(a AS BIGINT) AS id, 0 AS steps FROM ed WHERE a % 97 = 0 UNION SELECT ed.b, r.steps + 1 FROM r JOIN ed ON ed.a = r.id WHERE r.steps < 12) SELECT id, CAST(min(steps) AS INTEGER) AS steps FROM r GROUP BY id")
 def seeded_reach(spark, sf_dir):
     """All parts and suppliers, from those whose id divides by 97; a supplier's id is below zero. The SQL's twelve steps are more than any path needs."""
-    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b")).distinct()
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b"))
     ids = edges.select(F.explode(F.array("a", "b")).alias("id")).filter("id % 97 = 0")
     return identity.seeded_reach(edges, ids)
 
