@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,6 +140,8 @@ def advance(facts: list[dict], sequence: int, reset: bool, updates: list[dict],
 
 
 LEDGER = "sequence int, entity string, aspect string, fact string, from_sequence int"
+#: Facts that leave the ledger together.
+WRITTEN = 20_000
 FACT = "key:string,entity:string,aspect:string,fact:string,sequence:int"
 
 
@@ -238,13 +242,14 @@ def ledger_starts(dealt: DataFrame, chapter: str, most: int) -> dict[int, list[d
     return starts
 
 
-def fact_ledger(updates: DataFrame, resets: DataFrame, chapter: str = "chapter", most: int | None = MOST_FACTS, parts: int | None = None) -> DataFrame:
+def fact_ledger(updates: DataFrame, resets: DataFrame, chapter: str = "chapter", most: int | None = MOST_FACTS, parts: int | None = None, last: bool = False) -> DataFrame:
     """Facts alive after every sequence: chapter, sequence, entity, aspect, fact, from_sequence.
 
     ``updates``: chapter, sequence, update_no, entity, aspect, fact; ``resets``: chapter, sequence, reset (one row per sequence);
     chapters and sequences are not null. A long chapter lies in several ranges (``parts`` in all, or as many as Spark makes), so it is not one task's: each range first tells what
     it does to a ledger that enters it, the ledgers that enter follow from these in turn, and all ranges fold at once. Without a
-    bound (``most`` is None) a ledger may be as long as its chapter, and a chapter is one task's.
+    bound (``most`` is None) a ledger may be as long as its chapter, and a chapter is one task's. With ``last`` only few sequences of a
+    chapter come out, checkpointed; the last that has facts is one of them.
     """
     kind = resets.schema[chapter].dataType.simpleString()
     rows = ledger_rows(updates, resets, chapter)
@@ -254,21 +259,59 @@ def fact_ledger(updates: DataFrame, resets: DataFrame, chapter: str = "chapter",
     else:
         dealt, starts = rows.withColumn(RANGE, F.lit(0)).repartition(chapter).sortWithinPartitions(chapter, "sequence"), {}
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        facts, at, begun = [], None, False
-        for pdf in batches:
-            out = []
-            if not begun and len(pdf):
-                facts = [{n: v for n, v in f.items() if n != "until"} for f in starts.get(int(pdf[RANGE].iloc[0]), [])]
-            for key, sequence, reset, given in steps_of([pdf], chapter):
-                if begun and key != at:
-                    facts = []
-                begun, at = True, key
-                facts = advance(facts, sequence, reset, given, most)
-                out += [(key, sequence, f["entity"], f["aspect"], f["fact"], f["sequence"]) for f in facts]
-            yield pd.DataFrame(out, columns=[chapter, "sequence", "entity", "aspect", "fact", "from_sequence"])
+    names = ["key", "entity", "aspect", "fact"]
+    columns = [chapter, "sequence", "entity", "aspect", "fact", "from_sequence"]
 
-    return dealt.mapInPandas(fold, f"{chapter} {kind}, {LEDGER}")
+    def written(batch: pa.RecordBatch, store: pa.Table, at: list[int], kept: list[list[int]]) -> pa.RecordBatch:
+        """The facts ``kept`` (places in the store) after the rows ``at`` of the batch."""
+        row = pa.array(np.repeat(np.array(at, np.int64), [len(k) for k in kept]))
+        facts = store.take(pa.array([i for k in kept for i in k], pa.int64())).combine_chunks()
+        values = [batch[chapter].take(row), batch["sequence"].take(row).cast(pa.int32()), *[facts[n].chunk(0) for n in (*names[1:], "sequence")]]
+        return pa.RecordBatch.from_arrays(values, columns)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, alive, of = None, [], None
+        for batch in batches:
+            if not len(batch):
+                continue
+            own = batch["updates"].flatten()
+            many = batch["updates"].value_lengths().fill_null(0).to_pylist()
+            kinds = [own.type.field(n).type for n in names]
+            if store is None:  # the facts that enter the range
+                given = starts.get(batch[RANGE][0].as_py(), [])
+                store = pa.table([*[pa.array([f[n] for f in given], t) for n, t in zip(names, kinds, strict=True)], pa.array([f["sequence"] for f in given], pa.int32())], [*names, "sequence"])
+                alive, of = list(range(len(given))), batch[chapter][0].as_py()
+            at = len(store)
+            own_sequences = batch["sequence"].take(pa.array(np.repeat(np.arange(len(batch)), many))).cast(pa.int32())
+            store = pa.concat_tables([store, pa.table([*[own.field(n) for n in names], own_sequences], [*names, "sequence"])])
+            keys = store["key"].to_pylist()
+            rows, kept, size = [], [], 0
+            for i, (key, reset, n) in enumerate(zip(batch[chapter].to_pylist(), batch["reset"].to_pylist(), many, strict=True)):
+                begins = key != of
+                if begins or reset:
+                    alive, of = [], key
+                elif n:
+                    changed = keys[at : at + n]
+                    alive = [f for f in alive if keys[f] not in changed]
+                alive = [*alive, *range(at, at + n)]
+                alive, at = alive[-most:] if most else alive, at + n
+                if not alive:
+                    continue
+                if last and rows and not begins and owner == key:
+                    rows[-1], kept[-1] = i, alive
+                else:
+                    rows.append(i)
+                    kept.append(alive)
+                owner, size = key, size + len(alive)
+                if size >= WRITTEN and not last:
+                    yield written(batch, store, rows, kept)
+                    rows, kept, size = [], [], 0
+            if rows:
+                yield written(batch, store, rows, kept)
+            store, alive = store.take(pa.array(alive, pa.int64())), list(range(len(alive)))
+
+    ledger = dealt.mapInArrow(fold, f"{chapter} {kind}, {LEDGER}")
+    return checkpointed(ledger) if last else ledger
 
 
 def unbounded_facts(updates: DataFrame, resets: DataFrame, chapter: str = "chapter") -> DataFrame:
