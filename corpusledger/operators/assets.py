@@ -32,16 +32,17 @@ def budgeted_slots(candidates: DataFrame, scene: list[str], budget: int, per_sub
     locations, then by prominence and order; later levels follow in candidate order over subjects with a first slot.
     """
     rows = candidates.filter(F.col("level") < per_subject)
-    first_order = Window.partitionBy(*scene).orderBy(F.desc("is_location"), "prominence", "ord", "subject")
-    first = rows.filter("level = 0").withColumn("_p", F.row_number().over(first_order)).filter(F.col("_p") <= budget)
-    used = first.groupBy(*scene).agg(F.count(F.lit(1)).alias("_used"))
-    held = rows.filter("level > 0").join(first.select(*scene, "subject"), [*scene, "subject"], "left_semi").join(used, scene)
-    later_order = Window.partitionBy(*scene).orderBy("level", "prominence", "ord", "subject")
-    later = held.withColumn("_p", F.row_number().over(later_order)).filter(F.col("_p") + F.col("_used") <= budget)
-    columns = [*scene, "subject", "prominence", "ord", "level"]
-    both = first.select(columns).unionByName(later.select(columns))
-    number = F.row_number().over(Window.partitionBy(*scene).orderBy("prominence", "ord", "subject", "level"))
-    return both.withColumn("slot", number).select(*scene, "subject", "level", "slot")
+    # windows over a scene only, so rows are dealt once, or not at all if they come dealt by scene
+    here, named = Window.partitionBy(*scene), F.col("subject").isNotNull()
+    for c in scene:
+        named = named & F.col(c).isNotNull()
+    first = F.row_number().over(here.orderBy(F.col("level") != 0, F.desc("is_location"), "prominence", "ord", "subject"))
+    rows = rows.withColumn("_first", (F.col("level") == 0) & (first <= budget))
+    rows = rows.withColumn("_used", F.count_if("_first").over(here)).withColumn("_held", (F.col("level") > 0) & named & F.max("_first").over(Window.partitionBy(*scene, "subject")))
+    later = F.row_number().over(here.orderBy(~F.col("_held"), "level", "prominence", "ord", "subject"))
+    taken = rows.withColumn("_later", later).filter(F.col("_first") | (F.col("_held") & (F.col("_later") + F.col("_used") <= budget)))
+    number = F.row_number().over(here.orderBy("prominence", "ord", "subject", "level"))
+    return taken.withColumn("slot", number).select(*scene, "subject", "level", "slot")
 
 
 def audio_specs(entities: DataFrame, least: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import assets, identity
-from .base import ENTITIES_SQL, entities, query, table
+from .base import ENTITIES_SQL, entities, query, spread, table
 
 TOKENS = "list_filter(string_split({0}, ' '), lambda x: x <> '')"
 
@@ -202,11 +202,14 @@ SLOTS_SQL = """WITH c AS (SELECT DISTINCT l_orderkey AS scene, l_partkey AS subj
  slots AS (SELECT scene, subject, CAST(level AS INTEGER) AS level, CAST(row_number() OVER (PARTITION BY scene ORDER BY prominence, ord, level) AS INTEGER) AS slot FROM b)"""
 
 
-def slot_candidates(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
+def scene_subjects(spark, sf_dir):
+    li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     rank = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3)
-    s = li.groupBy(F.col("l_orderkey").alias("scene"), F.col("l_partkey").alias("subject")).agg(F.max("l_linenumber").alias("views"), F.min(rank).alias("prominence"))
-    return s.select("scene", "subject", (F.col("subject") % 7 == 0).alias("is_location"), "prominence", F.col("subject").alias("ord"), F.explode(F.sequence(F.lit(0), F.col("views") - 1)).alias("level"))
+    return li.groupBy(F.col("l_orderkey").alias("scene"), F.col("l_partkey").alias("subject")).agg(F.max("l_linenumber").alias("views"), F.min(rank).alias("prominence"))
+
+
+def slot_candidates(spark, sf_dir):
+    return scene_subjects(spark, sf_dir).select("scene", "subject", (F.col("subject") % 7 == 0).alias("is_location"), "prominence", F.col("subject").alias("ord"), F.explode(F.sequence(F.lit(0), F.col("views") - 1)).alias("level"))
 
 
 @query(SLOTS_SQL + " SELECT * FROM slots")
@@ -217,9 +220,9 @@ def budgeted_slots(spark, sf_dir):
 @query(SLOTS_SQL + " SELECT s.scene, s.subject, CASE WHEN s.subject % 5 = 0 THEN 'no image' ELSE 'budget exhausted' END AS reason FROM s WHERE NOT EXISTS (SELECT 1 FROM slots k WHERE k.scene = s.scene AND k.subject = s.subject AND k.subject % 5 <> 0)")
 def coverage_gaps(spark, sf_dir):
     """Subjects whose number divides by five have no image and so no slot."""
-    c = slot_candidates(spark, sf_dir)
-    slots = assets.budgeted_slots(c, ["scene"], 6, 3).filter("subject % 5 <> 0")
-    return assets.coverage_gaps(c.select("scene", "subject").distinct(), c.filter("subject % 5 <> 0").select("subject"), slots, ["scene"])
+    seen = scene_subjects(spark, sf_dir).select("scene", "subject")
+    slots = assets.budgeted_slots(slot_candidates(spark, sf_dir), ["scene"], 6, 3).filter("subject % 5 <> 0")
+    return assets.coverage_gaps(seen, seen.filter("subject % 5 <> 0").select("subject"), slots, ["scene"])
 
 
 @query(f"WITH {ENTITIES_SQL} SELECT entity_id, a.l_orderkey AS asset_id, '<Picture ' || a.k || '>' AS label FROM ents LEFT JOIN (SELECT l_partkey, l_orderkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey) AS k FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem)) a ON a.l_partkey = entity_id")

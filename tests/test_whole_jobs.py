@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusledger.operators import catalogs, chunking, identity, reviews, timeline
+from corpusledger.operators import assets, catalogs, chunking, identity, reviews, timeline
 from corpusledger.operators.lineage import numbered
 from corpusledger.plans import registry
 from corpusledger.sources import chapters as sources
@@ -157,6 +157,23 @@ def test_group_rules_by_group(spark):
     assert "Expand" not in plan_of(out)
 
 
+def test_slots_by_windows_of_a_scene(spark):
+    """Against the rule in turn: first ones, then later levels of those; no scene is joined."""
+    dice = random.Random(8)
+    seen = {(s, k): (dice.random() < 0.3, dice.randrange(3), dice.randrange(1, 4)) for s in range(12) for k in range(dice.randrange(1, 9))}
+    want = []
+    for scene in range(12):
+        of = {k: v for (s, k), v in seen.items() if s == scene}
+        first = sorted(of, key=lambda k: (not of[k][0], of[k][1], k))[:4]
+        later = sorted((n, of[k][1], k) for k in first for n in range(1, min(of[k][2], 3)))[: 4 - len(first)]
+        both = sorted([(of[k][1], k, 0) for k in first] + [(p, k, n) for n, p, k in later])
+        want += [(scene, k, n, i) for i, (_, k, n) in enumerate(both, 1)]
+    rows = [(s, k, loc, p, k, n) for (s, k), (loc, p, views) in seen.items() for n in range(views)] + [(None, 1, False, 1, 1, n) for n in range(2)]
+    out = assets.budgeted_slots(spark.createDataFrame(rows, "scene int, subject int, is_location boolean, prominence int, ord int, level int"), ["scene"], 4, 3)
+    assert values(out, "scene", "subject", "level", "slot") == sorted([*want, (None, 1, 0, 1)], key=str)
+    assert "Join" not in plan_of(out)
+
+
 def test_merges_with_separations_in_every_order(spark):
     dice = random.Random(5)
     rows = [(f"g{dice.randrange(4)}", k // 2, dice.randrange(25), dice.randrange(25), dice.choice(["same", "same", "different"])) for k in range(160)]
