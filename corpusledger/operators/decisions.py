@@ -120,10 +120,15 @@ def approval(batches: DataFrame, keys: list[str]) -> DataFrame:
     return batches.groupBy(*keys).agg((F.bool_and(F.col("status") == "completed") & (F.sum("issues") == 0)).alias("approved"))
 
 
+def strictly_fewer(before: Column, after: Column) -> Column:
+    """Whether an array's values are a strict part of another's before."""
+    return (F.size(F.array_except(after, before)) == 0) & (F.size(F.array_distinct(after)) < F.size(F.array_distinct(before)))
+
+
 def non_regression(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """Candidates whose broken rules are a strict part of those before: key, accepted. Both: key, rules (array)."""
     joined = before.select(key, F.col("rules").alias("_b")).join(after.select(key, F.col("rules").alias("_a")), key)
-    return joined.select(key, ((F.size(F.array_except("_a", "_b")) == 0) & (F.size(F.array_distinct("_a")) < F.size(F.array_distinct("_b")))).alias("accepted"))
+    return joined.select(key, strictly_fewer(F.col("_b"), F.col("_a")).alias("accepted"))
 
 
 def stage_metrics(requests: DataFrame) -> DataFrame:

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .decisions import non_regression
-from .lineage import checkpointed
+from .decisions import strictly_fewer
 
 # The tasks that a summary may name, the markers of what is kept of a reference, the longest description
 # in words, and the shortest shot in seconds.
@@ -46,14 +45,20 @@ def image_prompt(name: Column, style: Column, framing: Column, appearance: Colum
 
 
 def prompt_violations(rows: DataFrame, key: str, text_col: str, most_shots: int = 1) -> DataFrame:
-    """Broken rules of sectioned prompts: key, rule, detail.
+    """Broken rules of sectioned prompts: key, rule, detail. ``rows`` is as ``with_broken`` has it."""
+    # more than one section may be missing or repeated: each is a row of its own
+    return with_broken(rows, "_found", text_col, most_shots).select(key, F.inline(F.array_compact("_found")))
+
+
+def with_broken(rows: DataFrame, name: str, text_col: str, most_shots: int = 1) -> DataFrame:
+    """Sectioned prompts with the rules that they break, in a column: an array of struct rule, detail, null for each that it keeps.
 
     ``rows`` has besides: duration (seconds), subjects (array of struct label, pictures), audio (array of labels) and has_frame. The
     rules: no internal ids outside dialogue; every section once, in order; the expected tasks; shots numbered from 1, the first without a
     time, the others with rising times within the duration and far enough apart; dialogue with its language; no fence; labels that
     are bound, defined and cited; markers that exist.
     """
-    text, duration = F.col(text_col), F.col("duration")
+    text, duration, given = F.col(text_col), F.col("duration"), rows.columns
     every = lambda pattern, group=0, of=text: F.regexp_extract_all(of, F.lit("(?U)" + pattern), F.lit(group))
     none = F.array().cast("array<string>")
     found: list[Column] = []
@@ -130,8 +135,7 @@ def prompt_violations(rows: DataFrame, key: str, text_col: str, most_shots: int
     rule("picture_kept_alone", kept.rlike(rf"(?m)^\s*<Picture\s+\d+>.*?:\s*(?:{'|'.join(VISIBLE_MARKERS)})\s*-"))
     rule("speaker_kept", kept.rlike(r"\(S\d+\)"))
     rule("unknown_marker", F.size("_wrong") > 0, F.array_join(F.transform("_wrong", lambda z: z["m"]), ","))
-    # more than one section may be missing or repeated: each is a row of its own
-    return rows.select(F.col(key), F.array(*found).alias("_found")).select(key, F.inline(F.array_compact("_found")))
+    return rows.select(*given, F.array(*found).alias(name))
 
 
 #: Sections that each rule concerns; rules that are not named concern all, or those where their cause stands (``routed``).
@@ -173,7 +177,7 @@ def label_repairs(rows: DataFrame, key: str, text_col: str, most_shots: int = 1)
 
     ``rows`` as ``prompt_violations`` has them, and assets (array of struct label, asset, picture). In the line that defines a label, an asset of it
     that stands for one picture only is replaced as a whole word; nothing else of the text changes. A repaired text stays only if the
-    rules that it breaks are a strict part of those before. Keys are unique.
+    rules that it breaks are a strict part of those before.
     """
     text, body = F.col(text_col), T.section_body(F.col(text_col), "subject_definitions")
     head = r"(?mi)^\s*subject_definitions\s*:[ \t]*$"
@@ -191,10 +195,10 @@ def label_repairs(rows: DataFrame, key: str, text_col: str, most_shots: int = 1)
     start = F.regexp_instr(text, F.lit(head)) + F.length(F.regexp_extract(text, head, 0))
     placed = rows.withColumns({"_body": body, "_new": new, "_start": start}).withColumn("_at", F.expr(f"locate(_body, `{text_col}`, _start)"))
     edit = F.when((F.col("_body") != F.col("_new")) & (F.col("_at") > 0), F.concat(F.left(text, F.col("_at") - 1), "_new", F.substring(text, F.col("_at") + F.length("_body"), F.length(text))))
-    edited = checkpointed(placed.withColumn("_edited", edit).filter("_edited IS NOT NULL").select(*rows.columns, "_edited"))
-    broken = lambda df: df.groupBy(key).agg(F.collect_set(F.concat_ws("|", "rule", "detail")).alias("rules"))
-    of = lambda df: edited.select(key).join(broken(prompt_violations(df, key, text_col, most_shots)), key, "left").select(key, F.coalesce("rules", F.array().cast("array<string>")).alias("rules"))
-    kept = non_regression(of(edited.drop("_edited")), of(edited.withColumn(text_col, F.col("_edited")).drop("_edited")), key).filter("accepted").select(key)
-    better = kept.join(edited.select(key, "_edited"), key)
-    out = rows.join(better, key, "left")
-    return out.select(*[F.coalesce("_edited", text_col).alias(c) if c == text_col else F.col(c) for c in rows.columns], F.col("_edited").isNotNull().alias("repaired"))
+    # all within a row, without a filter or join: a filter on the edit would be evaluated where rows are read, before they are dealt to many tasks;
+    # a text without an edit is null to the rules, which cost little then
+    edited = placed.withColumn("_edited", edit).select(*rows.columns, "_edited").withColumn("_given", F.when(F.col("_edited").isNotNull(), text))
+    judged = with_broken(with_broken(edited, "_before", "_given", most_shots), "_after", "_edited", most_shots)
+    better = F.col("_edited").isNotNull() & strictly_fewer(F.array_compact("_before"), F.array_compact("_after"))
+    out = judged.withColumn("repaired", better)
+    return out.select(*[F.when(F.col("repaired"), F.col("_edited")).otherwise(text).alias(c) if c == text_col else F.col(c) for c in rows.columns], "repaired")

@@ -211,6 +211,20 @@ def test_labels_are_repaired_where_it_helps(spark):
     assert broken(prompts.label_repairs(rows, "k", "text", 2).drop("repaired")) < broken(rows)
 
 
+def test_labels_are_repaired_within_rows(spark):
+    from corpusledger.operators.lineage import spread
+
+    bad = GOOD.replace("seen in <Picture 1>", "seen in a.jpg")
+    given = [(1, bad), (1, GOOD), (2, bad), (2, bad), (3, None)]  # a key may come again
+    rows = spread(spark.createDataFrame([(k, t, 6.0, [("<Subject 1>", ["<Picture 1>"])], ["<Audio 1>"], False, [("<Subject 1>", "a.jpg", "<Picture 1>")]) for k, t in given], "k long, text string, duration double, subjects array<struct<label:string,pictures:array<string>>>, audio array<string>, has_frame boolean, assets array<struct<label:string,asset:string,picture:string>>"), "k")
+    out = prompts.label_repairs(rows, "k", "text", 2)
+    assert values(out, "k", "text", "repaired") == sorted([(k, GOOD if t else t, t == bad) for k, t in given], key=str)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # what a row's edit costs is paid after the rows are dealt, and once
+    assert "Join" not in plan and "Filter " not in plan and plan.index("Project") < plan.index("RepartitionByExpression")
+    assert "regexp_extract" not in plan[plan.index("RepartitionByExpression") :]
+
+
 def test_dossier_pairs_come_once_without_a_sort_of_all(spark):
     import itertools
     import random
