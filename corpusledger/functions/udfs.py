@@ -9,6 +9,7 @@ import unicodedata
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf, pandas_udf, udtf
 
@@ -59,8 +60,11 @@ def normalized_json(text: pa.Array) -> pa.Array:
 
 @arrow_udf(TEXT)
 def fold(text: pa.Array) -> pa.Array:
-    """Full case folding, which turns a sharp s into ss."""
-    return by_portions(text, str.casefold)
+    """Full case folding, which turns a sharp s into ss; ASCII texts are only put in lower case, a batch at once."""
+    text = text.cast(pa.string())
+    others = pc.fill_null(pc.invert(pc.string_is_ascii(text)), False)
+    lower = pc.ascii_lower(text)
+    return pc.replace_with_mask(lower, others, by_portions(text.filter(others), str.casefold)) if pc.any(others).as_py() else lower
 
 
 def entity_key_of(name: str | None) -> str:

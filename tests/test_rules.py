@@ -211,6 +211,19 @@ def test_labels_are_repaired_where_it_helps(spark):
     assert broken(prompts.label_repairs(rows, "k", "text", 2).drop("repaired")) < broken(rows)
 
 
+def test_a_local_catalog_makes_its_keys_once(spark):
+    given = [
+        (1, "p", "The Mara", "Red", 3, 5), (1, "p", "MARA", "red", 2, 7), (1, "p", "Mara", "Mara", 1, 11),
+        (1, "p", "Stra\u00dfe", "Boss", 1, 6), (1, "p", "STRASSE", "boss", 4, 9), (1, "l", "Harbour", "Boss", 1, 8), (1, "l", "Harbour", "Mara", 1, 10),
+        (1, "p", " ", "Nobody", 1, 1), (1, "p", None, "Red", 1, 2), (1, "l", "Quay", None, 9, 12), (1, "l", "Quay", "Nobody", 9, 13), (1, "l", "Quay", "", 9, 14), (2, "p", "mara", "Boss", 1, 1),
+    ]
+    out = catalogs.local_catalog(spark.createDataFrame(given, "chapter_id int, kind string, name string, alias string, sequence int, ord long"))
+    want = [(1, "l", "l_001", "Harbour", 1, []), (1, "l", "l_002", "Quay", 9, ["Nobody"]), (1, "p", "p_001", "The Mara", 1, ["Red"]), (1, "p", "p_002", "Stra\u00dfe", 1, []), (2, "p", "p_001", "mara", 1, ["Boss"])]
+    assert values(out, "chapter_id", "kind", "local_id", "canonical_name", "first_sequence", "aliases") == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan
+
+
 def test_labels_are_repaired_within_rows(spark):
     from corpusledger.operators.lineage import spread
 
